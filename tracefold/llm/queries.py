@@ -11,6 +11,7 @@ from . import sql
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .mixing import mix_summary
+from .near_dedup import near_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +27,17 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_summary(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0)
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=75)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op6_near_duplicates, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

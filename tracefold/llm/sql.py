@@ -31,4 +31,15 @@ SELECT d.doc_id, CAST(coalesce(len(l.lines), 0) AS bigint) AS n_lines, coalesce(
 FROM documents AS d LEFT JOIN l USING (doc_id) LEFT JOIN rest USING (doc_id)
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op10_line_dedup": OP10}
+OP6 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce({SPLIT.format(f"translate(text, {AZ})")}, []) AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS sh FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s AS x JOIN s AS y ON x.sh = y.sh AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n AS m ON m.doc_id = a JOIN n AS o ON o.doc_id = b WHERE 100 * c >= 75 * (m.n + o.n - c)),
+r(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y),
+k AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM k LEFT JOIN n USING (doc_id)
+"""
+
+ORACLE = {"op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
