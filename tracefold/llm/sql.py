@@ -42,4 +42,16 @@ k AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM k LEFT JOIN n USING (doc_id)
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
+OP8 = f"""
+WITH d AS (SELECT doc_id, coalesce({SPLIT.format("text")}, []) AS w FROM documents),
+r AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS g FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+f AS (SELECT g, min(doc_id) AS head FROM r GROUP BY g HAVING count(*) > 1),
+cut AS (SELECT DISTINCT doc_id, p FROM r JOIN f USING (g), unnest(range(i, i + 50)) AS t(p) WHERE head < doc_id),
+word AS (SELECT doc_id, p, w[p] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(p)),
+k AS (SELECT word.doc_id, count(cut.p) AS n_removed, string_agg(word, ' ' ORDER BY word.p) FILTER (WHERE cut.p IS NULL) AS kept
+      FROM word LEFT JOIN cut ON cut.doc_id = word.doc_id AND cut.p = word.p GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
+ORACLE = {"op8_substring_dedup": OP8, "op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
