@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .chat_format import preference_format
 from .decontaminate import decontaminate
 from .line_dedup import line_dedup
 from .mixing import mix_summary
 from .near_dedup import near_duplicates
+from .secret_scan import listed, secret_scan
 from .substring_dedup import substring_dedup
+from .topk import quantised, top_k
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,22 +31,39 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_summary(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0)
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = quantised(table(spark, sf_dir, "embeddings"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=75)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan(table(spark, sf_dir, "documents"), repository="doc_id", owner="source")
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(name) for k, name in enumerate(("n_assign", "n_access", "n_hex"))]
+    return out.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("all")).alias("spans"), "n_live", "n_example")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring conversations form a pair: the even conv_id is the chosen one, the odd one the rejected."""
+    turns = table(spark, sf_dir, "conversations")
+    return preference_format(turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.coalesce(F.pmod("conv_id", F.lit(2)) == 1, F.lit(False)).alias("rejected"), "turn", "role", "text"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op6_near_duplicates, op8_substring_dedup, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op5_top_k, op6_near_duplicates, op7_secret_scan, op8_substring_dedup, op9_preference_format, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

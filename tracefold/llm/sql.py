@@ -54,4 +54,29 @@ SELECT d.doc_id, CAST(len(w) AS bigint) AS n_words, coalesce(n_removed, 0) AS n_
 FROM d LEFT JOIN k USING (doc_id)
 """
 
-ORACLE = {"op8_substring_dedup": OP8, "op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
+OP5 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS bigint) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS int) AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+OP9 = """
+WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 1 AS side, role, '<|' || coalesce(role, 'none') || '|>' || chr(10) AS head,
+                  replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM conversations),
+pairs AS (SELECT pair_id, count(*) FILTER (WHERE NOT side) AS nc, count(*) FILTER (WHERE side) AS nr FROM t GROUP BY pair_id),
+diff AS (SELECT c.pair_id, min(c.i) AS i FROM (SELECT * FROM t WHERE NOT side) AS c LEFT JOIN (SELECT * FROM t WHERE side) AS r ON c.pair_id = r.pair_id AND c.i = r.i
+         WHERE r.i IS NULL OR c.head || c.body <> r.head || r.body GROUP BY c.pair_id),
+n AS (SELECT pair_id, nc, nr, CASE WHEN nc = 0 THEN 0 ELSE coalesce(diff.i - 1, nc) END AS p FROM pairs LEFT JOIN diff USING (pair_id)),
+u AS (SELECT t.*, p, i > p AS rest, sum(length(head) + length(body)) FILTER (WHERE i > p) OVER (PARTITION BY pair_id, side ORDER BY i) AS e FROM t JOIN n USING (pair_id)),
+a AS (SELECT pair_id, string_agg(head || body, '' ORDER BY i) FILTER (WHERE NOT side AND NOT rest) AS prompt,
+             string_agg(head || body, '' ORDER BY i) FILTER (WHERE NOT side AND rest) AS chosen, string_agg(head || body, '' ORDER BY i) FILTER (WHERE side AND rest) AS rejected,
+             string_agg((e - length(body)) || ':' || e, ',' ORDER BY i) FILTER (WHERE NOT side AND rest AND role = 'assistant') AS chosen_mask,
+             string_agg((e - length(body)) || ':' || e, ',' ORDER BY i) FILTER (WHERE side AND rest AND role = 'assistant') AS rejected_mask FROM u GROUP BY pair_id)
+SELECT pair_id, CAST(p AS int) AS n_prompt, CAST(nc - p AS int) AS n_chosen, CAST(nr - p AS int) AS n_rejected, coalesce(prompt, '') AS prompt,
+       coalesce(chosen, '') AS chosen, coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected, '') AS rejected, coalesce(rejected_mask, '') AS rejected_mask
+FROM n JOIN a USING (pair_id)
+"""
+
+ORACLE = {"op5_top_k": OP5, "op9_preference_format": OP9, "op8_substring_dedup": OP8, "op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
