@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .chat_format import preference_format
 from .decontaminate import decontaminate
+from .langid import fit, held_out, identify
 from .line_dedup import line_dedup
 from .mixing import mix_summary
 from .near_dedup import near_duplicates
@@ -31,6 +32,13 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_summary(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs.where(~held_out()))
+    out = identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    return out.select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -63,7 +71,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op5_top_k, op6_near_duplicates, op7_secret_scan, op8_substring_dedup, op9_preference_format, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op4_language_id, op5_top_k, op6_near_duplicates, op7_secret_scan, op8_substring_dedup, op9_preference_format, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
