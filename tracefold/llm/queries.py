@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .chat_format import preference_format
 from .decontaminate import decontaminate
+from .html_extract import extract
 from .langid import fit, held_out, identify
 from .line_dedup import line_dedup
 from .mixing import mix_summary
@@ -32,6 +33,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_summary(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, repeat=2.0)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
@@ -71,7 +76,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op4_language_id, op5_top_k, op6_near_duplicates, op7_secret_scan, op8_substring_dedup, op9_preference_format, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_html_extract, op4_language_id, op5_top_k, op6_near_duplicates, op7_secret_scan, op8_substring_dedup, op9_preference_format, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
