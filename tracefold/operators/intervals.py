@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import settle
+
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], closed: bool = False) -> DataFrame:
     """Pairs of intervals [t_begin, t_end) that overlap within the same keys.
@@ -15,7 +17,8 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], closed: boo
     Each level has cells four times as wide as the one before; an interval
     lives on the level where it touches at most four cells, so a long one is
     not written to thousands of cells, and levels are matched with each other
-    by the coarser one's cells.
+    by the coarser one's cells. Both sides are written out first, as they are
+    read twice.
     """
     right = right.withColumnsRenamed({"t_begin": "r_begin", "t_end": "r_end"})
 
@@ -24,7 +27,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], closed: boo
         # smallest level whose cell (4^level) is at least a third of the length
         return df.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(length / 3) / 2)).cast("int"))
 
-    l, r = levelled(left, "t_begin", "t_end"), levelled(right, "r_begin", "r_end")
+    l, r = settle(levelled(left, "t_begin", "t_end")), settle(levelled(right, "r_begin", "r_end"))
 
     def celled(df: DataFrame, b: str, e: str, levels: DataFrame) -> DataFrame:
         """Copies at the own level and at every coarser level that the other side uses."""

@@ -6,31 +6,31 @@ from pyspark.sql import functions as F
 
 from ..operators import align, integrity, rebuild
 from .sql import with_views
-from .trace import tables
+from .trace import over_trace
 
-QUERIES = {
-    "i01_seq_gap_windows": lambda s, d: integrity.seq_gap_windows(tables(s, d).raw),
-    "i02_loss_overflow_windows": lambda s, d: integrity.loss_overflow_windows(tables(s, d).raw),
-    "i07_relation_windows": lambda s, d: rebuild.relation_windows(tables(s, d).holds, tables(s, d).waits, tables(s, d).irqs),
-    "i08_trust_tags": lambda s, d: tables(s, d).tagged.select("event_uid", F.array_join("trust_tags", ",").alias("trust_tags"), "trusted"),
-    "a01_align_offsets": lambda s, d: align.core_alignment(tables(s, d).tagged),
-    "a02_align_apply": lambda s, d: tables(s, d).events.select("event_uid", "ts_raw", "ts", "covered"),
-    "a03_align_degraded_window": lambda s, d: align.degraded_windows(tables(s, d).events),
-    "a04_event_order": lambda s, d: tables(s, d).events.select("dataset_id", "event_uid", F.row_number().over(_order()).alias("place")),
-    "a05_dedupe_observations": lambda s, d: align.dedupe_observations(tables(s, d).events.unionByName(tables(s, d).events.where("seq % 5 = 0"))).select("event_uid", "ts"),
-    "r01_task_state_segments": lambda s, d: tables(s, d).states,
-    "r02_exec_slices": lambda s, d: tables(s, d).slices,
-    "r03_dispatch_match": lambda s, d: rebuild.dispatch_matches(tables(s, d).events),
-    "r04_hold_edges": lambda s, d: tables(s, d).holds,
-    "r05_wait_edges": lambda s, d: tables(s, d).waits,
-    "r06_irq_spans": lambda s, d: tables(s, d).irqs.drop("delayed_task"),
-    "r07_irq_delayed_task": lambda s, d: tables(s, d).irqs.select("irq_span_id", "t_end", "delayed_task"),
-    "r08_ready_not_running": lambda s, d: _ready(tables(s, d)),
-    "r09_node_counts": lambda s, d: rebuild.node_counts(tables(s, d).events),
-    "r09_hotspots": lambda s, d: rebuild.hotspots(tables(s, d).events),
-    "r10_capability_flags": lambda s, d: rebuild.capability_flags(tables(s, d).events),
-    "r11_state_preview": lambda s, d: rebuild.state_preview(tables(s, d).events),
-    "i00_untrusted_windows": lambda s, d: tables(s, d).windows,
+TRACE = {
+    "i01_seq_gap_windows": lambda t: integrity.seq_gap_windows(t.raw),
+    "i02_loss_overflow_windows": lambda t: integrity.loss_overflow_windows(t.raw),
+    "i07_relation_windows": lambda t: rebuild.relation_windows(t.holds, t.waits, t.irqs),
+    "i08_trust_tags": lambda t: t.tagged.select("event_uid", F.array_join("trust_tags", ",").alias("trust_tags"), "trusted"),
+    "a01_align_offsets": lambda t: align.core_alignment(t.tagged),
+    "a02_align_apply": lambda t: t.events.select("event_uid", "ts_raw", "ts", "covered"),
+    "a03_align_degraded_window": lambda t: align.degraded_windows(t.events),
+    "a04_event_order": lambda t: t.events.select("dataset_id", "event_uid", F.row_number().over(_order()).alias("place")),
+    "a05_dedupe_observations": lambda t: align.dedupe_observations(t.events.unionByName(t.events.where("seq % 5 = 0"))).select("event_uid", "ts"),
+    "r01_task_state_segments": lambda t: t.states,
+    "r02_exec_slices": lambda t: t.slices,
+    "r03_dispatch_match": lambda t: rebuild.dispatch_matches(t.events),
+    "r04_hold_edges": lambda t: t.holds,
+    "r05_wait_edges": lambda t: t.waits,
+    "r06_irq_spans": lambda t: t.irqs.drop("delayed_task"),
+    "r07_irq_delayed_task": lambda t: t.irqs.select("irq_span_id", "t_end", "delayed_task"),
+    "r08_ready_not_running": lambda t: _ready(t),
+    "r09_node_counts": lambda t: rebuild.node_counts(t.events),
+    "r09_hotspots": lambda t: rebuild.hotspots(t.events),
+    "r10_capability_flags": lambda t: rebuild.capability_flags(t.events),
+    "r11_state_preview": lambda t: rebuild.state_preview(t.events),
+    "i00_untrusted_windows": lambda t: t.windows,
 }
 
 
@@ -74,4 +74,5 @@ SQL = {
   FROM (SELECT dataset_id, least(23, (ts - lo) * 24 // greatest(hi - lo, 1)) AS bucket, state FROM changes JOIN (SELECT dataset_id, min(ts) AS lo, max(ts) AS hi FROM al GROUP BY dataset_id) AS s USING (dataset_id)) AS x GROUP BY ALL""",
     "i00_untrusted_windows": "SELECT * FROM windows",
 }
+QUERIES = {k: over_trace(f) for k, f in TRACE.items()}
 ORACLE = {k: with_views(v) for k, v in SQL.items()}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import settle
 from ..operators import align, integrity, rebuild
 from ..sources.trace_view import trace_events
 
@@ -24,7 +26,8 @@ class TraceTables:
 
     @cached_property
     def events(self) -> DataFrame:
-        return align.align(self.tagged)
+        """Tagged and aligned events, written once as all else reads them."""
+        return settle(align.align(self.tagged))
 
     @cached_property
     def states(self) -> DataFrame:
@@ -64,3 +67,8 @@ class TraceTables:
 
 def tables(spark: SparkSession, sf_dir: str) -> TraceTables:
     return TraceTables(trace_events(spark, sf_dir))
+
+
+def over_trace(f: Callable[[TraceTables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A registered query from a function of the trace tables."""
+    return lambda spark, sf_dir: f(tables(spark, sf_dir))

@@ -40,7 +40,7 @@ def trace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             "next_task_id": F.when(switch, F.when(F.col("k") % 5 == 0, F.lit(0)).otherwise(F.col("t"))),
             "own_obj": F.when((name == "TASK_WAKEUP") & (F.col("k") % 9 != 0) | name.isin("SYNC_LOCK", "SYNC_UNLOCK", "SYNC_TRY"), F.col("k") % 4),
             "wait_obj_id": F.when((name == "TASK_BLOCK") & (F.col("k") % 11 != 0), F.col("k") % 4),
-            "owner_task_id": F.when(name == "TASK_BLOCK", F.col("t") % 6 + 1),
+            "owner_task_id": F.when(name == "TASK_BLOCK", (F.col("t") + 2) % 6 + 1),
             "irq_id": F.when(name.isin("IRQ_ENTER", "IRQ_EXIT"), F.col("j") % 3 + 1),
             "nesting_depth": F.when(name.isin("IRQ_ENTER", "IRQ_EXIT"), F.lit(1)),
             "reason": F.when(name.isin("TASK_BLOCK", "CTX_SWITCH", "OVERFLOW"), F.col("k") % 4),
@@ -76,7 +76,7 @@ SQL = {
     "payload": """SELECT *, CASE WHEN event_name IN ('TASK_READY', 'TASK_BLOCK', 'TASK_WAKEUP', 'TASK_DISPATCH', 'SYNC_LOCK', 'SYNC_UNLOCK', 'SYNC_TRY', 'TASK_EXIT') THEN t END AS own_task,
   CASE WHEN event_name = 'CTX_SWITCH' THEN CASE WHEN k % 5 = 0 THEN 0 ELSE t END END AS next_task_id,
   CASE WHEN event_name = 'TASK_WAKEUP' AND k % 9 <> 0 OR event_name IN ('SYNC_LOCK', 'SYNC_UNLOCK', 'SYNC_TRY') THEN k % 4 END AS own_obj,
-  CASE WHEN event_name = 'TASK_BLOCK' AND k % 11 <> 0 THEN k % 4 END AS wait_obj_id, CASE WHEN event_name = 'TASK_BLOCK' THEN t % 6 + 1 END AS owner_task_id,
+  CASE WHEN event_name = 'TASK_BLOCK' AND k % 11 <> 0 THEN k % 4 END AS wait_obj_id, CASE WHEN event_name = 'TASK_BLOCK' THEN (t + 2) % 6 + 1 END AS owner_task_id,
   CASE WHEN event_name LIKE 'IRQ%' THEN j % 3 + 1 END AS irq_id, CASE WHEN event_name LIKE 'IRQ%' THEN 1 END AS nesting_depth,
   CASE WHEN event_name IN ('TASK_BLOCK', 'CTX_SWITCH', 'OVERFLOW') THEN k % 4 END AS reason, CASE WHEN event_name = 'TASK_READY' THEN t % 5 END AS prio,
   CASE WHEN event_name = 'TASK_READY' THEN ts_raw + CAST(round(value * 100) AS bigint) * 1000000 END AS deadline_ts,
