@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import index_queries, metric_queries, rebuild_queries
+from .plans import evidence_queries, index_queries, metric_queries, rebuild_queries
 
-BLOCKS = (rebuild_queries, metric_queries, index_queries)
+BLOCKS = (rebuild_queries, metric_queries, index_queries, evidence_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
