@@ -9,10 +9,10 @@
    band with probability below 2e-6, at 0.8 below 3e-9.
 3. In each band bucket, all members are compared with the smallest one. Links
    are merged to components; members still in different components go on:
-   buckets of at most PAIRS members are compared in full, larger ones with
-   several more leaders a round, until no bucket spans components. So a large
-   group of copies costs a few comparisons a member, and no pair that could
-   join two components is left out.
+   buckets with few pairs between components have these compared, others go
+   round by round with several more leaders, until no bucket spans
+   components. So a large group of copies costs a few comparisons a member,
+   and no pair that could join two components is left out.
 4. Every comparison is made on the full shingle sets, recomputed from the
    two texts. Components come from star contraction.
 
@@ -38,8 +38,8 @@ from .components import connected_components
 K = 5
 BANDS, ROWS = 50, 5
 SLOTS = BANDS * ROWS
-#: Buckets of at most so many members are compared in full; larger ones with LEADERS members a round.
-PAIRS, LEADERS = 24, 8
+#: Most pairs between components per member of a bucket that are compared at once, and members compared with all a round otherwise.
+PARTNERS, LEADERS = 256, 64
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -122,14 +122,17 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            step = 64  # pairs at a time: two texts each are in memory
+            step = 256  # pairs at a time; a text that several of them share is read once
             for at in range(0, len(batch), step):
                 part = batch.slice(at, step)
-                sides = [[s[b[i] : b[i + 1]] for _, s, b in shingle_sets(part.column(c)) for i in range(len(b) - 1)] for c in (2, 3)]
+                ids = np.concatenate([part.column(c).to_numpy(zero_copy_only=False) for c in (0, 1)])
+                _, first, place = np.unique(ids, return_index=True, return_inverse=True)
+                texts = pa.concat_arrays([part.column(2), part.column(3)]).take(pa.array(first))
+                sets = [s[b[i] : b[i + 1]] for _, s, b in shingle_sets(texts) for i in range(len(b) - 1)]
                 keep = []
-                for x, y in zip(*sides, strict=True):
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep.append(common > 0 and 100 * common >= threshold * (len(x) + len(y) - common))
+                for x, y in zip(place[: len(part)].tolist(), place[len(part) :].tolist(), strict=True):
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    keep.append(common > 0 and 100 * common >= threshold * (len(sets[x]) + len(sets[y]) - common))
                 yield part.select([0, 1]).filter(pa.array(keep, type=pa.bool_()))
 
     return run
@@ -142,22 +145,26 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_links(threshold), "a bigint, b bigint")
 
 
-def candidate_pairs(members: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(members: DataFrame, bands: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(pairs to compare, members for the next round) of buckets that span components.
 
-    members: bucket, doc, n, component. Buckets of at most PAIRS members give
-    all their pairs between components and end; of the others, LEADERS members
-    are compared with all and leave the bucket.
+    members: bucket, doc, n, component; bands: doc, bands. A pair comes from
+    the first band that its documents share. A bucket with at most PARTNERS pairs
+    between components for each of its members gives them all and ends: most
+    large buckets are one component and a few strays. Of the others, LEADERS
+    members are compared with all and leave the bucket.
     """
-    stats = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_ = settle(members.join(stats.select("bucket", "size"), "bucket"))
-    near = f"100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n) and x.component <> y.component"
-    small = open_.where(F.col("size") <= PAIRS)
-    pairs = small.alias("x").join(small.alias("y"), F.expr(f"x.bucket = y.bucket and x.doc < y.doc and {near}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    large = open_.where(F.col("size") > PAIRS).drop("size").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)))
-    leaders = large.groupBy("bucket", "salt").agg(F.min(F.struct("doc", "n", "component")).alias("d")).select("bucket", "d.*")
-    led = large.alias("x").join(leaders.alias("y"), F.expr(f"x.bucket = y.bucket and {near}")).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-    rest = large.select("bucket", "doc", "n").join(leaders.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
+    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    stats = parts.groupBy("bucket").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = settle(members.join(stats.withColumn("few", F.expr(f"(size * size - inside) / 2 <= {PARTNERS} * size")).select("bucket", "few"), "bucket"))
+    near = f"x.bucket = y.bucket and x.component <> y.component and 100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)"
+    first = "x.bands[array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) - 1] = x.bucket"
+    few = open_.where("few").join(bands, "doc")
+    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.doc < y.doc and {near} and {first}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    many = open_.where("not few").drop("few").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)))
+    leaders = many.groupBy("bucket", "salt").agg(F.min(F.struct("doc", "n", "component")).alias("d")).select("bucket", "d.*")
+    led = many.alias("x").join(leaders.alias("y"), F.expr(near)).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+    rest = many.select("bucket", "doc", "n").join(leaders.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
     return pairs.unionByName(led).distinct(), rest
 
 
@@ -177,6 +184,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     texts = settle(texts.join(involved.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     release(spark)
 
+    bands = chosen.join(involved, "doc", "left_semi").select("doc", "bands").dropDuplicates(["doc"])
     first = members.alias("x").join(members.where("doc = leader").select("bucket", F.col("n").alias("leader_n")).alias("y"), "bucket")
     first = first.where(f"doc <> leader and 100 * least(n, leader_n) >= {threshold} * greatest(n, leader_n)").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
     tested = settle(first)
@@ -186,7 +194,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
         release(spark)
         groups = connected_components(links)
         labelled = left.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
-        pairs, left = candidate_pairs(labelled, threshold)
+        pairs, left = candidate_pairs(labelled, bands, threshold)
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
         left = settle(left)
         if pairs.isEmpty() and left.isEmpty():
