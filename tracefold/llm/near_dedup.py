@@ -39,7 +39,7 @@ K = 5
 BANDS, ROWS = 50, 5
 SLOTS = BANDS * ROWS
 #: Most pairs between components per member of a bucket that are compared at once, and members compared with all a round otherwise.
-PARTNERS, LEADERS = 256, 64
+PARTNERS, LEADERS = 4096, 64
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -145,24 +145,55 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return two.select("a", "b", "text_a", "text_b").mapInArrow(_links(threshold), "a bigint, b bigint")
 
 
-def candidate_pairs(members: DataFrame, bands: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row, shingles, bounds in shingle_sets(batch.column(1)):
+            sizes = np.diff(bounds)
+            owners = pa.array(np.repeat(np.arange(row, row + len(sizes)), sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owners), batch.column(2).take(owners), pa.array(shingles.view(np.int64))], names=["doc", "component", "shingle"])
+
+
+def usable(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc, core): how many of a document's shingles also stand in another component among ``docs`` (doc, component).
+
+    No document outside its component can share more than these with it.
+    """
+    told = docs.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "text", "component")
+    rows = told.mapInArrow(_shingle_rows, "doc bigint, component bigint, shingle bigint")
+    common = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
+    return rows.join(common, "shingle", "left_semi").groupBy("doc").agg(F.count("*").alias("core"))
+
+
+def candidate_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """(pairs to compare, members for the next round) of buckets that span components.
 
     members: bucket, doc, n, component; bands: doc, bands. A pair comes from
-    the first band that its documents share. A bucket with at most PARTNERS pairs
-    between components for each of its members gives them all and ends: most
-    large buckets are one component and a few strays. Of the others, LEADERS
-    members are compared with all and leave the bucket.
+    the first band that its documents share, and only if the shingles that
+    either has in common with other components could reach the threshold: a
+    stray copy whose changes are its own meets nobody. A bucket with at most
+    PARTNERS pairs between components for each of its members gives them all
+    and ends. Of the others, LEADERS members are compared with all and leave
+    the bucket.
     """
-    parts = members.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    stats = parts.groupBy("bucket").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = settle(members.join(stats.withColumn("few", F.expr(f"(size * size - inside) / 2 <= {PARTNERS} * size")).select("bucket", "few"), "bucket"))
-    near = f"x.bucket = y.bucket and x.component <> y.component and 100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)"
+
+    def mixed(df: DataFrame) -> DataFrame:
+        parts = df.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+        stats = parts.groupBy("bucket").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("parts")).where("parts > 1")
+        return df.join(stats.withColumn("few", F.expr(f"(size * size - inside) / 2 <= {PARTNERS} * size")).select("bucket", "few"), "bucket")
+
+    spanning = settle(mixed(members).drop("few"))
+    core = settle(usable(spanning.select("doc", "component").distinct(), texts))
+    able = spanning.join(core, "doc").where(f"{100 + threshold} * core >= {threshold} * (n + {threshold} * n / 100)")
+    open_ = settle(mixed(able))
+    near = (
+        f"x.bucket = y.bucket and x.component <> y.component and 100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)"
+        f" and {100 + threshold} * least(x.core, y.core) >= {threshold} * (x.n + y.n)"
+    )
     first = "x.bands[array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) - 1] = x.bucket"
     few = open_.where("few").join(bands, "doc")
     pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.doc < y.doc and {near} and {first}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     many = open_.where("not few").drop("few").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)))
-    leaders = many.groupBy("bucket", "salt").agg(F.min(F.struct("doc", "n", "component")).alias("d")).select("bucket", "d.*")
+    leaders = many.groupBy("bucket", "salt").agg(F.min(F.struct("doc", "n", "component", "core")).alias("d")).select("bucket", "d.*")
     led = many.alias("x").join(leaders.alias("y"), F.expr(near)).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
     rest = many.select("bucket", "doc", "n").join(leaders.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
     return pairs.unionByName(led).distinct(), rest
@@ -194,7 +225,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
         release(spark)
         groups = connected_components(links)
         labelled = left.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
-        pairs, left = candidate_pairs(labelled, bands, threshold)
+        pairs, left = candidate_pairs(labelled, bands, texts, threshold)
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
         left = settle(left)
         if pairs.isEmpty() and left.isEmpty():
