@@ -40,6 +40,8 @@ BANDS, ROWS = 50, 5
 SLOTS = BANDS * ROWS
 #: Most pairs between components per member of a bucket that are compared at once, and members compared with all a round otherwise.
 PARTNERS, LEADERS = 4096, 64
+#: Hash parts in which the shingles that two documents could share are counted.
+PARTS = 128
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -154,14 +156,17 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def usable(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, core): how many of a document's shingles also stand in another component among ``docs`` (doc, component).
+    """(doc, core, parts): how many of a document's shingles also stand in another component among ``docs`` (doc, component), in all and per hash part.
 
-    No document outside its component can share more than these with it.
+    Two documents of different components share at most the sum over the
+    parts of the smaller count.
     """
     told = docs.join(texts.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "text", "component")
     rows = told.mapInArrow(_shingle_rows, "doc bigint, component bigint, shingle bigint")
     common = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    return rows.join(common, "shingle", "left_semi").groupBy("doc").agg(F.count("*").alias("core"))
+    counts = rows.join(common, "shingle", "left_semi").groupBy("doc", F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")).agg(F.count("*").cast("int").alias("k"))
+    filled = counts.groupBy("doc").agg(F.sum("k").alias("core"), F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("m"))
+    return filled.select("doc", "core", F.expr(f"transform(sequence(0, {PARTS - 1}), i -> coalesce(try_element_at(m, i), 0))").alias("parts"))
 
 
 def candidate_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -169,8 +174,8 @@ def candidate_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, thre
 
     members: bucket, doc, n, component; bands: doc, bands. A pair comes from
     the first band that its documents share, and only if the shingles that
-    either has in common with other components could reach the threshold: a
-    stray copy whose changes are its own meets nobody. A bucket with at most
+    they have in common with other components, counted by hash part, could
+    reach the threshold; a stray copy mostly meets nobody. A bucket with at most
     PARTNERS pairs between components for each of its members gives them all
     and ends. Of the others, LEADERS members are compared with all and leave
     the bucket.
@@ -189,12 +194,13 @@ def candidate_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, thre
         f"x.bucket = y.bucket and x.component <> y.component and 100 * least(x.n, y.n) >= {threshold} * greatest(x.n, y.n)"
         f" and {100 + threshold} * least(x.core, y.core) >= {threshold} * (x.n + y.n)"
     )
+    shared = f"aggregate(zip_with(x.parts, y.parts, (p, q) -> least(p, q)), 0, (s, v) -> s + v) * {100 + threshold} >= {threshold} * (x.n + y.n)"
     first = "x.bands[array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) - 1] = x.bucket"
     few = open_.where("few").join(bands, "doc")
-    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.doc < y.doc and {near} and {first}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
+    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.doc < y.doc and {near} and {first} and {shared}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
     many = open_.where("not few").drop("few").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)))
-    leaders = many.groupBy("bucket", "salt").agg(F.min(F.struct("doc", "n", "component", "core")).alias("d")).select("bucket", "d.*")
-    led = many.alias("x").join(leaders.alias("y"), F.expr(near)).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
+    leaders = many.groupBy("bucket", "salt").agg(F.min(F.struct("doc", "n", "component", "core", "parts")).alias("d")).select("bucket", "d.*")
+    led = many.alias("x").join(leaders.alias("y"), F.expr(f"{near} and {shared}")).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
     rest = many.select("bucket", "doc", "n").join(leaders.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
     return pairs.unionByName(led).distinct(), rest
 
