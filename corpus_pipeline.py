@@ -16,7 +16,7 @@ from tracefold.llm.decontaminate import drop_contaminated
 from tracefold.llm.langid import fit, held_out, identify
 from tracefold.llm.line_dedup import line_dedup
 from tracefold.llm.mixing import mix_summary
-from tracefold.llm.near_dedup import near_duplicates
+from tracefold.llm.near_dedup import drop_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of smallest doc_id of each near-duplicate group."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

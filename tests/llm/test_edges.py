@@ -11,7 +11,7 @@ from tracefold.llm.decontaminate import decontaminate, drop_contaminated
 from tracefold.llm.html_extract import container, extract, main_text
 from tracefold.llm.line_dedup import line_dedup
 from tracefold.llm.mixing import mix, mix_summary
-from tracefold.llm.near_dedup import near_duplicates
+from tracefold.llm.near_dedup import drop_near_duplicates, near_duplicates
 from tracefold.llm.secret_scan import secret_scan
 from tracefold.llm.substring_dedup import substring_dedup
 from tracefold.llm.topk import quantised, top_k
@@ -152,3 +152,27 @@ def test_pipeline(spark, odd, none, tmp_path):
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()}
     assert got == {None, 6}
     assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_texts_of_one_id_are_judged_apart(spark):
+    fields = "doc_id long, text string"
+    # at the place where one text repeats lines, the other has clean ones
+    lines = spark.createDataFrame([(1, "a\nb\nc"), (None, "a\nb\nc\nd"), (None, "p\nq\nr\ns"), (7, "a\nb\nc\nx"), (7, "k\nl\nm\nn"), (9, "p\nq\nr\nt")], fields)
+    rows = {(r.doc_id, r.text) for r in line_dedup(lines).collect()}
+    assert rows == {(None, "a\nb\nc\nd"), (None, "p\nq\nr\ns"), (1, ""), (7, "x"), (7, "k\nl\nm\nn"), (9, "t")}
+    same_place = line_dedup(spark.createDataFrame([(None, "a\nb\nc\nd"), (None, "a\nb\nc\ne")], fields)).collect()
+    assert sorted(r._n_removed for r in same_place) == [0, 3]
+
+    base = " ".join(f"u{i}" for i in range(200))
+    other = " ".join(f"v{i}" for i in range(200))
+    docs = [(3, "one text alone"), (3, base), (3, other), (5, base + " end"), (6, other + " end"), (None, base + " more"), (None, "nobody has this"), (None, "null ids " + LONG), (None, "null ids " + LONG + " end")]
+    frame = spark.createDataFrame(docs, fields)
+    got = near_duplicates(frame).collect()
+    assert len(got) == len(docs)
+    assert {(r.doc_id, r.component_id, r.kept) for r in got if r.doc_id is not None} == {(3, 3, True), (5, 3, False), (6, 3, False)}
+    assert sorted((r.component_id or 0, r.kept) for r in got if r.doc_id is None) == [(0, False), (0, True), (0, True), (3, False)]
+    kept = [r.text for r in drop_near_duplicates(frame).collect()]
+    assert len(kept) == 5 and {"one text alone", base, other, "nobody has this"} < set(kept)
+
+    item = bench(spark, [(1, base)])
+    assert {r.text for r in drop_contaminated(frame, item).collect()} == {t for _, t in docs if not t.startswith(base)}

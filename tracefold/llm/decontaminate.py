@@ -52,8 +52,8 @@ def benchmark_grams(benchmark: DataFrame, n: int) -> DataFrame:
     return grams.groupBy(F.xxhash64(F.transform("gram", lambda w: F.xxhash64(w))).alias("h"), F.col("len"), F.array_join("gram", " ").alias("gram")).agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted array), contaminated."""
+def judged(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
+    """The rows of ``decontaminate`` with text_hash, which tells texts of one doc_id apart."""
     grams = benchmark_grams(benchmark, n)
     # at most n rows: the distinct gram lengths, and how many grams there are
     sizes = {r["len"]: r["k"] for r in grams.groupBy("len").agg(F.count("*").alias("k")).collect()}
@@ -94,16 +94,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     )
     out = per_doc.select(
         "doc_id",
+        "text_hash",
         F.col("n").cast("long").alias("n_words"),
         covered.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         "items",
         F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"),
     )
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items", (F.col("n_hit") > 0).alias("contaminated"))
+    return out.select("doc_id", "text_hash", "n_words", "n_hit", "n_items", "items", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items (sorted array), contaminated."""
+    return judged(docs, benchmark, n).drop("text_hash")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
-    """The rows of ``docs`` whose document holds no benchmark window."""
-    bad = decontaminate(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
+    """The rows of ``docs`` whose text holds no benchmark window; each text of a repeated or null doc_id is judged by itself."""
+    bad = judged(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_hash")), "left_anti")

@@ -1,8 +1,8 @@
 """Line deduplication over overlapping three-line windows.
 
 Every run of three consecutive lines (split at ``\\n``) is hashed to 128 bits.
-A window's first occurrence is the one with the smallest (doc_id, line); the
-lines covered by any later occurrence are removed, overlapping ones merged.
+A window's first occurrence is the one with the smallest (doc_id, hash of the
+text, line); the lines covered by any later occurrence are removed, overlapping ones merged.
 
 Counting combines on the map side, so a window that a third of all documents
 share reaches the shuffle once per task; the join back to its occurrences is
@@ -10,7 +10,8 @@ a plain sort-merge join, which adaptive execution splits when one key is hot.
 
 Defined results: null text has no lines and stays null; documents of fewer
 than three lines are unchanged; windows of three blank lines never count;
-rows that repeat a doc_id are one document, and a null doc_id sorts first.
+rows that repeat a doc_id and its text are one document, different texts under
+one doc_id are documents of their own, and a null doc_id sorts first.
 """
 
 from __future__ import annotations
@@ -26,24 +27,24 @@ def lines_of(text):
 
 
 def repeated_positions(docs: DataFrame) -> DataFrame:
-    """Per document with repeats: doc_id, covered (sorted distinct numbers of the lines to remove, from 0)."""
-    lines = docs.select("doc_id", lines_of(F.col("text")).alias("lines"))
+    """Per document with repeats: doc_id, text_hash, covered (sorted distinct numbers of the lines to remove, from 0)."""
+    lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines_of(F.col("text")).alias("lines"))
     joined = F.when(F.size("lines") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("lines") - (WINDOW - 1)), lambda i: F.array_join(F.slice("lines", i, WINDOW), "\n")))
-    windows = lines.select("doc_id", F.posexplode(F.transform(joined, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), (F.trim(w, F.lit(" \t\n\r")) == "").alias("blank")))).alias("at", "w"))
-    windows = windows.where("not w.blank").select("w.h1", "w.h2", F.struct("doc_id", "at").alias("place"))
+    windows = lines.select("doc_id", "text_hash", F.posexplode(F.transform(joined, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), (F.trim(w, F.lit(" \t\n\r")) == "").alias("blank")))).alias("at", "w"))
+    windows = windows.where("not w.blank").select("w.h1", "w.h2", F.struct("doc_id", "text_hash", "at").alias("place"))
     firsts = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     later = windows.join(firsts, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first")))
     return (
-        later.groupBy(F.col("place.doc_id").alias("doc_id"))
+        later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash"))
         .agg(F.collect_set("place.at").alias("starts"))
-        .select("doc_id", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1)))))).alias("covered"))
+        .select("doc_id", "text_hash", F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (WINDOW - 1)))))).alias("covered"))
     )
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with repeated lines cut from text, plus _n_lines and _n_removed."""
-    covered = repeated_positions(docs).select(F.col("doc_id").alias("_dup_id"), F.col("covered").alias("_covered"))
-    both = docs.join(covered, F.col("doc_id").eqNullSafe(F.col("_dup_id")), "left").withColumn("_lines", lines_of(F.col("text")))
+    covered = repeated_positions(docs).select(F.col("doc_id").alias("_dup_id"), F.col("text_hash").alias("_dup_hash"), F.col("covered").alias("_covered"))
+    both = docs.join(covered, F.col("doc_id").eqNullSafe(F.col("_dup_id")) & (F.xxhash64("text") == F.col("_dup_hash")), "left").withColumn("_lines", lines_of(F.col("text")))
     lines = F.col("_lines")
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered")), lambda i: F.get(lines, i)), "\n")
     cut = both.withColumns(
@@ -53,4 +54,4 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             "text": F.when(F.col("_covered").isNull(), F.col("text")).otherwise(kept),
         }
     )
-    return cut.drop("_dup_id", "_covered", "_lines")
+    return cut.drop("_dup_id", "_dup_hash", "_covered", "_lines")

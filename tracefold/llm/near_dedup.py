@@ -1,7 +1,8 @@
 """Near-duplicate detection: SuperMinHash signatures, banding, verification, union-find.
 
 1. Each text becomes the set of its distinct 5-word shingles (64-bit hashes).
-   Texts with the same set form one class, kept as its smallest doc_id.
+   Texts with the same set form one class, a node named by the set's hash.
+   Its head is the row of smallest doc_id, and of those the smallest text hash.
 2. A SuperMinHash signature: every shingle throws its j-th value, in
    [j, j + 1), at the j-th slot of its own random permutation; once all slots
    hold values below j + 1 the rest of the throws can't matter and stop.
@@ -17,9 +18,10 @@
    two texts. Components come from star contraction.
 
 Defined results: null, empty or wordless text has no shingles, links with
-nothing and is its own component; fewer than five words are one shingle; a
-row with null doc_id takes its class's smallest non-null id, or none; rows
-that repeat a doc_id get the same result each.
+nothing and is its own component; fewer than five words are one shingle;
+rows that repeat a doc_id and its text get the same result each, different
+texts under one doc_id are told apart by a 64-bit hash; a null doc_id comes
+after all others, and a component without other ids has the id null.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, mix64, rolling_hashes, run_starts, string_slices, word_hashes, words
@@ -109,7 +111,7 @@ def band_hashes(sig: np.ndarray) -> np.ndarray:
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1)
+        ids, hashes, texts = batch.columns
         for row, shingles, bounds in shingle_sets(texts):
             n = np.diff(bounds)
             sums = np.zeros((2, len(shingles) + 1), dtype=U)
@@ -118,7 +120,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts = [(s[bounds[1:]] - s[bounds[:-1]]).view(np.int64) for s in sums]
             bands = band_hashes(signatures(shingles, bounds)).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(n) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n), pa.array(parts[0]), pa.array(parts[1]), lists], names=["doc_id", "n", "s1", "s2", "bands"])
+            yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), hashes.slice(row, len(n)), pa.array(n), pa.array(parts[0]), pa.array(parts[1]), lists], names=["doc_id", "text_hash", "n", "s1", "s2", "bands"])
 
 
 def _links(threshold: int):
@@ -207,18 +209,37 @@ def candidate_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, thre
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profiles = settle(texts.mapInArrow(_profiles, "doc_id bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"))
-    classes = settle(profiles.where("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")))
+    return judged(docs, threshold).drop("text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
+    """The rows of ``docs`` that are kept, each text of a repeated or null doc_id by its own result."""
+    gone = judged(docs, threshold).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (text_hash() == F.col("_gone_hash")), "left_anti")
+
 
-    chosen = profiles.where("n > 0").join(classes.select("s1", "s2", "n", "doc"), ["s1", "s2", "n"]).where("doc_id = doc")
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+def judged(docs: DataFrame, threshold: int) -> DataFrame:
+    """The rows of ``near_duplicates`` with text_hash, which tells texts of one doc_id apart."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    profiles = settle(texts.mapInArrow(_profiles, "doc_id bigint, text_hash bigint, n bigint, s1 bigint, s2 bigint, bands array<bigint>"))
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    classes = profiles.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(row).alias("head"))
+    classes = settle(classes.select("s1", "s2", "n", F.xxhash64("s1", "s2", "n").alias("doc"), "head"))
+    is_head = "text_hash = head.text_hash and doc_id <=> head.doc_id"
+
+    chosen = profiles.where("n > 0").join(classes, ["s1", "s2", "n"]).where(is_head)
     rows = chosen.select("doc", "n", F.explode("bands").alias("bucket")).distinct()
     shared = rows.groupBy("bucket").agg(F.min("doc").alias("leader"), F.count("*").alias("size")).where("size > 1").select("bucket", "leader")
     members = settle(rows.join(shared, "bucket"))
     release(spark)
     involved = members.select("doc").distinct()
-    texts = settle(texts.join(involved.select(F.col("doc").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    heads = classes.join(involved, "doc", "left_semi").select("doc", "head")
+    texts = settle(texts.join(heads, F.expr(is_head)).select(F.col("doc").alias("doc_id"), "text").dropDuplicates(["doc_id"]))
     release(spark)
 
     bands = chosen.join(involved, "doc", "left_semi").select("doc", "bands").dropDuplicates(["doc"])
@@ -242,7 +263,12 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
             break
         links = links.unionByName(found)
 
-    named = classes.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("s1", "s2", "n", F.coalesce("component", "doc").alias("component"))
-    out = profiles.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component.isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+    roots = groups.select(F.col("component").alias("node"), "component").distinct()
+    grouped = settle(groups.unionByName(roots).withColumnRenamed("node", "doc").join(classes.select("doc", "head"), "doc"))
+    # written, so that the join below can be split where one component is large
+    first = settle(grouped.groupBy("component").agg(F.min("head").alias("first")))
+    labels = grouped.select("doc", "component").join(first, "component").select("doc", "first")
+    named = classes.join(labels, "doc", "left").select("s1", "s2", "n", F.coalesce("first", "head").alias("head"))
+    out = profiles.select("doc_id", "text_hash", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
+    kept = F.col("head").isNull() | F.expr(is_head)
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("head.doc_id", "doc_id").alias("component_id"), kept.alias("kept"))
