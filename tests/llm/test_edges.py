@@ -176,3 +176,12 @@ def test_texts_of_one_id_are_judged_apart(spark):
 
     item = bench(spark, [(1, base)])
     assert {r.text for r in drop_contaminated(frame, item).collect()} == {t for _, t in docs if not t.startswith(base)}
+
+
+def test_secret_copied_within_one_owner(spark):
+    copied, own = "zQ9xK2mW7vB4nR8tY3pL", "aB3dE6gH9jK2mN5pQ8sT"
+    docs = [(i, f"v {copied} and token={copied}", "one") for i in range(40)] + [(50, f"v {own} e", "one")]
+    rows = {r.doc_id: r for r in secret_scan(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert (rows[0].n_live, rows[0].n_example) == (0, 1)
+    assert [(s.kind, s.n_repositories) for s in rows[0]["all"]] == [(0, 40)]
+    assert [(s.kind, s.value, s.n_repositories) for s in rows[50]["all"]] == [(3, own, 1)]

@@ -3,8 +3,8 @@
 Base patterns (assignments, access keys, long hex runs) and generic
 key-shaped tokens give candidates. Each candidate's hash is counted over the
 whole corpus by distinct repository and distinct owner. A value that several
-owners have is a widely copied example; one that stays with few owners and
-looks live (mixed characters, many different ones) is owner-specific. Generic
+owners or many repositories have is a widely copied example; one that stays
+with few of both and looks live (mixed characters, many different ones) is owner-specific. Generic
 tokens found owner-specific are added as spans of kind ``owned``; base spans
 always stay and are counted as live or example.
 
@@ -71,8 +71,8 @@ def listed(array: Column) -> Column:
     return F.array_join(F.transform(array, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
 
 
-def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
-    """Per row of ``docs``: doc_id, base and all (arrays of spans), n_live, n_example (base spans by ownership)."""
+def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = 10) -> DataFrame:
+    """Per row of ``docs``: doc_id, base and all (arrays of spans; those of all with n_repositories), n_live, n_example (base spans by ownership)."""
     texts = docs.select("doc_id", F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.withColumns({name: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for name, p in (("m0", ASSIGN), ("m1", ACCESS), ("m2", HEX), ("m3", TOKEN))})
     values = F.when(F.size("m0") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)))
@@ -96,12 +96,12 @@ def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "sourc
     places = places.withColumn("hash", F.sha2("span.value", 256))
     named = [F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(c))) for c in ("repository", "owner")]
     spread = places.groupBy("hash").agg(F.count_distinct(named[0]).alias("n_repositories"), F.count_distinct(named[1]).alias("n_owners"))
-    judged = places.join(spread, "hash").withColumn("own", F.col("n_owners") <= max_owners)
+    judged = places.join(spread, "hash").withColumn("own", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
     verdicts = judged.groupBy("row").agg(
-        F.collect_list(F.when(F.col("own") & (F.col("span.kind") == 3), F.col("span"))).alias("owned"),
+        F.array_sort(F.collect_list(F.when(F.col("own") | (F.col("span.kind") < 3), F.struct("span.*", "n_repositories")))).alias("all"),
         F.count_if(F.col("own") & (F.col("span.kind") < 3) & live_looking(F.col("span.value"))).alias("n_live"),
         F.count_if(~F.col("own") & (F.col("span.kind") < 3)).alias("n_example"),
     )
     out = found.join(verdicts, "row", "left")
-    every = F.array_sort(F.concat("base", F.coalesce("owned", F.expr("filter(base, b -> false)"))))
+    every = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,value:string,n_repositories:bigint>>"))
     return out.select("doc_id", "base", every.alias("all"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))
