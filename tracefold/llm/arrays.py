@@ -17,8 +17,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bases of two independent hashes; odd, so that they have inverses modulo 2**64.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -30,7 +31,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTES = mix64(np.arange(1, 257, dtype=U) * U(_BASE))
+_BYTES = tuple(mix64(np.arange(1, 257, dtype=U) * U(b)) for b in BASES)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -76,22 +77,22 @@ def words(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (lower-cased A-Z first, if asked), from one pass of prefix sums."""
-    table = _BYTES[_LOWER] if lower else _BYTES
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (lower-cased A-Z first, if asked), from one pass of prefix sums; ``which`` of the two."""
+    table = _BYTES[which][_LOWER] if lower else _BYTES[which]
     sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(table[data] * powers(_BASE, len(data)), out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * powers(_BASE_INVERSE, len(data))[starts])
+    np.cumsum(table[data] * powers(BASES[which], len(data)), out=sums[1:])
+    return mix64((sums[ends] - sums[starts]) * powers(_INVERSES[which], len(data))[starts])
 
 
-def rolling_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
+def rolling_hashes(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     """The hash of each run of k consecutive word hashes (over the ends of texts too; the caller masks those)."""
     n = len(hashes)
     if n < k:
         return np.zeros(0, dtype=U)
     sums = np.zeros(n + 1, dtype=U)
-    np.cumsum(hashes * powers(_BASE, n), out=sums[1:])
-    return mix64((sums[k:] - sums[: n + 1 - k]) * powers(_BASE_INVERSE, n)[: n + 1 - k] + U(k))
+    np.cumsum(hashes * powers(BASES[which], n), out=sums[1:])
+    return mix64((sums[k:] - sums[: n + 1 - k]) * powers(_INVERSES[which], n)[: n + 1 - k] + U(k))
 
 
 def run_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
