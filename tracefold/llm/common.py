@@ -2,54 +2,18 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import time
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.tables import settle
+
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "next_power_of_two", "settle"]
+
 #: White space of the word contracts: \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("tracefold.scratch.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="tracefold-")
-        spark.conf.set("tracefold.scratch.dir", path)
-    return path
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows to the shared folder and read them back.
-
-    Later jobs then start from files that every executor can read, so a lost
-    executor costs the tasks it ran and nothing before them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tracefold-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished jobs, which it does when the driver collects garbage.
-
-    A plan's last references go once its events are handled and a first
-    collection has run, so this collects more than once.
-    """
-    for _ in range(3):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; ``lower`` would also change other alphabets."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -5,8 +5,9 @@ A window's first occurrence is the one with the smallest (doc_id, hash of the
 text, line); the lines covered by any later occurrence are removed, overlapping ones merged.
 
 Counting combines on the map side, so a window that a third of all documents
-share reaches the shuffle once per task; the join back to its occurrences is
-a plain sort-merge join, which adaptive execution splits when one key is hot.
+share reaches the shuffle once per task. The repeated windows are written
+before they are joined back to their occurrences: both sides of that join are
+then plain exchanges, which adaptive execution splits when one window is hot.
 
 Defined results: null text has no lines and stays null; documents of fewer
 than three lines are unchanged; windows of three blank lines never count;
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 WINDOW = 3
 
 
@@ -32,7 +35,7 @@ def repeated_positions(docs: DataFrame) -> DataFrame:
     joined = F.when(F.size("lines") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("lines") - (WINDOW - 1)), lambda i: F.array_join(F.slice("lines", i, WINDOW), "\n")))
     windows = lines.select("doc_id", "text_hash", F.posexplode(F.transform(joined, lambda w: F.struct(F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"), (F.trim(w, F.lit(" \t\n\r")) == "").alias("blank")))).alias("at", "w"))
     windows = windows.where("not w.blank").select("w.h1", "w.h2", F.struct("doc_id", "text_hash", "at").alias("place"))
-    firsts = windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    firsts = settle(windows.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     later = windows.join(firsts, ["h1", "h2"]).where(~F.col("place").eqNullSafe(F.col("first")))
     return (
         later.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash"))
