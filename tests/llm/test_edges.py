@@ -106,6 +106,63 @@ def test_forward_sums_all_segmentations():
         assert np.isfinite(got)
 
 
+def test_expected_counts_match_all_segmentations():
+    import numpy as np
+    import pyarrow as pa
+
+    pieces = [b"a", b"b", b"ab", b" ", b" a", b"aba"]
+    probs = np.array([[0.1, 0.3], [0.2, 0.1], [0.3, 0.1], [0.15, 0.2], [0.05, 0.2], [0.2, 0.1]])
+    rows = [("x", b"abab", 3), ("y", b"aab", 2), ("y", b"b", 1)]
+
+    def walks(s):
+        return [()] if not s else [(i, *rest) for i, p in enumerate(pieces) if s.startswith(p) for rest in walks(s[len(p) :])]
+
+    want = np.zeros((6, 2))
+    for lang, word, n in rows:
+        k = "xy".index(lang)
+        found = walks(b" " + word)
+        weights = [np.prod([probs[i, k] for i in w]) for w in found]
+        for w, weight in zip(found, weights, strict=True):
+            for i in w:
+                want[i, k] += n * weight / sum(weights)
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+    (got,) = langid._expected(["x", "y"], pieces, probs)(iter([batch]))
+    out = np.zeros((6, 2))
+    out[got.column(1).to_numpy(), got.column(0).to_numpy()] = got.column(2).to_numpy()
+    assert np.allclose(out, want)
+
+
+def test_language_without_words_or_spaces(spark):
+    import random
+
+    rng = random.Random(5)
+    latin = lambda words: " ".join(rng.choice(words) for _ in range(30))
+    han = lambda: "".join(rng.choice("的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可") for _ in range(150))
+    rows = [(i, latin("the and of house with some river".split()), "en") for i in range(40)] + [(i, latin("der und die haus mit fluss ein".split()), "de") for i in range(40, 80)]
+    rows += [(80, "", "zz"), (81, " ", "zz"), (82, None, "yy")] + [(i, han(), "zh") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.languages == ["de", "en", "zh"]
+    fresh = [(0, latin("the and of house".split()), "en"), (1, latin("der und mit ein".split()), "de"), (2, han(), "zh"), (3, "x" * 400_000, None), (4, "的" * 100_000, "zh"), (5, "é" * 501 + "的", None)]
+    got = langid.identify(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model, ["doc_id", "lang"]).collect()
+    assert len(got) == 6 and all(r._lang_pred == r.lang for r in got if r.lang) and all(0 <= r._lang_score <= 1 for r in got)
+    nothing = langid.fit(spark.createDataFrame([(1, " ", "en")], "doc_id long, text string, lang string"))
+    assert nothing.languages == [] and langid.identify(docs, nothing, ["doc_id"]).where("_lang_pred <> 'und'").count() == 0
+
+
+def test_long_words_are_cut_between_characters():
+    import numpy as np
+
+    from tracefold.llm.arrays import words
+
+    for text in ("a" * 1000, "的" * 333 + " b", "x " + "é" * 77 + "😀" * 50 + " y" * 3, ""):
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts, ends, first = langid.chunked(*words(np.array([0, len(data)]), data), data)
+        parts = [data[a:b].tobytes().decode() for a, b in zip(starts, ends, strict=True)]
+        assert "".join(parts) == "".join(text.split()) and all(0 < len(p.encode()) <= langid.CHUNK for p in parts)
+        assert first.tolist() == [0, len(parts)]
+
+
 def test_html(spark):
     rows = [(1, "http://h/x", None), (2, None, ""), (3, "odd", "<p>bare &amp; text<p>two <b>bold"), (3, "odd", "<p>bare &amp; text<p>two <b>bold")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

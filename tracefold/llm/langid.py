@@ -4,22 +4,27 @@ A language is a probability for each piece of a fixed public byte-level
 vocabulary. A word's probability is the sum over all its segmentations into
 pieces (a forward pass over its bytes); a text's is the product over its
 words, and the prediction is the language of largest posterior under equal
-priors.
+priors. A run without white space of more than CHUNK bytes counts as several
+words of at most CHUNK bytes, cut between characters, so scripts without
+spaces are learned and scored whole and no run, however long, is one matrix.
 
 Piece probabilities are learned by expectation maximisation. The bounded
-sample it uses, about ``sample`` texts per language chosen by a hash of the
-text, is a parameter of the fit alone; every text is scored whole. Words are
+sample it uses, about ``sample`` rows per language chosen by a hash of the
+row, is a parameter of the fit alone; every text is scored whole. Words are
 counted and expected piece counts summed by Spark; only languages x pieces
-numbers reach the driver.
+numbers reach the driver, so labels are taken to be a set of at most some
+thousand values.
 
 Defined results: null text, or text without a letter, is ``und`` with score
-0; without any labelled training text all texts are ``und``; ties go to the
-first language by code point; every row gives one row.
+0; a label none of whose sampled texts holds a word is not learned and never
+predicted; without any learned label all texts are ``und``; ties go to the
+first language by code point; every row gives one row. Scores are never NaN.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -34,12 +39,16 @@ from .common import settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LONGEST = 8  # bytes of the longest piece used
+CHUNK = 60  # most bytes of a word
 FLOOR = 1e-7  # least probability of a single byte
 LETTER = regex.compile(r"\p{L}")
 STEP = 0x9E3779B97F4A7C15
 
 
 def load_pieces(path: str = VOCABULARY, longest: int = LONGEST) -> list[bytes]:
+    """The pieces of at most ``longest`` bytes of a rank file (base64 piece and rank a line), read on the driver, and all single bytes."""
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"{path}: pass the path of a byte-level vocabulary (a rank file) as ``vocabulary``")
     with open(path, "rb") as lines:
         found = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
     return sorted({p for p in found if len(p) <= longest} | {bytes([b]) for b in range(256)})
@@ -104,7 +113,7 @@ def forward(matrix: np.ndarray, sizes: np.ndarray, lookup: Lookup, probs: np.nda
         found = {}
         for length in range(1, min(longest, end) + 1):
             found[length] = lookup.find(piece_key(matrix[:, end - length : end]))
-            total += alphas[end - length] * np.exp(scales[end - length] - scales[end - 1]) * probs[found[length]]
+            total += alphas[end - length] * np.exp(np.minimum(scales[end - length] - scales[end - 1], 600)) * probs[found[length]]
         norm = np.maximum(total.max(axis=1, keepdims=True), 1e-300)
         alphas.append(total / norm)
         scales.append(scales[end - 1] + np.log(norm))
@@ -113,6 +122,21 @@ def forward(matrix: np.ndarray, sizes: np.ndarray, lookup: Lookup, probs: np.nda
     return last, [alphas, scales], ids
 
 
+def chunked(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with those above CHUNK bytes cut into several, never inside a UTF-8 character."""
+    parts = np.maximum(1, -(-(ends - starts) // (CHUNK - 3)))
+    if (parts == 1).all():
+        return starts, ends, first
+    ahead = np.concatenate(([0], np.cumsum(parts)))
+    place = np.arange(ahead[-1]) - np.repeat(ahead[:-1], parts)
+    begin = np.repeat(starts, parts) + place * (CHUNK - 3)
+    for _ in range(3):
+        begin = begin - ((place > 0) & ((data[begin] & 0xC0) == 0x80))
+    stop = np.append(begin[1:], 0)
+    stop[ahead[1:] - 1] = ends
+    return begin, stop, ahead[first]
+
+
 def by_length(starts: np.ndarray, ends: np.ndarray, data: np.ndarray, most: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(numbers, padded byte matrix with a leading space, sizes) of words of like length."""
     order = np.argsort(ends - starts, kind="stable")
@@ -159,6 +183,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, _, offsets, data in string_slices(batch.column(1)):
             data = _LOWER[data]
             starts, ends, first = words(offsets, data)
+            starts, ends, first = chunked(starts, ends, first, data)
             hashes = word_hashes(data, starts, ends, lower=False)
             for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                 _, at, n = np.unique(hashes[a:b], return_index=True, return_counts=True)
@@ -172,8 +197,9 @@ def _expected(languages: list[str], pieces: list[bytes], probs: np.ndarray) -> C
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, table = Lookup.of(pieces), np.vstack([probs, np.zeros((1, len(languages)))])
         sums = np.zeros((len(pieces) + 1, len(languages)))
+        number = {x: i for i, x in enumerate(languages)}
         for batch in batches:
-            lang = np.array([languages.index(x) for x in batch.column(0).to_pylist()], dtype=np.int64)
+            lang = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
             column = batch.column(1).cast(pa.large_binary())
             offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
             data = np.frombuffer(column.buffers()[2], np.uint8)
@@ -200,18 +226,21 @@ def _expected(languages: list[str], pieces: list[bytes], probs: np.ndarray) -> C
 
 
 def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = 1500, rounds: int = 3) -> Model:
-    """docs: (text, lang), labelled. Learns from about ``sample`` texts per language."""
-    labelled = docs.where("text is not null and lang is not null").select("text", "lang")
+    """docs: (text, lang, ...), labelled. Learns from about ``sample`` rows per language; the other columns only tell copies of a text apart in the sample."""
+    pieces = load_pieces(vocabulary)
+    labelled = docs.where("text is not null and lang is not null")
     # one number per language label
     shares = {r["lang"]: min(1.0, sample / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(shares)
-    pieces = load_pieces(vocabulary)
-    if not languages:
+    if not shares:
         return Model([], pieces, np.zeros((len(pieces), 0)))
-    share = F.get(F.array(*[F.lit(shares[x]) for x in languages]), F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") - 1)
-    chosen = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
-    counted = chosen.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n bigint").where("length(word) <= 32")
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair]), F.col("lang"))
+    row = F.xxhash64("text", *[F.col(f"`{c}`") for c in docs.columns if c == "doc_id"])
+    chosen = labelled.where(F.pmod(row, F.lit(1_000_000)) < share * 1_000_000)
+    counted = chosen.select("lang", "text").mapInArrow(_count_words, "lang string, word binary, n bigint")
     counted = settle(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    languages = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    if not languages:
+        return Model([], pieces, np.zeros((len(pieces), 0)))
     single = np.array([len(p) == 1 for p in pieces])
     probs = np.full((len(pieces), len(languages)), 1.0 / len(pieces))
     for _ in range(rounds):
@@ -235,6 +264,7 @@ def _predict(model: Model) -> Callable:
                 if score is not None:
                     data = _LOWER[data]
                     starts, ends, first = words(offsets, data)
+                    starts, ends, first = chunked(starts, ends, first, data)
                     _, at, inverse = np.unique(word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
                     unique = score(data, starts[at], ends[at])
                     sums = np.zeros((len(starts) + 1, len(model.languages)))
