@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracefold.llm import langid
-from tracefold.llm.chat_format import preference_format
+from tracefold.llm.chat_format import preference_format, with_foreign_reply
 from tracefold.llm.decontaminate import decontaminate, drop_contaminated
 from tracefold.llm.html_extract import container, extract, main_text
 from tracefold.llm.line_dedup import line_dedup
@@ -195,6 +195,20 @@ def test_top_k(spark):
     assert top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_chat_long_and_foreign_replies(spark):
+    long = [(7, side, i, "user" if i % 2 == 0 else "assistant", f"t{i}" if i < 3000 or not side else "other") for side in (False, True) for i in range(4000)]
+    (r,) = preference_format(spark.createDataFrame(long, "pair_id long, rejected boolean, turn long, role string, text string")).collect()
+    assert (r.n_prompt, r.n_chosen, r.n_rejected) == (3000, 1000, 1000) and len(r.chosen_mask.split(",")) == 500
+    assert all(r.chosen[int(a) : int(b)] == f"t{3001 + 2 * k}<|end|>\n" for k, (a, b) in enumerate(x.split(":") for x in r.chosen_mask.split(",")))
+    rows = [(0, 0, "user", "q0", 1), (0, 1, "assistant", "a0", 1), (1, 0, "user", "q1", 1), (1, 1, "assistant", "a1", 1), (1, 2, "user", "thanks", 1), (2, 0, "user", "q2", 1), (3, 0, "assistant", None, 1), (4, 0, "assistant", "alone", 1), (None, 0, "user", "x", 1)]
+    turns = with_foreign_reply(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, rejected int"))
+    by = {r.pair_id: r for r in preference_format(turns).collect()}
+    assert set(by) == {0, 1, 2, 3, 4, None} and (by[None].n_chosen, by[None].n_rejected) == (1, 0)
+    assert by[0].prompt == "<|user|>\nq0<|end|>\n" and (by[0].chosen, by[0].rejected) == ("<|assistant|>\na0<|end|>\n", "<|assistant|>\na1<|end|>\n")
+    assert (by[1].n_prompt, by[1].n_chosen, by[1].n_rejected) == (1, 2, 2) and by[1].rejected_mask == "14:24"
+    assert (by[2].n_prompt, by[2].n_chosen, by[2].n_rejected) == (1, 0, 0) and (by[3].n_chosen, by[3].n_rejected) == (1, 0) == (by[4].n_chosen, by[4].n_rejected)
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 def test_pipeline(spark, odd, none, tmp_path):
     import corpus_pipeline

@@ -8,31 +8,31 @@ turns and their end marks. Everything else in a completion is masked.
 A turn is rendered as ``<|role|>``, a line end, the text, ``<|end|>`` and a
 line end; ``<|`` inside a text becomes ``< |``, so marks can't be forged.
 
+Rows are dealt by pair once; running lengths come from a window over the
+turns of a side, so a conversation of many turns costs no more per turn.
+
 Defined results: turns are ordered by (turn, role, text), nulls first, and
 repeated rows stay; a null role is ``none`` and a null text empty; a pair
-with one side only has no prompt and an empty other completion; rows with a
-null conversation form one conversation of a pair with null id.
+with one side only has no prompt and an empty other completion; a row with a
+null pair_id is a pair of its own, of one turn, whose pair_id is null; a null
+``rejected`` counts as false.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 END = "<|end|>\n"
 
 
-def completion(turns: str) -> Column:
-    """struct<text, mask>: the rendered turns of the column and the trained ranges as start:end, comma-joined."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("ranges"))
-    step = lambda a, t: F.struct(
-        (a["at"] + F.char_length(t["head"]) + F.char_length(t["body"])).alias("at"),
-        F.when(t["role"] == "assistant", F.concat(a["ranges"], F.array(F.concat_ws(":", a["at"] + F.char_length(t["head"]), a["at"] + F.char_length(t["head"]) + F.char_length(t["body"])))))
-        .otherwise(a["ranges"])
-        .alias("ranges"),
-    )
-    mask = F.aggregate(F.col(turns), start, step, lambda a: F.array_join(a["ranges"], ","))
-    return F.struct(rendered(F.col(turns)).alias("text"), mask.alias("mask"))
+def completion(turns: str, rest: Column) -> Column:
+    """struct<text, mask>: the rendered turns of ``rest`` and the trained ranges as start:end, comma-joined."""
+    before = F.coalesce(F.get(F.col(turns), F.col("n_prompt") - 1)["to"], F.lit(0))
+    trained = F.filter(rest, lambda t: t["role"] == "assistant")
+    mask = F.array_join(F.transform(trained, lambda t: F.concat_ws(":", t["to"] - F.char_length(t["body"]) - before, t["to"] - before)), ",")
+    return F.struct(rendered(rest).alias("text"), mask.alias("mask"))
 
 
 def rendered(turns: Column) -> Column:
@@ -42,35 +42,57 @@ def rendered(turns: Column) -> Column:
 def preference_format(turns: DataFrame) -> DataFrame:
     """From turns (pair_id, rejected boolean, turn, role, text) to one row per pair:
     pair_id, n_prompt, n_chosen, n_rejected (turns), prompt, chosen, chosen_mask, rejected, rejected_mask."""
+    lone = F.when(F.col("pair_id").isNull(), F.monotonically_increasing_id())
+    told = turns.select("pair_id", lone.alias("lone"), F.coalesce("rejected", F.lit(False)).alias("side"), "turn", "role", "text").repartition("pair_id", "lone")
+    order = W.partitionBy("pair_id", "lone", "side").orderBy("turn", "role", "text")
     role = F.coalesce("role", F.lit("none"))
-    told = turns.select(
-        "pair_id",
-        F.col("rejected").alias("side"),
-        F.struct(
-            F.col("turn"),
-            F.col("role").alias("raw_role"),
-            F.col("text").alias("raw_text"),
-            role.alias("role"),
-            F.concat(F.lit("<|"), role, F.lit("|>\n")).alias("head"),
-            F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit(END)).alias("body"),
-        ).alias("t"),
+    told = told.withColumns(
+        {
+            "head": F.concat(F.lit("<|"), role, F.lit("|>\n")),
+            "body": F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit(END)),
+            "i": F.row_number().over(order),
+        }
     )
-    sides = told.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.when(~F.col("side"), F.col("t")))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("side"), F.col("t")))).alias("r"))
+    told = told.withColumn("to", F.sum(F.char_length("head") + F.char_length("body")).over(W.partitionBy("pair_id", "lone", "side").orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    turn = F.struct("i", "to", "role", "head", "body")
+    sides = told.groupBy("pair_id", "lone").agg(F.array_sort(F.collect_list(F.when(~F.col("side"), turn))).alias("c"), F.array_sort(F.collect_list(F.when(F.col("side"), turn))).alias("r"))
     same = F.aggregate(
-        F.arrays_zip("c", "r"),
+        F.zip_with("c", "r", lambda c, r: F.coalesce((c["head"] == r["head"]) & (c["body"] == r["body"]), F.lit(False))),
         F.struct(F.lit(0).alias("n"), F.lit(True).alias("going")),
-        lambda a, p: F.when(
-            a["going"] & F.coalesce((p["c"]["head"] == p["r"]["head"]) & (p["c"]["body"] == p["r"]["body"]), F.lit(False)),
-            F.struct((a["n"] + 1).alias("n"), F.lit(True).alias("going")),
-        ).otherwise(F.struct(a["n"].alias("n"), F.lit(False).alias("going"))),
+        lambda a, equal: F.struct((a["n"] + F.when(a["going"] & equal, 1).otherwise(0)).alias("n"), (a["going"] & equal).alias("going")),
         lambda a: a["n"],
     )
-    cut = sides.withColumn("n_prompt", same).select(
+    cut = sides.withColumn("n_prompt", same)
+    rest = {side: F.expr(f"slice({side}, n_prompt + 1, size({side}))") for side in "cr"}
+    done = cut.select(
         "pair_id",
         "n_prompt",
-        F.expr("slice(c, 1, n_prompt)").alias("p"),
-        F.expr("slice(c, n_prompt + 1, size(c))").alias("c"),
-        F.expr("slice(r, n_prompt + 1, size(r))").alias("r"),
+        (F.size("c") - F.col("n_prompt")).alias("n_chosen"),
+        (F.size("r") - F.col("n_prompt")).alias("n_rejected"),
+        rendered(F.expr("slice(c, 1, n_prompt)")).alias("prompt"),
+        completion("c", rest["c"]).alias("cc"),
+        completion("r", rest["r"]).alias("rr"),
     )
-    done = cut.select("pair_id", "n_prompt", F.size("c").alias("n_chosen"), F.size("r").alias("n_rejected"), rendered(F.col("p")).alias("prompt"), completion("c").alias("cc"), completion("r").alias("rr"))
     return done.select("pair_id", "n_prompt", "n_chosen", "n_rejected", "prompt", F.col("cc.text").alias("chosen"), F.col("cc.mask").alias("chosen_mask"), F.col("rr.text").alias("rejected"), F.col("rr.mask").alias("rejected_mask"))
+
+
+def with_foreign_reply(conversations: DataFrame) -> DataFrame:
+    """Preference turns for ``preference_format`` from conversations (conv_id bigint, turn, role, text) that have no labels.
+
+    Every conversation is the chosen side of a pair with its own id. The
+    rejected side has the same turns, but its last assistant turn has the text
+    of the last assistant turn of the conversation whose id is next to its
+    own (the other of 2k and 2k + 1): a fluent reply to something else. Where
+    that one has none, or this one has none, the rejected side has no such
+    turn. Rows with a null conv_id have no rejected side.
+    """
+    known = conversations.where("conv_id is not null").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    reply = F.when(F.col("role") == "assistant", F.struct(F.struct("turn", "role", "text").alias("order"), F.col("text").alias("text")))
+    last = known.groupBy("pair_id").agg(F.max(reply).alias("last"))
+    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("last.text").alias("other"), F.col("last").isNotNull().alias("has_other"))
+    marked = known.join(last.select("pair_id", F.col("last.order.turn").alias("last_turn"), F.col("last").isNotNull().alias("has_last")).join(other, "pair_id", "left"), "pair_id")
+    final = F.col("has_last") & (F.col("role") == "assistant") & F.col("turn").eqNullSafe(F.col("last_turn"))
+    chosen = conversations.select(F.col("conv_id").alias("pair_id"), "turn", "role", "text", F.lit(False).alias("rejected"))
+    kept = marked.where(~F.coalesce(final, F.lit(False))).select("pair_id", "turn", "role", "text", F.lit(True).alias("rejected"))
+    swapped = marked.where(final & F.coalesce("has_other", F.lit(False))).select("pair_id", "turn", "role", F.col("other").alias("text"), F.lit(True).alias("rejected"))
+    return chosen.unionByName(kept).unionByName(swapped)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .chat_format import preference_format
+from .chat_format import preference_format, with_foreign_reply
 from .decontaminate import decontaminate
 from .html_extract import extract
 from .langid import fit, held_out, identify
@@ -65,9 +65,8 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring conversations form a pair: the even conv_id is the chosen one, the odd one the rejected."""
-    turns = table(spark, sf_dir, "conversations")
-    return preference_format(turns.select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.coalesce(F.pmod("conv_id", F.lit(2)) == 1, F.lit(False)).alias("rejected"), "turn", "role", "text"))
+    """Every conversation against itself with another conversation's last reply (``with_foreign_reply``)."""
+    return preference_format(with_foreign_reply(table(spark, sf_dir, "conversations")))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

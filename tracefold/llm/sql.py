@@ -62,9 +62,14 @@ SELECT query_id, CAST(row_number() OVER w AS int) AS rank, vec_id, score FROM s
 """
 
 OP9 = """
-WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 = 1 AS side, role, '<|' || coalesce(role, 'none') || '|>' || chr(10) AS head,
-                  replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body,
-                  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM conversations),
+WITH k AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT pair_id, turn, text, row_number() OVER (PARTITION BY pair_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) AS b FROM k WHERE role = 'assistant'),
+f AS (SELECT pair_id, turn AS at, text FROM l WHERE b = 1),
+m AS (SELECT k.*, f.pair_id IS NOT NULL AND coalesce(role = 'assistant', false) AND k.turn IS NOT DISTINCT FROM f.at AS final, o.pair_id IS NOT NULL AS has_other, o.text AS other
+      FROM k LEFT JOIN f USING (pair_id) LEFT JOIN f AS o ON o.pair_id = xor(k.pair_id, 1)),
+s AS (SELECT pair_id, false AS side, turn, role, text FROM k UNION ALL SELECT pair_id, true, turn, role, CASE WHEN final THEN other ELSE text END FROM m WHERE NOT final OR has_other),
+t AS (SELECT pair_id, side, role, '<|' || coalesce(role, 'none') || '|>' || chr(10) AS head, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS body,
+             row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM s),
 pairs AS (SELECT pair_id, count(*) FILTER (WHERE NOT side) AS nc, count(*) FILTER (WHERE side) AS nr FROM t GROUP BY pair_id),
 diff AS (SELECT c.pair_id, min(c.i) AS i FROM (SELECT * FROM t WHERE NOT side) AS c LEFT JOIN (SELECT * FROM t WHERE side) AS r ON c.pair_id = r.pair_id AND c.i = r.i
          WHERE r.i IS NULL OR c.head || c.body <> r.head || r.body GROUP BY c.pair_id),
@@ -77,6 +82,8 @@ a AS (SELECT pair_id, string_agg(head || body, '' ORDER BY i) FILTER (WHERE NOT
 SELECT pair_id, CAST(p AS int) AS n_prompt, CAST(nc - p AS int) AS n_chosen, CAST(nr - p AS int) AS n_rejected, coalesce(prompt, '') AS prompt,
        coalesce(chosen, '') AS chosen, coalesce(chosen_mask, '') AS chosen_mask, coalesce(rejected, '') AS rejected, coalesce(rejected_mask, '') AS rejected_mask
 FROM n JOIN a USING (pair_id)
+UNION ALL SELECT NULL, 0, 1, 0, '', h || b, CASE WHEN role = 'assistant' THEN length(h) || ':' || length(h || b) ELSE '' END, '', ''
+FROM (SELECT role, '<|' || coalesce(role, 'none') || '|>' || chr(10) AS h, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS b FROM conversations WHERE conv_id IS NULL) AS z
 """
 
 ORACLE = {"op5_top_k": OP5, "op9_preference_format": OP9, "op8_substring_dedup": OP8, "op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
