@@ -10,7 +10,7 @@ from tracefold.llm.chat_format import preference_format, with_foreign_reply
 from tracefold.llm.decontaminate import decontaminate, drop_contaminated
 from tracefold.llm.html_extract import container, extract, main_text
 from tracefold.llm.line_dedup import line_dedup
-from tracefold.llm.mixing import mix, mix_summary
+from tracefold.llm.mixing import hypergeometric, mix, mix_summary, mixed_texts, split_quotas
 from tracefold.llm.near_dedup import drop_near_duplicates, near_duplicates
 from tracefold.llm.secret_scan import secret_scan
 from tracefold.llm.substring_dedup import substring_dedup
@@ -61,6 +61,53 @@ def test_mix(spark, odd, none):
     assert pieces.groupBy("row", "pass").agg(F.sum("words").alias("w")).join(documents, "row").where("w > size").count() == 0
 
 
+def test_hypergeometric_draw_inverts_the_distribution(spark):
+    from math import comb
+
+    for total, good, drawn in ((10, 4, 5), (7, 7, 3), (9, 0, 4), (60, 25, 30), (5, 2, 5)):
+        mass = [comb(good, k) * comb(total - good, drawn - k) / comb(total, drawn) if drawn - k >= 0 else 0 for k in range(good + 1)]
+        us = [(i + 0.5) / 200 for i in range(200)]
+        rows = spark.createDataFrame([(u, total, good, drawn) for u in us], "u double, total long, good long, drawn long")
+        got = [r.x for r in rows.select(F.expr(hypergeometric("u", "total", "good", "drawn")).alias("x")).collect()]
+        assert got == [next(k for k in range(good + 1) if sum(mass[: k + 1]) > u) for u in us]
+
+
+def test_tree_splits_the_quotas(spark):
+    quotas = [1000, 3, 0, 250]
+    rows = split_quotas(spark.createDataFrame([(quotas,)], "q array<bigint>"), 16, 5).orderBy("shard").collect()
+    assert [r.shard for r in rows] == list(range(16)) and [sum(r.q[i] for r in rows) for i in range(4)] == quotas
+    assert all(r.off[i] == sum(x.q[i] for x in rows[: r.shard]) for r in rows for i in range(4))
+    assert {sum(r.q) for r in rows} <= {78, 79} and len({r.q[3] for r in rows}) > 1
+
+
+def test_mix_draws_blocks_of_the_pool(spark):
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(i % 37)), "abc"[min(i % 7, 2)]) for i in range(400)] + [(None, "x y z", None), (5, "x y", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    documents, pieces = mix(docs, block_words=40, shard_words=500)
+    got = pieces.join(documents.select("row", "source", "target"), "row").collect()
+    blocks = {}
+    for r in got:
+        blocks.setdefault((r.source, r["pass"], r.source_block), set()).add(r.shard)
+    assert all(len(s) == 1 for s in blocks.values())  # disjoint
+    assert len({r.shard for r in got}) == 32
+    for source in {r.source for r in got}:
+        assert sum(r.words for r in got if r.source == source) == round(next(r.target for r in got if r.source == source))
+        first = {b for s, p, b in blocks if s == source and p == 0}
+        # a second pass starts when the first is whole, and a part of a pass is no prefix of it
+        assert first == set(range(max(first) + 1)) if any(s == source and p == 1 for s, p, b in blocks) else True
+    partly = [sorted(b for s, p, b in blocks if (s, p) == k) for k in {(s, p) for s, p, _ in blocks}]
+    assert any(b != list(range(len(b))) for b in partly)
+    other = mix(docs, block_words=40, shard_words=500, seed=18)[1].groupBy("doc_id").agg(F.sum("words").alias("w")).collect()
+    mine = pieces.groupBy("doc_id").agg(F.sum("words").alias("w")).collect()
+    assert {(r.doc_id, r.w) for r in other} != {(r.doc_id, r.w) for r in mine}
+    texts = {}
+    for d, t, _ in rows:
+        texts.setdefault(d, []).append(t.split())
+    mixed = mixed_texts(docs, pieces).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(r.words for r in got) and len(mixed) == len(got)
+    assert all(any(r.text in " ".join(w) for w in texts[r.doc_id]) for r in mixed)
+
+
 def test_lines(spark, odd, none):
     rows = {r.doc_id: r for r in line_dedup(odd).collect()}
     assert rows[6].text == "a\nb\nc" and rows[6]._n_removed == 3

@@ -4,23 +4,28 @@
    weight; a source stops at ``repeat`` times its own words and the excess
    goes to the others by weight until none is above.
 2. Blocks. Each source's documents stand in a seeded permuted order, laid
-   end to end (and again from the start when the target exceeds one pass).
-   That line is cut into blocks of ``block_words`` words up to the target;
-   the last block is shorter, so the words taken are the rounded target.
+   end to end and cut into blocks of about ``block_words`` words (small
+   sources: into at least LEAST_BLOCKS). The pool has every block once for each
+   pass over the source that ``repeat`` allows, more than the mix will draw.
 3. Splitting tree. The exact block quotas of all sources are split in two by
    a multivariate hypergeometric draw, each half again, and so on, until one
    vector of quotas is left for every output shard.
-4. Draw. A shard takes its quota of a source from the source's permuted
-   block numbers, so shards are disjoint; rows of a shard then get a seeded
-   random order.
+4. Draw. A source's pool is ranked by a seeded hash, pass by pass; the tree's
+   leaves take disjoint runs of these ranks, as many as their quotas, and the
+   blocks beyond the quotas are never drawn. The last block drawn is cut, so
+   the words taken are the rounded target. Pieces of a shard then get a seeded
+   random order; ``mixed_texts`` gives their texts, ``write_shards`` the files.
 
-Texts are read once, for their word counts; all else works on counts. The
-permuted order is prefix-summed in hash buckets, so no source, however large,
-meets in one task. All draws come from hashes of the seed, so reruns agree.
+Texts are read once, for their word counts; all else works on counts until
+texts are asked for. Orders are prefix-summed in hash buckets, so no source,
+however large, meets in one task. All draws come from hashes of the seed and
+of whole rows, so reruns agree.
 
 Defined results: null text has size 0; a null source is a source of its own,
 last in order; weights repeat over the ordered sources; an empty table or one
-without words gives targets of 0; repeated rows are taken separately.
+without words gives targets of 0; repeated rows are taken separately. Where a
+source's words aren't a multiple of its block length, its one shorter block
+is the last of every pass.
 """
 
 from __future__ import annotations
@@ -33,9 +38,9 @@ from pyspark.sql.window import Window as W
 
 from .common import WORD, next_power_of_two, settle
 
-#: Multiplier of the block permutation x -> x * STEP + shift (mod number of blocks); a prime above any block count.
-STEP = 2_147_483_647
-BUCKETS = 1024
+BUCKETS, RANK_BUCKETS = 1024, 4096
+#: Least number of blocks of a source with as many words; rows of the pool that one task makes from one row; tree nodes that one task splits.
+LEAST_BLOCKS, CHUNK, TREE_ROWS = 64, 65_536, 1024
 
 
 def uniform(*parts: Column) -> Column:
@@ -97,6 +102,8 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     nodes = quotas.select(F.lit(0).alias("shard"), "q", F.transform("q", lambda _: F.lit(0).cast("bigint")).alias("off"))
     width = shards
     while width > 1:
+        if shards // width == TREE_ROWS:
+            nodes = nodes.repartition("shard")
         width //= 2
         draw = hypergeometric(f"(pmod(xxhash64({seed}, {width}, shard, e.i), 4503599627370496L) / 4503599627370496D)", "a.total", "e.g", "a.draw")
         whole = "aggregate(q, 0L, (s, g) -> s + g)"
@@ -114,6 +121,26 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes
 
 
+def keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """Adds h, a hash that tells the different rows of one doc_id apart."""
+    return docs.withColumn("h", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text").cast("string")))
+
+
+def ranked_pool(aims: DataFrame, passes: int, seed: int) -> DataFrame:
+    """key, pass, block, draw: every block of every pass, and its place in the source's seeded order; passes follow each other."""
+    chunks = aims.where("n_blocks > 0").select("key", "n_blocks", F.expr("n_blocks * block_length > source_size").alias("uneven"), F.explode(F.expr(f"sequence(0L, n_blocks - 1, {CHUNK}L)")).alias("at"))
+    chunks = chunks.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1)))).repartition("key", "at", "pass")
+    pool = chunks.select("key", "n_blocks", "pass", "uneven", F.explode(F.expr(f"sequence(at, least(at + {CHUNK}, n_blocks) - 1)")).alias("block"))
+    pool = pool.withColumn("u", F.pmod(F.xxhash64(F.lit(seed), "key", "pass", "block"), F.lit(1 << 52)))
+    last = F.col("uneven") & (F.col("block") == F.col("n_blocks") - 1)
+    pool = pool.withColumn("bucket", F.when(last, F.lit(RANK_BUCKETS)).otherwise(F.floor(F.col("u") / ((1 << 52) // RANK_BUCKETS)).cast("int")))
+    sizes = pool.groupBy("key", "pass", "bucket").agg(F.count("*").alias("k"))
+    before = sizes.withColumn("before", F.sum("k").over(W.partitionBy("key", "pass").orderBy("bucket")) - F.col("k")).drop("k")
+    within = F.row_number().over(W.partitionBy("key", "pass", "bucket").orderBy("u", "block"))
+    placed = pool.withColumn("within", within).join(before, ["key", "pass", "bucket"])
+    return placed.select("key", "pass", "block", (F.col("pass") * F.col("n_blocks") + F.col("before") + F.col("within") - 1).alias("draw"))
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5.0, 2.0, 1.0),
@@ -127,55 +154,74 @@ def mix(
 
     documents: one row per row of ``docs``: row (its identity: source key,
     bucket, place), doc_id, source, size, source_size, target.
-    pieces: what the mix takes: row, shard, shard_order (random order within
-    the shard), source_block, words, pass (0 for the first pass over the source).
+    pieces: what the mix takes: row, doc_id, h, shard, shard_order (random
+    order within the shard), source_block, pass (0 for the first pass over
+    the source), first and last (its words, from 0, last exclusive), words.
     """
-    sized = docs.select(
+    sized = keyed(docs, seed).select(
         "doc_id",
         "source",
+        "h",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
     ).withColumn("key", F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source"))))
-    sized = sized.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    sized = settle(sized)
+    sized = settle(sized.withColumn("bucket", F.pmod("h", F.lit(BUCKETS))))
 
     bucket_sizes = sized.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"))
-    aims = settle(targets(bucket_sizes.groupBy("key").agg(F.sum("bucket_size").alias("source_size")), weights, share, repeat))
+    aims = targets(bucket_sizes.groupBy("key").agg(F.sum("bucket_size").alias("source_size")), weights, share, repeat)
+    wanted = F.greatest(F.ceil(F.col("source_size") / block_words), F.least(F.lit(LEAST_BLOCKS), "source_size"))
+    aims = aims.withColumns({"aim": F.round("target").cast("long"), "block_length": F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.greatest(F.lit(1), wanted))).cast("long")})
+    aims = aims.withColumn("n_blocks", F.ceil(F.col("source_size") / F.col("block_length")).cast("long"))
+    whole = F.expr("aim div greatest(source_size, 1L)")
+    aims = settle(aims.withColumn("quota", whole * F.col("n_blocks") + F.ceil((F.col("aim") - whole * F.col("source_size")) / F.col("block_length")).cast("long")))
     starts = bucket_sizes.withColumn("bucket_start", F.sum("bucket_size").over(W.partitionBy("key").orderBy("bucket")) - F.col("bucket_size"))
-    starts = settle(starts.join(aims, "key").drop("bucket_size"))
-    within = W.partitionBy("key", "bucket").orderBy("h", "doc_id", "size")
+    starts = settle(starts.join(aims.select("key", "source_size", "target", "block_length"), "key").drop("bucket_size"))
+    within = W.partitionBy("key", "bucket").orderBy("h", "doc_id")
     placed = sized.join(starts, ["key", "bucket"]).withColumns(
         {"place": F.row_number().over(within), "start": F.col("bucket_start") + F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size")}
     )
-    aim = F.round("target").cast("long")
     documents = placed.withColumn("row", F.struct("key", "bucket", "place"))
 
-    quota = F.ceil(aim / block_words).cast("long")
     # one row: as many counts as there are sources
-    quotas = aims.agg(F.array_sort(F.collect_list(F.struct("rank", quota.alias("n")))).alias("all"), F.sum(aim).alias("words"))
+    quotas = aims.agg(F.array_sort(F.collect_list(F.struct("rank", F.col("quota").alias("n")))).alias("all"), F.sum("aim").alias("words"))
     words = quotas.first()["words"] or 0
     shards = split_quotas(quotas.select(F.transform("all", lambda s: s["n"]).alias("q")), next_power_of_two(words / shard_words), seed)
-    drawn = settle(shards.select("shard", F.posexplode(F.arrays_zip("q", "off")).alias("rank", "d")).select("shard", "rank", "d.q", "d.off").where("q > 0"))
-    blocks = (
-        drawn.join(aims.select("rank", "key", quota.alias("n_blocks")), "rank")
-        .select("shard", "key", "n_blocks", F.explode(F.expr("sequence(off, off + q - 1)")).alias("draw"))
-        .select("shard", "key", F.pmod(F.col("draw") * STEP + F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("n_blocks")), F.col("n_blocks")).alias("source_block"))
-    )
-
-    passes = F.array(*[F.struct(F.lit(p).alias("pass"), (F.col("start") + p * F.col("source_size")).alias("b")) for p in range(int(-(-repeat // 1)))])
-    taken = documents.where("size > 0").select("row", "key", "size", aim.alias("aim"), F.explode(passes).alias("p"))
-    taken = taken.withColumn("b", F.col("p.b")).withColumn("e", F.least(F.col("b") + F.col("size"), "aim")).where("b < e")
-    taken = taken.select("row", "key", "p.pass", "b", "e", F.explode(F.expr(f"sequence(b div {block_words}, (e - 1) div {block_words})")).alias("source_block"))
-    pieces = taken.join(blocks, ["key", "source_block"]).select(
+    leaves = settle(shards.select("shard", F.posexplode(F.arrays_zip("q", "off")).alias("rank", "d")).select("shard", "rank", "d.q", "d.off").where("q > 0"))
+    draws = leaves.join(aims.select("rank", "key"), "rank").select("shard", "key", F.explode(F.expr("sequence(off, off + q - 1)")).alias("draw"))
+    drawn = ranked_pool(aims, int(-(-repeat // 1)), seed).join(draws, ["key", "draw"]).join(aims.select("key", "aim", "quota", "n_blocks", "block_length", "source_size"), "key")
+    low = F.col("block") * F.col("block_length")
+    so_far = F.expr("(draw div n_blocks) * source_size + pmod(draw, n_blocks) * block_length")
+    high = F.when(F.col("draw") == F.col("quota") - 1, low + F.col("aim") - so_far).otherwise(F.least(low + F.col("block_length"), "source_size"))
+    drawn = drawn.select("key", F.col("block").alias("source_block"), "pass", "shard", low.alias("low"), high.alias("high"))
+
+    blocks = documents.where("size > 0").select("row", "doc_id", "h", "key", "size", "start", F.explode(F.expr("sequence(start div block_length, (start + size - 1) div block_length)")).alias("source_block"))
+    pieces = blocks.join(drawn, ["key", "source_block"]).select(
         "row",
+        "doc_id",
+        "h",
         "shard",
-        F.xxhash64(F.lit(seed), "shard", "source_block", "row").alias("shard_order"),
+        F.xxhash64(F.lit(seed), "shard", "source_block", "pass", "row").alias("shard_order"),
         "source_block",
         "pass",
-        (F.least("e", (F.col("source_block") + 1) * block_words) - F.greatest("b", F.col("source_block") * block_words)).alias("words"),
+        (F.greatest("start", "low") - F.col("start")).alias("first"),
+        (F.least(F.col("start") + F.col("size"), "high") - F.col("start")).alias("last"),
     )
+    pieces = pieces.where("first < last").withColumn("words", F.col("last") - F.col("first"))
     return documents.select("row", "doc_id", "source", "size", "source_size", "target"), pieces
 
 
+def mixed_texts(docs: DataFrame, pieces: DataFrame, seed: int = 17) -> DataFrame:
+    """The mix itself: shard, shard_order, doc_id, source, source_block, pass, text (the piece's words joined by one space), for the ``seed`` of the mix."""
+    texts = keyed(docs, seed).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "source", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("_words")).dropDuplicates(["_id", "_h"])
+    both = pieces.join(texts, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")))
+    text = F.array_join(F.slice("_words", (F.col("first") + 1).cast("int"), F.col("words").cast("int")), " ")
+    return both.select("shard", "shard_order", "doc_id", "source", "source_block", "pass", text.alias("text"))
+
+
+def write_shards(mixed: DataFrame, path: str) -> None:
+    """Parquet files in which a shard's pieces stand together, in their random order."""
+    mixed.repartition("shard").sortWithinPartitions("shard", "shard_order").write.parquet(path)
+
+
 def mix_summary(docs: DataFrame, **options) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, taken, n_shards (shards that hold a part of it)."""
     documents, pieces = mix(docs, **options)
