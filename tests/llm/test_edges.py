@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracefold.llm import langid
 from tracefold.llm.chat_format import preference_format, with_foreign_reply
 from tracefold.llm.decontaminate import decontaminate, drop_contaminated
-from tracefold.llm.html_extract import container, extract, main_text
+from tracefold.llm.html_extract import expression, extract, infer, main_text
 from tracefold.llm.line_dedup import line_dedup
 from tracefold.llm.mixing import hypergeometric, mix, mix_summary, mixed_texts, split_quotas
 from tracefold.llm.near_dedup import drop_near_duplicates, near_duplicates
@@ -216,11 +216,53 @@ def test_html(spark):
     assert sorted(r.text for r in extract(pages).collect()) == ["", "", "bare & text\ntwo bold", "bare & text\ntwo bold"]
     assert extract(pages.limit(0)).count() == 0
     page = "<body><header>site</header><nav>m</nav><article><h1>T</h1><div class='cookie-notice'>c</div><p>one\n two<br>three</p><form>f</form><script>if (a<b) '</p>'</script><section id='comments'>r</section><ul><li>x<li>y</ul></article><aside>s</aside><footer>f</footer>"
-    assert main_text(page, None) == "T\none two three\nx\ny"
+    assert main_text(page) == "T\none two three\nx\ny"
     site = lambda t, *ps: f"<body><div class=top>Site</div><div id=c><h2>{t}</h2>{''.join(f'<p>{p}</p>' for p in ps)}</div><div class=bottom>All rights</div>"
-    path = container([site("one", "first words here"), site("two", "other words", "and more of them"), site("six", "last of all these")])
-    assert main_text(site("t", "p1", "p2", "p3"), path) == "t\np1\np2\np3"
-    assert len(main_text("<div>" * 20000 + "deep", None)) == 4
+    wrapper = infer([site("one", "first words here"), site("two", "other words", "and more of them"), site("six", "last of all these")])
+    assert expression(wrapper) == "<#root><body><div.bottom>#text</><div.c><h2>#slot</>(<p>#slot</>)+</><div.top>#text</></></>"
+    assert main_text(site("t", "p1", "p2", "p3"), wrapper) == "t\np1\np2\np3"
+    assert len(main_text("<div>" * 20000 + "deep")) == 4
+
+
+def test_html_names_that_only_look_like_chrome():
+    parts = ["<h2 id='discussion'>Discussion</h2>", "<section id='related-work'><p>Others did this</p></section>", "<p class='alert'>Heed this</p>", "<p class='social-history'>He drank</p>", "<div class='cookies-recipe'>Bake</div>", "<header><h1>Title</h1></header>"]
+    page = f"<html><head><title>x</title><body><div class='page-header'>site</div><main>{''.join(parts)}<div class='relatedPosts'>r</div><ul class='share-links'><li>s</ul></main>"
+    assert main_text(page) == "Discussion\nOthers did this\nHeed this\nHe drank\nBake\nTitle"
+
+
+def test_html_wrapper_of_hosts_without_article_elements(spark):
+    """Two templates on one host, a host with a part that every article repeats, and articles with teasers, against the texts they were made of."""
+    import random
+
+    rng = random.Random(3)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows, want = [], {}
+    for i in range(120):
+        title, body = sentence(3), [sentence(rng.randrange(8, 60)) for _ in range(rng.randrange(1, 6))]
+        links = "".join(f"<li><a href=/x>{sentence(1)}</a>" for _ in range(5))
+        ps = "".join(f"<p>{p}</p>" for p in body)
+        kind = i % 3
+        if kind == 0:
+            page = f"<body><div id=top><ul>{links}</ul></div><div class=story-{i}><h1>{title}</h1>{ps}</div><div class=end>{sentence(2)}</div>"
+        elif kind == 1:
+            page = f"<body><table><tr><td class=l>{sentence(2)}<td class=text><h1>{title}</h1>{ps}</table>"
+        else:
+            page = f"<html><body><main><article><h1>{title}</h1>{ps}<div class=about-us>We write for you</div></article><article><a href=/y>{sentence(2)}</a></article></main></body></html>"
+        rows.append((i, f"http://{'one' if kind < 2 else 'two'}.example/{i}", page))
+        want[i] = "\n".join([title, *body])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("x"), "blocks": F.lit(1), "node": F.lit("n")}).repartition(5)
+    got = {r.page_id: r for r in extract(pages).collect()}
+    short = [i for i in want if got[i].text != want[i]]
+    assert len(got) == 120 and not short and all(got[i].n_chars == len(want[i]) for i in want)
+
+
+@pytest.mark.parametrize("page", ["<a " * 16_000, "<b>x</i></p></td>" * 60_000, '<a href="' * 100_000, "<p><table><td>" * 40_000, "<ul><li>" * 60_000 + "</b>" * 60_000, "<" * 500_000])
+def test_html_of_a_megabyte_of_stray_markup(page):
+    import time
+
+    began = time.time()
+    main_text(page)
+    assert time.time() - began < 10
 
 
 def test_chat(spark):

@@ -1,23 +1,32 @@
 """HTML main-text extraction with per-host wrappers.
 
-A wrapper is a union-free regular expression over tag and text tokens,
-inferred by aligning a few pages of a host one after another: texts that
-differ become slots; where tags differ, a group that repeats is made a
-repeated group, and tokens that only one side has become optional. The
-wrapper tells what varies (slots) from what the host repeats, and so which
-container holds the host's articles when its markup doesn't say.
-
-A page's text then comes from its ``article`` elements, or else ``main``, or
-else the wrapper's container, or else the body, without the parts that are
-never article text (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, comments).
-
-Fitting uses at most ``sample`` pages per host (a parameter of the fit
-alone); every page is extracted whole. Wrappers are joined back by a
-broadcast while hosts are at most MOST_HOSTS, otherwise by a join.
+A wrapper is a union-free regular expression over the tags and texts of a
+host's pages. It is inferred by aligning the pages' token streams one after
+another: an element that only some pages have becomes an optional group, one
+that a page has several times at its place a repeated group, a text that
+differs between pages a slot; what stays the same is template. The streams
+are aligned element by element (an element is known by its tag and name,
+within its parent), so the result doesn't depend on the order of the pages,
+and wrappers of parts of a host can be merged: every page takes part, tasks
+align the pages that they read, and the parts meet in sums and minima per
+host and element, however large the host.
+
+Extraction follows the wrapper. From the root it goes down to the element
+that holds most of the host's slots, weighing article and main elements
+higher; that element is the article. Its blocks are the text, without the
+elements that are never article text by HTML's own meaning (menus, asides,
+forms, scripts, ...), without containers whose name says only that (a prior;
+see ``named_chrome``), and without named elements whose text is the same on
+at least SAME_ON different pages of the host.
+
+A page is parsed once; the blocks found are written, and wrappers are joined
+to them: by a broadcast up to MOST_BYTES of them, otherwise by a join that
+adaptive execution splits where a host is large. Elements that one page alone
+has are not in the wrapper that is joined, since the page knows them itself.
 
 Defined results: null or empty html gives empty text; a null or odd url has
-host ``""``; unclosed and stray tags are tolerated; every row gives one row.
+host ``""``; unclosed and stray tags are tolerated; every row gives one row;
+without an article of its own a page gives the text of its body.
 """
 
 from __future__ import annotations
@@ -26,342 +35,287 @@ import html
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import lru_cache
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import settle
-
-MOST_HOSTS = 50_000
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|([^<]+|<)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
-SPACE = re.compile(r"\s+")
-
-#: HTML's void, raw-text and block elements.
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
-BLOCK = set(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
-    " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
-)
-#: Elements an open one ends when they start.
-CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Elements and class, id or role words that mark what is never article text.
+from .html_tree import BLOCK, RAW, SPACE, Element, parse
+
+MOST_BYTES = 32_000_000
+#: Least share of an element's weighed letters that its part must hold to be the article; weight of an article or main element; least letters of a repeated article against the longest.
+SHARE, WEIGHT, TEASER = 0.6, 6.0, 0.25
+SAME_ON = 4
+CONTAINER = set("#root html body div section article main center td tr tbody table".split())
+HEADING = set("h1 h2 h3 h4 h5 h6".split())
+#: Elements and roles that are never article text, by HTML's and ARIA's own meaning.
 CHROME = set("nav footer aside form button select input textarea menu dialog label fieldset".split()) | RAW
+ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
+#: Words of names that say what is no article text, and words that say nothing beside them.
 CHROME_WORDS = set(
-    "ad ads advert adverts advertisement advertising adsense banner banners breadcrumb breadcrumbs comment comments commentlist consent cookie cookies"
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments consent cookie cookies"
     " disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion"
-    " related respond share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription toolbar widget widgets complementary contentinfo"
-    " alert discussion replies reply".split()
+    " related replies reply respond share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
 )
-WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
-
-
-def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(text)}
+PLAIN_WORDS = set(
+    "area articles bar block bottom box btn button buttons center col column container fixed form global group icons inner item items left link links list main"
+    " outer page panel policy posts primary right secondary section site slot sticky stories thread top unit wrap wrapper".split()
+)
+NAMED = set("div section ul ol dl table p span center details".split())
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+DIGITS = re.compile(r"\d+")
 
 
-@dataclass
-class Element:
-    tag: str
-    mark: str  # tag with its class or id: what tells it from its like
-    chrome: bool
-    children: list = field(default_factory=list)  # elements and texts
+def named_chrome(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """A container with a class or id made up of chrome words and plain words only, such as ``ad``, ``cookie-notice`` or ``relatedPosts``, but not ``related-work``."""
+    if tag not in NAMED:
+        return False
+    for name in [*attrs.get("class", "").split(), *attrs.get("id", "").split()]:
+        words = {w.lower() for w in WORDS.findall(name)}
+        if words & CHROME_WORDS and words <= CHROME_WORDS | PLAIN_WORDS and not (in_article and words <= {"header"} | PLAIN_WORDS):
+            return True
+    return False
 
 
-def is_chrome(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
-    if tag in CHROME or (tag == "header" and not inside_article) or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+def is_chrome(e: Element) -> bool:
+    a = e.attrs
+    if e.tag in CHROME or (e.tag == "header" and not e.in_article):
         return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    named = f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}"
-    return bool(named.strip()) and any(w.lower() in CHROME_WORDS for w in WORDS.findall(named))
-
-
-def parse(page: str) -> Element:
-    """A forgiving tree: an end tag closes the nearest open element of its name, or nothing."""
-    root = Element("#root", "#root", False)
-    stack = [root]
-    at, end = 0, len(page)
-    while at < end:
-        m = TOKEN.match(page, at)
-        if m is None:  # a tag that never ends is text
-            stack[-1].children.append(page[at])
-            at += 1
-            continue
-        at = m.end()
-        if m[4] is not None:
-            stack[-1].children.append(m[4])
-            continue
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("article", "table", "td") and tag in ("p", "b", "i", "span", "li"):
-                    break
-            continue
-        if tag in CLOSES:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK and not (tag in ("td", "th") and stack[i].tag == "p"):
-                    break
-        elif tag in BLOCK and stack[-1].tag == "p":
-            stack.pop()
-        attrs = attributes(m[3]) if m[3].strip() else {}
-        name = attrs.get("id") or attrs.get("class") or ""
-        element = Element(tag, f"{tag}.{' '.join(name.split())}" if name else tag, is_chrome(tag, attrs, any(e.tag in ("article", "main") for e in stack)))
-        stack[-1].children.append(element)
-        if tag in RAW:  # its content is no markup
-            close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = close.end() if close else end
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(element)
-    return root
-
-
-def find(root: Element, want) -> list[Element]:
-    """The outermost elements that ``want`` accepts, not looking inside chrome."""
-    out: list[Element] = []
-    stack = [root]
-    while stack:
-        e = stack.pop()
-        if e.chrome:
-            continue
-        if want(e):
-            out.append(e)
-        else:
-            stack.extend(c for c in reversed(e.children) if isinstance(c, Element))
-    return out
-
-
-def blocks(root: Element) -> list[str]:
-    """Texts of the blocks under an element, in page order; references decoded, white space made single."""
-    out: list[str] = []
-    parts: list[str] = []
-
-    def close() -> None:
-        line = SPACE.sub(" ", "".join(parts)).strip()
-        parts.clear()
-        if line:
-            out.append(line)
-
-    todo: list = [root]
-    while todo:
-        c = todo.pop()
-        if c is None:
-            close()
-        elif isinstance(c, str):
-            parts.append(html.unescape(c))
-        elif not c.chrome:
-            if c.tag == "br":
-                parts.append(" ")
-            block = c.tag in BLOCK
-            if block:
+    return bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or named_chrome(e.tag, a, e.in_article))
+
+
+def node_id(parent: int, mark: str) -> int:
+    return xxhash.xxh64_intdigest(mark, seed=parent) >> 1
+
+
+def mark_of(e: Element) -> str:
+    """What tells an element from its like: its tag, with its id or classes, numbers left out."""
+    name = e.attrs.get("id") or e.attrs.get("class") or ""
+    return DIGITS.sub("0", f"{e.tag}.{' '.join(name.split())}") if name.strip() else e.tag
+
+
+class Page:
+    """Blocks and elements of a page.
+
+    blocks: (element, number of the outermost article around it or 0, text)
+    in page order; an element is named by a number made from its path.
+    shape: element -> [parent, mark, times, letters, hash of its text],
+    parents before their children.
+    """
+
+    def __init__(self, page: str | None):
+        self.blocks: list[tuple[int, int, str]] = []
+        self.shape: dict[int, list] = {}
+        if page:
+            self._read(parse(page))
+
+    def _open(self, e: Element, parent: int) -> int:
+        mark = mark_of(e)
+        node = node_id(parent, mark)
+        self.shape.setdefault(node, [parent, mark, 0, 0, 0])[2] += 1
+        return node
+
+    def _read(self, root: Element) -> None:
+        texts: list[str] = []
+        here = (self._open(root, 0), 0)
+        articles = 0
+
+        def close() -> None:
+            line = SPACE.sub(" ", "".join(texts)).strip()
+            texts.clear()
+            if line:
+                self.blocks.append((*here, line))
+                known = self.shape[here[0]]
+                known[3] += len(line)
+                known[4] = xxhash.xxh64_intdigest(line, seed=known[4]) >> 1
+
+        todo: list = [(c, here) for c in reversed(root.children)]
+        while todo:
+            c, around = todo.pop()
+            if c is None:  # the end of a block; text goes on in the one around it
                 close()
-                todo.append(None)
-            todo.extend(reversed(c.children))
-        elif c.tag in BLOCK:
-            close()
-    close()
-    return out
-
-
-def tokens(root: Element) -> Iterator[tuple[str, str, str]]:
-    """(kind, value, path): start and end tags by their marks, and texts, in page order."""
-    todo: list = [(root, "")]
-    while todo:
-        c, path = todo.pop()
-        if c is None:
-            yield ">", path.rsplit(">", 1)[-1], path
-        elif isinstance(c, str):
-            if c.strip():
-                yield "text", SPACE.sub(" ", c).strip(), path
-        elif not c.chrome:
-            here = f"{path}>{c.mark}" if c is not root else ""
-            if here:
-                yield "<", c.mark, here
-                todo.append((None, here))
-            todo.extend((x, here) for x in reversed(c.children))
-
-
-# A wrapper is a list of items: ("<" or ">", mark, path), ("text", value, path), ("slot", path, letters),
-# ("optional", items) and ("repeat", items).
-
-
-def matches(item: tuple, token: tuple) -> bool:
-    return item[:2] == token[:2] if item[0] in "<>" else token[0] == "text" and item[0] in ("text", "slot")
-
-
-def joined(item: tuple, token: tuple) -> tuple:
-    if item[0] == "text" and item[1] != token[1]:
-        return ("slot", item[2], len(item[1]) + len(token[1]))
-    return ("slot", item[1], item[2] + len(token[1])) if item[0] == "slot" else item
-
-
-def length_of_group(group: list, page: list, at: int) -> int | None:
-    """How many tokens of the page, from ``at``, one pass of a group takes; None if it doesn't fit there."""
-    here = at
-    for item in group:
-        if item[0] == "optional":
-            here += length_of_group(item[1], page, here) or 0
-        elif item[0] == "repeat":
-            while (n := length_of_group(item[1], page, here)) and n > 0:
-                here += n
-        elif here < len(page) and matches(item, page[here]):
-            here += 1
-        elif item[0] not in ("slot", "text"):
-            return None
-    return here - at
-
-
-def absorb(group: list, page: list, at: int, stop: int) -> list:
-    """The group with its texts turned to slots where the page's differ."""
-    out = []
-    for item in group:
-        if at < stop and item[0] not in ("optional", "repeat") and matches(item, page[at]):
-            out.append(joined(item, page[at]))
-            at += 1
-        else:
-            out.append(item)
-    return out
-
-
-def element_end(seq: list, at: int) -> int:
-    """Where the element that starts at ``at`` ends (exclusive)."""
-    depth = 0
-    for i in range(at, len(seq)):
-        depth += {"<": 1, ">": -1}.get(seq[i][0], 0)
-        if depth <= 0:
-            return i + 1
-    return len(seq)
-
-
-def align(wrapper: list, page: list) -> list:
-    """The wrapper generalised so that it also fits the page."""
-    out: list = []
-    i = j = 0
-    while i < len(wrapper) or j < len(page):
-        w = wrapper[i] if i < len(wrapper) else None
-        p = page[j] if j < len(page) else None
-        if w is not None and w[0] in ("optional", "repeat"):
-            group = w[1]
-            while (n := length_of_group(group, page, j)) and n > 0:
-                group = absorb(group, page, j, j + n)
-                j += n
-                if w[0] == "optional":
-                    break
-            out.append((w[0], group))
-            i += 1
-        elif w is not None and p is not None and matches(w, p):
-            out.append(joined(w, p))
-            i, j = i + 1, j + 1
-        elif p is not None and p[0] == "<" and out and out[-1][0] == ">" and out[-1][1] == p[1]:
-            # the page goes on with an element like the last one: a repeated group
-            end, begin = element_end(page, j), len(out) - 1
-            depth = 0
-            while begin > 0:
-                depth += {">": 1, "<": -1}.get(out[begin][0], 0)
-                if depth == 0:
-                    break
-                begin -= 1
-            out[begin:] = [("repeat", out[begin:])]
-            j = end
-        elif p is not None and p[0] == "<" and out and out[-1][0] == "repeat" and out[-1][1] and out[-1][1][0][:2] == p[:2]:
-            j = element_end(page, j)
-        elif w is not None and (w[0] in ("text", "slot", "<")):
-            end = element_end(wrapper, i) if w[0] == "<" else i + 1
-            if w[0] == "<" and p is not None and p[0] == "<" and not any(x[:2] == p[:2] for x in wrapper[i:]):
-                stop = element_end(page, j)  # only the page has it
-                out.append(("optional", page[j:stop]))
-                j = stop
+                here = around
+            elif isinstance(c, str):
+                texts.append(html.unescape(c))
+            elif is_chrome(c):
+                if c.tag in BLOCK:
+                    close()
+            elif c.tag in BLOCK:
+                close()
+                todo.append((None, around))
+                articles += c.tag == "article" and not around[1]
+                here = (self._open(c, around[0]), around[1] or (articles if c.tag == "article" else 0))
+                todo.extend((x, here) for x in reversed(c.children))
             else:
-                out.append(("optional", wrapper[i:end]))
-                i = end
-        elif p is not None and p[0] in ("<", "text"):
-            stop = element_end(page, j) if p[0] == "<" else j + 1
-            out.append(("optional", page[j:stop]))
-            j = stop
-        else:  # ends that have no start on the other side
-            if w is not None:
-                out.append(w)
-                i += 1
-            if p is not None:
-                j += 1
-    return out
-
-
-def slot_letters(wrapper: list) -> dict[str, int]:
-    """Letters that vary under each path."""
-    out: dict[str, int] = {}
-    for item in wrapper:
-        if item[0] == "slot":
-            out[item[1]] = out.get(item[1], 0) + item[2]
-        elif item[0] in ("optional", "repeat"):
-            for path, n in slot_letters(item[1]).items():
-                out[path] = out.get(path, 0) + n
-            for inner in item[1]:
-                if inner[0] == "text":
-                    out[inner[2]] = out.get(inner[2], 0) + len(inner[1])
-    return out
-
-
-def container(pages: list[str]) -> str:
-    """The path of the deepest container with nearly all of the host's varying text; "" if there is none."""
-    trees = [parse(p) for p in pages]
-    streams = [s for s in (list(tokens(t)) for t in trees) if s]
-    if len(streams) < 2:
-        return ""
-    wrapper = streams[0]
-    for s in streams[1:]:
-        wrapper = align(wrapper, s)
-    letters: dict[str, int] = {}
-    for path, n in slot_letters(wrapper).items():
-        marks = path.split(">")
-        for k in range(2, len(marks) + 1):
-            here = ">".join(marks[:k])
-            letters[here] = letters.get(here, 0) + n
-    total = max(letters.values(), default=0)
-    good = [p for p, n in letters.items() if n >= 0.8 * total and p.rsplit(">", 1)[-1].split(".")[0] in ("div", "section", "td", "body", "center")]
-    return max(good, key=lambda p: p.count(">"), default="") if total else ""
-
-
-def with_path(root: Element, path: str) -> list[Element]:
-    level = [root]
-    for mark in path.split(">")[1:]:
-        level = [c for e in level for c in e.children if isinstance(c, Element) and c.mark == mark and not c.chrome]
-    return level
-
-
-def main_text(page: str | None, path: str | None) -> str:
-    if not page:
+                if c.tag == "br":
+                    texts.append(" ")
+                todo.extend((x, around) for x in reversed(c.children))
+        close()
+
+
+# A wrapper: element -> [parent, mark, pages, times, letters, lowest and highest text hash, bits of page hashes].
+
+
+def align(wrapper: dict[int, list], shape: dict[int, list]) -> dict[int, list]:
+    """The wrapper generalised in place so that it also fits a page of this shape.
+
+    An element with fewer pages than its parent is an optional group, with
+    more times than pages a repeated one; different hashes make its text a slot.
+    """
+    bit = 1 << (sum(n * 31 ^ s[4] for n, s in shape.items() if s[4]) % 61)
+    bit = bit - (1 << 64) if bit >> 63 else bit
+    for node, (parent, mark, times, letters, h) in shape.items():
+        w = wrapper.setdefault(node, [parent, mark, 0, 0, 0, h, h, 0])
+        w[2] += 1
+        w[3] += times
+        w[4] += letters
+        w[5], w[6] = min(w[5], h), max(w[6], h)
+        w[7] |= bit
+    return wrapper
+
+
+def expression(wrapper: dict[int, list]) -> str:
+    """The wrapper as a regular expression: (...)? optional, (...)+ repeated, #slot, and texts that stay as #text; siblings by their marks."""
+    children: dict[int, list[int]] = {}
+    for node, w in sorted(wrapper.items(), key=lambda x: x[1][1]):
+        children.setdefault(w[0], []).append(node)
+
+    def render(node: int) -> str:
+        parent, mark, pages, times, letters, low, high, _ = wrapper[node]
+        text = "" if not letters else "#slot" if low != high else "#text"
+        out = f"<{mark}>{text}{''.join(map(render, children.get(node, ())))}</>"
+        optional, repeated = parent in wrapper and pages < wrapper[parent][2], times > pages
+        return f"({out}){'*' if optional and repeated else '+' if repeated else '?'}" if optional or repeated else out
+
+    return "".join(render(n) for n in children.get(0, ()))
+
+
+def same_everywhere(w: list) -> bool:
+    return w[5] == w[6] and bin(w[7] & (2**64 - 1)).count("1") >= SAME_ON
+
+
+def infer(pages: list[str]) -> dict[int, list]:
+    """The wrapper of a few pages of one host."""
+    wrapper: dict[int, list] = {}
+    for p in pages:
+        align(wrapper, Page(p).shape)
+    return wrapper
+
+
+def main_text(page: str | None, wrapper: dict[int, list] | None = None) -> str:
+    read = Page(page)
+    return article_text(read.blocks, read.shape, wrapper or {})
+
+
+def article_text(blocks: list[tuple[int, int, str]], shape: dict[int, list], wrapper: dict[int, list]) -> str:
+    """The article's blocks, one a line, by the wrapper of the page's host; elements it doesn't have count as on this page alone."""
+    if not blocks:
         return ""
-    root = parse(page)
-    for roots in (find(root, lambda e: e.tag == "article"), find(root, lambda e: e.tag == "main"), with_path(root, path) if path else [], find(root, lambda e: e.tag == "body")):
-        if roots:
-            return "\n".join(line for e in roots for line in blocks(e))
-    return "\n".join(blocks(root))
+    alone = align({}, {n: s for n, s in shape.items() if n not in wrapper})
+    stats = {n: wrapper.get(n) or alone[n] for n in shape}
+    tags = {n: s[1].split(".")[0] for n, s in shape.items()}
+    root = next(iter(shape))
+
+    weighed: dict[int, float] = {}  # letters a page in slots below, those of articles counted WEIGHT times
+    children: dict[int, list[int]] = {}
+    for n, w in reversed(list(stats.items())):
+        own = 0.0 if same_everywhere(w) and "." in w[1] else w[4] / w[2]
+        weighed[n] = (weighed.get(n, 0.0) + own) * (WEIGHT if tags[n] in ("article", "main") else 1.0)
+        parent = shape[n][0]
+        weighed[parent] = weighed.get(parent, 0.0) + weighed[n]
+        children.setdefault(parent, []).append(n)
+
+    at = root
+    while True:
+        inside = [n for n in children.get(at, ()) if tags[n] in CONTAINER and (stats[n][3] <= 1.5 * stats[n][2] or tags[n] == "article")]
+        best = max(inside, key=lambda n: (weighed[n], n), default=root)
+        if best == root or not weighed[best] or weighed[best] < SHARE * weighed[at] / (WEIGHT if tags[at] in ("article", "main") else 1.0):
+            break
+        at = best
+
+    within, template = {at}, set()
+    for n, s in shape.items():
+        if s[0] in within:
+            within.add(n)
+            fixed = same_everywhere(stats[n]) and stats[n][4] and "." in s[1] and tags[n] not in HEADING
+            if fixed or s[0] in template:
+                template.add(n)
+    lines = [(k, line) for n, k, line in blocks if n in within and n not in template]
+    if tags[at] == "article" and shape[at][2] > 1:
+        letters: dict[int, int] = {}
+        for k, line in lines:
+            letters[k] = letters.get(k, 0) + len(line)
+        lines = [(k, line) for k, line in lines if letters[k] >= TEASER * max(letters.values())]
+    if not lines and at == root:  # nothing but template
+        lines = [(k, line) for _, k, line in blocks]
+    return "\n".join(line for _, line in lines)
+
+
+PARSED = "page_id bigint, url string, host string, blocks array<struct<node:bigint,article:int,text:string>>, shape array<struct<node:bigint,parent:bigint,mark:string,times:int,letters:bigint,h:bigint>>"
+PART = "host string, node bigint, parent bigint, mark string, pages bigint, times bigint, letters bigint, low bigint, high bigint, bits bigint"
+_LIST = {
+    "blocks": pa.list_(pa.struct([("node", pa.int64()), ("article", pa.int32()), ("text", pa.string())])),
+    "shape": pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("mark", pa.string()), ("times", pa.int32()), ("letters", pa.int64()), ("h", pa.int64())])),
+}
+#: Pages handled at a time; elements kept by a task before it passes its wrappers on.
+PAGES, KEPT = 64, 200_000
+
+
+def _lists(rows: list[list[tuple]], kind: str) -> pa.Array:
+    sizes = [0]
+    for r in rows:
+        sizes.append(sizes[-1] + len(r))
+    columns = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * _LIST[kind].value_type.num_fields
+    fields = list(_LIST[kind].value_type)
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields))
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), PAGES):
+            part = batch.slice(at, PAGES)
+            read = [Page(h) for h in part.column(3).to_pylist()]
+            shapes = [[(n, *s) for n, s in p.shape.items()] for p in read]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), _lists([p.blocks for p in read], "blocks"), _lists(shapes, "shape")], names=["page_id", "url", "host", "blocks", "shape"])
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial wrappers of the hosts of a task's pages, a row for each element."""
+    wrappers: dict[str, dict[int, list]] = {}
+
+    def out() -> pa.RecordBatch:
+        rows = [(host, node, *w) for host, wrapper in wrappers.items() for node, w in wrapper.items()]
+        wrappers.clear()
+        columns = list(zip(*rows, strict=True)) or [()] * 10
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PART.split(", ")])
+
+    for batch in batches:
+        for at in range(0, len(batch), PAGES):
+            part = batch.slice(at, PAGES)
+            for host, shape in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                align(wrappers.setdefault(host, {}), {s["node"]: [s["parent"], s["mark"], s["times"], s["letters"], s["h"]] for s in shape})
+            if sum(map(len, wrappers.values())) > KEPT:
+                yield out()
+    yield out()
 
 
-def _fit(group: pd.DataFrame) -> pd.DataFrame:
-    pages = group.sort_values("h")["html"].tolist()
-    return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps({"container": container(pages)})]})
+@lru_cache(maxsize=64)
+def _told(wrapper: str | None) -> dict[int, list]:
+    return {row[0]: row[1:] for row in json.loads(wrapper)} if wrapper else {}
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, len(batch), 64):  # pages at a time
-            part = batch.slice(at, 64)
-            texts = [main_text(h, json.loads(w)["container"] if w else None) for h, w in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+        for at in range(0, len(batch), PAGES):
+            part = batch.slice(at, PAGES)
+            texts = []
+            for blocks, shape, wrapper in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                own = {s["node"]: [s["parent"], s["mark"], s["times"], s["letters"], s["h"]] for s in shape}
+                texts.append(article_text([(b["node"], b["article"], b["text"]) for b in blocks], own, _told(wrapper)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -369,19 +323,23 @@ def host_of(url: str):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def fit_wrappers(pages: DataFrame, sample: int = 6) -> DataFrame:
-    """host, wrapper (JSON) from at most ``sample`` pages of each host, those of smallest url hash."""
-    keyed = pages.where("html is not null").select(host_of("url").alias("host"), F.xxhash64("url", "page_id").alias("h"), "html")
-    ranked = keyed.withColumn("n", F.row_number().over(W.partitionBy("host").orderBy("h"))).where(F.col("n") <= sample)
-    return ranked.select("host", "h", "html").groupBy("host").applyInPandas(_fit, "host string, wrapper string")
+def parsed(pages: DataFrame) -> DataFrame:
+    """PARSED, a row for each row of ``pages``, written."""
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
+    return settle(own.mapInArrow(_parse, PARSED))
+
+
+def fit_wrappers(read: DataFrame) -> DataFrame:
+    """host, node and the other columns of PART over all pages of ``read`` (see ``parsed``)."""
+    sums = [F.sum(c).alias(c) for c in ("pages", "times", "letters")]
+    return read.select("host", "shape").mapInArrow(_align, PART).groupBy("host", "node").agg(F.min("parent").alias("parent"), F.min("mark").alias("mark"), *sums, F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("bits").alias("bits"))
 
 
-def extract(pages: DataFrame, sample: int = 6) -> DataFrame:
+def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages``: page_id, url, text (the article's blocks, one a line), n_chars."""
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    wrappers = settle(fit_wrappers(own, sample))
-    if wrappers.count() <= MOST_HOSTS:
-        wrappers = F.broadcast(wrappers)
-    told = own.withColumn("host", host_of("url")).join(wrappers, "host", "left").select("page_id", "url", "html", "wrapper")
-    out = told.mapInArrow(_extract, "page_id bigint, url string, text string")
-    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+    read = parsed(pages)
+    items = F.concat(F.lit("["), F.concat_ws(",", "node", "parent", F.to_json(F.array("mark")).substr(F.lit(2), F.length(F.to_json(F.array("mark"))) - 2), "pages", "times", "letters", "low", "high", "bits"), F.lit("]"))
+    wrappers = settle(fit_wrappers(read).where("pages > 1").groupBy("host").agg(F.concat(F.lit("["), F.array_join(F.collect_list(items), ","), F.lit("]")).alias("wrapper")))
+    size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64)).first()[0] or 0
+    told = read.join(F.broadcast(wrappers) if size <= MOST_BYTES else wrappers, "host", "left").select("page_id", "url", "blocks", "shape", "wrapper")
+    return told.mapInArrow(_extract, "page_id bigint, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
