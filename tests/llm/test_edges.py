@@ -298,6 +298,13 @@ def test_chat_long_and_foreign_replies(spark):
     assert (by[2].n_prompt, by[2].n_chosen, by[2].n_rejected) == (1, 0, 0) and (by[3].n_chosen, by[3].n_rejected) == (1, 0) == (by[4].n_chosen, by[4].n_rejected)
 
 
+def test_secrets_of_a_long_text(spark):
+    text = "é " + " ".join(f"token=abc{i:05d}x aZ3{i:05d}qWerTyUiOpLkJ" for i in range(20_000))
+    (r,) = secret_scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).collect()
+    assert len(r.base) == 20_000 and len(r["all"]) == 40_000
+    assert all(text[s.start : s.end].endswith(s.value) for s in r["all"][:: 997])
+
+
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
 def test_pipeline(spark, odd, none, tmp_path):
     import corpus_pipeline

@@ -8,8 +8,11 @@ with few of both and looks live (mixed characters, many different ones) is owner
 tokens found owner-specific are added as spans of kind ``owned``; base spans
 always stay and are counted as live or example.
 
-Offsets come from the texts between the matches, so everything is a built-in
-function; counting combines on the map side, and only candidates are shuffled.
+Offsets come from the texts between the matches, summed by a window over the
+matches of a text, so a text of many secrets costs no more per secret.
+Everything is a built-in function; counting combines on the map side, and
+only candidates are shuffled. The counts are written before they are joined
+back, so that adaptive execution can split a value that very many rows have.
 
 Defined results: null text is empty text; a null owner or repository counts
 as one of its own; every row of the input gives one row.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .common import settle
 
@@ -38,26 +42,12 @@ HEX = "[0-9a-f]{24,}"
 TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 
 
-def spans(text: str, found: str, pattern: str, kind: int, value: Column | None = None) -> Column:
-    """array<struct<start, kind, end, value>> of all matches: column ``found`` has them, ``text`` is the column searched.
-
-    The text is split at the matches; a match starts after all earlier pieces and matches.
-    """
-    pieces = F.transform(F.split(F.col(text), pattern), F.char_length)
-    lengths = F.transform(F.col(found), F.char_length)
-    rows = F.arrays_zip(pieces.alias("gap"), lengths.alias("len"), (F.col(found) if value is None else value).alias("value"))
-    rows = F.slice(rows, 1, F.size(found))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    folded = F.aggregate(
-        rows,
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, r: F.struct(
-            (a["at"] + r["gap"] + r["len"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + r["gap"]).alias("start"), F.lit(kind).alias("kind"), (a["at"] + r["gap"] + r["len"]).alias("end"), r["value"].alias("value")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(found) > 0, folded).otherwise(empty)
+def matches(found: str, pattern: str, kind: int, value: Column | None = None) -> Column:
+    """array<struct<kind, i, gap, len, value>> of all matches of a pattern in ``text``: column ``found`` has them; gap counts the code points since the match before."""
+    gaps = F.transform(F.split(F.col("text"), pattern), F.char_length)
+    rows = F.slice(F.arrays_zip(gaps.alias("gap"), F.col(found).alias("match"), (F.col(found) if value is None else value).alias("value")), 1, F.size(found))
+    made = F.transform(rows, lambda r, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), r["gap"].alias("gap"), F.char_length(r["match"]).alias("len"), r["value"].alias("value")))
+    return F.when(F.size(found) > 0, made).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,len:int,value:string>>"))
 
 
 def live_looking(value: Column) -> Column:
@@ -76,32 +66,37 @@ def secret_scan(docs: DataFrame, repository: str = "doc_id", owner: str = "sourc
     texts = docs.select("doc_id", F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"), F.coalesce("text", F.lit("")).alias("text"))
     found = texts.withColumns({name: F.regexp_extract_all("text", F.lit(p), F.lit(0)) for name, p in (("m0", ASSIGN), ("m1", ACCESS), ("m2", HEX), ("m3", TOKEN))})
     values = F.when(F.size("m0") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)))
-    found = found.select(
-        "doc_id",
-        "repository",
-        "owner",
-        F.array_sort(
-            F.concat(
-                F.filter(spans("text", "m0", ASSIGN, 0, values), lambda s: F.char_length(s["value"]) >= MIN_ASSIGN),
-                spans("text", "m1", ACCESS, 1),
-                spans("text", "m2", HEX, 2),
-            )
-        ).alias("base"),
-        F.filter(spans("text", "m3", TOKEN, 3), lambda s: live_looking(s["value"])).alias("tokens"),
-    )
-    apart = F.expr("filter(tokens, t -> not exists(base, b -> b.start < t.end and t.start < b.end))")
-    found = settle(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", "base", apart.alias("tokens")))
+    every = F.concat(matches("m0", ASSIGN, 0, values), matches("m1", ACCESS, 1), matches("m2", HEX, 2), matches("m3", TOKEN, 3))
+    found = settle(found.select(F.monotonically_increasing_id().alias("row"), "doc_id", "repository", "owner", every.alias("matches")))
+
+    places = found.select("row", "repository", "owner", F.explode("matches").alias("m")).select("row", "repository", "owner", "m.*").repartition("row")
+    end = F.sum(F.col("gap") + F.col("len")).over(W.partitionBy("row", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    places = places.withColumn("end", end).withColumn("start", F.col("end") - F.col("len"))
+    base = F.col("kind") < 3
+    places = places.where(F.when(F.col("kind") == 0, F.char_length("value") >= MIN_ASSIGN).when(F.col("kind") == 3, live_looking(F.col("value"))).otherwise(True))
+    # a generic token goes if a base span that starts before it ends in it, or one starts in it
+    reached = F.max(F.when(base, F.col("end"))).over(W.partitionBy("row").orderBy("start").rangeBetween(W.unboundedPreceding, 0))
+    ahead = F.min(F.when(base, F.col("start"))).over(W.partitionBy("row").orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, 0))
+    places = places.withColumns({"reached": reached, "ahead": ahead})
+    apart = base | ((F.coalesce("reached", F.lit(0)) <= F.col("start")) & (F.coalesce("ahead", F.col("end")) >= F.col("end")))
+    places = settle(places.where(apart).select("row", "repository", "owner", F.struct("start", "kind", "end", "value").alias("span"), F.sha2("value", 256).alias("hash")))
 
-    places = found.select("row", "repository", "owner", F.explode(F.concat("base", "tokens")).alias("span"))
-    places = places.withColumn("hash", F.sha2("span.value", 256))
     named = [F.when(F.col(c).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(c))) for c in ("repository", "owner")]
-    spread = places.groupBy("hash").agg(F.count_distinct(named[0]).alias("n_repositories"), F.count_distinct(named[1]).alias("n_owners"))
+    spread = settle(places.groupBy("hash").agg(F.count_distinct(named[0]).alias("n_repositories"), F.count_distinct(named[1]).alias("n_owners")))
     judged = places.join(spread, "hash").withColumn("own", (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
+    base, span = F.col("span.kind") < 3, F.struct("span.*", "n_repositories")
     verdicts = judged.groupBy("row").agg(
-        F.array_sort(F.collect_list(F.when(F.col("own") | (F.col("span.kind") < 3), F.struct("span.*", "n_repositories")))).alias("all"),
-        F.count_if(F.col("own") & (F.col("span.kind") < 3) & live_looking(F.col("span.value"))).alias("n_live"),
-        F.count_if(~F.col("own") & (F.col("span.kind") < 3)).alias("n_example"),
+        F.array_sort(F.collect_list(F.when(base, F.col("span")))).alias("base"),
+        F.array_sort(F.collect_list(F.when(F.col("own") | base, span))).alias("all"),
+        F.count_if(F.col("own") & base & live_looking(F.col("span.value"))).alias("n_live"),
+        F.count_if(~F.col("own") & base).alias("n_example"),
+    )
+    out = found.select("row", "doc_id").join(verdicts, "row", "left")
+    empty = "array<struct<start:int,kind:int,end:int,value:string>>"
+    return out.select(
+        "doc_id",
+        F.coalesce("base", F.array().cast(empty)).alias("base"),
+        F.coalesce("all", F.array().cast(empty.replace(">>", ",n_repositories:bigint>>"))).alias("all"),
+        F.coalesce("n_live", F.lit(0)).alias("n_live"),
+        F.coalesce("n_example", F.lit(0)).alias("n_example"),
     )
-    out = found.join(verdicts, "row", "left")
-    every = F.coalesce("all", F.array().cast("array<struct<start:int,kind:int,end:int,value:string,n_repositories:bigint>>"))
-    return out.select("doc_id", "base", every.alias("all"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_example", F.lit(0)).alias("n_example"))

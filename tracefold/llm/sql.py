@@ -86,4 +86,32 @@ UNION ALL SELECT NULL, 0, 1, 0, '', h || b, CASE WHEN role = 'assistant' THEN le
 FROM (SELECT role, '<|' || coalesce(role, 'none') || '|>' || chr(10) AS h, replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS b FROM conversations WHERE conv_id IS NULL) AS z
 """
 
-ORACLE = {"op5_top_k": OP5, "op9_preference_format": OP9, "op8_substring_dedup": OP8, "op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
+ASSIGN = """(password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in ASSIGN[:39]) + ASSIGN[39:]
+LIVE = "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 10"
+
+
+def _matches(kind: int, pattern: str, group: int) -> str:
+    """The matches of a pattern with the code points from the match before."""
+    return (
+        f"SELECT row, repository, owner, {kind} AS kind, i, length(string_split_regex(text, '{pattern}')[i]) AS gap, length(regexp_extract_all(text, '{pattern}')[i]) AS len,"
+        f" regexp_extract_all(text, '{pattern}', {group})[i] AS value FROM d, unnest(range(1, len(regexp_extract_all(text, '{pattern}')) + 1)) AS t(i)"
+    )
+
+
+OP7 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, CAST(doc_id AS varchar) AS repository, source AS owner, coalesce(text, '') AS text FROM documents),
+m AS ({_matches(0, ASSIGN, 2)} UNION ALL {_matches(1, "AKIA[A-Z0-9]{16,}", 0)} UNION ALL {_matches(2, "[0-9a-f]{24,}", 0)} UNION ALL {_matches(3, "[A-Za-z0-9+/_=-]{20,}", 0)}),
+p AS (SELECT *, sum(gap + len) OVER (PARTITION BY row, kind ORDER BY i) AS e FROM m),
+s AS (SELECT row, repository, owner, kind, e - len AS b, e, value FROM p WHERE CASE kind WHEN 0 THEN length(value) >= 6 WHEN 3 THEN {LIVE} ELSE true END),
+k AS (SELECT * FROM s WHERE kind < 3 OR NOT EXISTS (FROM s AS o WHERE o.row = s.row AND o.kind < 3 AND o.b < s.e AND s.b < o.e)),
+n AS (SELECT value, count(DISTINCT coalesce('0' || repository, '1')) AS r, count(DISTINCT coalesce('0' || owner, '1')) AS o FROM k GROUP BY value),
+j AS (SELECT k.*, o <= 2 AND r <= 10 AS own, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || CAST(b AS bigint) || ':' || CAST(e AS bigint) AS said, {LIVE} AS live FROM k JOIN n USING (value)),
+g AS (SELECT row, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+      string_agg(said, ',' ORDER BY b, kind) FILTER (WHERE kind < 3) AS base, string_agg(said, ',' ORDER BY b, kind) FILTER (WHERE kind < 3 OR own) AS spans,
+      count(*) FILTER (WHERE kind < 3 AND own AND live) AS n_live, count(*) FILTER (WHERE kind < 3 AND NOT own) AS n_example FROM j GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (row)
+"""
+
+ORACLE = {"op7_secret_scan": OP7, "op5_top_k": OP5, "op9_preference_format": OP9, "op8_substring_dedup": OP8, "op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
