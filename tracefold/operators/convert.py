@@ -22,7 +22,7 @@ def vcd_to_semantic(changes: DataFrame) -> DataFrame:
 
 
 def systrace_to_events(lines: DataFrame) -> DataFrame:
-    """core_id, seq, ts_raw, event_name, task_id, prev_task_id, next_task_id, irq_id, nesting_depth.
+    """dataset_id, core_id, seq, ts_raw, event_name, task_id, prev_task_id, next_task_id, irq_id, nesting_depth.
 
     Switches give a block (if the previous task sleeps), a dispatch and the
     switch itself. Interrupt depth is the walk of entries and exits that never
@@ -48,13 +48,14 @@ def systrace_to_events(lines: DataFrame) -> DataFrame:
         .when(call == "irq_handler_entry", F.array(e("IRQ_ENTER", 0, irq=number("irq"))))
         .when(call == "irq_handler_exit", F.array(e("IRQ_EXIT", 0, irq=number("irq"))))
     )
-    out = lines.select("timestamp_ns", F.explode(F.array_compact(rows)).alias("x")).select("timestamp_ns", "x.*")
-    w = W.partitionBy("core_id").orderBy("timestamp_ns", "sub", "event_name", "task_id")
+    trace = F.col("dataset_id") if "dataset_id" in lines.columns else F.lit("0")
+    out = lines.select(trace.alias("dataset_id"), "timestamp_ns", F.explode(F.array_compact(rows)).alias("x")).select("dataset_id", "timestamp_ns", "x.*")
+    w = W.partitionBy("dataset_id", "core_id").orderBy("timestamp_ns", "sub", "event_name", "task_id")
     step = F.when(F.col("event_name") == "IRQ_ENTER", 1).when(F.col("event_name") == "IRQ_EXIT", -1).otherwise(0)
     out = out.withColumn("walk", F.sum(step).over(w)).withColumn("low", F.least(F.lit(0), F.min("walk").over(w)))
     level = F.col("walk") - F.col("low")
     depth = F.when(F.col("event_name") == "IRQ_ENTER", level).when(F.col("event_name") == "IRQ_EXIT", level + 1)
-    return out.select("core_id", F.row_number().over(w).cast("long").alias("seq"), F.col("timestamp_ns").alias("ts_raw"), "event_name", "task_id", "prev_task_id", "next_task_id", "irq_id", depth.cast("int").alias("nesting_depth"))
+    return out.select("dataset_id", "core_id", F.row_number().over(w).cast("long").alias("seq"), F.col("timestamp_ns").alias("ts_raw"), "event_name", "task_id", "prev_task_id", "next_task_id", "irq_id", depth.cast("int").alias("nesting_depth"))
 
 
 def cluster_to_events(rows: DataFrame, buckets: int = 4) -> DataFrame:

@@ -58,9 +58,16 @@ def feedback_summary(rows: DataFrame, variant: str, rater: str, ratings: list[st
     return long.groupBy(variant, "rating").agg(F.count(first).alias("n"), round6(F.avg(first)).alias("mean"), F.min(first).alias("least"), F.max(first).alias("most"), F.count_if(F.col("_n") > 1).alias("repeats"))
 
 
-def detector_eval(captures: DataFrame, group: str) -> DataFrame:
-    """captures: group, case_id, detected, truth. A case is positive if most of its captures are; with Wilson intervals."""
-    cases = captures.groupBy(group, "case_id").agg((2 * F.count_if("detected") > F.count("*")).alias("hit"), F.max("truth").alias("truth"))
+def detector_eval(captures: DataFrame, group: str, families: dict[str, list[int]]) -> DataFrame:
+    """captures: group, case_id, kinds (array of those seen), truth; with Wilson intervals.
+
+    A capture detects a family if it has all its kinds. A case is detected if
+    most of its captures detect any, and true if all its captures are.
+    """
+    detected = F.lit(False)
+    for need in families.values():
+        detected = detected | (F.size(F.array_except(F.array(*[F.lit(k) for k in need]), "kinds")) == 0)
+    cases = captures.groupBy(group, "case_id").agg((2 * F.count_if(detected) > F.count("*")).alias("hit"), F.min("truth").alias("truth"))
     m = cases.groupBy(group).agg(
         F.count("*").alias("n_case"), F.count_if(F.col("hit") & F.col("truth")).alias("tp"), F.count_if(~F.col("hit") & ~F.col("truth")).alias("tn"),
         F.count_if(F.col("hit") & ~F.col("truth")).alias("fp"), F.count_if(~F.col("hit") & F.col("truth")).alias("fn"),
@@ -101,10 +108,11 @@ def raw_facts(events: DataFrame) -> DataFrame:
 
 
 def ledger_violations(ledger: DataFrame, key: str) -> DataFrame:
-    """ledger: key, append_sequence, digest, previous_digest. Rows where the numbering or the chain breaks."""
+    """ledger: key, append_sequence, digest, previous_digest, record_id, session. Rows where the numbering or the chain breaks, an id repeats, or the ledger has several sessions."""
     w = W.partitionBy(key).orderBy("append_sequence")
-    x = ledger.withColumns({"n": F.row_number().over(w), "before": F.lag("digest").over(w)})
-    bad = F.array_join(F.array_compact(F.array(F.when(F.col("append_sequence") != F.col("n"), "SEQUENCE"), F.when(~F.col("previous_digest").eqNullSafe(F.col("before")), "CHAIN"))), ",")
+    whole = W.partitionBy(key)
+    x = ledger.withColumns({"n": F.row_number().over(w), "before": F.lag("digest").over(w), "same": F.count("*").over(W.partitionBy(key, "record_id")), "s0": F.min("session").over(whole), "s1": F.max("session").over(whole)})
+    bad = F.array_join(F.array_compact(F.array(F.when(F.col("append_sequence") != F.col("n"), "SEQUENCE"), F.when(~F.col("previous_digest").eqNullSafe(F.col("before")), "CHAIN"), F.when(F.col("same") > 1, "DUPLICATE_ID"), F.when(F.col("s0") != F.col("s1"), "SESSION"))), ",")
     return x.select(key, "append_sequence", bad.alias("violation")).where("violation <> ''")
 
 

@@ -167,7 +167,7 @@ SQL = {
     "l04_lineage_backtrace": "SELECT s.dataset_id, object_id, s.event_uid, event_name, ts_raw FROM src AS s JOIN al AS e ON e.event_uid = s.event_uid",
     "l05_reused_ids": "SELECT dataset_id, event_uid, CAST(2 AS bigint) AS n FROM al WHERE seq % 50 = 0",
     "l06_lineage_subset": "SELECT object_id, open_event, close_event FROM rec WHERE object_id IN (SELECT slice_id FROM slices WHERE NOT trusted)",
-    "l07_lineage_validate": "SELECT s.dataset_id, object_id, 'UNKNOWN_SOURCE' AS violation FROM src AS s WHERE event_uid NOT IN (SELECT event_uid FROM al WHERE seq % 40 <> 0) UNION ALL SELECT dataset_id, object_id, 'NEGATIVE_RANGE' FROM rec WHERE t_end < t_begin",
+    "l07_lineage_validate": "SELECT s.dataset_id, object_id, 'UNKNOWN_SOURCE' AS violation FROM src AS s ANTI JOIN (SELECT event_uid FROM al WHERE seq % 40 <> 0) AS e USING (event_uid) UNION ALL SELECT dataset_id, object_id, 'NEGATIVE_RANGE' FROM rec WHERE t_end < t_begin",
     "e01_dependency_edges": "SELECT * FROM edges",
     "e02_edge_contract": "SELECT dataset_id, 'TIME_HINT' AS reason, count(*) AS n FROM edges WHERE seq_hint % 10 = 0 OR time_hint <= 0 GROUP BY dataset_id",
     "e03_seed_resolution": "SELECT f.dataset_id, alert_id AS closure_id, evidence AS ref, e.event_uid IS NOT NULL AS found FROM few AS f LEFT JOIN (SELECT event_uid FROM al WHERE seq % 3 <> 0) AS e ON e.event_uid = f.evidence WHERE type IN ('long_block', 'long_irq') AND evidence IS NOT NULL",
@@ -181,11 +181,11 @@ SQL = {
   SELECT dataset_id, count(*) FILTER (WHERE finding = 'missing') AS missing, count(*) FILTER (WHERE finding = 'extra') AS extra, count(*) FILTER (WHERE finding = 'different') AS different FROM tot_findings GROUP BY dataset_id) AS g USING (dataset_id)""",
     "v06_lost_edges": "SELECT dataset_id, edge_kind, task_id, obj_id, evidence_ref FROM kept_edges EXCEPT ALL SELECT dataset_id, edge_kind, task_id, obj_id, evidence_ref FROM c_both_edges",
     "v07_ref_closure": """SELECT * FROM (SELECT dataset_id, cause_event AS ref_key FROM ct UNION SELECT dataset_id, start_event FROM cs UNION SELECT dataset_id, end_event FROM cs UNION SELECT dataset_id, evidence_ref FROM kept_edges UNION SELECT dataset_id, end_event FROM kept_edges UNION SELECT dataset_id, enter_event FROM ci UNION SELECT dataset_id, exit_event FROM ci) AS x
-  WHERE ref_key IS NOT NULL AND ref_key NOT IN (SELECT event_uid FROM ce)""",
+  ANTI JOIN (SELECT event_uid AS ref_key FROM ce) AS e USING (ref_key) WHERE ref_key IS NOT NULL""",
     "k01_export_full": " UNION ALL ".join(f"SELECT dataset_id, count(*) AS rows, '{n}' AS \"table\" FROM {v} GROUP BY dataset_id" for n, v in (("events", "al"), ("states", "states"), ("slices", "slices"), ("holds", "holds"), ("waits", "waits"), ("irqs", "irqs"), ("windows", "windows"))),
     "k02_export_clipped": "SELECT dataset_id, count(*) AS rows, 'events' AS \"table\" FROM ce GROUP BY dataset_id UNION ALL SELECT dataset_id, count(*), 'windows' FROM kept_windows GROUP BY dataset_id UNION ALL " + " UNION ALL ".join(WINDOWED.format(n=n) for n in ("states", "slices", "holds", "waits", "irqs")),
     "s10_scan_package": "SELECT dataset_id, slice_id, t_begin, t_end FROM slices",
-    "q07_package_ref_check": "SELECT dataset_id, ref_key FROM mentions WHERE ref_key IS NOT NULL AND ref_key NOT IN (SELECT event_uid FROM al)",
+    "q07_package_ref_check": "SELECT dataset_id, ref_key FROM mentions ANTI JOIN (SELECT event_uid AS ref_key FROM al) AS e USING (ref_key) WHERE ref_key IS NOT NULL",
     "k04_ref_index": "SELECT dataset_id, event_uid AS ref_key, ts, core_id, seq FROM al",
     "k05_required_refs": "SELECT * FROM mentions WHERE ref_key IS NOT NULL",
     "k08_merge_segments": "SELECT event_uid, ts_raw FROM ev",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.tables import shared_dir
 from ..operators import convert, retrieval, stats
@@ -44,13 +45,18 @@ def _btf_path(s, d):
 
 
 def _systrace_path(s, d):
-    e = trace_events(s, d).where("event_name in ('CTX_SWITCH', 'IRQ_ENTER', 'IRQ_EXIT', 'TASK_WAKEUP') and dataset_id = '0' or event_name = 'CTX_SWITCH'")
+    e = trace_events(s, d).where("event_name in ('CTX_SWITCH', 'IRQ_ENTER', 'IRQ_EXIT', 'TASK_WAKEUP')")  # the kinds that the format has
     call = F.expr(
         "case event_name when 'CTX_SWITCH' then format_string('sched_switch: prev_pid=%d prev_state=%s next_pid=%d', prev_task_id, if(reason = 1, 'S', 'R'), next_task_id)"
         " when 'TASK_WAKEUP' then format_string('sched_waking: pid=%d target_cpu=%d', task_id, core_id) when 'IRQ_ENTER' then format_string('irq_handler_entry: irq=%d', irq_id) else format_string('irq_handler_exit: irq=%d', irq_id) end"
     )
     stamp = F.expr("format_string('%d.%06d', ts_raw div 1000000, ts_raw % 1000000)")
-    return _written(e.select(F.concat(F.lit("  worker-"), F.coalesce("task_id", F.lit(0)), F.lit(" ["), F.lpad(F.col("core_id").cast("string"), 3, "0"), F.lit("] "), stamp, F.lit(": "), call)), "systrace")
+    return _written(e.select(F.concat(F.lit("  trace"), "dataset_id", F.lit(".worker-"), F.coalesce("task_id", F.lit(0)), F.lit(" ["), F.lpad(F.col("core_id").cast("string"), 3, "0"), F.lit("] "), stamp, F.lit(": "), call)), "systrace")
+
+
+def _systrace(s, d):
+    """The lines read back, with the trace that the task's name tells."""
+    return text_traces.scan_systrace(s, _systrace_path(s, d)).withColumn("dataset_id", F.regexp_extract("task_name", r"^trace(.+)\.worker$", 1))
 
 
 def _telemetry(s, d):
@@ -65,34 +71,57 @@ def _orders(s, d):
     return _table(s, d, "orders")
 
 
+#: Weights of the features that runs and cases share.
+CASE_WEIGHTS = {"size": 5, "rss": 3, "phase": 2, "platform": 1}
+
+
+def _runs(s, d):
+    """Orders as runs: bucketised features, proposed actions, fields without telemetry."""
+    return _orders(s, d).select(
+        F.col("o_orderkey").alias("run_id"), F.expr("case when o_totalprice < 50000 then 'small' when o_totalprice < 200000 then 'medium' else 'large' end").alias("size"),
+        F.expr("if(o_orderstatus = 'P', null, o_orderstatus)").alias("rss"), F.substring("o_orderpriority", 1, 1).alias("phase"), (F.col("o_custkey") % 3).alias("platform"),
+        F.expr("array(concat('a', o_orderkey % 4))").alias("actions"), F.expr("if(o_orderkey % 3 = 0, array('rss', 'phase'), if(o_orderkey % 3 = 1, array('rss'), cast(array() as array<string>)))").alias("missing"),
+    )
+
+
+def _cases(s, d):
+    """Customers as cases with labels, risk and reject reasons."""
+    return _table(s, d, "customer").select(
+        F.col("c_custkey").alias("case_id"), F.expr("case when c_acctbal < 1000 then 'small' when c_acctbal < 5000 then 'medium' else 'large' end").alias("size"),
+        F.expr("if(c_custkey % 7 = 0, null, if(c_custkey % 2 = 0, 'O', 'F'))").alias("rss"), F.expr("cast(c_nationkey % 5 + 1 as string)").alias("phase"), (F.col("c_custkey") % 3).alias("platform"),
+        F.expr("concat('a', c_custkey % 6)").alias("action"), F.expr("if(c_custkey % 2 = 0, array('rss'), array('phase', 'io'))").alias("missing"),
+        F.expr("element_at(array('accept', 'reject', 'unsafe', 'abstain'), cast(c_custkey % 4 + 1 as int))").alias("label"), F.expr("if(c_nationkey % 2 = 0, 'high', 'low')").alias("risk"), F.expr("if(c_custkey % 5 = 0, '', 'policy')").alias("reject_reason"),
+    )
+
+
 def _counters(s, d):
     return _lines(s, d).groupBy("l_suppkey").agg(F.count("*").alias("total"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_returnflag") != "R").alias("kept"), F.count_if(F.col("l_linestatus") == "O").alias("open"), F.count_if((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 1)).alias("closed"))
 
 
 def _ledger(s, d):
-    o = _orders(s, d).where("o_orderkey % 13 <> 0")
-    from pyspark.sql.window import Window as W
-
+    o = _orders(s, d)
     n = F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
     digest = F.md5(F.col("o_orderkey").cast("string"))
     w = W.partitionBy("o_custkey").orderBy("o_orderkey")
     rows = o.select("o_custkey", "o_orderkey", n.alias("i"), digest.alias("digest"), F.md5(F.lag("o_orderkey").over(w).cast("string")).alias("previous_digest"))
-    return rows.select("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, F.col("i") + 100).otherwise(F.col("i")).alias("append_sequence"), "digest", F.when(F.col("o_orderkey") % 11 == 0, "none").otherwise(F.col("previous_digest")).alias("previous_digest"))
+    return rows.select("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, F.col("i") + 100).otherwise(F.col("i")).alias("append_sequence"), "digest", F.when(F.col("o_orderkey") % 11 == 0, "none").otherwise(F.col("previous_digest")).alias("previous_digest"),
+        F.expr("if(o_orderkey % 17 = 0, 0, o_orderkey)").alias("record_id"), F.expr("if(o_orderkey % 19 = 0, 's2', 's1')").alias("session"))
 
 
 QUERIES = {
     "t01_doc_chunks": lambda s, d: _chunks(s, d).select("doc_id", "first_line", F.char_length("text").alias("n_chars")),
-    "t02_tokenize": lambda s, d: retrieval.tokens(_chunks(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("df >= 3"),
+    "t02_tokenize": lambda s, d: retrieval.tokens(_chunks(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")),
     "t03_tfidf_search": lambda s, d: retrieval.tfidf_search(_chunks(s, d), _queries(s)),
     "t04_snippet": lambda s, d: retrieval.snippet(_chunks(s, d), "license"),
-    "t05_case_similarity": lambda s, d: retrieval.similar_cases(_orders(s, d).where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("run_id"), "o_orderpriority", "o_orderstatus", (F.col("o_custkey") % 5).alias("c")), _table(s, d, "customer").where("c_custkey <= 60").select(F.col("c_custkey").alias("case_id"), F.lit("1-URGENT").alias("o_orderpriority"), F.when(F.col("c_custkey") % 2 == 0, "O").otherwise("F").alias("o_orderstatus"), (F.col("c_custkey") % 5).alias("c")), {"o_orderpriority": 5, "o_orderstatus": 3, "c": 2}),
+    "t05_case_similarity": lambda s, d: retrieval.similar_cases(_runs(s, d), _cases(s, d), CASE_WEIGHTS, action=6, missing=2),
+    "t05_case_summary": lambda s, d: retrieval.case_summary(retrieval.similar_cases(_runs(s, d), _cases(s, d), CASE_WEIGHTS, action=6, missing=2), _runs(s, d), _cases(s, d), threshold=8),
     "t06_run_statistics": lambda s, d: stats.run_statistics(_lines(s, d), "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount"]),
     "t07_status_counts": lambda s, d: stats.status_counts(_orders(s, d), "o_orderpriority", "o_orderstatus", ["F", "O", "P"]),
     "t08_telemetry_risk": lambda s, d: stats.telemetry_risk(_telemetry(s, d), "dataset_id", "at", "runtime", "rss", 50),
     "s11_scan_telemetry": lambda s, d: _telemetry(s, d).select("run_id", "runtime", "rss"),
     "t09_prior_training": lambda s, d: stats.prior_table(_lines(s, d).select((F.col("l_quantity") > 25).alias("f1"), (F.col("l_discount") > 0.05).alias("f2"), "l_extendedprice", F.array("l_returnflag", "l_linestatus").alias("acts")), ["f1", "f2"], "l_extendedprice", "acts"),
     "t12_feedback_summary": lambda s, d: stats.feedback_summary(_lines(s, d).select("l_returnflag", "l_suppkey", (F.col("l_linenumber") % 5).alias("clarity"), (F.col("l_quantity") % 5).alias("trust")), "l_returnflag", "l_suppkey", ["clarity", "trust"]),
-    "t13_detector_eval": lambda s, d: stats.detector_eval(_table(s, d, "documents").join(_table(s, d, "labels"), "doc_id").select("lang", (F.col("doc_id") % 97).alias("case_id"), (F.col("n_chars") % 3 > 0).alias("detected"), (F.col("toxic") == 1).alias("truth")), "lang"),
+    "t13_detector_eval": lambda s, d: stats.detector_eval(_table(s, d, "documents").join(_table(s, d, "labels"), "doc_id").select("lang", (F.col("doc_id") % 97).alias("case_id"), F.expr("array(n_chars % 3, 3 + n_chars % 2, n_chars % 7)").alias("kinds"), (F.col("toxic") == 0).alias("truth")), "lang", {"f1": [1, 3], "f2": [0, 4], "f3": [2]}),
     "t14_clock_drift": lambda s, d: stats.clock_drift(trace_events(s, d).where("event_name like 'IRQ%'"), "dataset_id", "ts_raw", 1e8),
     "t15_perturbation": lambda s, d: stats.perturbation(_lines(s, d).groupBy("l_linestatus", "l_returnflag").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n")), "l_linestatus", "l_returnflag", "A", ["q", "n"]),
     "t16_counter_reconcile": lambda s, d: stats.reconcile(_counters(s, d), "l_suppkey", {"returns": "total = returned + kept", "status": "total = open + closed", "some": "returned > 0"}),
@@ -104,47 +133,65 @@ QUERIES = {
     "s05_scan_btf": lambda s, d: text_traces.scan_btf(s, _btf_path(s, d))[0],
     "s05_btf_rejects": lambda s, d: text_traces.scan_btf(s, _btf_path(s, d))[1].groupBy("reason").agg(F.count("*").alias("n")),
     "c03_btf_to_semantic": lambda s, d: convert.btf_to_semantic(text_traces.scan_btf(s, _btf_path(s, d))[0]).groupBy("semantic", "cpu").agg(F.count("*").alias("n")),
-    "s07_scan_systrace": lambda s, d: text_traces.scan_systrace(s, _systrace_path(s, d)).select("tid", "cpu", "timestamp_ns"),
-    "c01_systrace_to_events": lambda s, d: convert.systrace_to_events(text_traces.scan_systrace(s, _systrace_path(s, d))).groupBy("core_id", "event_name", "nesting_depth").agg(F.count("*").alias("n"), F.sum("task_id").alias("tasks")),
+    "s07_scan_systrace": lambda s, d: _systrace(s, d).select("dataset_id", "tid", "cpu", "timestamp_ns"),
+    "c01_systrace_to_events": lambda s, d: convert.systrace_to_events(_systrace(s, d)).groupBy("dataset_id", "core_id", "event_name", "nesting_depth").agg(F.count("*").alias("n"), F.sum("task_id").alias("tasks")),
 }
 
 CHUNKS = "SELECT doc_id, i + 1 AS first_line, array_to_string(ls[i + 1:i + 32], chr(10)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL) AS d, unnest(range(0, greatest(0, len(ls) - 5) + 1, 28)) AS u(i)"
-W = 1.959963984540054
+Z = 1.959963984540054
 
 
 def rate(k: str, n: str, name: str) -> str:
     p = f"(({k}) * 1.0 / ({n}))"
-    half = f"{W} * sqrt({p} * (1 - {p}) / ({n}) + {W * W} / (4.0 * ({n}) * ({n}))) / (1 + {W * W} / ({n}))"
-    mid = f"({p} + {W * W} / (2.0 * ({n}))) / (1 + {W * W} / ({n}))"
+    half = f"{Z} * sqrt({p} * (1 - {p}) / ({n}) + {Z * Z} / (4.0 * ({n}) * ({n}))) / (1 + {Z * Z} / ({n}))"
+    mid = f"({p} + {Z * Z} / (2.0 * ({n}))) / (1 + {Z * Z} / ({n}))"
     return f"CASE WHEN {n} > 0 THEN round({p}, 6) END AS {name}, CASE WHEN {n} > 0 THEN round({mid} - {half}, 6) END AS {name}_low, CASE WHEN {n} > 0 THEN round({mid} + {half}, 6) END AS {name}_high"
 
 
 V = {
     "chunks": CHUNKS,
-    "toks": "SELECT doc_id, first_line, term, count(*) AS tf FROM (SELECT doc_id, first_line, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_\\x{00C0}-\\x{024F}]{2,}')) AS term FROM chunks) AS x GROUP BY ALL",
+    "low": "SELECT doc_id, first_line, lower(text) AS t FROM chunks",
+    "cjk": "SELECT doc_id, first_line, unnest(regexp_extract_all(t, '[\\x{4e00}-\\x{9fff}]+')) AS run FROM low",
+    "toks": """SELECT doc_id, first_line, term, count(*) AS tf FROM (SELECT doc_id, first_line, unnest(regexp_extract_all(t, '[a-z0-9_][a-z0-9_.:-]+')) AS term FROM low
+  UNION ALL SELECT doc_id, first_line, unnest(string_split(run, '')) FROM cjk UNION ALL SELECT doc_id, first_line, substr(run, i, 2) FROM cjk, unnest(range(1, length(run))) AS u(i)) AS x GROUP BY ALL""",
     "qs": "SELECT * FROM (VALUES ('a', 'stupid', 1, 'stupid'), ('a', 'worthless', 2, 'stupid'), ('b', 'license', 1, 'mit license'), ('b', 'mit', 1, 'mit license')) AS t(query_id, term, qtf, phrase)",
     "lines3": "SELECT l_returnflag, unnest([{'metric': 'l_quantity', 'value': CAST(l_quantity AS double)}, {'metric': 'l_extendedprice', 'value': CAST(l_extendedprice AS double)}, {'metric': 'l_discount', 'value': CAST(l_discount AS double)}]) AS x FROM lineitem",
     "tele": "SELECT CAST(o_orderkey AS varchar) AS run_id, o_orderpriority AS dataset_id, o_orderkey AS ts, CAST(o_totalprice AS double) AS runtime, CAST(o_custkey % 4096 AS double) AS rss FROM orders",
-    "led": "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY append_sequence) AS n, lag(digest) OVER (PARTITION BY o_custkey ORDER BY append_sequence) AS before FROM led0",
-    "led0": """SELECT o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN i + 100 ELSE i END AS append_sequence, digest, CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE prev END AS previous_digest FROM (SELECT o_custkey, o_orderkey, row_number() OVER w AS i, md5(CAST(o_orderkey AS varchar)) AS digest,
-  md5(CAST(lag(o_orderkey) OVER w AS varchar)) AS prev FROM orders WHERE o_orderkey % 13 <> 0 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) AS x""",
+    "runs": """SELECT o_orderkey AS run_id, CASE WHEN o_totalprice < 50000 THEN 'small' WHEN o_totalprice < 200000 THEN 'medium' ELSE 'large' END AS size, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS rss, o_orderpriority[1] AS phase, o_custkey % 3 AS platform,
+  ['a' || (o_orderkey % 4)] AS actions, CASE o_orderkey % 3 WHEN 0 THEN ['rss', 'phase'] WHEN 1 THEN ['rss'] ELSE [] END AS missing FROM orders""",
+    "cases": """SELECT c_custkey AS case_id, CASE WHEN c_acctbal < 1000 THEN 'small' WHEN c_acctbal < 5000 THEN 'medium' ELSE 'large' END AS size, CASE WHEN c_custkey % 7 <> 0 THEN CASE c_custkey % 2 WHEN 0 THEN 'O' ELSE 'F' END END AS rss, CAST(c_nationkey % 5 + 1 AS varchar) AS phase,
+  c_custkey % 3 AS platform, 'a' || (c_custkey % 6) AS action, CASE c_custkey % 2 WHEN 0 THEN ['rss'] ELSE ['phase', 'io'] END AS missing, ['accept', 'reject', 'unsafe', 'abstain'][c_custkey % 4 + 1] AS label,
+  CASE c_nationkey % 2 WHEN 0 THEN 'high' ELSE 'low' END AS risk, CASE c_custkey % 5 WHEN 0 THEN '' ELSE 'policy' END AS reject_reason FROM customer""",
+    "kinds": "SELECT DISTINCT size, rss, phase, platform, actions, missing FROM runs",
+    "alike": """SELECT run_id, case_id, score, rank FROM runs AS r JOIN (SELECT *, row_number() OVER (PARTITION BY size, rss, phase, platform, actions, missing ORDER BY score DESC, case_id) AS rank FROM (
+  SELECT k.*, case_id, CASE WHEN list_contains(actions, action) THEN 6 ELSE 0 END + CASE WHEN k.size IS NOT DISTINCT FROM c.size THEN 5 ELSE 0 END + CASE WHEN k.rss IS NOT DISTINCT FROM c.rss THEN 3 ELSE 0 END + CASE WHEN k.phase IS NOT DISTINCT FROM c.phase THEN 2 ELSE 0 END
+    + CASE WHEN k.platform IS NOT DISTINCT FROM c.platform THEN 1 ELSE 0 END + 2 * len(list_intersect(k.missing, c.missing)) AS score FROM kinds AS k CROSS JOIN cases AS c) AS x QUALIFY rank <= 3) AS y
+  ON r.size = y.size AND r.rss IS NOT DISTINCT FROM y.rss AND r.phase = y.phase AND r.platform = y.platform AND r.actions = y.actions AND r.missing = y.missing""",
+    "conflicting": """SELECT run_id, action AS act FROM (SELECT s.run_id, action, list(DISTINCT label) AS ls FROM alike AS s JOIN cases USING (case_id) JOIN runs AS r ON r.run_id = s.run_id WHERE score >= 8 AND list_contains(actions, action) GROUP BY ALL) AS x
+  WHERE list_contains(ls, 'accept') AND list_has_any(ls, ['reject', 'unsafe', 'abstain', 'needs_more_data']) OR list_contains(ls, 'unsafe') AND list_has_any(ls, ['reject', 'abstain', 'needs_more_data'])""",
+    "led": "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY append_sequence) AS n, lag(digest) OVER (PARTITION BY o_custkey ORDER BY append_sequence) AS before, count(*) OVER (PARTITION BY o_custkey, record_id) AS same_id, min(session) OVER (PARTITION BY o_custkey) AS s0, max(session) OVER (PARTITION BY o_custkey) AS s1 FROM led0",
+    "led0": """SELECT o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN i + 100 ELSE i END AS append_sequence, digest, CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE prev END AS previous_digest, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE o_orderkey END AS record_id, CASE WHEN o_orderkey % 19 = 0 THEN 's2' ELSE 's1' END AS session FROM (SELECT o_custkey, o_orderkey, row_number() OVER w AS i, md5(CAST(o_orderkey AS varchar)) AS digest,
+  md5(CAST(lag(o_orderkey) OVER w AS varchar)) AS prev FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) AS x""",
     "vers": "SELECT o_custkey, o_orderkey AS version, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey - o_orderkey % 3 END AS prior FROM orders",
-    "cases97": "SELECT lang, doc_id % 97 AS case_id, 2 * count(*) FILTER (WHERE n_chars % 3 > 0) > count(*) AS hit, bool_or(toxic = 1) AS truth FROM documents JOIN labels USING (doc_id) GROUP BY ALL",
+    "cases97": """SELECT lang, doc_id % 97 AS case_id, 2 * count(*) FILTER (WHERE list_has_all(k, [1, 3]) OR list_has_all(k, [0, 4]) OR list_contains(k, 2)) > count(*) AS hit, bool_and(toxic = 0) AS truth
+  FROM (SELECT *, [n_chars % 3, 3 + n_chars % 2, n_chars % 7] AS k FROM documents JOIN labels USING (doc_id)) AS x GROUP BY ALL""",
     "conf": "SELECT lang, count(*) AS n_case, count(*) FILTER (WHERE hit AND truth) AS tp, count(*) FILTER (WHERE NOT hit AND NOT truth) AS tn, count(*) FILTER (WHERE hit AND NOT truth) AS fp, count(*) FILTER (WHERE NOT hit AND truth) AS fn FROM cases97 GROUP BY lang",
     "sums": "SELECT l_linestatus, l_returnflag, 'q' AS metric, CAST(sum(l_quantity) AS double) AS value FROM lineitem GROUP BY ALL UNION ALL SELECT l_linestatus, l_returnflag, 'n', CAST(count(*) AS double) FROM lineitem GROUP BY ALL",
     "btf": "SELECT ts_raw, core_id, event_name, coalesce(task_id, 0) AS t FROM ev WHERE event_name IN ('CTX_SWITCH', 'TASK_READY', 'SYNC_TRY', 'LOSS')",
-    "sys": "SELECT * FROM ev WHERE event_name IN ('IRQ_ENTER', 'IRQ_EXIT', 'TASK_WAKEUP') AND dataset_id = '0' OR event_name = 'CTX_SWITCH'",
+    "sys": "SELECT * FROM ev WHERE event_name IN ('IRQ_ENTER', 'IRQ_EXIT', 'TASK_WAKEUP', 'CTX_SWITCH')",
 }
 SQL = {
     "t01_doc_chunks": "SELECT doc_id, CAST(first_line AS int) AS first_line, CAST(length(text) AS int) AS n_chars FROM chunks",
-    "t02_tokenize": "SELECT term, count(*) AS df, CAST(sum(tf) AS bigint) AS tf FROM toks GROUP BY term HAVING count(*) >= 3",
+    "t02_tokenize": "SELECT term, count(*) AS df, CAST(sum(tf) AS bigint) AS tf FROM toks GROUP BY term",
     "t03_tfidf_search": """SELECT query_id, CAST(rank AS int) AS rank, doc_id, CAST(first_line AS int) AS first_line, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, first_line) AS rank FROM (
   SELECT query_id, s.doc_id, s.first_line, round(s + CASE WHEN contains(lower(c.text), phrase) THEN 5.0 ELSE 0.0 END, 6) AS score FROM (SELECT query_id, doc_id, first_line, phrase, sum(qtf * tf * (1 + ln((SELECT count(*) FROM chunks) * 1.0 / df))) AS s FROM toks JOIN qs USING (term)
     JOIN (SELECT term, count(*) AS df FROM toks GROUP BY term) AS f USING (term) GROUP BY ALL) AS s JOIN chunks AS c ON c.doc_id = s.doc_id AND c.first_line = s.first_line) AS x) AS y WHERE rank <= 5""",
     "t04_snippet": "SELECT doc_id, CAST(first_line AS int) AS first_line, substr(text, greatest(1, p - 80), 167) AS snippet FROM (SELECT *, strpos(lower(text), 'license') AS p FROM chunks) AS x WHERE p > 0",
-    "t05_case_similarity": """SELECT run_id, case_id, CAST(score AS bigint) AS score, CAST(rank AS int) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, case_id) AS rank FROM (SELECT o_orderkey AS run_id, c_custkey AS case_id,
-  CASE WHEN o_orderpriority = '1-URGENT' THEN 5 ELSE 0 END + CASE WHEN o_orderstatus = CASE WHEN c_custkey % 2 = 0 THEN 'O' ELSE 'F' END THEN 3 ELSE 0 END + CASE WHEN o_custkey % 5 = c_custkey % 5 THEN 2 ELSE 0 END AS score
-  FROM orders, customer WHERE o_orderkey % 50 = 0 AND c_custkey <= 60) AS x WHERE score > 0) AS y WHERE rank <= 3""",
+    "t05_case_similarity": "SELECT run_id, case_id, CAST(score AS int) AS score, CAST(rank AS int) AS rank FROM alike",
+    "t05_case_summary": """SELECT r.run_id, count(case_id) AS matched, count(case_id) FILTER (WHERE score >= 8) AS "similar", coalesce(max(score), 0) AS top_score, coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (WHERE score >= 8)), ','), '') AS labels,
+  coalesce(array_to_string(list_sort(list(DISTINCT c.act) FILTER (WHERE c.act IS NOT NULL)), ','), '') AS conflicts, coalesce(bool_or(score >= 8 AND label = 'unsafe' AND risk = 'high' AND list_contains(actions, action)), false) AS unsafe_match,
+  CASE WHEN count(*) FILTER (WHERE label IN ('reject', 'unsafe')) = 0 THEN 1.0 ELSE round(count(*) FILTER (WHERE label IN ('reject', 'unsafe') AND reject_reason <> '') * 1.0 / count(*) FILTER (WHERE label IN ('reject', 'unsafe')), 6) END AS reject_coverage
+  FROM runs AS r LEFT JOIN (SELECT s.run_id, s.score, k.* FROM alike AS s JOIN cases AS k USING (case_id)) AS m ON m.run_id = r.run_id LEFT JOIN conflicting AS c ON c.run_id = r.run_id AND c.act = m.action GROUP BY ALL""",
     "t06_run_statistics": "SELECT l_returnflag, x.metric AS metric, count(x.value) AS n, round(median(x.value), 6) AS median, quantile_disc(x.value, 0.95) AS p95, min(x.value) AS least, max(x.value) AS most FROM lines3 GROUP BY ALL",
     "t07_status_counts": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p, count(*) AS total FROM orders GROUP BY ALL",
     "t08_telemetry_risk": "SELECT dataset_id, max(runtime) AS max_runtime, max(rss) AS max_rss, count(*) FILTER (WHERE rss >= 2048) AS heavy, count(*) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY ts DESC, runtime DESC) AS n FROM tele) AS x WHERE n <= 50 GROUP BY dataset_id",
@@ -160,7 +207,7 @@ SQL = {
     "t16_counter_reconcile": """SELECT l_suppkey, array_to_string(list_filter([CASE WHEN total <> closed + op THEN 'status' END, CASE WHEN returned = 0 THEN 'some' END], lambda x: x IS NOT NULL), ',') AS failing, total = closed + op AND returned > 0 AS consistent
   FROM (SELECT l_suppkey, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'O') AS op, count(*) FILTER (WHERE l_linestatus = 'F' AND l_quantity > 1) AS closed FROM lineitem GROUP BY ALL) AS x""",
     "t17_raw_facts": "SELECT dataset_id, CAST(coalesce(sum(greatest(step, 0)), 0) AS bigint) AS missing, CAST(coalesce(sum(lost_count), 0) AS bigint) AS lost, CAST(coalesce(sum(overflow_count), 0) AS bigint) AS overflowed FROM (SELECT *, seq - lag(seq) OVER (PARTITION BY dataset_id, core_id ORDER BY seq) - 1 AS step FROM ev) AS x GROUP BY dataset_id",
-    "t18_ledger_chain": "SELECT * FROM (SELECT o_custkey, append_sequence, array_to_string(list_filter([CASE WHEN append_sequence <> n THEN 'SEQUENCE' END, CASE WHEN previous_digest IS DISTINCT FROM before THEN 'CHAIN' END], lambda x: x IS NOT NULL), ',') AS violation FROM led) AS x WHERE violation <> ''",
+    "t18_ledger_chain": "SELECT * FROM (SELECT o_custkey, append_sequence, array_to_string(list_filter([CASE WHEN append_sequence <> n THEN 'SEQUENCE' END, CASE WHEN previous_digest IS DISTINCT FROM before THEN 'CHAIN' END, CASE WHEN same_id > 1 THEN 'DUPLICATE_ID' END, CASE WHEN s0 <> s1 THEN 'SESSION' END], lambda x: x IS NOT NULL), ',') AS violation FROM led) AS x WHERE violation <> ''",
     "t19_current_version": """SELECT o_custkey, versions, leaves, forks, seen - versions AS dangling, roots, CASE WHEN leaves = 1 AND forks = 0 AND seen = versions AND roots = 1 THEN leaf END AS current FROM (
   SELECT o_custkey, count(*) FILTER (WHERE followers IS NULL) AS leaves, count(*) FILTER (WHERE followers > 1) AS forks, max(version) FILTER (WHERE followers IS NULL) AS leaf, count(*) AS seen
   FROM vers FULL JOIN (SELECT o_custkey, prior AS version, count(*) AS followers FROM vers WHERE prior IS NOT NULL GROUP BY ALL) AS p USING (o_custkey, version) GROUP BY o_custkey) AS g
@@ -172,11 +219,13 @@ SQL = {
     "s05_scan_btf": "SELECT ts_raw AS timestamp, 'Core_' || core_id AS subject, CASE event_name WHEN 'LOSS' THEN 'STI' ELSE 'T' END AS kind, 'T' || t AS target, CASE event_name WHEN 'CTX_SWITCH' THEN 'start' WHEN 'TASK_READY' THEN 'activate' ELSE 'trigger' END AS action, CASE event_name WHEN 'TASK_READY' THEN 'create' ELSE 'x' END AS detail FROM btf WHERE event_name <> 'SYNC_TRY'",
     "s05_btf_rejects": "SELECT 'ACTION' AS reason, count(*) AS n FROM btf WHERE event_name = 'SYNC_TRY'",
     "c03_btf_to_semantic": "SELECT CASE event_name WHEN 'TASK_READY' THEN 'task_create' WHEN 'CTX_SWITCH' THEN 'context_switch' ELSE 'marker' END AS semantic, core_id AS cpu, count(*) AS n FROM btf WHERE event_name <> 'SYNC_TRY' GROUP BY ALL",
-    "s07_scan_systrace": "SELECT coalesce(task_id, 0) AS tid, core_id AS cpu, ts_raw * 1000 AS timestamp_ns FROM sys",
-    "c01_systrace_to_events": """SELECT core_id, name AS event_name, CAST(depth AS int) AS nesting_depth, count(*) AS n, CAST(sum(task) AS bigint) AS tasks FROM (
-  SELECT core_id, 'TASK_BLOCK' AS name, NULL AS depth, prev_task_id AS task FROM sys WHERE event_name = 'CTX_SWITCH' AND reason = 1 AND prev_task_id > 0 UNION ALL SELECT core_id, 'TASK_DISPATCH', NULL, next_task_id FROM sys WHERE event_name = 'CTX_SWITCH' AND next_task_id > 0
-  UNION ALL SELECT core_id, 'CTX_SWITCH', NULL, next_task_id FROM sys WHERE event_name = 'CTX_SWITCH' UNION ALL SELECT core_id, 'TASK_WAKEUP', NULL, task_id FROM sys WHERE event_name = 'TASK_WAKEUP'
-  UNION ALL SELECT core_id, event_name, CASE event_name WHEN 'IRQ_ENTER' THEN walk - low ELSE walk - low + 1 END, NULL FROM (SELECT *, least(0, min(walk) OVER (PARTITION BY core_id ORDER BY ts_raw)) AS low FROM (
-    SELECT *, sum(CASE event_name WHEN 'IRQ_ENTER' THEN 1 WHEN 'IRQ_EXIT' THEN -1 ELSE 0 END) OVER (PARTITION BY core_id ORDER BY ts_raw) AS walk FROM sys) AS a) AS b WHERE event_name LIKE 'IRQ%') AS x GROUP BY ALL""",
+    "s07_scan_systrace": "SELECT dataset_id, coalesce(task_id, 0) AS tid, core_id AS cpu, ts_raw * 1000 AS timestamp_ns FROM sys",
+    "c01_systrace_to_events": """SELECT dataset_id, core_id, name AS event_name, CAST(depth AS int) AS nesting_depth, count(*) AS n, CAST(sum(task) AS bigint) AS tasks FROM (
+  SELECT dataset_id, core_id, 'TASK_BLOCK' AS name, NULL AS depth, prev_task_id AS task FROM sys WHERE event_name = 'CTX_SWITCH' AND reason = 1 AND prev_task_id > 0
+  UNION ALL SELECT dataset_id, core_id, 'TASK_DISPATCH', NULL, next_task_id FROM sys WHERE event_name = 'CTX_SWITCH' AND next_task_id > 0
+  UNION ALL SELECT dataset_id, core_id, 'CTX_SWITCH', NULL, next_task_id FROM sys WHERE event_name = 'CTX_SWITCH' UNION ALL SELECT dataset_id, core_id, 'TASK_WAKEUP', NULL, task_id FROM sys WHERE event_name = 'TASK_WAKEUP'
+  UNION ALL SELECT dataset_id, core_id, event_name, CASE event_name WHEN 'IRQ_ENTER' THEN walk - low ELSE walk - low + 1 END, NULL FROM (SELECT *, least(0, min(walk) OVER w) AS low FROM (
+    SELECT *, sum(CASE event_name WHEN 'IRQ_ENTER' THEN 1 ELSE -1 END) OVER w AS walk FROM sys WHERE event_name LIKE 'IRQ%' WINDOW w AS (PARTITION BY dataset_id, core_id ORDER BY ts_raw, event_name ROWS UNBOUNDED PRECEDING)) AS a
+    WINDOW w AS (PARTITION BY dataset_id, core_id ORDER BY ts_raw, event_name ROWS UNBOUNDED PRECEDING)) AS b) AS x GROUP BY ALL""",
 }
 ORACLE = {k: with_views(v, V) for k, v in SQL.items()}
