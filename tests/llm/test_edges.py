@@ -284,6 +284,33 @@ def test_top_k(spark):
     assert top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_over_many_groups(spark, monkeypatch):
+    """Clustered vectors, repeated ids and rows, several groups and packs, against all pairs."""
+    import random
+
+    from tracefold.llm import topk
+
+    monkeypatch.setattr(topk, "GROUP", 40)
+    monkeypatch.setattr(topk, "PACK", 3)
+    monkeypatch.setattr(topk, "SPLIT", 2)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 1)
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        centre = [(-3.0 if (i // 40 >> d) & 1 else 3.0) for d in range(4)]
+        rows.append((i, [c + rng.uniform(-1, 1) for c in centre][: 3 + i % 2]))
+    rows += [(50, rows[50][1])] * 3 + [(50, [9.0, 9.0, 9.0, 9.0]), (7, [1.0, 1.0, 1.0, 1.0]), (7, [1.0, 1.0, 1.0, 1.0])]
+    v = quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(v, v.where("vec_id % 50 = 0"), 5).collect())
+    ints = [(i, [int((256 * x) // 1) for x in e] + [0] * (4 - len(e))) for i, e in rows]
+    want = []
+    for n, (i, q) in enumerate(ints):
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, x, strict=True)), j) for m, (j, x) in enumerate(ints) if m != n)[:5]
+            want += [(i, rank, j, -score) for rank, (score, j) in enumerate(scored, 1)]
+    assert got == sorted(want)
+
+
 def test_chat_long_and_foreign_replies(spark):
     long = [(7, side, i, "user" if i % 2 == 0 else "assistant", f"t{i}" if i < 3000 or not side else "other") for side in (False, True) for i in range(4000)]
     (r,) = preference_format(spark.createDataFrame(long, "pair_id long, rejected boolean, turn long, role string, text string")).collect()
