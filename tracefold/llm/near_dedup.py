@@ -11,9 +11,10 @@
 3. In each band bucket, all members are compared with the smallest one. Links
    are merged to components; members still in different components go on:
    buckets with few pairs between components have these compared, others go
-   round by round with several more leaders, until no bucket spans
-   components. So a large group of copies costs a few comparisons a member,
-   and no pair that could join two components is left out.
+   round by round with twice as many more leaders each time, until no bucket
+   spans components. So a large group of copies costs a few comparisons a
+   member, a bucket of m members that stay apart takes about log m rounds, and
+   no pair that could join two components is left out.
 4. Every comparison is made on the full shingle sets, recomputed from the
    two texts. Components come from star contraction.
 
@@ -40,7 +41,7 @@ from .components import connected_components
 K = 5
 BANDS, ROWS = 50, 5
 SLOTS = BANDS * ROWS
-#: Most pairs between components per member of a bucket that are compared at once, and members compared with all a round otherwise.
+#: Most pairs between components per member of a bucket that are compared at once, and members compared with all in the first round otherwise.
 PARTNERS, LEADERS = 4096, 64
 #: Hash parts in which the shingles that two documents could share are counted.
 PARTS = 128
@@ -171,7 +172,7 @@ def usable(docs: DataFrame, texts: DataFrame) -> DataFrame:
     return filled.select("doc", "core", F.expr(f"transform(sequence(0, {PARTS - 1}), i -> coalesce(try_element_at(m, i), 0))").alias("parts"))
 
 
-def candidate_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+def candidate_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, threshold: int, n_leaders: int) -> tuple[DataFrame, DataFrame]:
     """(pairs to compare, members for the next round) of buckets that span components.
 
     members: bucket, doc, n, component; bands: doc, bands. A pair comes from
@@ -179,14 +180,15 @@ def candidate_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, thre
     they have in common with other components, counted by hash part, could
     reach the threshold; a stray copy mostly meets nobody. A bucket with at most
     PARTNERS pairs between components for each of its members gives them all
-    and ends. Of the others, LEADERS members are compared with all and leave
-    the bucket.
+    and ends. Of the others, ``n_leaders`` members are compared with all and
+    leave the bucket. A bucket's counts are written before they are joined back
+    to its members, so that adaptive execution can split a large bucket.
     """
 
     def mixed(df: DataFrame) -> DataFrame:
         parts = df.groupBy("bucket", "component").agg(F.count("*").alias("k"))
         stats = parts.groupBy("bucket").agg(F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("inside"), F.count("*").alias("parts")).where("parts > 1")
-        return df.join(stats.withColumn("few", F.expr(f"(size * size - inside) / 2 <= {PARTNERS} * size")).select("bucket", "few"), "bucket")
+        return df.join(settle(stats.withColumn("few", F.expr(f"(size * size - inside) / 2 <= {PARTNERS} * size")).select("bucket", "few")), "bucket")
 
     spanning = settle(mixed(members).drop("few"))
     core = settle(usable(spanning.select("doc", "component").distinct(), texts))
@@ -200,7 +202,7 @@ def candidate_pairs(members: DataFrame, bands: DataFrame, texts: DataFrame, thre
     first = "x.bands[array_position(zip_with(x.bands, y.bands, (p, q) -> p = q), true) - 1] = x.bucket"
     few = open_.where("few").join(bands, "doc")
     pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.doc < y.doc and {near} and {first} and {shared}")).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
-    many = open_.where("not few").drop("few").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(LEADERS)))
+    many = open_.where("not few").drop("few").withColumn("salt", F.pmod(F.xxhash64("doc"), F.lit(n_leaders)))
     leaders = many.groupBy("bucket", "salt").agg(F.min(F.struct("doc", "n", "component", "core", "parts")).alias("d")).select("bucket", "d.*")
     led = many.alias("x").join(leaders.alias("y"), F.expr(f"{near} and {shared}")).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
     rest = many.select("bucket", "doc", "n").join(leaders.select("bucket", "doc"), ["bucket", "doc"], "left_anti")
@@ -245,10 +247,12 @@ def judged(docs: DataFrame, threshold: int) -> DataFrame:
     tested = settle(first)
     links = settle(verified(tested, texts, threshold))
     left = members.where("doc <> leader").select("bucket", "doc", "n")
+    n_leaders = LEADERS
     while True:
         groups = connected_components(links)
         labelled = left.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", "n", F.coalesce("component", "doc").alias("component"))
-        pairs, left = candidate_pairs(labelled, bands, texts, threshold)
+        pairs, left = candidate_pairs(labelled, bands, texts, threshold, n_leaders)
+        n_leaders *= 2
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"))
         left = settle(left)
         if pairs.isEmpty() and left.isEmpty():
