@@ -24,8 +24,11 @@ class Budget:
 EVENT_BYTES = 64
 
 
-def dependency_edges(t, alerts: DataFrame, snapshot: str = "s0") -> DataFrame:
-    """Both directions of every relation; unique by (src, dst, relation, family), loops dropped."""
+def dependency_edges(t, alerts: DataFrame, marks: DataFrame | None = None, snapshot: str = "s0") -> DataFrame:
+    """Both directions of every relation; unique by (src, dst, relation, family), loops dropped.
+
+    marks: dataset_id, family (anchor or context), mark, ref: what a reader has marked.
+    """
 
     def pair(df, a, b, relation, family, there, back):
         ends = [(a, b, there, relation), (b, a, back, relation)]
@@ -42,6 +45,8 @@ def dependency_edges(t, alerts: DataFrame, snapshot: str = "s0") -> DataFrame:
         pair(alerts, F.col("alert_id"), F.col("evidence"), "alert_evidence", "alert", 100, 100),
         pair(alerts.withColumn("diag", F.concat(F.lit("diag:"), "alert_id")), F.col("diag"), F.col("alert_id"), "diagnosis_alert", "diagnosis", 95, 95),
     ]
+    if marks is not None:
+        edges += [pair(marks.where(F.col("family") == f), F.col("mark"), F.col("ref"), f"{f}_ref", f, 92, 92) for f in ("anchor", "context")]
     every = reduce(DataFrame.unionByName, edges).where("src_ref is not null and dst_ref is not null and src_ref <> dst_ref")
     every = every.groupBy("dataset_id", "src_ref", "dst_ref", "relation_kind", "rule_family").agg(F.max("priority").alias("priority"))
     hint = t.events.select("dataset_id", "event_uid", F.struct("ts", "core_id", "seq").alias("hint"))
@@ -62,11 +67,25 @@ def contract_rejects(edges: DataFrame) -> DataFrame:
     return edges.withColumn("reason", reason).where("reason is not null").groupBy("dataset_id", "reason").agg(F.count("*").alias("n"))
 
 
-def seeds(alerts: DataFrame, events: DataFrame, kinds: list[str]) -> DataFrame:
-    """One closure per alert of the kinds: closure_id, ref, and whether the ref exists."""
-    s = alerts.where(F.col("type").isin(kinds) & F.col("evidence").isNotNull()).select("dataset_id", F.col("alert_id").alias("closure_id"), F.col("evidence").alias("ref"))
+def seeds(alerts: DataFrame, events: DataFrame, kinds: list[str] | None = None, marks: DataFrame | None = None, manual: DataFrame | None = None, spans: DataFrame | None = None) -> DataFrame:
+    """Starts of closures: dataset_id, kind, closure_id, ref, and whether the ref is an event that exists.
+
+    Alerts (of the kinds, if given) and their diagnoses start from their
+    evidence, anchors and contexts from what they mark, manual refs
+    (dataset_id, ref) from themselves, time spans (dataset_id, span, w_begin,
+    w_end) from the events in them.
+    """
+    a = alerts.where(F.col("evidence").isNotNull() & (F.col("type").isin(kinds) if kinds else F.lit(True)))
+    one = lambda df, kind, closure, ref: df.select("dataset_id", F.lit(kind).alias("kind"), closure.alias("closure_id"), F.col(ref).alias("ref"))
+    parts = [one(a, "alert", F.col("alert_id"), "evidence"), one(a, "diagnosis", F.concat(F.lit("diag:"), "alert_id"), "evidence")]
+    if marks is not None:
+        parts += [one(marks.where(F.col("family") == f), f, F.col("mark"), "ref") for f in ("anchor", "context")]
+    if manual is not None:
+        parts.append(one(manual, "manual", F.concat(F.lit("manual:"), "ref"), "ref"))
+    if spans is not None:
+        parts.append(one(events.join(spans, "dataset_id").where("ts between w_begin and w_end"), "span", F.col("span"), "event_uid"))
     known = events.select("dataset_id", F.col("event_uid").alias("ref")).distinct().withColumn("found", F.lit(True))
-    return s.join(known, ["dataset_id", "ref"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    return reduce(DataFrame.unionByName, parts).join(known, ["dataset_id", "ref"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def closure(edges: DataFrame, starts: DataFrame, budget: Budget = Budget(), families: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -113,12 +132,21 @@ def closure(edges: DataFrame, starts: DataFrame, budget: Budget = Budget(), fami
     return closed, out.select(*key, "depth", "seeds", "refs", emitted.alias("events"), (emitted * EVENT_BYTES).alias("bytes"), "halt_reason", F.when(F.col("halt_reason").isNull(), "exact").when(F.col("halt_reason") == "CYCLE_INFLATION", "degraded").otherwise("bounded").alias("mode"))
 
 
-def proof_digest(closures: DataFrame, snapshot: str = "s0") -> DataFrame:
-    """A digest per closure over its facts in fixed order."""
-    facts = F.to_json(F.struct(F.lit(snapshot).alias("snapshot"), "closure_id", "depth", "seeds", "refs", "events", "bytes", "mode"))
+def proof_digest(closures: DataFrame, budget: Budget = Budget(), snapshot: str = "s0") -> DataFrame:
+    """A digest per closure over thirteen facts in fixed order."""
+    limits = [F.lit(x).alias(n) for n, x in (("max_depth", budget.depth), ("max_events", budget.events), ("max_bytes", budget.bytes), ("max_ratio", budget.ratio))]
+    facts = F.to_json(F.struct(F.lit(snapshot).alias("snapshot"), "closure_id", *limits, "depth", "seeds", "refs", "events", "bytes", F.coalesce("halt_reason", F.lit("none")).alias("halt"), "mode"))
     return closures.select("dataset_id", "closure_id", F.concat(F.lit("sha256:"), F.sha2(facts, 256)).alias("proof"))
 
 
+def proof_check(proofs: DataFrame, closures: DataFrame, budget: Budget = Budget(), snapshot: str = "s0") -> DataFrame:
+    """dataset_id, closure_id, status of stated proofs against recomputed ones: valid, changed, unknown (no such closure) or unproved."""
+    again = proof_digest(closures, budget, snapshot).withColumnRenamed("proof", "again")
+    j = proofs.join(again, ["dataset_id", "closure_id"], "full")
+    status = F.when(F.col("again").isNull(), "unknown").when(F.col("proof").isNull(), "unproved").when(F.col("proof") == F.col("again"), "valid").otherwise("changed")
+    return j.select("dataset_id", "closure_id", status.alias("status"))
+
+
 def window_plan(hints: DataFrame, keys: list[str], most_gap: int = 50_000) -> DataFrame:
     """Read spans: hint ranges of a key merged when at most the median width (clamped) apart.
 
@@ -133,7 +161,9 @@ def window_plan(hints: DataFrame, keys: list[str], most_gap: int = 50_000) -> Da
 
 
 def read_plan_stats(plan: DataFrame, key: str) -> DataFrame:
-    return plan.groupBy(key).agg(F.count("*").alias("spans"), F.sum(F.col("t_end") - F.col("t_begin")).alias("total_span"), F.sum("refs").alias("refs"))
+    """Per key: spans (one seek each), their length, references, and references found per span read."""
+    g = plan.groupBy(key).agg(F.count("*").alias("spans"), F.sum(F.col("t_end") - F.col("t_begin")).alias("total_span"), F.sum("refs").alias("refs"), F.count_if(F.col("refs") == 1).alias("point_spans"))
+    return g.withColumn("refs_per_seek", F.round(F.col("refs") / F.col("spans"), 6))
 
 
 def edge_partitions(edges: DataFrame) -> DataFrame:

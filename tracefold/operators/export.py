@@ -41,16 +41,35 @@ def ref_index(events: DataFrame) -> DataFrame:
     return events.select("dataset_id", F.col("event_uid").alias("ref_key"), "ts", "core_id", "seq")
 
 
+#: What mentions events in a table, by category.
+MENTIONS = {
+    "states": ("cause_event",), "slices": ("start_event", "end_event"), "holds": ("evidence_ref", "end_event"), "waits": ("evidence_ref", "end_event"),
+    "irqs": ("enter_event", "exit_event"), "alerts": ("evidence",), "diagnoses": ("evidence",), "anchors": ("ref",), "contexts": ("ref",),
+}
+
+
+def refs_by_category(package: dict[str, DataFrame]) -> DataFrame:
+    """dataset_id, category, ref_key of every event that a table of the package mentions; of alerts, diagnoses and marks only events count."""
+    one = lambda name: package[name].select("dataset_id", F.lit(name).alias("category"), F.explode(F.array_compact(F.array(*MENTIONS[name]))).alias("ref_key"))
+    return reduce(DataFrame.unionByName, [one(n) for n in MENTIONS if n in package]).where("startswith(ref_key, 'evt:')").distinct()
+
+
 def required_refs(package: dict[str, DataFrame]) -> DataFrame:
     """Every event that a table of the package mentions."""
-    one = lambda name, *cols: package[name].select("dataset_id", F.explode(F.array_compact(F.array(*cols))).alias("ref_key"))
-    parts = [one("states", "cause_event"), one("slices", "start_event", "end_event"), one("holds", "evidence_ref", "end_event"), one("waits", "evidence_ref", "end_event"), one("irqs", "enter_event", "exit_event")]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return refs_by_category(package).select("dataset_id", "ref_key").distinct()
 
 
-def missing_refs(package: dict[str, DataFrame]) -> DataFrame:
+def missing_refs(package: dict[str, DataFrame], by_category: bool = False) -> DataFrame:
     """References of the package that its events don't have."""
-    return required_refs(package).join(ref_index(package["events"]), ["dataset_id", "ref_key"], "left_anti")
+    refs = refs_by_category(package) if by_category else required_refs(package)
+    return refs.join(ref_index(package["events"]), ["dataset_id", "ref_key"], "left_anti")
+
+
+def metric_rows(values: DataFrame) -> DataFrame:
+    """dataset_id, metrics: a trace's metrics as one JSON object, by name, with six decimals."""
+    pair = F.concat(F.lit('"'), "metric_id", F.lit('":'), F.format_string("%.6f", "value"))
+    sorted_ = F.array_sort(F.collect_list(F.struct("metric_id", pair.alias("pair"))))
+    return values.where("value is not null").groupBy("dataset_id").agg(F.concat(F.lit("{"), F.array_join(F.transform(sorted_, lambda m: m["pair"]), ","), F.lit("}")).alias("metrics"))
 
 
 def merge_segments(parts: list[DataFrame]) -> DataFrame:

@@ -48,13 +48,20 @@ def reused_ids(events: DataFrame) -> DataFrame:
     return events.groupBy("dataset_id", "event_uid").agg(F.count_distinct("ts").alias("n")).where("n > 1")
 
 
-def status(rec: DataFrame, windows: DataFrame, reused: DataFrame) -> DataFrame:
-    """The worst that holds: mapping, open end, close end, alignment, loss; else complete."""
+def status(rec: DataFrame, windows: DataFrame, reused: DataFrame, unsupported: DataFrame | None = None) -> DataFrame:
+    """The worst that holds: mapping, capability, open end, close end, alignment, loss; else complete.
+
+    unsupported: dataset_id, object_type that a trace lacks the events for.
+    """
     bad = rec.select("dataset_id", "object_id", F.explode("sources").alias("event_uid")).join(reused, ["dataset_id", "event_uid"], "left_semi").select("dataset_id", "object_id").distinct().withColumn("reused", F.lit(True))
     j = rec.join(touching_windows(rec, windows), ["dataset_id", "object_id"], "left").join(bad, ["dataset_id", "object_id"], "left")
+    if unsupported is not None:
+        j = j.join(unsupported.select("dataset_id", "object_type").distinct().withColumn("lacking", F.lit(True)), ["dataset_id", "object_type"], "left")
+    lacking = F.col("lacking") if unsupported is not None else F.lit(False)
     has = lambda *codes: F.coalesce(F.arrays_overlap("reasons", F.array(*[F.lit(c) for c in codes])), F.lit(False))
     verdict = (
         F.when(F.col("reused"), "MAPPING_INVALID")
+        .when(lacking, "CAPABILITY_UNSUPPORTED")
         .when(F.col("open_event").isNull(), "INCOMPLETE_OPEN")
         .when(F.col("close_event").isNull() | F.col("reason_code").isNotNull(), "INCOMPLETE_CLOSE")
         .when(has("ALIGN_DEGRADED"), "ALIGNMENT_DEGRADED")

@@ -152,5 +152,7 @@ SQL = {
   CASE support_level WHEN 'exact' THEN 'high' WHEN 'unsupported' THEN 'low' ELSE 'degraded' END AS confidence, support_level, alert_id, evidence FROM alerts""",
     "x09_backtrace": "SELECT a.dataset_id, e.event_uid, alert_id, event_name, ts, e.core_id FROM a1 AS a JOIN al AS e ON e.event_uid = a.evidence",
 }
-QUERIES = {k: over_trace(f) for k, f in TRACE.items()}
+#: Queries that read some interval tables more than once.
+REREAD = {"m12_metric_value", "m13_metric_bucket_series", "d02_support_level", "d03_trust_summary", "x07_untrusted_window", "x08_diagnose"}
+QUERIES = {k: over_trace(f, keep=k in REREAD) for k, f in TRACE.items()}
 ORACLE = {k: with_views(v, V) for k, v in SQL.items()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import settle
 from ..operators import align, integrity, rebuild
+from ..operators.alerts import Thresholds, all_alerts
 from ..sources.trace_view import trace_events
 
 
@@ -19,6 +20,12 @@ class TraceTables:
     """The tables of one or more traces, all keyed by dataset_id and built when first asked for."""
 
     raw: DataFrame
+    #: Interval tables are written once too, for queries that read some of them more than once.
+    keep: bool = False
+    _alerts: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+
+    def _kept(self, df: DataFrame) -> DataFrame:
+        return settle(df) if self.keep else df
 
     @cached_property
     def tagged(self) -> DataFrame:
@@ -31,23 +38,23 @@ class TraceTables:
 
     @cached_property
     def states(self) -> DataFrame:
-        return rebuild.task_states(self.events)
+        return self._kept(rebuild.task_states(self.events))
 
     @cached_property
     def slices(self) -> DataFrame:
-        return rebuild.exec_slices(self.events)
+        return self._kept(rebuild.exec_slices(self.events))
 
     @cached_property
     def holds(self) -> DataFrame:
-        return rebuild.hold_edges(self.events)
+        return self._kept(rebuild.hold_edges(self.events))
 
     @cached_property
     def waits(self) -> DataFrame:
-        return rebuild.wait_edges(self.events)
+        return self._kept(rebuild.wait_edges(self.events))
 
     @cached_property
     def irqs(self) -> DataFrame:
-        return rebuild.irq_spans(self.events)
+        return self._kept(rebuild.irq_spans(self.events))
 
     @cached_property
     def windows(self) -> DataFrame:
@@ -56,19 +63,27 @@ class TraceTables:
         out = integrity.seq_gap_windows(self.raw)
         for p in parts:
             out = out.unionByName(p)
-        return out
+        return self._kept(out)
 
     @cached_property
     def scope(self) -> DataFrame:
         """The analysis window of each dataset: its middle four fifths."""
         span = self.events.groupBy("dataset_id").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
-        return span.select("dataset_id", F.expr("lo + (hi - lo) div 10").alias("w_begin"), F.expr("hi - (hi - lo) div 10").alias("w_end"))
+        return self._kept(span.select("dataset_id", F.expr("lo + (hi - lo) div 10").alias("w_begin"), F.expr("hi - (hi - lo) div 10").alias("w_end")))
+
+
+    def alerts(self, thresholds: Thresholds) -> DataFrame:
+        """All alerts of the scope, written once for each set of thresholds."""
+        key = repr(thresholds)
+        if key not in self._alerts:
+            self._alerts[key] = settle(all_alerts(self, self.scope, thresholds))
+        return self._alerts[key]
 
 
-def tables(spark: SparkSession, sf_dir: str) -> TraceTables:
-    return TraceTables(trace_events(spark, sf_dir))
+def tables(spark: SparkSession, sf_dir: str, keep: bool = False) -> TraceTables:
+    return TraceTables(trace_events(spark, sf_dir), keep)
 
 
-def over_trace(f: Callable[[TraceTables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def over_trace(f: Callable[[TraceTables], DataFrame], keep: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     """A registered query from a function of the trace tables."""
-    return lambda spark, sf_dir: f(tables(spark, sf_dir))
+    return lambda spark, sf_dir: f(tables(spark, sf_dir, keep))
