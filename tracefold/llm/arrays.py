@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 U = np.uint64
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -81,7 +81,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     """A 64-bit hash of each word's bytes (lower-cased A-Z first, if asked), from one pass of prefix sums; ``which`` of the two."""
     table = _BYTES[which][_LOWER] if lower else _BYTES[which]
     sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(table[data] * powers(BASES[which], len(data)), out=sums[1:])
+    sums[1:] = table[data]
+    sums[1:] *= powers(BASES[which], len(data))
+    np.cumsum(sums[1:], out=sums[1:])
     return mix64((sums[ends] - sums[starts]) * powers(_INVERSES[which], len(data))[starts])
 
 
