@@ -42,20 +42,31 @@ def test_closure_depths_budget_and_cycles(spark):
 
 
 def test_chunk_files_round_trip_and_damage(spark, tmp_path):
-    rows = [(i, 100 + i, i % 5, i % 3, i % 4 - 1) for i in range(1, 41)]
-    good = chunks.encode_chunk(0, rows[:20]) + chunks.encode_chunk(1, rows[20:])
+    rows = [{"event_name": ("TASK_BLOCK", "CTX_SWITCH", "IRQ_ENTER", "SYNC_CALIB")[i % 4], "seq": i, "ts_raw": 100 + i, "task_id": i % 3, "reason": 2, "irq_id": 4, "prev_task_id": 1, "next_task_id": i % 5} for i in range(1, 41)]
+    good = chunks.encode_segment("run", [chunks.encode_chunk(0, rows[:20]), chunks.encode_chunk(1, rows[20:])], cores=2)
     (tmp_path / "a.bin").write_bytes(good)
-    got = sorted((r.core_id, r.seq, r.ts_raw, r.kind, r.task_id, -1 if r.obj_id is None else r.obj_id) for r in chunks.scan_trace(spark, str(tmp_path)).collect())
-    assert got == sorted((0 if r[0] <= 20 else 1, *r) for r in rows)
-    spans = spark.createDataFrame([(1, 125, 130)], "core_id int, t_begin long, t_end long")
-    assert sorted(r.seq for r in chunks.read_window_spans(spark, str(tmp_path), spans).collect()) == [25, 26, 27, 28, 29, 30]
+    got = chunks.scan_trace(chunks.files(spark, str(tmp_path))).collect()
+    assert sorted((r.core_id, r.seq, r.ts_raw, r.event_name) for r in got) == [(0 if r["seq"] <= 20 else 1, r["seq"], r["ts_raw"], r["event_name"]) for r in rows]
+    assert all((r.prev_task_id, r.next_task_id, r.reason) == (1, r.seq % 5, 2) for r in got if r.event_name == "CTX_SWITCH") and all(r.crc_ok for r in got)
+    path = chunks.files(spark, str(tmp_path)).first()["path"]
+    spans = spark.createDataFrame([(path, 1, 125, 130, None, 29)], "path string, core_id int, t_begin long, t_end long, seq_begin long, seq_end long")
+    kept, counters = chunks.read_window_spans(chunks.files(spark, str(tmp_path)), spans)
+    assert sorted(r.seq for r in kept.collect()) == [25, 26, 27, 28, 29]
+    (c,) = counters.collect()
+    assert (c.chunks, c.seeks, c.decoded, c.kept, c.hit_rate) == (2, 1, 20, 5, 0.25)
+    first = chunks.TRACE_HEADER.size + chunks.SEGMENT_HEADER.size + chunks.CHUNK_HEADER.size
     bad = bytearray(good)
-    bad[chunks.HEADER.size + 3] ^= 1
-    (tmp_path / "b.bin").write_bytes(bytes(bad) + b"TFC1xx")
-    catalog = chunks.chunk_catalog(spark, str(tmp_path / "b.bin"))
-    assert [r.problem for r in catalog.orderBy("chunk_id").collect()] == [None, None, "TRUNCATED_CHUNK"]
-    assert {(r.chunk_id, r.crc_ok) for r in chunks.decode(catalog, chunks.files(spark, str(tmp_path / "b.bin"))).collect()} == {(0, False), (1, True)}
-    assert {(r.core_id, r.records) for r in chunks.prescan(catalog).collect()} == {(0, 20), (1, 20)}
+    bad[first + 30] ^= 1
+    cases = {"bad": bytes(bad) + b"cut", "short": good[:-3], "head": good[:20], "none": b"", "mark": b"x" + good[1:], "old": chunks.TRACE_HEADER.pack(chunks.TRACE_MARK, 1, 1, 1, 1, 1, 1, b"", b"", b"") + chunks.encode_chunk(3, rows[:2])}
+    segments = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "path string, content binary")
+    catalog = chunks.chunk_catalog(segments)
+    found = {k: [r.problem for r in catalog.where(f"path = '{k}'").orderBy("chunk_id").collect()] for k in cases}
+    assert found == {"bad": [None, None, "TRUNCATED_CHUNK"], "short": [None, "TRUNCATED_CHUNK"], "head": ["TRUNCATED_HEADER"], "none": ["TRUNCATED_HEADER"], "mark": ["BAD_MARK"], "old": [None]}
+    read = chunks.scan_trace(segments).collect()
+    assert {(r.chunk_id, r.crc_ok) for r in read if r.path == "bad"} == {(0, False), (1, True)} and len([r for r in read if r.path == "old"]) == 2
+    cut = chunks.CHUNK_HEADER.pack(chunks.CHUNK_MARK, 1, 0, 3, 30, 1, 2, 1, 3, 1, 0) + chunks.encode_event(0, "SYNC_CALIB", 1, 1, {}) + b"zz"
+    (one, two) = chunks.scan_trace(spark.createDataFrame([("p", bytearray(chunks.encode_segment("r", [cut])))], "path string, content binary")).collect()
+    assert {one.problem, two.problem} == {None, "TRUNCATED_EVENT"}
 
 
 def test_vcd_and_logic_csv(spark, tmp_path):

@@ -26,8 +26,8 @@ def tag_events(events: DataFrame) -> DataFrame:
     return e.withColumn("trusted", F.size("trust_tags") == 0).drop("prev_seq", "prev_ts", "gap")
 
 
-def window_row(source, reason, begin, end, *key, scope="event"):
-    ident = F.concat_ws(":", F.lit("uw"), "dataset_id", source, *key)
+def window_row(source, reason, begin, end, *key, scope="event", named=None, severity="warning"):
+    ident = F.concat_ws(":", F.lit("uw"), "dataset_id", source if named is None else F.lit(named), *key)
     return [
         F.col("dataset_id"),
         ident.alias("window_id"),
@@ -36,7 +36,7 @@ def window_row(source, reason, begin, end, *key, scope="event"):
         F.least(begin, end).alias("t_begin"),
         F.greatest(begin, end).alias("t_end"),
         reason.alias("reason_code"),
-        F.lit("warning").alias("severity"),
+        F.lit(severity).alias("severity"),
     ]
 
 
@@ -53,31 +53,35 @@ def loss_overflow_windows(events: DataFrame) -> DataFrame:
     return e.select(*window_row(source, reason, F.coalesce("prev_ts", "ts_raw"), F.col("ts_raw"), "core_id", "seq"))
 
 
+def chunk_window(source: str, reason, named: str, severity: str = "warning"):
+    return window_row(F.lit(source), reason, F.col("t_begin"), F.col("t_end"), "chunk_id", named=named, severity=severity)
+
+
 def crc_windows(chunks: DataFrame) -> DataFrame:
-    """chunks: dataset_id, chunk_id, payload, header_crc, t_begin, t_end."""
-    bad = chunks.where(F.crc32("payload") != F.col("header_crc"))
-    return bad.select(*window_row(F.lit("crc"), F.lit("CRC_MISMATCH"), F.col("t_begin"), F.col("t_end"), "chunk_id", scope="chunk"))
+    """chunks: dataset_id, chunk_id, payload, crc, t_begin, t_end. Chunks whose payload doesn't have the header's checksum."""
+    return chunks.where(F.crc32("payload") != F.col("crc")).select(*chunk_window("crc_fail", F.lit("CRC_FAIL"), "crc"))
 
 
-def dictionary_windows(chunks: DataFrame, expected: str) -> DataFrame:
-    """Chunks whose dictionary checksum is set and not the expected one."""
-    bad = chunks.where((F.col("dict_checksum") != "0") & (F.col("dict_checksum") != expected))
-    return bad.select(*window_row(F.lit("dict"), F.lit("DICT_MISMATCH"), F.col("t_begin"), F.col("t_end"), "chunk_id", scope="chunk"))
+def dictionary_windows(chunks: DataFrame) -> DataFrame:
+    """chunks: dataset_id, chunk_id, header_dict, segment_dict, chunk_dict, t_begin, t_end. Chunks, and segments (by their first chunk), of another dictionary than the trace's header."""
+    own = chunks.where("chunk_dict <> header_dict").select(*chunk_window("dict_mismatch", F.lit("DICT_MISMATCH"), "dict"))
+    segment = chunks.where("chunk_id = 0 and segment_dict <> header_dict").select(*chunk_window("dict_mismatch", F.lit("DICT_MISMATCH"), "segment-meta"))
+    return own.unionByName(segment)
 
 
 def truncation_windows(problems: DataFrame) -> DataFrame:
-    """problems: the side rows of the chunk decoder (dataset_id, chunk_id, problem, t_begin, t_end)."""
-    return problems.where(F.col("problem").startswith("TRUNCATED")).select(*window_row(F.lit("truncated"), F.col("problem"), F.col("t_begin"), F.col("t_end"), "chunk_id", scope="chunk"))
+    """problems: dataset_id, chunk_id, problem, t_begin, t_end: cut events, payloads and chunks."""
+    return problems.where(F.col("problem").startswith("TRUNCATED")).select(*chunk_window("truncate", F.col("problem"), "truncate", "error"))
 
 
 def segment_chain_windows(segments: DataFrame) -> DataFrame:
-    """segments: dataset_id, segment_seq, prev_segment_seq, dict_checksum, t_begin, t_end, in order of position."""
+    """segments: dataset_id, position, segment_seq, prev_segment_seq, dict_checksum, t_begin, t_end. Breaks of the numbering and changes of the dictionary's checksum (0: not known)."""
     w = W.partitionBy("dataset_id").orderBy("position")
-    s = segments.withColumns({"last_seq": F.lag("segment_seq").over(w), "last_sum": F.last(F.when(F.col("dict_checksum") != 0, F.col("dict_checksum")), True).over(w.rowsBetween(W.unboundedPreceding, -1))})
+    s = segments.withColumns({"last_seq": F.lag("segment_seq").over(w), "last_sum": F.lag("dict_checksum").over(w)})
     broken = (F.col("prev_segment_seq") != F.col("last_seq")) | (F.col("segment_seq") != F.col("last_seq") + 1)
-    conflict = (F.col("dict_checksum") != 0) & (F.col("dict_checksum") != F.col("last_sum"))
-    rows = [(broken, "SEGMENT_CHAIN_BREAK"), (conflict, "SEGMENT_DICT_CONFLICT")]
-    return reduce(DataFrame.unionByName, [s.where(c).select(*window_row(F.lit("segment"), F.lit(r), F.col("t_begin"), F.col("t_end"), "segment_seq", scope="segment")) for c, r in rows])
+    conflict = (F.col("dict_checksum") != 0) & (F.col("last_sum") != 0) & (F.col("dict_checksum") != F.col("last_sum"))
+    rows = [(broken, "SEGMENT_CHAIN_BREAK", "segment-chain"), (conflict, "SEGMENT_DICT_CONFLICT", "segment-dict")]
+    return reduce(DataFrame.unionByName, [s.where(c).select(*window_row(F.lit("segment_chain"), F.lit(r), F.col("t_begin"), F.col("t_end"), "segment_seq", named=n)) for c, r, n in rows])
 
 
 SQL = {

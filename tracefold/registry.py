@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import evidence_queries, index_queries, metric_queries, rebuild_queries, stat_queries, stream_queries
+from .plans import chunk_queries, evidence_queries, index_queries, metric_queries, rebuild_queries, stat_queries, stream_queries
 
-BLOCKS = (rebuild_queries, metric_queries, index_queries, evidence_queries, stat_queries, stream_queries)
+BLOCKS = (chunk_queries, rebuild_queries, metric_queries, index_queries, evidence_queries, stat_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

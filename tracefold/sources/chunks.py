@@ -1,9 +1,12 @@
 """Binary segment files of event chunks: catalogue, decoding of single chunks, previews and window reads.
 
-A chunk is a fixed header (see HEADER) and a payload of fixed records; the
-header says where it stands, so chunks are found without reading payloads and
-decoded independently, one task each. What spans chunks (sequence gaps) is a
-window function over the decoded rows.
+A segment is a global header, from format 2 on a segment header, and chunks;
+a chunk is a header and a payload of events, each a header and its fields.
+Segments come as rows (path, content), from files (``files``) or any table,
+and one pass over a segment gives its chunks, each with its own payload, so
+that decoding is dealt out by chunk and no content is copied. A file is one
+row and so at most 2 GB; longer traces are written as several segments. What
+spans chunks (sequence gaps, segment chains) is a window over rows.
 """
 
 from __future__ import annotations
@@ -12,89 +15,203 @@ import struct
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.intervals import overlap_join
-
-#: magic, core, records, payload bytes, payload crc, first time, last time, first seq, last seq
-HEADER = struct.Struct("<4sIIIIqqqq")
-RECORD = struct.Struct("<qqiiq")  # seq, time, event kind, task, object (-1: none)
-MAGIC = b"TFC1"
-CATALOG = "path string, chunk_id int, payload_offset long, payload_size long, records int, crc long, core_id int, t_begin long, t_end long, seq_begin long, seq_end long, problem string"
-ROWS = "path string, chunk_id int, core_id int, seq long, ts_raw long, kind int, task_id long, obj_id long, crc_ok boolean"
-
-
-def encode_chunk(core: int, rows: list[tuple]) -> bytes:
-    """One chunk of (seq, time, kind, task, object) rows."""
-    payload = b"".join(RECORD.pack(*r) for r in rows)
-    return HEADER.pack(MAGIC, core, len(rows), len(payload), zlib.crc32(payload), rows[0][1], rows[-1][1], rows[0][0], rows[-1][0]) + payload
-
-
-def _headers(path: str, content: bytes) -> Iterator[tuple]:
-    at = n = 0
+from ..operators.intervals import overlap_buckets, overlap_join
+
+#: Fixed values of the format: marks, headers, and each event's number and fields.
+TRACE_MARK, CHUNK_MARK, SEGMENT_MARK = 0x54524345, 0x43484B31, 0x53474D32
+TRACE_HEADER = struct.Struct("<IHHHHHH16s32s32s")  # mark, endian, time unit, format, dictionary, header version, cores, clock, producer, run
+SEGMENT_HEADER = struct.Struct("<IHHIIHHI")  # mark, header version, size, segment, segment before, dictionary, algorithm, dictionary checksum
+CHUNK_HEADER = struct.Struct("<IHHIIQQQQII")  # mark, header version, core, events, bytes, first and last time, first and last seq, dictionary, crc
+EVENT_HEADER = struct.Struct("<HHHHQQI")  # version, flags, core, event, seq, time, bytes
+EVENTS = {
+    "TASK_READY": (0x1001, "<IhHH", ("task_id", "prio", "core_hint", "reason")),
+    "TASK_BLOCK": (0x1002, "<IQHI", ("task_id", "wait_obj_id", "reason", "owner_task_id")),
+    "TASK_WAKEUP": (0x1003, "<IHQ", ("task_id", "wake_src", "obj_id")),
+    "TASK_DISPATCH": (0x1004, "<IHhH", ("task_id", "core_hint", "prio", "reason")),
+    "TASK_EXIT": (0x1005, "<Ii", ("task_id", "exit_code")),
+    "CTX_SWITCH": (0x1006, "<HIIH", ("core_hint", "prev_task_id", "next_task_id", "reason")),
+    "SCHED_DECISION": (0x1007, "<HIHH", ("core_hint", "task_id", "rq_len", "reason")),
+    "SYNC_TRY": (0x2001, "<IQHQ", ("task_id", "obj_id", "obj_type", "timeout")),
+    "SYNC_LOCK": (0x2002, "<IQHQ", ("task_id", "obj_id", "obj_type", "timeout")),
+    "SYNC_UNLOCK": (0x2003, "<IQHQ", ("task_id", "obj_id", "obj_type", "timeout")),
+    "IRQ_ENTER": (0x3001, "<HHB", ("irq_id", "core_hint", "nesting_depth")),
+    "IRQ_EXIT": (0x3002, "<HHB", ("irq_id", "core_hint", "nesting_depth")),
+    "LOSS": (0x4001, "<HIH", ("core_hint", "lost_count", "reason")),
+    "OVERFLOW": (0x4002, "<HIH", ("core_hint", "overflow_count", "reason")),
+    "SYNC_CALIB": (0x4003, "", ()),
+    "TS_CALIB": (0x4004, "", ()),
+}
+BY_NUMBER = {number: (name, struct.Struct(layout), fields) for name, (number, layout, fields) in EVENTS.items()}
+FIELDS = ("task_id", "prio", "reason", "wait_obj_id", "owner_task_id", "obj_id", "prev_task_id", "next_task_id", "irq_id", "nesting_depth", "lost_count", "overflow_count", "exit_code")
+
+CATALOG = (
+    "path string, format int, segment_seq long, prev_segment_seq long, dict_checksum long, header_dict int, segment_dict int, chunk_id int, header_offset long, payload_offset long, payload_size long,"
+    " records int, crc long, core_id int, t_begin long, t_end long, seq_begin long, seq_end long, chunk_dict int, problem string, payload binary"
+)
+ROWS = "path string, chunk_id int, core_id int, seq long, ts_raw long, event_name string, " + ", ".join(f"{f} long" for f in FIELDS) + ", crc_ok boolean, problem string"
+
+
+TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+
+
+def arrow(schema: str) -> pa.Schema:
+    return pa.schema([(c.split()[0], TYPES[c.split()[1]]) for c in schema.split(", ")])
+
+
+def encode_event(core: int, name: str, seq: int, ts: int, values: dict) -> bytes:
+    number, layout, fields = EVENTS[name]
+    payload = struct.pack(layout, *(int(values.get(f) or 0) for f in fields)) if layout else b""
+    return EVENT_HEADER.pack(1, 0, core, number, seq, ts, len(payload)) + payload
+
+
+def encode_chunk(core: int, rows: list[dict], dictionary: int = 1) -> bytes:
+    """One chunk of event rows (event_name, seq, ts_raw and fields)."""
+    payload = b"".join(encode_event(core, r["event_name"], r["seq"], r["ts_raw"], r) for r in rows)
+    times, seqs = [r["ts_raw"] for r in rows] or [0], [r["seq"] for r in rows] or [0]
+    return CHUNK_HEADER.pack(CHUNK_MARK, 1, core, len(rows), len(payload), min(times), max(times), min(seqs), max(seqs), dictionary, zlib.crc32(payload)) + payload
+
+
+def encode_segment(run: str, chunks: list[bytes], cores: int = 1, dictionary: int = 1, segment: int = 1, before: int = 0, segment_dictionary: int | None = None, checksum: int = 0) -> bytes:
+    head = TRACE_HEADER.pack(TRACE_MARK, 1, 1, 2, dictionary, 2, cores, b"steady_clock", b"tracefold", run.encode()[:32])
+    meta = SEGMENT_HEADER.pack(SEGMENT_MARK, 2, SEGMENT_HEADER.size, segment, before, dictionary if segment_dictionary is None else segment_dictionary, 0, checksum)
+    return head + meta + b"".join(chunks)
+
+
+def _chunks(path: str, content: bytes, payloads: bool) -> Iterator[dict]:
+    """Rows of CATALOG; damage ends the walk with a row that names it."""
+    row = {"path": path, "chunk_id": 0}
+    view, at = memoryview(content), TRACE_HEADER.size
+
+    def problem(what: str) -> dict:
+        return row | {"header_offset": at, "payload_offset": at, "payload_size": len(content) - at, "problem": what}
+
+    if len(content) < at:
+        at = 0
+        yield problem("TRUNCATED_HEADER")
+        return
+    mark, _, _, version, dictionary, *_ = TRACE_HEADER.unpack_from(view)
+    if mark != TRACE_MARK:
+        at = 0
+        yield problem("BAD_MARK")
+        return
+    row |= {"format": version, "header_dict": dictionary}
+    if version >= 2:
+        if len(content) < at + SEGMENT_HEADER.size:
+            yield problem("TRUNCATED_HEADER")
+            return
+        mark, _, size, segment, before, own, _, checksum = SEGMENT_HEADER.unpack_from(view, at)
+        if mark != SEGMENT_MARK or size != SEGMENT_HEADER.size:
+            yield problem("BAD_MARK")
+            return
+        row |= {"segment_seq": segment, "prev_segment_seq": before, "dict_checksum": checksum, "segment_dict": own}
+        at += size
     while at < len(content):
-        if at + HEADER.size > len(content):
-            yield (path, n, at, len(content) - at, 0, 0, None, None, None, None, None, "TRUNCATED_CHUNK")
+        if at + CHUNK_HEADER.size > len(content):
+            yield problem("TRUNCATED_CHUNK")
             return
-        magic, core, records, size, crc, t0, t1, s0, s1 = HEADER.unpack_from(content, at)
-        if magic != MAGIC:
-            yield (path, n, at, len(content) - at, 0, 0, None, None, None, None, None, "BAD_MAGIC")
+        mark, _, core, records, size, t0, t1, s0, s1, own, crc = CHUNK_HEADER.unpack_from(view, at)
+        if mark != CHUNK_MARK:
+            yield problem("BAD_MARK")
             return
-        short = at + HEADER.size + size > len(content)
-        yield (path, n, at + HEADER.size, size, records, crc, core, t0, t1, s0, s1, "TRUNCATED_PAYLOAD" if short else None)
-        at += HEADER.size + size
-        n += 1
-
-
-def _catalog(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = list(_headers(path, content))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CATALOG.split(", ")]).astype({"core_id": "Int32", "t_begin": "Int64", "t_end": "Int64", "seq_begin": "Int64", "seq_end": "Int64"})
+        start = at + CHUNK_HEADER.size
+        told = {"header_offset": at, "payload_offset": start, "payload_size": size, "records": records, "crc": crc, "core_id": core, "t_begin": t0, "t_end": t1, "seq_begin": s0, "seq_end": s1, "chunk_dict": own}
+        short = start + size > len(content)
+        yield row | told | {"problem": "TRUNCATED_CHUNK" if short else None, "payload": bytes(view[start : start + size]) if payloads and not short else None}
+        at = start + size
+        row["chunk_id"] += 1
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
+def _walk(payloads: bool):
+    schema = arrow(CATALOG)
 
-def chunk_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """All chunks of the files, from their headers, with damaged ones named."""
-    return files(spark, path).mapInPandas(_catalog, CATALOG)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                yield pa.RecordBatch.from_pylist(list(_chunks(path.as_py(), content.as_py(), payloads)), schema=schema)
 
-
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for c in batch.itertuples():
-            data = bytes(c.payload)
-            rows = [RECORD.unpack_from(data, i) for i in range(0, len(data) - RECORD.size + 1, RECORD.size)]
-            out = pd.DataFrame(rows, columns=["seq", "ts_raw", "kind", "task_id", "obj_id"])
-            out = out.assign(path=c.path, chunk_id=c.chunk_id, core_id=c.core_id, crc_ok=zlib.crc32(data) == c.crc, obj_id=out["obj_id"].where(out["obj_id"] >= 0).astype("Int64"))
-            yield out[[x.split()[0] for x in ROWS.split(", ")]]
+    return run
 
 
-def decode(catalog: DataFrame, contents: DataFrame) -> DataFrame:
-    """The events of the chunks; a chunk is one row of work."""
-    work = catalog.where("problem is null or problem = 'TRUNCATED_PAYLOAD'").join(contents, "path")
-    work = work.select("path", "chunk_id", "core_id", "crc", F.expr("substring(content, cast(payload_offset + 1 as int), cast(payload_size as int))").alias("payload"))
-    return work.mapInPandas(_decode, ROWS)
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of a file, a folder or a glob."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
 
 
-def scan_trace(spark: SparkSession, path: str) -> DataFrame:
-    """A file, a folder or a glob of segment files as events."""
-    return decode(chunk_catalog(spark, path), files(spark, path))
+def chunk_catalog(segments: DataFrame, payloads: bool = False) -> DataFrame:
+    """All chunks of the segments (path, content), from their headers, with damaged ones named; with their payloads if asked."""
+    return segments.select("path", "content").mapInArrow(_walk(payloads), CATALOG)
 
 
-def prescan(catalog: DataFrame) -> DataFrame:
-    """What the headers tell of each core: chunks, records and the time range."""
-    return catalog.where("core_id is not null").groupBy("core_id").agg(F.count("*").alias("chunks"), F.sum("records").alias("records"), F.min("t_begin").alias("t_begin"), F.max("t_end").alias("t_end"))
+def _events(payload: bytes, records: int) -> Iterator[dict]:
+    at = 0
+    for _ in range(records):
+        if at + EVENT_HEADER.size > len(payload):
+            yield {"problem": "TRUNCATED_EVENT"}
+            return
+        _, _, core, number, seq, ts, size = EVENT_HEADER.unpack_from(payload, at)
+        at += EVENT_HEADER.size
+        if at + size > len(payload):
+            yield {"problem": "TRUNCATED_PAYLOAD"}
+            return
+        name, layout, fields = BY_NUMBER.get(number, (f"EVENT_{number:#x}", struct.Struct(""), ()))
+        values = dict(zip(fields, layout.unpack_from(payload, at), strict=True)) if size >= layout.size else {}
+        yield {"core_id": core, "seq": seq, "ts_raw": ts, "event_name": name} | values
+        at += size
 
 
-def read_window_spans(spark: SparkSession, path: str, spans: DataFrame) -> DataFrame:
-    """Only the events inside the spans (core_id, t_begin, t_end), decoding only chunks that a span touches."""
-    catalog = chunk_catalog(spark, path).where("core_id is not null")
-    touched = overlap_join(catalog.select("path", "chunk_id", "core_id", "t_begin", "t_end"), spans, ["core_id"], closed=True).select("path", "chunk_id").distinct()
-    rows = decode(catalog.join(touched, ["path", "chunk_id"], "left_semi"), files(spark, path))
-    points = rows.withColumns({"t_begin": F.col("ts_raw"), "t_end": F.col("ts_raw")})
-    return overlap_join(points, spans, ["core_id"], closed=True).select("path", "core_id", "seq", "ts_raw", "kind", "task_id").distinct()
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = arrow(ROWS)
+    for batch in batches:
+        for path, chunk, records, crc, payload in zip(*batch.columns, strict=True):
+            data = payload.as_py()
+            own = {"path": path.as_py(), "chunk_id": chunk.as_py(), "crc_ok": zlib.crc32(data) == crc.as_py()}
+            yield pa.RecordBatch.from_pylist([own | e for e in _events(data, records.as_py())], schema=schema)
+
+
+def decode(chunks: DataFrame) -> DataFrame:
+    """The events of chunks with payloads, a row each; an event that the payload cuts off gives a row that names the problem."""
+    return chunks.where("payload is not null").select("path", "chunk_id", "records", "crc", "payload").mapInArrow(_decode, ROWS)
+
+
+def scan_trace(segments: DataFrame) -> DataFrame:
+    """The events of segments (path, content), dealt out by chunk."""
+    return decode(chunk_catalog(segments, payloads=True).repartition("path", "chunk_id"))
+
+
+def prescan(catalog: DataFrame, n: int = 24) -> tuple[DataFrame, DataFrame]:
+    """What the headers tell: (chunks, records, cores and time range of each path; events and chunks per time bucket of each path)."""
+    good = catalog.where("core_id is not null").withColumnRenamed("path", "dataset_id")
+    spans = good.groupBy("dataset_id").agg(F.count("*").alias("chunks"), F.sum("records").alias("records"), F.count_distinct("core_id").alias("cores"), F.min("t_begin").alias("w_begin"), F.max("t_end").alias("w_end"))
+    parts = overlap_buckets(good.select("dataset_id", "t_begin", "t_end", "records"), spans.select("dataset_id", "w_begin", "w_end"), n)
+    buckets = parts.groupBy("dataset_id", "bucket").agg(F.round(F.sum(F.col("part") * F.col("records")), 6).alias("events"), F.round(F.sum("part"), 6).alias("chunks"))
+    return spans, buckets
+
+
+def touched_chunks(catalog: DataFrame, spans: DataFrame) -> DataFrame:
+    """Chunks whose core, time range and (where given) seq range a span (path, core_id, t_begin, t_end, seq_begin, seq_end) meets."""
+    lean = catalog.where("core_id is not null").select("path", "chunk_id", "core_id", "t_begin", "t_end", F.col("seq_begin").alias("s0"), F.col("seq_end").alias("s1"), "payload_size")
+    met = overlap_join(lean, spans, ["path", "core_id"], closed=True)
+    return met.where("(seq_begin is null or s1 >= seq_begin) and (seq_end is null or s0 <= seq_end)").select("path", "chunk_id", "payload_size").distinct()
+
+
+def read_window_spans(segments: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events inside the spans, counters per path): decodes only chunks that a span touches.
+
+    spans: path, core_id, t_begin, t_end, seq_begin, seq_end (nulls: any seq).
+    Counters: chunks read (one seek each) of all, bytes read, events decoded
+    and kept, and the share kept.
+    """
+    catalog = chunk_catalog(segments, payloads=True)
+    touched = touched_chunks(catalog.drop("payload"), spans)
+    decoded = decode(catalog.join(touched.select("path", "chunk_id"), ["path", "chunk_id"], "left_semi")).where("problem is null")
+    points = decoded.withColumns({"t_begin": F.col("ts_raw"), "t_end": F.col("ts_raw")})
+    inside = overlap_join(points, spans.withColumnsRenamed({"seq_begin": "s0", "seq_end": "s1"}), ["path", "core_id"], closed=True)
+    kept = inside.where("(s0 is null or seq >= s0) and (s1 is null or seq <= s1)").select("path", "core_id", "seq", "ts_raw", "event_name", "task_id").distinct()
+    counts = catalog.groupBy("path").agg(F.count("*").alias("chunks"))
+    counts = counts.join(touched.groupBy("path").agg(F.count("*").alias("seeks"), F.sum("payload_size").alias("bytes")), "path", "left")
+    counts = counts.join(decoded.groupBy("path").agg(F.count("*").alias("decoded")), "path", "left").join(kept.groupBy("path").agg(F.count("*").alias("kept")), "path", "left").na.fill(0)
+    return kept, counts.withColumn("hit_rate", F.when(F.col("decoded") > 0, F.round(F.col("kept") / F.col("decoded"), 6)))
