@@ -31,9 +31,14 @@ def trend(delta):
     return F.when(delta > 0, "up").when(delta < 0, "down").otherwise("flat")
 
 
-def metric(values: DataFrame) -> DataFrame:
+def metric(values: DataFrame, windows: DataFrame) -> DataFrame:
+    """Value, change, ratio (null to a base of 0) and trend per metric, with the reasons for which either trace is untrusted."""
     o = outer(values, ["metric_id"], ["value"])
-    return o.withColumns({"ratio": F.when(F.col("b_value") != 0, F.round(F.col("c_value") / F.col("b_value"), 6)), "trend": trend(F.col("d_value"))})
+    told = o.withColumns({"ratio": F.when(F.col("b_value") != 0, F.round(F.col("c_value") / F.col("b_value"), 6)), "trend": trend(F.col("d_value"))})
+    codes = windows.groupBy("dataset_id").agg(F.array_join(F.array_sort(F.collect_set("reason_code")), ",").alias("codes"))
+    for side, df in zip("bc", sides(codes), strict=True):
+        told = told.join(df.select("pair", F.col("codes").alias(f"{side}_reason_codes")), "pair", "left")
+    return told
 
 
 def alert_change(alerts: DataFrame) -> DataFrame:

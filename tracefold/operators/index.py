@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.ordering import neighbours
 from .filters import clipped, in_window, switch_points
 from .intervals import overlap_buckets
-from .metrics import response_samples
+from .metrics import response_jitter, response_samples
 
 
 def span_of(events: DataFrame) -> DataFrame:
@@ -23,6 +24,16 @@ def event_buckets(events: DataFrame, scope: DataFrame, n: int, *keys: str) -> Da
     return e.groupBy("dataset_id", b.alias("bucket"), *keys).agg(F.count("*").alias("events"))
 
 
+def time_index(t, n: int = 128) -> DataFrame:
+    """Events, slices and interrupt spans of each core per bucket of the whole trace."""
+    scope = span_of(t.events)
+    e = event_buckets(t.events, scope, n, "core_id").select("dataset_id", "bucket", "core_id", F.col("events").cast("double").alias("x"), F.lit("events").alias("kind"))
+    for df, kind in ((t.slices, "slices"), (t.irqs, "irqs")):
+        part = overlap_buckets(df.select("dataset_id", "core_id", "t_begin", "t_end"), scope, n)
+        e = e.unionByName(part.select("dataset_id", "bucket", "core_id", F.col("part").alias("x"), F.lit(kind).alias("kind")))
+    return e.groupBy("dataset_id", "bucket", "core_id").agg(*[F.round(F.sum(F.when(F.col("kind") == k, F.col("x")).otherwise(0.0)), 6).alias(k) for k in ("events", "slices", "irqs")])
+
+
 def timeline_buckets(t, scope: DataFrame, n: int = 16) -> DataFrame:
     """Events, slices and interrupt spans per bucket; intervals count in proportion to overlap."""
     e = event_buckets(t.events, scope, n).select("dataset_id", "bucket", F.col("events").cast("double").alias("x"), F.lit("events").alias("kind"))
@@ -62,7 +73,11 @@ def state_lanes(t, scope: DataFrame, by: str = "task") -> DataFrame:
 
 
 def event_page(events: DataFrame, cursors: DataFrame, limit: int = 100, forward: bool = True) -> DataFrame:
-    """The page after (or before) each dataset's cursor (ts, core_id, seq), with has_more and the total on that side."""
+    """The page after (or before) each dataset's cursor (ts, core_id, seq), with has_more, the total on that side and the cursors of the pages around it (ts:core_id:seq).
+
+    The limit on the row number is applied in every task before rows are
+    shuffled, so a long trace doesn't meet in one.
+    """
     key = F.struct("ts", "core_id", "seq")
     e = events.join(cursors.select("dataset_id", F.struct(F.col("ts").alias("ts"), F.col("core_id").alias("core_id"), F.col("seq").alias("seq")).alias("cursor")), "dataset_id")
     e = e.where(key > F.col("cursor") if forward else key < F.col("cursor"))
@@ -70,8 +85,12 @@ def event_page(events: DataFrame, cursors: DataFrame, limit: int = 100, forward:
     w = W.partitionBy("dataset_id").orderBy(*order)
     page = e.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit + 1)
     totals = e.groupBy("dataset_id").agg(F.count("*").alias("total"))
-    page = page.join(totals, "dataset_id")
-    return page.where(F.col("place") <= limit).select("dataset_id", "place", "event_uid", "ts", "core_id", "seq", "trusted", (F.col("total") > limit).alias("has_more"), "total")
+    page = page.join(totals, "dataset_id").where(F.col("place") <= limit)
+    name = F.concat_ws(":", "ts", "core_id", "seq")
+    ends = page.groupBy("dataset_id").agg(F.min(F.struct("place", name.alias("c"))).alias("first"), F.max(F.struct("place", name.alias("c"))).alias("last"))
+    more = F.col("total") > limit
+    back, on = (F.col("first.c"), F.when(more, F.col("last.c"))) if forward else (F.when(more, F.col("last.c")), F.col("first.c"))
+    return page.join(ends, "dataset_id").select("dataset_id", "place", "event_uid", "ts", "core_id", "seq", "trusted", more.alias("has_more"), "total", back.alias("prev_cursor"), on.alias("next_cursor"))
 
 
 def index_summary(events: DataFrame) -> DataFrame:
@@ -116,6 +135,13 @@ def drilldown(t, scope: DataFrame, k: int = 3, margin: int = 20) -> DataFrame:
     return top.select("dataset_id", F.col("related_obj").alias("obj_id"), "rank", "seg_id", "task_id", "clipped", F.greatest(F.lit(0), F.col("t_begin") - margin).alias("jump_begin"), (F.col("t_end") + margin).alias("jump_end"))
 
 
+def widest_responses(states: DataFrame, scope: DataFrame) -> DataFrame:
+    """Response samples of the task of each dataset whose responses differ most (the smallest task id of those)."""
+    samples = response_samples(states, scope)
+    jitter = response_jitter(states, scope).withColumn("n", F.row_number().over(W.partitionBy("dataset_id").orderBy(F.desc("jitter"), "task_id"))).where("n = 1")
+    return samples.join(jitter.select("dataset_id", "task_id"), ["dataset_id", "task_id"], "left_semi")
+
+
 def metric_evidence(t, scope: DataFrame, k: int = 3) -> DataFrame:
     """The k rows that explain each metric best."""
     pick = lambda df, metric, ident, value: df.select("dataset_id", F.lit(metric).alias("metric_id"), F.col(ident).alias("ref"), F.col(value).cast("long").alias("value"))
@@ -125,6 +151,9 @@ def metric_evidence(t, scope: DataFrame, k: int = 3) -> DataFrame:
         pick(clipped(t.states.where("state = 'READY'"), scope), "ready_wait_time", "seg_id", "clipped"),
         pick(response_samples(t.states, scope), "response_time", "seg_id", "response"),
         pick(clipped(t.irqs, scope), "irq_busy_time", "irq_span_id", "clipped"),
+        pick(clipped(t.irqs, scope).where("delayed_task is not null"), "irq_latency", "irq_span_id", "clipped"),
+        pick(widest_responses(t.states, scope), "response_jitter", "seg_id", "response"),
+        pick(in_window(t.events, scope).where("event_name = 'CTX_SWITCH'").withColumn("early", -F.col("ts")), "context_switch_count", "event_uid", "early"),
     ]
     every = rows[0]
     for r in rows[1:]:
@@ -139,20 +168,10 @@ def cause_events(states: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def nearest_events(events: DataFrame, probes: DataFrame) -> DataFrame:
-    """The event nearest to each probe time; the earlier in order wins ties.
-
-    Each probe stands between its last event before and its first at or after
-    it, both found by one ordered pass per dataset.
-    """
-    e = events.select("dataset_id", "ts", "core_id", "seq", F.lit(None).cast("string").alias("probe"), F.struct("ts", "core_id", "seq", "event_uid").alias("e"))
-    p = probes.select("dataset_id", F.col("at").alias("ts"), F.lit(-1).alias("core_id"), F.lit(-1).cast("long").alias("seq"), "probe", F.lit(None).cast(e.schema["e"].dataType).alias("e"))
-    w = W.partitionBy("dataset_id").orderBy("ts", "core_id", "seq", F.col("probe").isNull())
-    both = e.unionByName(p)
-    # of events at the time just before, the first in order is the nearest
-    first = both.withColumn("head", F.when(F.col("e").isNotNull(), F.min("e").over(W.partitionBy("dataset_id", "ts"))))
-    near = first.withColumns({"before": F.last("head", True).over(w.rowsBetween(W.unboundedPreceding, -1)), "after": F.first("head", True).over(w.rowsBetween(1, W.unboundedFollowing))})
-    near = near.where("probe is not null")
-    pick = F.when(F.col("after").isNull() | (F.col("ts") - F.col("before.ts") <= F.col("after.ts") - F.col("ts")), F.col("before")).otherwise(F.col("after"))
+    """The event nearest to each probe time (dataset_id, at, probe); the earlier in order wins ties."""
+    e = events.select("dataset_id", F.col("ts").alias("at"), F.struct("ts", "core_id", "seq", "event_uid").alias("e"))
+    near = neighbours(probes.select("dataset_id", "at", "probe"), e, "dataset_id", "at", "e")
+    pick = F.when(F.col("after").isNull() | (F.col("at") - F.col("before.ts") <= F.col("after.ts") - F.col("at")), F.col("before")).otherwise(F.col("after"))
     return near.select("dataset_id", "probe", F.coalesce(pick, "after")["event_uid"].alias("event_uid"))
 
 

@@ -46,7 +46,7 @@ def response_samples(states: DataFrame, scope: DataFrame) -> DataFrame:
     """READY segments followed at once by RUNNING of the same task, within the window; the unclipped length."""
     order = W.partitionBy("dataset_id", "task_id").orderBy("t_begin", "t_end", "seg_id")
     s = in_window(states, scope).withColumn("after", F.lead("state").over(order))
-    return s.where("state = 'READY' and after = 'RUNNING'").select("dataset_id", "task_id", "seg_id", (F.col("t_end") - F.col("t_begin")).alias("response"))
+    return s.where("state = 'READY' and after = 'RUNNING'").select("dataset_id", "task_id", "seg_id", "t_end", (F.col("t_end") - F.col("t_begin")).alias("response"))
 
 
 def response_time(states: DataFrame, scope: DataFrame) -> DataFrame:
@@ -153,12 +153,40 @@ def metric_values(t, scope: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def bucket_series(t, scope: DataFrame, n: int = 12) -> DataFrame:
-    """Run, blocked and ready time and switches per tumbling bucket, in one pass over each table."""
-    timed = t.slices.select("dataset_id", "t_begin", "t_end", F.lit("run").alias("kind"))
-    states = t.states.where("state in ('BLOCKED', 'READY')").select("dataset_id", "t_begin", "t_end", F.lower("state").alias("kind"))
-    b = overlap_buckets(timed.unionByName(states).where("t_end > t_begin").withColumn("length", F.col("t_end") - F.col("t_begin")), scope, n, "length")
-    return b.groupBy("dataset_id", "bucket", "kind").agg(F.round(F.sum("part"), 2).alias("time"))
+def bucket_count(lod: int) -> int:
+    return max(6, min(24, lod * 6))
+
+
+def bucket_series(t, scope: DataFrame, lod: int = 2) -> DataFrame:
+    """dataset_id, bucket, metric_id, value: every metric per tumbling bucket of the scope, in one pass over each table.
+
+    Times are those inside the bucket. A response belongs to the bucket in
+    which it ends, a deadline to that of the job's finish.
+    """
+    n = bucket_count(lod)
+    kinds = [
+        (t.slices, "cpu_utilization", F.lit(True)),
+        (t.states, "blocked_time", F.col("state") == "BLOCKED"),
+        (t.states, "ready_wait_time", F.col("state") == "READY"),
+        (t.irqs, "irq_busy_time", F.lit(True)),
+        (t.irqs, "irq_latency", F.col("delayed_task").isNotNull()),
+    ]
+    timed = reduce(DataFrame.unionByName, [df.where(ok).select("dataset_id", "t_begin", "t_end", F.lit(m).alias("metric_id")) for df, m, ok in kinds])
+    inside = overlap_buckets(timed.where("t_end > t_begin").withColumn("length", F.col("t_end") - F.col("t_begin")), scope, n, "length")
+    size = F.greatest((F.col("w_end") - F.col("w_begin")) / n, F.lit(1.0))
+    times = inside.groupBy("dataset_id", "bucket", "metric_id", "w_begin", "w_end").agg(F.sum("part").alias("x"))
+    times = times.select("dataset_id", "bucket", "metric_id", F.when(F.col("metric_id") == "cpu_utilization", round6(F.col("x") / size)).otherwise(F.round("x", 2)).alias("value"))
+
+    def placed(df: DataFrame, at: str) -> DataFrame:
+        place = F.least(F.lit(n - 1), F.floor((F.col(at) - F.col("w_begin")) / size)).cast("int")
+        return df.withColumn("bucket", place)
+
+    switches = placed(in_window(t.events, scope).where("event_name = 'CTX_SWITCH'"), "ts").groupBy("dataset_id", "bucket").agg(F.count("*").cast("double").alias("value")).withColumn("metric_id", F.lit("context_switch_count"))
+    per_task = placed(response_samples(t.states, scope).join(scope, "dataset_id"), "t_end").groupBy("dataset_id", "bucket", "task_id").agg(F.sum("response").alias("s"), F.count("*").alias("k"), (F.max("response") - F.min("response")).alias("j"))
+    both = per_task.groupBy("dataset_id", "bucket").agg(F.round(F.sum("s") / F.sum("k"), 3).alias("response_time"), F.max("j").cast("double").alias("response_jitter"))
+    answers = both.unpivot(["dataset_id", "bucket"], ["response_time", "response_jitter"], "metric_id", "value")
+    missed = placed(deadline_analysis(t.events, scope).where("finish_ts is not null").join(scope, "dataset_id"), "finish_ts").groupBy("dataset_id", "bucket").agg(F.max("deadline_miss").cast("double").alias("value")).withColumn("metric_id", F.lit("deadline_miss"))
+    return reduce(DataFrame.unionByName, [times, switches, answers, missed])
 
 
 def trust_summary(windows: DataFrame, scope: DataFrame) -> DataFrame:

@@ -23,10 +23,10 @@ def status_counts(rows: DataFrame, scenario: str, status: str, values: list[str]
 
 
 def telemetry_risk(rows: DataFrame, key: str, at: str, runtime: str, rss: str, last: int = 20, limit: float = 2048.0) -> DataFrame:
-    """Of each key's last rows: longest runtime, largest rss, and rows at or over the limit."""
+    """Of each key's last rows: longest runtime, largest rss, rows at or over the limit, and rows that reused an index (boolean ``reused``)."""
     w = W.partitionBy(key).orderBy(F.desc(at), F.desc(runtime))
     r = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= last)
-    return r.groupBy(key).agg(F.max(runtime).alias("max_runtime"), F.max(rss).alias("max_rss"), F.count_if(F.col(rss) >= limit).alias("heavy"), F.count("*").alias("rows"))
+    return r.groupBy(key).agg(F.max(runtime).alias("max_runtime"), F.max(rss).alias("max_rss"), F.count_if(F.col(rss) >= limit).alias("heavy"), F.count_if("reused").alias("reused"), F.count("*").alias("rows"))
 
 
 def prior_table(rows: DataFrame, flags: list[str], value: str, actions: str) -> DataFrame:
@@ -85,6 +85,19 @@ def clock_drift(edges: DataFrame, key: str, at: str, tick: float) -> DataFrame:
     return g.select(key, "n", F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), F.round("sd", 3).alias("sd"), "p95", F.round((F.col("mean") / tick - 1) * 1e6, 3).alias("drift_ppm"))
 
 
+def epoch_join(observer: DataFrame, uart: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(observer epochs with the UART's tick, observer epochs that the UART doesn't have). observer: keys, epoch, at; uart: keys, epoch, tick."""
+    by = [*keys, "epoch"]
+    return observer.join(uart.select(*by, "tick"), by), observer.join(uart.select(*by), by, "left_anti")
+
+
+def clock_residual(joined: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """Per key, over consecutive joined epochs: intervals, mean and largest absolute difference of the observer's interval and ``scale`` times the UART's."""
+    w = W.partitionBy(*keys).orderBy("epoch")
+    r = joined.withColumns({"dt": F.col("at") - F.lag("at").over(w), "du": F.col("tick") - F.lag("tick").over(w)}).where("dt is not null").withColumn("residual", F.col("dt") - F.lit(scale) * F.col("du"))
+    return r.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("residual"), 3).alias("mean_residual"), F.round(F.max(F.abs("residual")), 3).alias("max_residual"))
+
+
 def perturbation(rows: DataFrame, key: str, variant: str, base: str, metrics: list[str]) -> DataFrame:
     """(value - base) / base of each variant and metric, with a status."""
     long = rows.select(key, variant, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(key, variant, "x.*")
@@ -100,6 +113,40 @@ def reconcile(counters: DataFrame, key: str, equations: dict[str, str]) -> DataF
     return counters.select(key, wrong.alias("failing"), (wrong == "").alias("consistent"))
 
 
+#: A collector's counters, and the equations between them by name.
+COUNTERS = (
+    "attempted_records", "accepted_records", "dropped_records", "buffer_overflow_dropped_records", "rejected_payload_records", "integrity_markers", "loss_delta_total", "overflow_delta_total",
+    "flushed_records", "decoded_records", "wire_frames", "wire_bytes", "crc_failures", "truncations", "backpressure_total", "buffer_high_watermark", "buffer_capacity_records",
+)
+EQUATIONS = {
+    "attempted_equals_accepted_plus_dropped": "attempted_records = accepted_records + dropped_records",
+    "dropped_classification_closed": "dropped_records = buffer_overflow_dropped_records + rejected_payload_records",
+    "drained_flush_closed": "flushed_records = accepted_records + integrity_markers",
+    "decoded_equals_flushed": "decoded_records = flushed_records",
+    "loss_delta_equals_overflow_drops": "loss_delta_total = buffer_overflow_dropped_records",
+    "overflow_delta_equals_overflow_drops": "overflow_delta_total = buffer_overflow_dropped_records",
+    "hwm_within_capacity_records": "buffer_high_watermark <= buffer_capacity_records",
+    "wire_inventory_observed": "inventory_frames = wire_frames and inventory_bytes = wire_bytes",
+}
+
+
+def reconcile_collector(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """facts: keys, observed, COUNTERS, inventory_frames, inventory_bytes, capacity_unit, watermark_unit. State, whether all equations hold, and the names of those that don't.
+
+    Nothing is judged where counters weren't observed; missing or negative
+    counters, and units other than records, are errors of their own.
+    """
+    missing = " or ".join(f"{c} is null or {c} < 0" for c in COUNTERS)
+    failing = F.array_join(F.array_compact(F.array(*[F.when(~F.coalesce(F.expr(c), F.lit(False)), n.upper()) for n, c in EQUATIONS.items()])), ",")
+    reasons = (
+        F.when(~F.coalesce("observed", F.lit(False)), "COUNTERS_NOT_OBSERVED")
+        .when(F.expr(missing), "COUNTERS_INCOMPLETE")
+        .when(F.expr("coalesce(capacity_unit, watermark_unit) is not null and not (capacity_unit <=> 'records' and watermark_unit <=> 'records')"), "UNITS")
+        .otherwise(failing)
+    )
+    return facts.select(*keys, F.when(F.col("observed"), "observed").otherwise("not_observed").alias("observation_state"), (reasons == "").alias("passed"), reasons.alias("reasons"))
+
+
 def raw_facts(events: DataFrame) -> DataFrame:
     """Missing sequence numbers and loss totals per dataset."""
     w = W.partitionBy("dataset_id", "core_id").orderBy("seq")

@@ -27,7 +27,7 @@ def _reports(t, shift: int):
 
 TRACE = {
     "b01_overlap_buckets": lambda t: overlap_buckets(t.slices, ix.span_of(t.events), 32).groupBy("dataset_id", "bucket").agg(F.round(F.sum("part"), 6).alias("slices")),
-    "b02_time_index": lambda t: ix.event_buckets(t.events, ix.span_of(t.events), 128, "core_id"),
+    "b02_time_index": lambda t: ix.time_index(t),
     "b03_timeline_buckets": lambda t: ix.timeline_buckets(t, t.scope, 16),
     "b04_timeline_lod1": lambda t: ix.timeline_lod(t, t.scope, 1),
     "b04_timeline_lod2": lambda t: ix.timeline_lod(t, t.scope, 2, 50),
@@ -42,12 +42,12 @@ TRACE = {
     "q06_alerts_query": lambda t: al.all_alerts(t, t.scope, TH).where("task_id = 2").select("alert_id", "type"),
     "q09_metric_evidence": lambda t: ix.metric_evidence(t, t.scope),
     "j01_cause_event_join": lambda t: ix.cause_events(t.states, t.events),
-    "j02_wait_chains": lambda t: ix.wait_chains(t.waits, t.holds.where("obj_id <> 3")),
+    "j02_wait_chains": lambda t: ix.wait_chains(t.waits, t.holds),
     "j03_preempting_slices": lambda t: al.preempting_slices(t, t.scope).select("seg_id", "slice_id", "m_task"),
     "j09_last_priority_asof": lambda t: al.last_priorities(t.events, t.scope),
     "j10_nearest_event": lambda t: ix.nearest_events(t.events, t.scope.select("dataset_id", F.explode(F.expr("sequence(w_begin, w_end, greatest((w_end - w_begin) div 20, 1))")).alias("at")).withColumn("probe", F.col("at").cast("string"))),
     "j13_evidence_resolution": lambda t: ix.resolve_refs(al.irq_alerts(t, t.scope, TH).select("dataset_id", F.col("evidence").alias("ref")).unionByName(t.slices.where("t_end - t_begin > 0").select("dataset_id", F.col("slice_id").alias("ref"))), t),
-    "p01_metric": lambda t: cp.metric(m.metric_values(t, t.scope)),
+    "p01_metric": lambda t: cp.metric(m.metric_values(t, t.scope), t.windows),
     "p02_alert": lambda t: cp.alert_change(al.all_alerts(t, t.scope, TH)),
     "p03_hotspot": lambda t: cp.hotspot(rebuild.node_counts(t.events), 5),
     "p04_interval": lambda t: cp.longest_block(t.states),
@@ -72,6 +72,11 @@ def parts(table: str, scope: str, n: int) -> str:
   FROM (SELECT *, {z} AS size, {place.format('t_begin')} AS b0, {place.format('t_end')} AS b1 FROM {table} JOIN {scope} USING (dataset_id) WHERE t_begin <= w_end AND t_end >= w_begin) AS x, unnest(range(b0, b1 + 1)) AS u(b)"""
 
 
+def core_parts(table: str) -> str:
+    """SQL: parts of a table's intervals in 128 buckets of the whole trace, with their core."""
+    return parts(table, "whole", 128).replace("SELECT dataset_id, CAST(b AS int)", "SELECT dataset_id, core_id, CAST(b AS int)", 1)
+
+
 def bucket_of(n: int) -> str:
     return f"CAST(least({n - 1}, floor((ts - w_begin) / {SIZE.format(n=n)})) AS int)"
 
@@ -86,12 +91,14 @@ def outer_sql(table: str, keys: list[str], values: list[str], more: str = "") ->
 
 V = {
     **METRIC_VIEWS,
+    "widest": "SELECT dataset_id, task_id FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY jitter DESC, task_id) AS n FROM (SELECT dataset_id, task_id, max(response) - min(response) AS jitter FROM samples GROUP BY dataset_id, task_id) AS x) AS y WHERE n = 1",
     "whole": "SELECT dataset_id, min(ts) AS w_begin, max(ts) AS w_end FROM al GROUP BY dataset_id",
     "sparts": parts("slices", "scope", 16),
     "iparts": parts("irqs", "scope", 16),
     "tb": f"""SELECT dataset_id, bucket, count(*) AS x, 'events' AS kind FROM (SELECT dataset_id, {bucket_of(16)} AS bucket FROM ce) AS x GROUP BY ALL
   UNION ALL SELECT dataset_id, bucket, sum(part), 'slices' FROM sparts GROUP BY ALL UNION ALL SELECT dataset_id, bucket, sum(part), 'irqs' FROM iparts GROUP BY ALL""",
     "mv": METRIC_SQL["m12_metric_value"],
+    "codes": "SELECT CAST(dataset_id AS bigint) // 2 AS pair, CAST(dataset_id AS bigint) % 2 AS side, string_agg(DISTINCT reason_code, ',' ORDER BY reason_code) AS codes FROM windows GROUP BY ALL",
     "an": "SELECT dataset_id, type, severity, count(*) AS n FROM alerts GROUP BY ALL",
     "nodes": "SELECT dataset_id, node, count(*) AS n FROM (SELECT dataset_id, 'task:' || task_id AS node FROM al UNION ALL SELECT dataset_id, 'obj:' || obj_id FROM al) AS x WHERE node IS NOT NULL GROUP BY ALL",
     "hot": "SELECT DISTINCT CAST(dataset_id AS bigint) // 2 AS pair, node FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY n DESC, node) AS r FROM nodes) AS x WHERE r <= 5",
@@ -106,7 +113,6 @@ V = {
   FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, task_id ORDER BY t_end - t_begin DESC, t_begin, seg_id) AS r FROM states WHERE state = 'BLOCKED') AS x WHERE r <= 3 GROUP BY ALL""",
     "rep": "SELECT dataset_id, count(*) AS event_count, min(ts) AS first_timestamp, max(core_id) AS cores FROM al GROUP BY dataset_id",
     "rep2": "SELECT dataset_id, event_count + CAST(dataset_id AS bigint) % 2 AS event_count, CASE WHEN CAST(dataset_id AS bigint) % 3 <> 0 THEN first_timestamp + CAST(dataset_id AS bigint) % 2 END AS first_timestamp, CASE WHEN dataset_id <> '1' THEN cores END AS cores FROM rep",
-    "held": "SELECT * FROM holds WHERE obj_id <> 3",
     "refs": "SELECT dataset_id, evidence AS ref FROM a5 UNION ALL SELECT dataset_id, evidence FROM alerts WHERE type = 'irq_pressure' UNION ALL SELECT dataset_id, slice_id FROM slices WHERE t_end > t_begin",
 }
 V["a5"] = METRIC_VIEWS["a5"].replace("ref, CASE", "ref AS evidence, CASE")
@@ -118,9 +124,20 @@ V["wh"] = f"SELECT * FROM holds JOIN scope USING (dataset_id) WHERE {OPEN}"
 V["ww"] = f"SELECT * FROM waits JOIN scope USING (dataset_id) WHERE {OPEN}"
 V["wc"] = CHAIN.format(w="ww", h="wh")
 
+
+
+def page_sql(side: str, way: str, before: str, after: str) -> str:
+    return f"""SELECT dataset_id, place, event_uid, ts, core_id, seq, trusted, has_more, total, {before} AS prev_cursor, {after} AS next_cursor FROM (
+  SELECT dataset_id, CAST(row_number() OVER w AS int) AS place, event_uid, ts, core_id, seq, trusted, count(*) OVER (PARTITION BY dataset_id) > 50 AS has_more, count(*) OVER (PARTITION BY dataset_id) AS total, ts || ':' || core_id || ':' || seq AS name
+  FROM al JOIN scope USING (dataset_id) WHERE (ts, core_id, seq) {side} (w_begin, 1, 0) WINDOW w AS (PARTITION BY dataset_id ORDER BY ts{way}, core_id{way}, seq{way})) AS x WHERE place <= 50
+  WINDOW u AS (PARTITION BY dataset_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
 SQL = {
     "b01_overlap_buckets": f"SELECT dataset_id, bucket, round(sum(part), 6) AS slices FROM ({parts('slices', 'whole', 32)}) AS p GROUP BY ALL",
-    "b02_time_index": f"SELECT dataset_id, bucket, core_id, count(*) AS events FROM (SELECT dataset_id, core_id, {bucket_of(128)} AS bucket FROM al JOIN whole USING (dataset_id)) AS x GROUP BY ALL",
+    "b02_time_index": f"""SELECT dataset_id, bucket, core_id, round(sum(events), 6) AS events, round(sum(slices), 6) AS slices, round(sum(irqs), 6) AS irqs FROM (
+  SELECT dataset_id, {bucket_of(128)} AS bucket, core_id, 1.0::double AS events, 0.0::double AS slices, 0.0::double AS irqs FROM al JOIN whole USING (dataset_id)
+  UNION ALL SELECT dataset_id, bucket, core_id, 0.0, part, 0.0 FROM ({core_parts("slices")}) AS s UNION ALL SELECT dataset_id, bucket, core_id, 0.0, 0.0, part FROM ({core_parts("irqs")}) AS i) AS x GROUP BY ALL""",
     "b03_timeline_buckets": "SELECT dataset_id, bucket, round(coalesce(sum(x) FILTER (WHERE kind = 'events'), 0.0), 6) AS events, round(coalesce(sum(x) FILTER (WHERE kind = 'slices'), 0.0), 6) AS slices, round(coalesce(sum(x) FILTER (WHERE kind = 'irqs'), 0.0), 6) AS irqs FROM tb GROUP BY ALL",
     "b04_timeline_lod1": "SELECT dataset_id, 'slice' AS kind, slice_id AS id, t_begin, t_end FROM cs UNION ALL SELECT dataset_id, 'irq', irq_span_id, t_begin, t_end FROM ci UNION ALL SELECT dataset_id, 'switch', event_uid, ts, ts FROM ce WHERE event_name = 'CTX_SWITCH'",
     "b04_timeline_lod2": "SELECT * FROM (SELECT dataset_id, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY ts, core_id, seq) AS int) AS place, event_uid, event_name, ts FROM ce) AS x WHERE place <= 50",
@@ -129,10 +146,8 @@ SQL = {
   count(*) FILTER (WHERE state = 'READY') AS ready, count(*) FILTER (WHERE state = 'RUNNING') AS running, count(*) FILTER (WHERE state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE state = 'EXIT') AS exit FROM ct GROUP BY dataset_id, task_id""",
     "b06_state_lanes_core": """SELECT c.dataset_id, c.task_id, 'core:' || core_id AS lane, CAST(count(*) AS int) AS segments, min(t_begin) AS t_begin, max(t_end) AS t_end, bool_and(c.trusted) AS trusted,
   count(*) FILTER (WHERE state = 'READY') AS ready, count(*) FILTER (WHERE state = 'RUNNING') AS running, count(*) FILTER (WHERE state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE state = 'EXIT') AS exit FROM ct AS c JOIN al AS e ON e.event_uid = c.cause_event GROUP BY c.dataset_id, c.task_id, core_id""",
-    "q01_event_page_forward": """SELECT * FROM (SELECT dataset_id, CAST(row_number() OVER w AS int) AS place, event_uid, ts, core_id, seq, trusted, count(*) OVER (PARTITION BY dataset_id) > 50 AS has_more, count(*) OVER (PARTITION BY dataset_id) AS total
-  FROM al JOIN scope USING (dataset_id) WHERE (ts, core_id, seq) > (w_begin, 1, 0) WINDOW w AS (PARTITION BY dataset_id ORDER BY ts, core_id, seq)) AS x WHERE place <= 50""",
-    "q01_event_page_backward": """SELECT * FROM (SELECT dataset_id, CAST(row_number() OVER w AS int) AS place, event_uid, ts, core_id, seq, trusted, count(*) OVER (PARTITION BY dataset_id) > 50 AS has_more, count(*) OVER (PARTITION BY dataset_id) AS total
-  FROM al JOIN scope USING (dataset_id) WHERE (ts, core_id, seq) < (w_begin, 1, 0) WINDOW w AS (PARTITION BY dataset_id ORDER BY ts DESC, core_id DESC, seq DESC)) AS x WHERE place <= 50""",
+    "q01_event_page_forward": page_sql(">", "", "first_value(name) OVER u", "CASE WHEN has_more THEN last_value(name) OVER u END"),
+    "q01_event_page_backward": page_sql("<", " DESC", "CASE WHEN has_more THEN last_value(name) OVER u END", "first_value(name) OVER u"),
     "q03_index_summary": "SELECT dataset_id, count(*) AS events, count(DISTINCT task_id) AS tasks, count(DISTINCT core_id) AS cores, count(DISTINCT event_name) AS kinds FROM al GROUP BY dataset_id",
     "q04_resource_graph": """SELECT dataset_id, coalesce(hold_edges, 0) AS hold_edges, coalesce(wait_edges, 0) AS wait_edges, coalesce(chains, 0) AS chains, coalesce(paths, 0) AS paths FROM scope
   LEFT JOIN (SELECT dataset_id, count(*) AS hold_edges FROM wh GROUP BY ALL) AS h USING (dataset_id) LEFT JOIN (SELECT dataset_id, count(*) AS wait_edges FROM ww GROUP BY ALL) AS w USING (dataset_id)
@@ -141,9 +156,11 @@ SQL = {
     "q06_alerts_query": "SELECT alert_id, type FROM alerts WHERE task_id = 2",
     "q09_metric_evidence": """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dataset_id, metric_id ORDER BY value DESC, ref) AS int) AS rank FROM (
   SELECT dataset_id, 'cpu_utilization' AS metric_id, slice_id AS ref, clipped AS value FROM cs UNION ALL SELECT dataset_id, 'blocked_time', seg_id, clipped FROM ct WHERE state = 'BLOCKED' UNION ALL SELECT dataset_id, 'ready_wait_time', seg_id, clipped FROM ct WHERE state = 'READY'
-  UNION ALL SELECT dataset_id, 'response_time', seg_id, response FROM samples UNION ALL SELECT dataset_id, 'irq_busy_time', irq_span_id, clipped FROM ci) AS x) AS y WHERE rank <= 3""",
+  UNION ALL SELECT dataset_id, 'response_time', seg_id, response FROM samples UNION ALL SELECT dataset_id, 'irq_busy_time', irq_span_id, clipped FROM ci
+  UNION ALL SELECT dataset_id, 'irq_latency', irq_span_id, clipped FROM ci WHERE delayed_task IS NOT NULL UNION ALL SELECT dataset_id, 'context_switch_count', event_uid, -ts FROM ce WHERE event_name = 'CTX_SWITCH'
+  UNION ALL SELECT s.dataset_id, 'response_jitter', seg_id, response FROM samples AS s SEMI JOIN widest AS j ON j.dataset_id = s.dataset_id AND j.task_id = s.task_id) AS x) AS y WHERE rank <= 3""",
     "j01_cause_event_join": "SELECT seg_id, event_name, core_id FROM states AS s LEFT JOIN al AS e ON e.event_uid = s.cause_event",
-    "j02_wait_chains": CHAIN.format(w="waits", h="held"),
+    "j02_wait_chains": CHAIN.format(w="waits", h="holds"),
     "j03_preempting_slices": """SELECT b.seg_id, s.slice_id, s.task_id AS m_task FROM ct AS b JOIN al AS c ON c.event_uid = b.cause_event JOIN prios AS p ON p.dataset_id = b.dataset_id AND p.task_id = b.task_id
   JOIN prios AS o ON o.dataset_id = b.dataset_id AND o.task_id = c.owner_task_id JOIN cs AS s ON s.dataset_id = b.dataset_id AND s.t_begin < b.t_end AND b.t_begin < s.t_end JOIN prios AS q ON q.dataset_id = s.dataset_id AND q.task_id = s.task_id
   WHERE b.state = 'BLOCKED' AND b.related_obj IS NOT NULL AND p.prio < q.prio AND q.prio < o.prio AND s.task_id NOT IN (b.task_id, c.owner_task_id)""",
@@ -151,7 +168,7 @@ SQL = {
     "j10_nearest_event": """SELECT dataset_id, CAST(at_ts AS varchar) AS probe, (SELECT arg_min(event_uid, (abs(e.ts - p.at_ts), e.ts, e.core_id, e.seq)) FROM al AS e WHERE e.dataset_id = p.dataset_id) AS event_uid
   FROM (SELECT dataset_id, unnest(range(w_begin, w_end + 1, greatest((w_end - w_begin) // 20, 1))) AS at_ts FROM scope) AS p""",
     "j13_evidence_resolution": """SELECT DISTINCT r.dataset_id, ref, m.uid AS event_uid FROM refs AS r JOIN (SELECT event_uid AS k, event_uid AS uid FROM al UNION ALL SELECT slice_id, start_event FROM slices UNION ALL SELECT slice_id, end_event FROM slices WHERE end_event IS NOT NULL) AS m ON m.k = r.ref""",
-    "p01_metric": outer_sql("mv", ["metric_id"], ["value"], ", CASE WHEN b_value <> 0 THEN round(c_value / b_value, 6) END AS ratio, CASE WHEN d_value > 0 THEN 'up' WHEN d_value < 0 THEN 'down' ELSE 'flat' END AS trend"),
+    "p01_metric": outer_sql("mv", ["metric_id"], ["value"], ", CASE WHEN b_value <> 0 THEN round(c_value / b_value, 6) END AS ratio, CASE WHEN d_value > 0 THEN 'up' WHEN d_value < 0 THEN 'down' ELSE 'flat' END AS trend, (SELECT any_value(codes) FROM codes AS k WHERE k.pair = o.pair AND k.side = 0) AS b_reason_codes, (SELECT any_value(codes) FROM codes AS k WHERE k.pair = o.pair AND k.side = 1) AS c_reason_codes"),
     "p02_alert": outer_sql("an", ["type", "severity"], ["n"], ", greatest(d_n, 0) AS added, greatest(-d_n, 0) AS removed"),
     "p03_hotspot": f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY pair ORDER BY abs(d_n) DESC, greatest(b_n, c_n) DESC, node) AS int) AS rank FROM ({outer_sql('nodes', ['node'], ['n'])}) AS z SEMI JOIN hot USING (pair, node)) AS y WHERE rank <= 5",
     "p04_interval": outer_sql("lb", [], ["longest"]),

@@ -42,7 +42,7 @@ TRACE = {
     "m10_quantiles": lambda t: m.quantiles(fl.clipped(t.states.where("state = 'BLOCKED'"), t.scope), "clipped"),
     "m11_top_blocked": lambda t: m.ranked(m.state_time(t.states, t.scope, "BLOCKED"), "total", "task_id", 3).select("dataset_id", "task_id", "total", "rank"),
     "m12_metric_value": lambda t: m.metric_values(t, t.scope),
-    "m13_metric_bucket_series": lambda t: m.bucket_series(t, t.scope, 12),
+    "m13_metric_bucket_series": lambda t: m.bucket_series(t, t.scope, 2),
     "d01_deadline_analysis": lambda t: m.deadline_analysis(t.events, t.scope),
     "d02_support_level": lambda t: al.all_alerts(t, t.scope, TH).groupBy("dataset_id", "type", "support_level").agg(F.count("*").alias("n")),
     "d03_trust_summary": lambda t: m.trust_summary(t.windows, t.scope),
@@ -64,8 +64,9 @@ V = {
     "ci": f"SELECT *, {CLIP} AS clipped, coalesce(enter_event, exit_event) AS ref FROM irqs JOIN scope USING (dataset_id) WHERE {OPEN}",
     "ce": "SELECT * FROM al JOIN scope USING (dataset_id) WHERE ts BETWEEN w_begin AND w_end",
     "cw": f"SELECT * FROM windows JOIN scope USING (dataset_id) WHERE {OPEN}",
-    "samples": """SELECT * FROM (SELECT dataset_id, task_id, seg_id, state, t_end - t_begin AS response, lead(state) OVER (PARTITION BY dataset_id, task_id ORDER BY t_begin, t_end, seg_id) AS after FROM ct) AS x
+    "samples": """SELECT * FROM (SELECT dataset_id, task_id, seg_id, t_end, state, t_end - t_begin AS response, lead(state) OVER (PARTITION BY dataset_id, task_id ORDER BY t_begin, t_end, seg_id) AS after FROM ct) AS x
   WHERE state = 'READY' AND after = 'RUNNING'""",
+    "answers": """SELECT dataset_id, CAST(least(11, floor((t_end - w_begin) / greatest((w_end - w_begin) / 12, 1.0))) AS int) AS b, task_id, sum(response) AS s, count(*) AS k, max(response) - min(response) AS j FROM samples JOIN scope USING (dataset_id) GROUP BY ALL""",
     "dl1": """SELECT *, event_name = 'TASK_READY' AND (job_id IS NOT NULL OR coalesce(before <> 'TASK_READY', true)) AS accepted FROM (
   SELECT *, row_number() OVER w AS i, lag(event_name) OVER w AS before FROM ce WHERE event_name = 'TASK_EXIT' OR event_name = 'TASK_READY' AND deadline_ts IS NOT NULL
   WINDOW w AS (PARTITION BY dataset_id, task_id, job_id ORDER BY ts, core_id, seq)) AS x""",
@@ -132,10 +133,15 @@ SQL = {
   UNION ALL SELECT dataset_id, 'context_switch_count', CAST(count(*) FILTER (WHERE event_name = 'CTX_SWITCH') AS double) FROM ce GROUP BY dataset_id
   UNION ALL SELECT dataset_id, 'irq_busy_time', CAST(sum(clipped) AS double) FROM ci GROUP BY dataset_id
   UNION ALL SELECT dataset_id, 'irq_latency', CAST(sum(clipped) AS double) FROM ci WHERE delayed_task IS NOT NULL GROUP BY dataset_id""",
-    "m13_metric_bucket_series": """SELECT dataset_id, CAST(b AS int) AS bucket, kind, round(sum(greatest(0.0, least(t_end, w_begin + (b + 1) * size) - greatest(t_begin, w_begin + b * size)) / (t_end - t_begin) * (t_end - t_begin)), 2) AS time
+    "m13_metric_bucket_series": """SELECT dataset_id, CAST(b AS int) AS bucket, metric_id, CASE WHEN metric_id = 'cpu_utilization' THEN round(sum(t) / any_value(size), 6) ELSE round(sum(t), 2) END AS value FROM (
+  SELECT *, greatest(0.0, least(t_end, w_begin + (b + 1) * size) - greatest(t_begin, w_begin + b * size)) / (t_end - t_begin) * (t_end - t_begin) AS t
   FROM (SELECT *, greatest((w_end - w_begin) / 12, 1.0) AS size, CAST(greatest(0, least(11, floor((t_begin - w_begin) / greatest((w_end - w_begin) / 12, 1.0)))) AS int) AS b0, CAST(greatest(0, least(11, floor((t_end - w_begin) / greatest((w_end - w_begin) / 12, 1.0)))) AS int) AS b1
-    FROM (SELECT dataset_id, t_begin, t_end, 'run' AS kind FROM slices UNION ALL SELECT dataset_id, t_begin, t_end, lower(state) FROM states WHERE state IN ('BLOCKED', 'READY')) AS i JOIN scope USING (dataset_id)
-    WHERE t_end > t_begin AND t_begin <= w_end AND t_end >= w_begin) AS x, unnest(range(b0, b1 + 1)) AS u(b) GROUP BY ALL""",
+    FROM (SELECT dataset_id, t_begin, t_end, 'cpu_utilization' AS metric_id FROM slices UNION ALL SELECT dataset_id, t_begin, t_end, CASE state WHEN 'READY' THEN 'ready_wait_time' ELSE 'blocked_time' END FROM states WHERE state IN ('BLOCKED', 'READY')
+      UNION ALL SELECT dataset_id, t_begin, t_end, 'irq_busy_time' FROM irqs UNION ALL SELECT dataset_id, t_begin, t_end, 'irq_latency' FROM irqs WHERE delayed_task IS NOT NULL) AS i JOIN scope USING (dataset_id)
+    WHERE t_end > t_begin AND t_begin <= w_end AND t_end >= w_begin) AS x, unnest(range(b0, b1 + 1)) AS u(b)) AS y GROUP BY dataset_id, b, metric_id
+  UNION ALL SELECT dataset_id, CAST(least(11, floor((ts - w_begin) / greatest((w_end - w_begin) / 12, 1.0))) AS int) AS b, 'context_switch_count', CAST(count(*) AS double) FROM ce WHERE event_name = 'CTX_SWITCH' GROUP BY ALL
+  UNION ALL SELECT dataset_id, b, 'response_time', round(sum(s) / sum(k), 3) FROM answers GROUP BY ALL UNION ALL SELECT dataset_id, b, 'response_jitter', CAST(max(j) AS double) FROM answers GROUP BY ALL
+  UNION ALL SELECT dataset_id, CAST(least(11, floor((finish_ts - w_begin) / greatest((w_end - w_begin) / 12, 1.0))) AS int) AS b, 'deadline_miss', CAST(max(deadline_miss) AS double) FROM deadlines JOIN scope USING (dataset_id) WHERE finish_ts IS NOT NULL GROUP BY ALL""",
     "d01_deadline_analysis": "SELECT * FROM deadlines",
     "d02_support_level": "SELECT dataset_id, type, support_level, count(*) AS n FROM alerts GROUP BY ALL",
     "d03_trust_summary": "SELECT dataset_id, reason_code, count(*) AS n FROM cw GROUP BY ALL",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordering import numbered
 from ..operators import align, integrity, rebuild
 from .sql import with_views
 from .trace import over_trace
@@ -16,7 +17,7 @@ TRACE = {
     "a01_align_offsets": lambda t: align.core_alignment(t.tagged),
     "a02_align_apply": lambda t: t.events.select("event_uid", "ts_raw", "ts", "covered"),
     "a03_align_degraded_window": lambda t: align.degraded_windows(t.events),
-    "a04_event_order": lambda t: t.events.select("dataset_id", "event_uid", F.row_number().over(_order()).alias("place")),
+    "a04_event_order": lambda t: numbered(t.events.select("dataset_id", *align.ORDER, "event_uid"), "dataset_id", list(align.ORDER), "place").select("dataset_id", "event_uid", F.col("place").cast("int").alias("place")),
     "a05_dedupe_observations": lambda t: align.dedupe_observations(t.events.unionByName(t.events.where("seq % 5 = 0"))).select("event_uid", "ts"),
     "r01_task_state_segments": lambda t: t.states,
     "r02_exec_slices": lambda t: t.slices,
@@ -34,12 +35,6 @@ TRACE = {
 }
 
 
-def _order():
-    from pyspark.sql.window import Window as W
-
-    return W.partitionBy("dataset_id").orderBy(*align.ORDER)
-
-
 def _ready(t):
     r = rebuild.ready_not_running(t.states, t.slices, t.irqs)
     return r.withColumns({"slice_ids": F.array_join("slice_ids", ","), "irq_ids": F.array_join("irq_ids", ",")})

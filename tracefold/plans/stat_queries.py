@@ -71,6 +71,70 @@ def _orders(s, d):
     return _table(s, d, "orders")
 
 
+def _facts(s, d):
+    """Collector counters of each core made from its events, with a few planted errors."""
+    g = trace_events(s, d).groupBy("dataset_id", "core_id").agg(F.count("*").alias("accepted_records"), F.coalesce(F.sum("overflow_count"), F.lit(0)).alias("buffer_overflow_dropped_records"), F.count_if(F.col("event_name") == "SYNC_TRY").alias("rejected_payload_records"), F.count_if(F.col("event_name").isin("LOSS", "OVERFLOW")).alias("integrity_markers"), F.max("seq").alias("buffer_high_watermark"))
+    n = "cast(dataset_id as bigint)"
+    made = {
+        "dropped_records": "buffer_overflow_dropped_records + rejected_payload_records", "attempted_records": f"accepted_records + dropped_records + if(core_id = 3 and {n} % 2 = 1, 1, 0)",
+        "flushed_records": "accepted_records + integrity_markers", "decoded_records": "flushed_records - if(core_id = 2, 1, 0)", "loss_delta_total": "buffer_overflow_dropped_records", "overflow_delta_total": f"buffer_overflow_dropped_records + if({n} % 3 = 0, 1, 0)",
+        "wire_frames": "flushed_records", "wire_bytes": f"if({n} % 5 = 3, null, 28 * flushed_records)", "inventory_frames": "flushed_records", "inventory_bytes": "if(core_id = 1, null, wire_bytes)", "buffer_capacity_records": "490",
+        "crc_failures": "0", "truncations": "0", "backpressure_total": "0", "observed": f"{n} % 5 <> 4", "capacity_unit": "'records'", "watermark_unit": f"if(core_id = 0 and {n} % 2 = 1, 'bytes', 'records')",
+    }
+    for name, value in made.items():
+        g = g.withColumn(name, F.expr(value))
+    return g
+
+
+def _epochs(s, d):
+    """Interrupt entries as an observer's epochs; the UART has those of two thirds of the interrupts, in ticks of a clock that is off."""
+    e = trace_events(s, d).where("event_name = 'IRQ_ENTER'")
+    observer = e.select("dataset_id", "core_id", F.col("seq").alias("epoch"), F.col("ts_raw").alias("at"))
+    return observer, e.where("irq_id <> 3").select("dataset_id", "core_id", F.col("seq").alias("epoch"), F.expr("ts_raw + ts_raw div 1000000 % 7").alias("tick"))
+
+
+def _replays(s, d):
+    """Orders as replayed diagnoses: a status, the references of the evidence and those kept."""
+    status = F.expr("element_at(array('pass', 'fail', 'reference', 'not_evaluated'), cast(o_orderkey % 4 + 1 as int))")
+    refs = F.expr("transform(sequence(0, cast(o_orderkey % 5 as int)), i -> concat('r', o_custkey % 50 + i))")
+    kept = F.expr("transform(filter(sequence(0, cast(o_orderkey % 7 as int)), i -> i % 2 = 0 or o_orderkey % 3 = 0), i -> concat('r', o_custkey % 50 + i))")
+    return _orders(s, d).select("o_orderkey", "o_orderpriority", status.alias("status"), refs.alias("refs"), kept.alias("kept"))
+
+
+def _events_json(s, d):
+    payload = F.struct("task_id", "irq_id", F.col("reason").cast("string").alias("reason"))
+    return _written(trace_events(s, d).select(F.to_json(F.struct("core_id", "event_name", "seq", F.col("ts_raw").alias("timestamp"), payload.alias("payload")))), "events")
+
+
+def _vcd_path(s, d):
+    """A dump of each trace's interrupt lines: entries raise the line of the interrupt, exits lower it, loss gives an unknown value; one file a trace, its times in order."""
+    e = trace_events(s, d).where("event_name in ('IRQ_ENTER', 'IRQ_EXIT', 'LOSS')").withColumn("n", F.row_number().over(W.partitionBy("dataset_id").orderBy("ts_raw", "core_id", "seq")))
+    bit = F.expr("case event_name when 'IRQ_ENTER' then '1' when 'IRQ_EXIT' then '0' else 'x' end")
+    change = F.concat(F.lit("#"), F.expr("ts_raw div 1000000 - if(n % 50 = 0, 1000000, 0)"), F.lit("\n"), bit, F.lit("i"), F.coalesce("irq_id", F.lit(1)))
+    body = e.groupBy("dataset_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", change.alias("c")))), lambda x: x["c"]), "\n").alias("body"))
+    head = "".join(f"$var wire 1 i{i} irq{i} $end\n" for i in (1, 2, 3))
+    path = f"{shared_dir(s)}/vcd-{uuid.uuid4().hex}"
+    body.select("dataset_id", F.concat(F.lit(head), "body").alias("value")).write.partitionBy("dataset_id").text(path)
+    return path
+
+
+def _cluster_path(s, d):
+    """Orders as instance events of a cluster: collections of a customer, types and machines by rule, some without a machine or an end."""
+    row = F.struct(
+        F.col("o_custkey").alias("collection_id"), F.expr("cast(o_orderkey % 3 as int)").alias("instance_index"), F.expr("if(o_orderkey % 5 = 0, null, o_orderkey % 101 - 50)").alias("machine_id"), F.expr("cast(o_orderkey % 11 as int)").alias("type"),
+        F.expr("cast(o_orderkey % 400 * 100 as int)").alias("priority"), F.expr("if(o_orderkey % 997 = 0, 9223372036854775807, o_orderkey * 10)").alias("time"),
+    )
+    return _written(_orders(s, d).select(F.to_json(row)), "cluster")
+
+
+def _logic_path(s, d):
+    """Line items as samples of two channels, a file an order priority: time in seconds and two levels."""
+    rows = _orders(s, d).select("o_orderpriority", (F.col("o_orderkey") / 8).alias("t"), F.expr("o_custkey % 2").alias("a"), F.expr("o_custkey div 2 % 2").alias("b"))
+    path = f"{shared_dir(s)}/logic-{uuid.uuid4().hex}"
+    rows.repartition(1, "o_orderpriority").sortWithinPartitions("o_orderpriority", "t").write.partitionBy("o_orderpriority").option("header", True).csv(path)
+    return path
+
+
 #: Weights of the features that runs and cases share.
 CASE_WEIGHTS = {"size": 5, "rss": 3, "phase": 2, "platform": 1}
 
@@ -117,7 +181,7 @@ QUERIES = {
     "t05_case_summary": lambda s, d: retrieval.case_summary(retrieval.similar_cases(_runs(s, d), _cases(s, d), CASE_WEIGHTS, action=6, missing=2), _runs(s, d), _cases(s, d), threshold=8),
     "t06_run_statistics": lambda s, d: stats.run_statistics(_lines(s, d), "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount"]),
     "t07_status_counts": lambda s, d: stats.status_counts(_orders(s, d), "o_orderpriority", "o_orderstatus", ["F", "O", "P"]),
-    "t08_telemetry_risk": lambda s, d: stats.telemetry_risk(_telemetry(s, d), "dataset_id", "at", "runtime", "rss", 50),
+    "t08_telemetry_risk": lambda s, d: stats.telemetry_risk(_telemetry(s, d).withColumn("reused", F.col("at") % 3 == 0), "dataset_id", "at", "runtime", "rss", 50),
     "s11_scan_telemetry": lambda s, d: _telemetry(s, d).select("run_id", "runtime", "rss"),
     "t09_prior_training": lambda s, d: stats.prior_table(_lines(s, d).select((F.col("l_quantity") > 25).alias("f1"), (F.col("l_discount") > 0.05).alias("f2"), "l_extendedprice", F.array("l_returnflag", "l_linestatus").alias("acts")), ["f1", "f2"], "l_extendedprice", "acts"),
     "t12_feedback_summary": lambda s, d: stats.feedback_summary(_lines(s, d).select("l_returnflag", "l_suppkey", (F.col("l_linenumber") % 5).alias("clarity"), (F.col("l_quantity") % 5).alias("trust")), "l_returnflag", "l_suppkey", ["clarity", "trust"]),
@@ -125,6 +189,20 @@ QUERIES = {
     "t14_clock_drift": lambda s, d: stats.clock_drift(trace_events(s, d).where("event_name like 'IRQ%'"), "dataset_id", "ts_raw", 1e8),
     "t15_perturbation": lambda s, d: stats.perturbation(_lines(s, d).groupBy("l_linestatus", "l_returnflag").agg(F.sum("l_quantity").alias("q"), F.count("*").alias("n")), "l_linestatus", "l_returnflag", "A", ["q", "n"]),
     "t16_counter_reconcile": lambda s, d: stats.reconcile(_counters(s, d), "l_suppkey", {"returns": "total = returned + kept", "status": "total = open + closed", "some": "returned > 0"}),
+    "t16_collector_reconcile": lambda s, d: stats.reconcile_collector(_facts(s, d), ["dataset_id", "core_id"]),
+    "j11_epoch_join": lambda s, d: stats.epoch_join(*_epochs(s, d), ["dataset_id", "core_id"])[0].select("dataset_id", "core_id", "epoch", "at", "tick"),
+    "j11_foreign_epochs": lambda s, d: stats.epoch_join(*_epochs(s, d), ["dataset_id", "core_id"])[1].select("dataset_id", "core_id", "epoch"),
+    "t14_clock_residual": lambda s, d: stats.clock_residual(stats.epoch_join(*_epochs(s, d), ["dataset_id", "core_id"])[0], ["dataset_id", "core_id"], 1.0),
+    "t10_replay_summary": lambda s, d: stats.replay_summary(_replays(s, d), "o_orderpriority"),
+    "t11_diagnosis_retention": lambda s, d: stats.retention(_replays(s, d).select(F.col("o_orderkey").alias("id"), "refs", "kept")),
+    "s04_scan_events_json": lambda s, d: text_traces.scan_events_json(s, _events_json(s, d)).select("core_id", "event_name", "seq", "timestamp", "payload.task_id", "payload.irq_id", "payload.reason"),
+    "s06_scan_vcd": lambda s, d: text_traces.scan_vcd(s, _vcd_path(s, d))[0].select("timestamp", "identifier", "value"),
+    "s06_vcd_problems": lambda s, d: text_traces.scan_vcd(s, _vcd_path(s, d))[1].groupBy("reason").agg(F.count("*").alias("n")),
+    "c03_vcd_to_semantic": lambda s, d: convert.vcd_to_semantic(text_traces.scan_vcd(s, _vcd_path(s, d))[0]).groupBy("semantic", "identifier").agg(F.count("*").alias("n"), F.sum("value").alias("ones")),
+    "s08_scan_cluster_json": lambda s, d: text_traces.scan_cluster_json(s, _cluster_path(s, d)),
+    "c02_cluster_to_events": lambda s, d: convert.cluster_to_events(text_traces.scan_cluster_json(s, _cluster_path(s, d))).groupBy("core_id", "event_name", "exit_code").agg(F.count("*").alias("n"), F.max("ts_raw").alias("last"), F.min("prio").alias("least_prio"), F.count_distinct("task_id").alias("tasks")),
+    "s09_scan_logic_csv": lambda s, d: text_traces.scan_logic_csv(s, _logic_path(s, d), ["a", "b"])[0].drop("file"),
+    "s09_logic_edges": lambda s, d: text_traces.scan_logic_csv(s, _logic_path(s, d), ["a", "b"])[1].drop("file"),
     "t17_raw_facts": lambda s, d: stats.raw_facts(trace_events(s, d)),
     "t18_ledger_chain": lambda s, d: stats.ledger_violations(_ledger(s, d), "o_custkey"),
     "t19_current_version": lambda s, d: stats.current_version(_orders(s, d).select("o_custkey", F.col("o_orderkey").alias("version"), F.expr("if(o_orderkey % 3 = 0, null, o_orderkey - o_orderkey % 3)").alias("prior")), "o_custkey"),
@@ -169,6 +247,18 @@ V = {
   ON r.size = y.size AND r.rss IS NOT DISTINCT FROM y.rss AND r.phase = y.phase AND r.platform = y.platform AND r.actions = y.actions AND r.missing = y.missing""",
     "conflicting": """SELECT run_id, action AS act FROM (SELECT s.run_id, action, list(DISTINCT label) AS ls FROM alike AS s JOIN cases USING (case_id) JOIN runs AS r ON r.run_id = s.run_id WHERE score >= 8 AND list_contains(actions, action) GROUP BY ALL) AS x
   WHERE list_contains(ls, 'accept') AND list_has_any(ls, ['reject', 'unsafe', 'abstain', 'needs_more_data']) OR list_contains(ls, 'unsafe') AND list_has_any(ls, ['reject', 'abstain', 'needs_more_data'])""",
+    "facts0": """SELECT dataset_id, core_id, CAST(dataset_id AS bigint) AS d, count(*) AS accepted_records, CAST(coalesce(sum(overflow_count), 0) AS bigint) AS buffer_overflow_dropped_records, count(*) FILTER (WHERE event_name = 'SYNC_TRY') AS rejected_payload_records, count(*) FILTER (WHERE event_name IN ('LOSS', 'OVERFLOW')) AS integrity_markers,
+  max(seq) AS buffer_high_watermark, 490 AS buffer_capacity_records FROM ev GROUP BY ALL""",
+    "facts": """SELECT *, CASE WHEN core_id = 1 THEN NULL ELSE wire_bytes END AS inventory_bytes FROM (SELECT *, buffer_overflow_dropped_records + rejected_payload_records AS dropped_records, accepted_records + buffer_overflow_dropped_records + rejected_payload_records + CASE WHEN core_id = 3 AND d % 2 = 1 THEN 1 ELSE 0 END AS attempted_records,
+  accepted_records + integrity_markers AS flushed_records, accepted_records + integrity_markers - CASE WHEN core_id = 2 THEN 1 ELSE 0 END AS decoded_records, buffer_overflow_dropped_records AS loss_delta_total, buffer_overflow_dropped_records + CASE WHEN d % 3 = 0 THEN 1 ELSE 0 END AS overflow_delta_total,
+  accepted_records + integrity_markers AS wire_frames, CASE WHEN d % 5 <> 3 THEN 28 * (accepted_records + integrity_markers) END AS wire_bytes, accepted_records + integrity_markers AS inventory_frames, d % 5 <> 4 AS observed, CASE WHEN core_id = 0 AND d % 2 = 1 THEN 'bytes' ELSE 'records' END AS watermark_unit FROM facts0) AS x""",
+    "epochs": "SELECT dataset_id, core_id, seq AS epoch, ts_raw AS at_ts, CASE WHEN irq_id <> 3 THEN ts_raw + ts_raw // 1000000 % 7 END AS tick FROM ev WHERE event_name = 'IRQ_ENTER'",
+    "replays": """SELECT o_orderkey, o_orderpriority, ['pass', 'fail', 'reference', 'not_evaluated'][o_orderkey % 4 + 1] AS status, list_transform(range(0, o_orderkey % 5 + 1), lambda i: 'r' || (o_custkey % 50 + i)) AS refs,
+  list_transform(list_filter(range(0, o_orderkey % 7 + 1), lambda i: i % 2 = 0 OR o_orderkey % 3 = 0), lambda i: 'r' || (o_custkey % 50 + i)) AS kept FROM orders""",
+    "vcd": """SELECT *, ts_raw // 1000000 - CASE WHEN n % 50 = 0 THEN 1000000 ELSE 0 END AS at_s FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY ts_raw, core_id, seq) AS n FROM ev WHERE event_name IN ('IRQ_ENTER', 'IRQ_EXIT', 'LOSS')) AS x""",
+    "cluster": """SELECT o_custkey AS collection_id, CAST(o_orderkey % 3 AS int) AS instance_index, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 101 - 50 END AS machine_id, CAST(o_orderkey % 11 AS int) AS type, CAST(o_orderkey % 400 * 100 AS int) AS priority,
+  CASE WHEN o_orderkey % 997 = 0 THEN 9223372036854775807 ELSE o_orderkey * 10 END AS at_ts FROM orders""",
+    "logic": "SELECT *, lag(a) OVER w AS la, lag(b) OVER w AS lb FROM (SELECT o_orderpriority, o_orderkey / 8 AS t, o_custkey % 2 AS a, o_custkey // 2 % 2 AS b FROM orders) AS x WINDOW w AS (PARTITION BY o_orderpriority ORDER BY t)",
     "led": "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY append_sequence) AS n, lag(digest) OVER (PARTITION BY o_custkey ORDER BY append_sequence) AS before, count(*) OVER (PARTITION BY o_custkey, record_id) AS same_id, min(session) OVER (PARTITION BY o_custkey) AS s0, max(session) OVER (PARTITION BY o_custkey) AS s1 FROM led0",
     "led0": """SELECT o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN i + 100 ELSE i END AS append_sequence, digest, CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE prev END AS previous_digest, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE o_orderkey END AS record_id, CASE WHEN o_orderkey % 19 = 0 THEN 's2' ELSE 's1' END AS session FROM (SELECT o_custkey, o_orderkey, row_number() OVER w AS i, md5(CAST(o_orderkey AS varchar)) AS digest,
   md5(CAST(lag(o_orderkey) OVER w AS varchar)) AS prev FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) AS x""",
@@ -194,7 +284,7 @@ SQL = {
   FROM runs AS r LEFT JOIN (SELECT s.run_id, s.score, k.* FROM alike AS s JOIN cases AS k USING (case_id)) AS m ON m.run_id = r.run_id LEFT JOIN conflicting AS c ON c.run_id = r.run_id AND c.act = m.action GROUP BY ALL""",
     "t06_run_statistics": "SELECT l_returnflag, x.metric AS metric, count(x.value) AS n, round(median(x.value), 6) AS median, quantile_disc(x.value, 0.95) AS p95, min(x.value) AS least, max(x.value) AS most FROM lines3 GROUP BY ALL",
     "t07_status_counts": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p, count(*) AS total FROM orders GROUP BY ALL",
-    "t08_telemetry_risk": "SELECT dataset_id, max(runtime) AS max_runtime, max(rss) AS max_rss, count(*) FILTER (WHERE rss >= 2048) AS heavy, count(*) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY ts DESC, runtime DESC) AS n FROM tele) AS x WHERE n <= 50 GROUP BY dataset_id",
+    "t08_telemetry_risk": "SELECT dataset_id, max(runtime) AS max_runtime, max(rss) AS max_rss, count(*) FILTER (WHERE rss >= 2048) AS heavy, count(*) FILTER (WHERE ts % 3 = 0) AS reused, count(*) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY ts DESC, runtime DESC) AS n FROM tele) AS x WHERE n <= 50 GROUP BY dataset_id",
     "s11_scan_telemetry": "SELECT run_id, runtime, rss FROM tele",
     "t09_prior_training": """SELECT bucket, action, support, rows, mean, round(support * 1.0 / rows, 6) AS share FROM (SELECT CAST(CAST(l_quantity > 25 AS int) AS varchar) || CAST(CAST(l_discount > 0.05 AS int) AS varchar) AS bucket, a AS action, count(*) AS support FROM lineitem, unnest([l_returnflag, l_linestatus]) AS u(a) GROUP BY ALL) AS s
   JOIN (SELECT CAST(CAST(l_quantity > 25 AS int) AS varchar) || CAST(CAST(l_discount > 0.05 AS int) AS varchar) AS bucket, count(*) AS rows, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY ALL) AS z USING (bucket)""",
@@ -206,6 +296,25 @@ SQL = {
   FROM sums AS v LEFT JOIN (SELECT l_linestatus, metric, value FROM sums WHERE l_returnflag = 'A') AS b USING (l_linestatus, metric) WHERE v.l_returnflag <> 'A'""",
     "t16_counter_reconcile": """SELECT l_suppkey, array_to_string(list_filter([CASE WHEN total <> closed + op THEN 'status' END, CASE WHEN returned = 0 THEN 'some' END], lambda x: x IS NOT NULL), ',') AS failing, total = closed + op AND returned > 0 AS consistent
   FROM (SELECT l_suppkey, count(*) AS total, count(*) FILTER (WHERE l_returnflag = 'R') AS returned, count(*) FILTER (WHERE l_linestatus = 'O') AS op, count(*) FILTER (WHERE l_linestatus = 'F' AND l_quantity > 1) AS closed FROM lineitem GROUP BY ALL) AS x""",
+    "t16_collector_reconcile": f"""SELECT dataset_id, core_id, CASE WHEN observed THEN 'observed' ELSE 'not_observed' END AS observation_state, r = '' AS passed, r AS reasons FROM (SELECT *, CASE WHEN NOT observed THEN 'COUNTERS_NOT_OBSERVED' WHEN wire_bytes IS NULL THEN 'COUNTERS_INCOMPLETE'
+  WHEN watermark_unit <> 'records' THEN 'UNITS' ELSE array_to_string(list_filter([{", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{n.upper()}' END" for n, c in stats.EQUATIONS.items())}], lambda x: x IS NOT NULL), ',') END AS r FROM facts) AS x""",
+    "j11_epoch_join": "SELECT dataset_id, core_id, epoch, at_ts AS at, tick FROM epochs WHERE tick IS NOT NULL",
+    "j11_foreign_epochs": "SELECT dataset_id, core_id, epoch FROM epochs WHERE tick IS NULL",
+    "t14_clock_residual": """SELECT dataset_id, core_id, count(*) AS n, round(avg(r), 3) AS mean_residual, round(CAST(max(abs(r)) AS double), 3) AS max_residual FROM (SELECT dataset_id, core_id, (at_ts - lag(at_ts) OVER w) - (tick - lag(tick) OVER w) AS r FROM epochs WHERE tick IS NOT NULL WINDOW w AS (PARTITION BY dataset_id, core_id ORDER BY epoch)) AS x
+  WHERE r IS NOT NULL GROUP BY ALL""",
+    "t10_replay_summary": """SELECT *, CASE WHEN wanted > 0 THEN round(retained * 1.0 / wanted, 6) END AS retention FROM (SELECT o_orderpriority, count(*) FILTER (WHERE status = 'pass') AS pass, count(*) FILTER (WHERE status = 'fail') AS fail, count(*) FILTER (WHERE status = 'reference') AS reference,
+  count(*) FILTER (WHERE status = 'not_evaluated') AS not_evaluated, CAST(sum(len(list_intersect(kept, refs))) AS bigint) AS retained, CAST(sum(len(refs)) AS bigint) AS wanted FROM replays GROUP BY ALL) AS g""",
+    "t11_diagnosis_retention": """SELECT o_orderkey AS id, CAST(len(list_intersect(refs, kept)) AS int) AS shared, array_to_string(list_sort(list_concat(list_filter(refs, lambda x: NOT list_contains(kept, x)), list_filter(kept, lambda x: NOT list_contains(refs, x)))), ',') AS changed FROM replays""",
+    "s04_scan_events_json": "SELECT core_id, event_name, seq, ts_raw AS timestamp, task_id, irq_id, CAST(reason AS varchar) AS reason FROM ev",
+    "s06_scan_vcd": "SELECT at_s AS timestamp, 'i' || irq_id AS identifier, CASE event_name WHEN 'IRQ_ENTER' THEN 1 ELSE 0 END AS value FROM vcd WHERE event_name <> 'LOSS'",
+    "s06_vcd_problems": "SELECT 'UNSUPPORTED_VALUE' AS reason, count(*) AS n FROM vcd WHERE event_name = 'LOSS' UNION ALL SELECT 'TIMESTAMP_REGRESSION', count(*) FROM (SELECT *, max(at_s) OVER (PARTITION BY dataset_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS latest FROM vcd) AS x WHERE at_s < latest",
+    "c03_vcd_to_semantic": "SELECT 'marker' AS semantic, 'i' || irq_id AS identifier, count(*) AS n, count(*) FILTER (WHERE event_name = 'IRQ_ENTER') AS ones FROM vcd WHERE event_name <> 'LOSS' GROUP BY ALL",
+    "s08_scan_cluster_json": "SELECT collection_id, instance_index, machine_id, type, priority, at_ts AS time, CAST(NULL AS int) AS missing_type FROM cluster",
+    "c02_cluster_to_events": """SELECT CAST(core AS int) AS core_id, name AS event_name, CASE type WHEN 5 THEN 1 WHEN 6 THEN 0 WHEN 7 THEN 137 WHEN 8 THEN 2 END AS exit_code, count(*) AS n, max(ts_raw) AS last, min(least(greatest(priority, -32768), 32767)) AS least_prio, count(DISTINCT (collection_id, instance_index)) AS tasks FROM (
+  SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY collection_id, instance_index ORDER BY ts_raw, type ROWS UNBOUNDED PRECEDING), 1) AS core, unnest(CASE WHEN type IN (0, 9) THEN ['TASK_READY'] WHEN type = 1 THEN ['SYNC_TRY', 'TASK_BLOCK'] WHEN type = 2 THEN ['TASK_WAKEUP'] WHEN type IN (3, 10) THEN ['TASK_DISPATCH']
+    WHEN type = 4 THEN ['TASK_BLOCK'] ELSE ['TASK_EXIT'] END) AS name FROM (SELECT *, CASE WHEN machine_id IS NOT NULL THEN 1 + abs(machine_id) % 4 END AS own, CASE WHEN at_ts = 9223372036854775807 THEN (SELECT max(at_ts) FROM cluster WHERE at_ts < 9223372036854775807) + 1 ELSE at_ts END AS ts_raw FROM cluster) AS x) AS y GROUP BY ALL""",
+    "s09_scan_logic_csv": "SELECT t AS time, CAST(a AS int) AS a, CAST(b AS int) AS b FROM logic WHERE a IS DISTINCT FROM la OR b IS DISTINCT FROM lb",
+    "s09_logic_edges": "SELECT t AS time FROM logic WHERE a = 1 AND la = 0",
     "t17_raw_facts": "SELECT dataset_id, CAST(coalesce(sum(greatest(step, 0)), 0) AS bigint) AS missing, CAST(coalesce(sum(lost_count), 0) AS bigint) AS lost, CAST(coalesce(sum(overflow_count), 0) AS bigint) AS overflowed FROM (SELECT *, seq - lag(seq) OVER (PARTITION BY dataset_id, core_id ORDER BY seq) - 1 AS step FROM ev) AS x GROUP BY dataset_id",
     "t18_ledger_chain": "SELECT * FROM (SELECT o_custkey, append_sequence, array_to_string(list_filter([CASE WHEN append_sequence <> n THEN 'SEQUENCE' END, CASE WHEN previous_digest IS DISTINCT FROM before THEN 'CHAIN' END, CASE WHEN same_id > 1 THEN 'DUPLICATE_ID' END, CASE WHEN s0 <> s1 THEN 'SESSION' END], lambda x: x IS NOT NULL), ',') AS violation FROM led) AS x WHERE violation <> ''",
     "t19_current_version": """SELECT o_custkey, versions, leaves, forks, seen - versions AS dangling, roots, CASE WHEN leaves = 1 AND forks = 0 AND seen = versions AND roots = 1 THEN leaf END AS current FROM (

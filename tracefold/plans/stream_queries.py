@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import shared_dir
 from ..sources.trace_view import trace_events
 from ..streaming import ingest as st
-from .sql import with_views
+from .sql import VIEWS, with_views
 
 FILES = 4
 
@@ -39,11 +39,20 @@ def _ingested(s, d):
     return s.read.parquet(f"{base}/log").groupBy("dataset_id", "core_id").agg(F.count("*").alias("events"), F.max("seq").alias("last_seq"))
 
 
+def _counted(s, d):
+    events, base = _arrived(s, d)
+    counts = st.stream_bucket_counts(events).select(F.unix_micros("w.start").alias("w_begin"), "dataset_id", "core_id", "events")
+    return st.drain_updates(counts, f"{base}/out", f"{base}/checkpoint", ["w_begin", "dataset_id", "core_id"])
+
+
 QUERIES = {
     "w01_incremental_ingest": _ingested,
-    "w05_stream_bucket_counts": _stream(lambda e: st.stream_bucket_counts(e).select(F.unix_micros("w.start").alias("w_begin"), "dataset_id", "core_id", "events")),
+    "w05_stream_bucket_counts": _counted,
+}
+SQL = {
+    "w01_incremental_ingest": "SELECT dataset_id, core_id, count(*) AS events, max(seq) AS last_seq FROM ev GROUP BY ALL",
+    "w05_stream_bucket_counts": "SELECT ts_raw - ts_raw % 3600000000 AS w_begin, dataset_id, core_id, count(*) AS events FROM ev GROUP BY ALL",
 }
-SQL = {"w01_incremental_ingest": "SELECT dataset_id, core_id, count(*) AS events, max(seq) AS last_seq FROM ev GROUP BY ALL"}
 ORACLE = {k: with_views(v) for k, v in SQL.items()}
 
 #: Stateful streams, where the session has the state store that they need.
@@ -68,4 +77,8 @@ SQL_STATEFUL = {
     "w03_stream_seq_gaps": "SELECT dataset_id, core_id, seq, least(prev_ts, ts_raw) AS t_begin, greatest(prev_ts, ts_raw) AS t_end FROM prev WHERE seq <> prev_seq + 1",
     "w04_stream_slices": "SELECT dataset_id, core_id, next_task_id AS task_id, ts_raw AS t_begin, c_ts AS t_end, event_uid AS start_event, c_uid AS end_event FROM (SELECT *, lead(ts_raw) OVER w AS c_ts, lead(event_uid) OVER w AS c_uid FROM ev WHERE event_name = 'CTX_SWITCH' WINDOW w AS (PARTITION BY dataset_id, core_id ORDER BY ts_raw, seq)) AS x WHERE next_task_id <> 0 AND c_ts IS NOT NULL",
 }
-ORACLE |= {k: with_views(v) for k, v in SQL_STATEFUL.items()}
+#: The rebuild's views over raw times, as events arrive unaligned.
+RAW = {n: VIEWS[v].replace("FROM al", "FROM raw_al").replace("FROM changes", "FROM raw_changes") for n, v in (("raw_changes", "changes"), ("raw_accepted", "accepted"))}
+RAW["raw_al"] = "SELECT *, ts_raw AS ts, true AS trusted FROM ev"
+SQL_STATEFUL["w04_stream_state_segments"] = """SELECT dataset_id, task_id, state, ts AS t_begin, t_end FROM (SELECT *, lead(ts) OVER (PARTITION BY dataset_id, task_id ORDER BY ts, core_id, seq, sub) AS t_end FROM raw_accepted) AS x WHERE t_end IS NOT NULL"""
+ORACLE |= {k: with_views(v, RAW) for k, v in SQL_STATEFUL.items()}

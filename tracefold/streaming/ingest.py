@@ -106,7 +106,7 @@ class StateFollower(StatefulProcessor):
 
 
 def stream_state_segments(events: DataFrame) -> DataFrame:
-    """Closed task-state segments as events arrive."""
+    """Closed task-state segments as events arrive; a batch may hold events in any order, but those of a task come in batches in order of time."""
     changes = F.expr(
         "case when event_name = 'CTX_SWITCH' then filter(array(named_struct('task_id', prev_task_id, 'state', 'READY', 'cond', true, 'sub', 0), named_struct('task_id', next_task_id, 'state', 'RUNNING', 'cond', false, 'sub', 1)), x -> x.task_id <> 0)"
         " when event_name in ('TASK_READY', 'TASK_WAKEUP') then array(named_struct('task_id', task_id, 'state', 'READY', 'cond', false, 'sub', 0)) when event_name = 'TASK_BLOCK' then array(named_struct('task_id', task_id, 'state', 'BLOCKED', 'cond', false, 'sub', 0))"
@@ -117,13 +117,30 @@ def stream_state_segments(events: DataFrame) -> DataFrame:
 
 
 def stream_bucket_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """Events per core and tumbling window; rows later than the watermark are left to the log."""
+    """Events per core and tumbling window; rows later than the watermark are left to the log. To be run in update mode (``drain_updates``), which gives the windows that are still open too."""
     timed = events.withColumn("at", F.timestamp_micros("ts_raw")).withWatermark("at", late)
     return timed.groupBy(F.window("at", width).alias("w"), "dataset_id", "core_id").agg(F.count("*").alias("events"))
 
 
-def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is there and give its rows as a table."""
     spark = stream.sparkSession
-    stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def drain_updates(stream: DataFrame, path: str, checkpoint: str, key: list[str]) -> DataFrame:
+    """Run a stream over what is there in update mode and give the last row of each key.
+
+    A batch writes its updates under its number and overwrites them when it is
+    run again, so a restart counts nothing twice.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(path)
+    rest = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(*[F.max_by(c, "batch").alias(c) for c in rest])
