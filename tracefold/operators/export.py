@@ -13,19 +13,29 @@ from .filters import in_window
 TABLES = ("events", "states", "slices", "holds", "waits", "irqs", "windows")
 
 
-def export_full(t, path: str) -> None:
-    """One Parquet table each, partitioned by dataset so that readers of one trace skip the others."""
-    for name in TABLES:
-        getattr(t, name).write.mode("overwrite").partitionBy("dataset_id").parquet(f"{path}/{name}")
+def export_full(t, path: str, more: dict[str, DataFrame] | None = None) -> None:
+    """One Parquet table each, partitioned by dataset so that readers of one trace skip the others. more: further tables with a dataset_id, such as metrics, alerts, diagnoses, anchors."""
+    for name, df in [*((n, getattr(t, n)) for n in TABLES), *(more or {}).items()]:
+        df.write.mode("overwrite").partitionBy("dataset_id").parquet(f"{path}/{name}")
 
 
-def scan_package(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    read = spark.read.option("partitionColumnTypeInference.enabled", False)
-    return {name: read.parquet(f"{path}/{name}").withColumn("dataset_id", F.col("dataset_id").cast("string")) for name in TABLES}
+def scan_package(spark: SparkSession, path: str, more: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """The tables of a package; dataset ids stay strings, as the package's own schema says."""
+    out = {}
+    for name in (*TABLES, *more):
+        df = spark.read.option("partitionColumnTypeInference.enabled", False).parquet(f"{path}/{name}")
+        out[name] = df.withColumn("dataset_id", F.col("dataset_id").cast("string"))
+    return out
 
 
-def manifest(package: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [df.groupBy("dataset_id").agg(F.count("*").alias("rows")).withColumn("table", F.lit(name)) for name, df in package.items()])
+def manifest(package: dict[str, DataFrame], checksums: bool = False) -> DataFrame:
+    """dataset_id, table, rows; if asked also a checksum that doesn't depend on the order of rows."""
+
+    def told(name: str, df: DataFrame) -> DataFrame:
+        sums = [F.bit_xor(F.xxhash64(*sorted(df.columns))).alias("checksum")] if checksums else []
+        return df.groupBy("dataset_id").agg(F.count("*").alias("rows"), *sums).withColumn("table", F.lit(name))
+
+    return reduce(DataFrame.unionByName, [told(n, df) for n, df in package.items()])
 
 
 def clip(t, scope: DataFrame) -> dict[str, DataFrame]:

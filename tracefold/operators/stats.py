@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -187,8 +189,39 @@ def epoch_pairing(begins: DataFrame, ends: DataFrame, key: str) -> DataFrame:
     return g.select(key, "unended", "unbegun", "pairs", (F.col("hi") - F.col("lo") + 1 == F.col("pairs")).alias("contiguous"))
 
 
-def bundle_violations(captures: DataFrame, raws: DataFrame, observers: DataFrame, key: str) -> DataFrame:
-    """Captures whose raw or observer record is missing or names another digest."""
-    j = captures.join(raws.select(key, F.col("digest").alias("raw_digest")), key, "left").join(observers.select(key, F.col("digest").alias("obs_digest")), key, "left")
-    bad = F.array_join(F.array_compact(F.array(F.when(F.col("raw_digest").isNull(), "NO_RAW"), F.when(F.col("obs_digest").isNull(), "NO_OBSERVER"), F.when(F.col("raw_digest") != F.col("digest"), "RAW_DIGEST"), F.when(F.col("obs_digest") != F.col("digest"), "OBSERVER_DIGEST"))), ",")
-    return j.select(key, bad.alias("violation"), (bad == "").alias("eligible"))
+#: The six records of a capture, and which of their fields must be equal.
+KINDS = ("ledger", "ccm", "cir", "oar", "inventory", "cvr")
+BINDINGS = {
+    "SESSION": ("ledger.session", "ccm.session", "cir.session", "oar.session", "inventory.session", "cvr.session"),
+    "CASE": ("ledger.case_id", "oar.case_id", "cvr.case_id"),
+    "CONFIG": ("ledger.config", "ccm.config"),
+    "MANIFEST": ("cir.ccm_digest", "ccm.digest"),
+    "RAW_ID": ("inventory.raw_id", "cir.raw_id", "cvr.raw_id"),
+    "RAW_HASH": ("inventory.raw_hash", "cir.raw_hash", "cvr.raw_hash"),
+    "OBSERVER": ("ledger.oar_digest", "oar.digest"),
+    "VALIDITY": ("ledger.cvr_digest", "cvr.digest"),
+    "EVIDENCE_CCM": ("cvr.ccm_digest", "ccm.digest"),
+    "EVIDENCE_CIR": ("cvr.cir_digest", "cir.digest"),
+    "EVIDENCE_OAR": ("cvr.oar_digest", "oar.digest"),
+    "EVIDENCE_INVENTORY": ("cvr.inventory_digest", "inventory.digest"),
+}
+
+
+def capture_bundles(records: dict[str, DataFrame], key: str) -> DataFrame:
+    """One row per capture with the record of each kind as a struct (null where it is missing); the kinds are stacked and meet in one shuffle."""
+    whole = {k: F.struct(*[c for c in records[k].columns if c != key]).alias(k) for k in KINDS}
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [records[k].select(key, whole[k]) for k in KINDS])
+    return stacked.groupBy(key).agg(*[F.first(k, ignorenulls=True).alias(k) for k in KINDS])
+
+
+def bundle_violations(records: dict[str, DataFrame], key: str) -> DataFrame:
+    """records: a table for each of KINDS. Per capture the missing records and broken bindings, and whether it may be scored:
+    nothing is broken, the capture is valid, its raw trace there, its integrity and observer records complete."""
+    j = capture_bundles(records, key)
+    broken = [F.when(F.col(k).isNull(), f"NO_{k.upper()}") for k in KINDS]
+    for name, (head, *rest) in BINDINGS.items():
+        differs = reduce(lambda a, b: a | b, [F.coalesce(F.col(head) != F.col(r), F.lit(False)) for r in rest])
+        broken.append(F.when(differs, name))
+    bad = F.array_join(F.array_compact(F.array(*broken)), ",")
+    fit = F.coalesce((F.col("cvr.status") == "valid") & F.col("inventory.available") & F.col("cir.complete") & F.col("oar.complete"), F.lit(False))
+    return j.select(key, bad.alias("violation"), ((bad == "") & fit).alias("eligible"))

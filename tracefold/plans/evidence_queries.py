@@ -116,8 +116,10 @@ def _consumer(t):
 
 def _exported(t):
     path = f"{shared_dir(t.raw.sparkSession)}/package-{uuid.uuid4().hex}"
-    ex.export_full(t, path)
-    return ex.scan_package(t.raw.sparkSession, path)
+    alerts = _alerts(t)
+    more = {"alerts": alerts, "diagnoses": al.diagnose(alerts), "metrics": metric_values(t, t.scope), "anchors": _marks(t, alerts).where("family = 'anchor'")}
+    ex.export_full(t, path, more)
+    return ex.scan_package(t.raw.sparkSession, path, tuple(more))
 
 
 TRACE = {
@@ -152,7 +154,7 @@ TRACE = {
     "k01_export_full": lambda t: ex.manifest(_exported(t)),
     "k02_export_clipped": lambda t: ex.manifest(ex.clip(t, t.scope)),
     "s10_scan_package": lambda t: _exported(t)["slices"].select("dataset_id", "slice_id", "t_begin", "t_end"),
-    "q07_package_ref_check": lambda t: ex.missing_refs(_exported(t)),
+    "q07_package_ref_check": lambda t: ex.missing_refs(_exported(t), by_category=True),
     "k04_ref_index": lambda t: ex.ref_index(t.events),
     "k05_required_refs": lambda t: ex.required_refs({n: getattr(t, n) for n in ("states", "slices", "holds", "waits", "irqs")}),
     "k08_merge_segments": lambda t: ex.merge_segments([t.raw.where(F.col("seq") <= 100), t.raw.where(F.col("seq") > 100)]).select("event_uid", "ts_raw"),
@@ -264,10 +266,10 @@ SQL = {
   SELECT dataset_id, count(*) FILTER (WHERE finding = 'missing') AS missing, count(*) FILTER (WHERE finding = 'extra') AS extra, count(*) FILTER (WHERE finding = 'different') AS different FROM tot_findings GROUP BY dataset_id) AS g USING (dataset_id)""",
     "v06_lost_edges": "SELECT dataset_id, edge_kind, task_id, obj_id, evidence_ref FROM kept_edges EXCEPT ALL SELECT dataset_id, edge_kind, task_id, obj_id, evidence_ref FROM c_both_edges",
     "v07_ref_closure": "SELECT dataset_id, category, ref_key FROM mentioned ANTI JOIN (SELECT event_uid AS ref_key FROM ce) AS e USING (ref_key) WHERE ref_key LIKE 'evt:%'",
-    "k01_export_full": " UNION ALL ".join(f"SELECT dataset_id, count(*) AS rows, '{n}' AS \"table\" FROM {v} GROUP BY dataset_id" for n, v in (("events", "al"), ("states", "states"), ("slices", "slices"), ("holds", "holds"), ("waits", "waits"), ("irqs", "irqs"), ("windows", "windows"))),
+    "k01_export_full": " UNION ALL ".join(f"SELECT dataset_id, count(*) AS rows, '{n}' AS \"table\" FROM {v} GROUP BY dataset_id" for n, v in (("events", "al"), ("states", "states"), ("slices", "slices"), ("holds", "holds"), ("waits", "waits"), ("irqs", "irqs"), ("windows", "windows"), ("alerts", "alerts"), ("diagnoses", "alerts"), ("metrics", "mv"))) + " UNION ALL SELECT dataset_id, count(*), 'anchors' FROM marks WHERE family = 'anchor' GROUP BY dataset_id",
     "k02_export_clipped": "SELECT dataset_id, count(*) AS rows, 'events' AS \"table\" FROM ce GROUP BY dataset_id UNION ALL SELECT dataset_id, count(*), 'windows' FROM kept_windows GROUP BY dataset_id UNION ALL " + " UNION ALL ".join(WINDOWED.format(n=n) for n in ("states", "slices", "holds", "waits", "irqs")),
     "s10_scan_package": "SELECT dataset_id, slice_id, t_begin, t_end FROM slices",
-    "q07_package_ref_check": "SELECT dataset_id, ref_key FROM mentions ANTI JOIN (SELECT event_uid AS ref_key FROM al) AS e USING (ref_key) WHERE ref_key IS NOT NULL",
+    "q07_package_ref_check": "SELECT dataset_id, 'states' AS category, ref_key FROM mentions ANTI JOIN (SELECT event_uid AS ref_key FROM al) AS e USING (ref_key) WHERE ref_key IS NOT NULL",
     "k04_ref_index": "SELECT dataset_id, event_uid AS ref_key, ts, core_id, seq FROM al",
     "k05_required_refs": "SELECT * FROM mentions WHERE ref_key IS NOT NULL",
     "k08_merge_segments": "SELECT event_uid, ts_raw FROM ev",
@@ -276,5 +278,5 @@ SQL = {
     "k10_perturb_variant": """SELECT event_uid, CASE WHEN hit THEN ts_raw ELSE ts_raw + 37 END AS ts_raw, CASE WHEN hit THEN reason + 1 ELSE reason END AS reason, CASE WHEN hit AND reason IS NULL THEN prio + 1 ELSE prio END AS prio
   FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, core_id ORDER BY seq) % 17 = 1 AS hit FROM ev) AS x""",
 }
-QUERIES = {k: over_trace(f, keep=k[0] in "lev") for k, f in TRACE.items()}
+QUERIES = {k: over_trace(f, keep=k[0] in "lev" or k in ("k01_export_full", "s10_scan_package", "q07_package_ref_check")) for k, f in TRACE.items()}
 ORACLE = {k: with_views(v, V) for k, v in SQL.items()}

@@ -86,6 +86,25 @@ def _facts(s, d):
     return g
 
 
+#: By kind of record: the orders that lack it, and its fields; every rule with a remainder plants an error.
+BUNDLE = {
+    "ledger": ("false", {"session": "o_custkey % 7", "case_id": "o_custkey", "config": "o_orderkey % 5", "oar_digest": "o_orderkey + 4 + if(o_orderkey % 37 = 0, 1, 0)", "cvr_digest": "o_orderkey + 6"}),
+    "ccm": ("o_orderkey % 17 = 0", {"session": "o_custkey % 7", "config": "o_orderkey % 5 + if(o_orderkey % 41 = 0, 1, 0)", "digest": "o_orderkey + 2"}),
+    "cir": ("o_orderkey % 101 = 0", {"session": "o_custkey % 7", "ccm_digest": "o_orderkey + 2 + if(o_orderkey % 43 = 0, 1, 0)", "raw_id": "o_orderkey", "raw_hash": "o_orderkey * 3", "digest": "o_orderkey + 3", "complete": "o_orderkey % 9 <> 0"}),
+    "oar": ("o_orderkey % 103 = 0", {"session": "o_custkey % 7 + if(o_orderkey % 19 = 0, 1, 0)", "case_id": "o_custkey + if(o_orderkey % 23 = 0, 1, 0)", "digest": "o_orderkey + 4", "complete": "o_orderkey % 8 <> 0"}),
+    "inventory": ("o_orderkey % 107 = 0", {"session": "o_custkey % 7", "raw_id": "o_orderkey + if(o_orderkey % 47 = 0, 1, 0)", "raw_hash": "o_orderkey * 3 + if(o_orderkey % 29 = 0, 1, 0)", "digest": "o_orderkey + 5", "available": "o_orderkey % 7 <> 0"}),
+    "cvr": (
+        "o_orderkey % 109 = 0",
+        {"session": "o_custkey % 7", "case_id": "o_custkey", "raw_id": "o_orderkey", "raw_hash": "o_orderkey * 3", "digest": "o_orderkey + 6 + if(o_orderkey % 31 = 0, 1, 0)", "ccm_digest": "o_orderkey + 2", "cir_digest": "o_orderkey + 3 + if(o_orderkey % 53 = 0, 1, 0)",
+         "oar_digest": "o_orderkey + 4", "inventory_digest": "o_orderkey + 5 + if(o_orderkey % 59 = 0, 1, 0)", "status": "if(o_orderstatus = 'P', 'pending', if(o_orderkey % 6 = 0, 'invalid', 'valid'))"},
+    ),
+}
+
+
+def _bundle(s, d):
+    return {kind: _orders(s, d).where(f"not ({lacks})").select("o_orderkey", *[F.expr(v).alias(n) for n, v in fields.items()]) for kind, (lacks, fields) in BUNDLE.items()}
+
+
 def _epochs(s, d):
     """Interrupt entries as an observer's epochs; the UART has those of two thirds of the interrupts, in ticks of a clock that is off."""
     e = trace_events(s, d).where("event_name = 'IRQ_ENTER'")
@@ -206,7 +225,8 @@ QUERIES = {
     "t17_raw_facts": lambda s, d: stats.raw_facts(trace_events(s, d)),
     "t18_ledger_chain": lambda s, d: stats.ledger_violations(_ledger(s, d), "o_custkey"),
     "t19_current_version": lambda s, d: stats.current_version(_orders(s, d).select("o_custkey", F.col("o_orderkey").alias("version"), F.expr("if(o_orderkey % 3 = 0, null, o_orderkey - o_orderkey % 3)").alias("prior")), "o_custkey"),
-    "t20_scoring_eligibility": lambda s, d: stats.bundle_violations(_orders(s, d).select("o_orderkey", F.col("o_orderstatus").alias("digest")), _orders(s, d).where("o_orderkey % 5 <> 0").select("o_orderkey", F.col("o_orderstatus").alias("digest")), _orders(s, d).where("o_orderkey % 7 <> 0").select("o_orderkey", F.expr("if(o_orderkey % 4 = 0, 'X', o_orderstatus)").alias("digest")), "o_orderkey"),
+    "t20_scoring_eligibility": lambda s, d: stats.bundle_violations(_bundle(s, d), "o_orderkey"),
+    "j12_capture_bundle_join": lambda s, d: stats.capture_bundles(_bundle(s, d), "o_orderkey").select("o_orderkey", F.col("ledger.session").alias("session"), F.col("ccm.digest").alias("ccm_digest"), F.col("oar.complete").alias("observed"), F.col("cvr.status").alias("status")),
     "t21_epoch_pairing": lambda s, d: stats.epoch_pairing(trace_events(s, d).where("event_name = 'IRQ_ENTER'").select("dataset_id", F.expr("seq div 3").alias("epoch")), trace_events(s, d).where("event_name = 'IRQ_EXIT'").select("dataset_id", F.expr("seq div 3").alias("epoch")), "dataset_id"),
     "s05_scan_btf": lambda s, d: text_traces.scan_btf(s, _btf_path(s, d))[0],
     "s05_btf_rejects": lambda s, d: text_traces.scan_btf(s, _btf_path(s, d))[1].groupBy("reason").agg(F.count("*").alias("n")),
@@ -270,6 +290,7 @@ V = {
     "btf": "SELECT ts_raw, core_id, event_name, coalesce(task_id, 0) AS t FROM ev WHERE event_name IN ('CTX_SWITCH', 'TASK_READY', 'SYNC_TRY', 'LOSS')",
     "sys": "SELECT * FROM ev WHERE event_name IN ('IRQ_ENTER', 'IRQ_EXIT', 'TASK_WAKEUP', 'CTX_SWITCH')",
 }
+V["bundle"] = "SELECT o_orderkey, " + ", ".join(f"CASE WHEN NOT ({lacks}) THEN {v} END AS {kind}_{n}" for kind, (lacks, fields) in BUNDLE.items() for n, v in fields.items()) + " FROM orders"
 SQL = {
     "t01_doc_chunks": "SELECT doc_id, CAST(first_line AS int) AS first_line, CAST(length(text) AS int) AS n_chars FROM chunks",
     "t02_tokenize": "SELECT term, count(*) AS df, CAST(sum(tf) AS bigint) AS tf FROM toks GROUP BY term",
@@ -321,8 +342,10 @@ SQL = {
   SELECT o_custkey, count(*) FILTER (WHERE followers IS NULL) AS leaves, count(*) FILTER (WHERE followers > 1) AS forks, max(version) FILTER (WHERE followers IS NULL) AS leaf, count(*) AS seen
   FROM vers FULL JOIN (SELECT o_custkey, prior AS version, count(*) AS followers FROM vers WHERE prior IS NOT NULL GROUP BY ALL) AS p USING (o_custkey, version) GROUP BY o_custkey) AS g
   JOIN (SELECT o_custkey, count(*) AS versions, count(*) FILTER (WHERE prior IS NULL) AS roots FROM vers GROUP BY ALL) AS k USING (o_custkey)""",
-    "t20_scoring_eligibility": """SELECT o_orderkey, v AS violation, v = '' AS eligible FROM (SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'NO_RAW' END, CASE WHEN o_orderkey % 7 = 0 THEN 'NO_OBSERVER' END,
-  CASE WHEN o_orderkey % 7 <> 0 AND o_orderkey % 4 = 0 AND o_orderstatus <> 'X' THEN 'OBSERVER_DIGEST' END], lambda x: x IS NOT NULL), ',') AS v FROM orders) AS x""",
+    "t20_scoring_eligibility": f"""SELECT o_orderkey, v AS violation, v = '' AND coalesce(cvr_status = 'valid' AND inventory_available AND cir_complete AND oar_complete, false) AS eligible FROM (SELECT *, array_to_string(list_filter([{
+        ", ".join([f"CASE WHEN {k}_session IS NULL THEN 'NO_{k.upper()}' END" for k in stats.KINDS] + ["CASE WHEN " + " OR ".join(f"coalesce({b[0].replace('.', '_')} <> {r.replace('.', '_')}, false)" for r in b[1:]) + f" THEN '{n}' END" for n, b in stats.BINDINGS.items()])
+    }], lambda x: x IS NOT NULL), ',') AS v FROM bundle) AS x""",
+    "j12_capture_bundle_join": "SELECT o_orderkey, ledger_session AS session, ccm_digest, oar_complete AS observed, cvr_status AS status FROM bundle",
     "t21_epoch_pairing": """SELECT dataset_id, count(*) FILTER (WHERE e IS NULL) AS unended, count(*) FILTER (WHERE b IS NULL) AS unbegun, count(*) FILTER (WHERE b AND e) AS pairs, max(epoch) FILTER (WHERE b AND e) - min(epoch) FILTER (WHERE b AND e) + 1 = count(*) FILTER (WHERE b AND e) AS contiguous FROM
   (SELECT DISTINCT dataset_id, seq // 3 AS epoch, true AS b FROM ev WHERE event_name = 'IRQ_ENTER') AS x FULL JOIN (SELECT DISTINCT dataset_id, seq // 3 AS epoch, true AS e FROM ev WHERE event_name = 'IRQ_EXIT') AS y USING (dataset_id, epoch) GROUP BY dataset_id""",
     "s05_scan_btf": "SELECT ts_raw AS timestamp, 'Core_' || core_id AS subject, CASE event_name WHEN 'LOSS' THEN 'STI' ELSE 'T' END AS kind, 'T' || t AS target, CASE event_name WHEN 'CTX_SWITCH' THEN 'start' WHEN 'TASK_READY' THEN 'activate' ELSE 'trigger' END AS action, CASE event_name WHEN 'TASK_READY' THEN 'create' ELSE 'x' END AS detail FROM btf WHERE event_name <> 'SYNC_TRY'",
