@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from tracefold.functions import ordering
 from tracefold.operators import convert, evidence
 from tracefold.operators.intervals import overlap_buckets, overlap_join
 from tracefold.sources import chunks, text_traces
@@ -19,6 +22,28 @@ def test_overlap_join_finds_each_pair_once(spark):
         assert got == want
 
 
+def test_order_within_long_keys(spark):
+    """Numbers, followers and neighbours by time cells, against sorting, with ties, one-row keys and empty cells."""
+    rng = random.Random(6)
+    rows = [("a", rng.choice([rng.randrange(40), rng.randrange(100_000)]), i) for i in range(400)] + [("b", 7, 0), ("c", 5, 1), ("c", 5, 2)]
+    df = spark.createDataFrame(rows, "k string, ts long, seq long").withColumn("uid", F.concat_ws(":", "k", "ts", "seq"))
+    ordered = {k: sorted((t, q) for x, t, q in rows if x == k) for k in "abc"}
+    name = lambda k, r: f"{k}:{r[0]}:{r[1]}"
+    got = {r.uid: r.n for r in ordering.numbered(df, "k", ["ts", "seq"], "n", cells=8).collect()}
+    assert got == {name(k, r): i for k in "abc" for i, r in enumerate(ordered[k], 1)}
+    got = {r.uid: r.next_uid for r in ordering.following(df, "k", ["ts", "seq"], "uid", cells=8).collect()}
+    assert got == {name(k, r): name(k, ordered[k][i + 1]) if i + 1 < len(ordered[k]) else None for k in "abc" for i, r in enumerate(ordered[k])}
+    probes = [("a", rng.randrange(-50, 100_100), i) for i in range(80)] + [("a", t, 100 + i) for i, (t, _) in enumerate(ordered["a"][:30])] + [("c", 5, 1), ("c", 9, 2)]
+    near = ordering.neighbours(spark.createDataFrame(probes, "k string, at long, p long"), df.select("k", F.col("ts").alias("at"), F.struct("ts", "seq").alias("v")), "k", "at", "v", cells=8)
+    first = {(k, t): min(r for r in ordered[k] if r[0] == t) for k in "abc" for t, _ in ordered[k]}
+    for r in near.collect():
+        times = sorted({t for t, _ in ordered[r.k]})
+        before, after = [t for t in times if t < r.at], [t for t in times if t >= r.at]
+        assert (tuple(r.before) if r.before else None) == (first[r.k, before[-1]] if before else None)
+        assert (tuple(r.after) if r.after else None) == (first[r.k, after[0]] if after else None)
+    assert near.count() == len(probes)
+
+
 def test_bucket_parts_sum_to_one(spark):
     i = spark.createDataFrame([("d", 3, 3), ("d", 0, 100), ("d", 10, 33)], "dataset_id string, t_begin long, t_end long")
     w = spark.createDataFrame([("d", 0, 100)], "dataset_id string, w_begin long, w_end long")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.ordering import neighbours
 from .filters import clipped, in_window, switch_points
-from .intervals import overlap_buckets
+from .intervals import overlap_buckets, overlap_join
 from .metrics import response_jitter, response_samples
 
 
@@ -127,12 +127,35 @@ def resource_graph(t, scope: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
+def graph_nodes(t, scope: DataFrame, k: int = 5) -> DataFrame:
+    """Nodes of the graph in the window: tasks and objects with the hold and wait edges they stand in, and their rank among the dataset's k busiest (null beyond)."""
+    edges = in_window(t.holds, scope).unionByName(in_window(t.waits, scope))
+    ends = F.array(F.concat(F.lit("task:"), F.col("task_id").cast("string")), F.concat(F.lit("obj:"), F.col("obj_id").cast("string")), F.concat(F.lit("task:"), F.when(~F.col("owner_task_id").eqNullSafe(F.col("task_id")), F.col("owner_task_id")).cast("string")))
+    nodes = edges.select("dataset_id", "edge_kind", F.explode(F.array_distinct(F.array_compact(ends))).alias("node"))
+    g = nodes.groupBy("dataset_id", "node").agg(F.count_if(F.col("edge_kind") == "hold").alias("holds"), F.count_if(F.col("edge_kind") == "wait").alias("waits"))
+    place = F.row_number().over(W.partitionBy("dataset_id").orderBy(F.desc(F.col("holds") + F.col("waits")), "node"))
+    return g.withColumn("rank", F.when(place <= k, place))
+
+
 def drilldown(t, scope: DataFrame, k: int = 3, margin: int = 20) -> DataFrame:
-    """For each contended object: the k longest blocked segments on it, and the jump window around each."""
+    """For each contended object: the k longest blocked segments on it, with the owner named by the blocking event, that owner's running time meanwhile, and the window to jump to."""
     s = clipped(t.states.where("state = 'BLOCKED' and related_obj is not null"), scope)
     w = W.partitionBy("dataset_id", "related_obj").orderBy(F.desc("clipped"), "t_begin", "seg_id")
     top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return top.select("dataset_id", F.col("related_obj").alias("obj_id"), "rank", "seg_id", "task_id", "clipped", F.greatest(F.lit(0), F.col("t_begin") - margin).alias("jump_begin"), (F.col("t_end") + margin).alias("jump_end"))
+    cause = t.events.select("dataset_id", F.col("event_uid").alias("cause_event"), F.col("owner_task_id").alias("owner"), F.col("event_name").alias("cause_name"))
+    top = top.join(cause, ["dataset_id", "cause_event"], "left").select("dataset_id", "related_obj", "rank", "seg_id", "task_id", "clipped", "t_begin", "t_end", "cause_event", "cause_name", "owner")
+    met = overlap_join(top.where("owner is not null"), t.slices.select("dataset_id", F.col("task_id").alias("owner"), "t_begin", "t_end"), ["dataset_id", "owner"])
+    ran = met.groupBy("dataset_id", "seg_id").agg(F.sum(F.least("t_end", "r_end") - F.greatest("t_begin", "r_begin")).alias("owner_ran"), F.count("*").alias("owner_slices"))
+    out = top.join(ran, ["dataset_id", "seg_id"], "left").na.fill(0, ["owner_ran", "owner_slices"])
+    return out.select("dataset_id", F.col("related_obj").alias("obj_id"), "rank", "seg_id", "task_id", "clipped", "cause_event", "cause_name", "owner", "owner_ran", "owner_slices", F.greatest(F.lit(0), F.col("t_begin") - margin).alias("jump_begin"), (F.col("t_end") + margin).alias("jump_end"))
+
+
+def drilldown_events(t, scope: DataFrame, margin: int = 20, k: int = 10) -> DataFrame:
+    """For each contended object: its first k hold and wait events in the window, each with a window to jump to."""
+    e = in_window(t.events, scope).where("event_name in ('SYNC_LOCK', 'SYNC_UNLOCK', 'SYNC_TRY', 'TASK_BLOCK', 'TASK_WAKEUP') and obj_id is not null")
+    w = W.partitionBy("dataset_id", "obj_id").orderBy("ts", "core_id", "seq")
+    first = e.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    return first.select("dataset_id", "obj_id", "place", "event_uid", "event_name", "task_id", F.greatest(F.lit(0), F.col("ts") - margin).alias("jump_begin"), (F.col("ts") + margin).alias("jump_end"))
 
 
 def widest_responses(states: DataFrame, scope: DataFrame) -> DataFrame:

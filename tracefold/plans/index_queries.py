@@ -38,7 +38,9 @@ TRACE = {
     "q01_event_page_backward": lambda t: ix.event_page(t.events, _cursors(t), 50, False),
     "q03_index_summary": lambda t: ix.index_summary(t.events),
     "q04_resource_graph": lambda t: ix.resource_graph(t, t.scope),
+    "q04_graph_nodes": lambda t: ix.graph_nodes(t, t.scope),
     "q05_resource_drilldown": lambda t: ix.drilldown(t, t.scope),
+    "q05_drilldown_events": lambda t: ix.drilldown_events(t, t.scope),
     "q06_alerts_query": lambda t: al.all_alerts(t, t.scope, TH).where("task_id = 2").select("alert_id", "type"),
     "q09_metric_evidence": lambda t: ix.metric_evidence(t, t.scope),
     "j01_cause_event_join": lambda t: ix.cause_events(t.states, t.events),
@@ -152,7 +154,14 @@ SQL = {
     "q04_resource_graph": """SELECT dataset_id, coalesce(hold_edges, 0) AS hold_edges, coalesce(wait_edges, 0) AS wait_edges, coalesce(chains, 0) AS chains, coalesce(paths, 0) AS paths FROM scope
   LEFT JOIN (SELECT dataset_id, count(*) AS hold_edges FROM wh GROUP BY ALL) AS h USING (dataset_id) LEFT JOIN (SELECT dataset_id, count(*) AS wait_edges FROM ww GROUP BY ALL) AS w USING (dataset_id)
   LEFT JOIN (SELECT dataset_id, count(*) AS chains, count(DISTINCT CASE WHEN obj_id IS NOT NULL THEN (task_id, obj_id, owner_task_id) END) AS paths FROM wc GROUP BY ALL) AS c USING (dataset_id)""",
-    "q05_resource_drilldown": "SELECT * FROM (SELECT dataset_id, related_obj AS obj_id, CAST(row_number() OVER (PARTITION BY dataset_id, related_obj ORDER BY clipped DESC, t_begin, seg_id) AS int) AS rank, seg_id, task_id, clipped, greatest(0, t_begin - 20) AS jump_begin, t_end + 20 AS jump_end FROM ct WHERE state = 'BLOCKED' AND related_obj IS NOT NULL) AS x WHERE rank <= 3",
+    "q04_graph_nodes": """SELECT *, CASE WHEN row_number() OVER w <= 5 THEN CAST(row_number() OVER w AS int) END AS rank FROM (SELECT dataset_id, node, count(*) FILTER (WHERE edge_kind = 'hold') AS holds, count(*) FILTER (WHERE edge_kind = 'wait') AS waits FROM (
+  SELECT dataset_id, edge_kind, unnest(list_distinct(list_filter(['task:' || task_id, 'obj:' || obj_id, CASE WHEN owner_task_id IS DISTINCT FROM task_id THEN 'task:' || owner_task_id END], lambda x: x IS NOT NULL))) AS node FROM (SELECT * FROM wh UNION ALL SELECT * FROM ww) AS e) AS x GROUP BY dataset_id, node) AS y
+  WINDOW w AS (PARTITION BY dataset_id ORDER BY holds + waits DESC, node)""",
+    "q05_resource_drilldown": """SELECT dataset_id, obj_id, rank, seg_id, task_id, clipped, cause_event, cause_name, owner, CAST(coalesce(sum(least(t_end, s_end) - greatest(t_begin, s_begin)) FILTER (WHERE s_begin IS NOT NULL), 0) AS bigint) AS owner_ran, count(s_begin) AS owner_slices, greatest(0, t_begin - 20) AS jump_begin, t_end + 20 AS jump_end FROM (
+  SELECT c.dataset_id, related_obj AS obj_id, CAST(row_number() OVER (PARTITION BY c.dataset_id, related_obj ORDER BY clipped DESC, t_begin, seg_id) AS int) AS rank, seg_id, c.task_id, clipped, t_begin, t_end, cause_event, e.event_name AS cause_name, e.owner_task_id AS owner FROM ct AS c LEFT JOIN al AS e ON e.event_uid = c.cause_event
+    WHERE state = 'BLOCKED' AND related_obj IS NOT NULL) AS x LEFT JOIN (SELECT dataset_id AS d, task_id AS o, t_begin AS s_begin, t_end AS s_end FROM slices) AS s ON d = dataset_id AND o = owner AND s_begin < t_end AND t_begin < s_end WHERE rank <= 3 GROUP BY ALL""",
+    "q05_drilldown_events": """SELECT dataset_id, obj_id, CAST(place AS int) AS place, event_uid, event_name, task_id, greatest(0, ts - 20) AS jump_begin, ts + 20 AS jump_end FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, obj_id ORDER BY ts, core_id, seq) AS place FROM ce
+  WHERE event_name IN ('SYNC_LOCK', 'SYNC_UNLOCK', 'SYNC_TRY', 'TASK_BLOCK', 'TASK_WAKEUP') AND obj_id IS NOT NULL) AS x WHERE place <= 10""",
     "q06_alerts_query": "SELECT alert_id, type FROM alerts WHERE task_id = 2",
     "q09_metric_evidence": """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dataset_id, metric_id ORDER BY value DESC, ref) AS int) AS rank FROM (
   SELECT dataset_id, 'cpu_utilization' AS metric_id, slice_id AS ref, clipped AS value FROM cs UNION ALL SELECT dataset_id, 'blocked_time', seg_id, clipped FROM ct WHERE state = 'BLOCKED' UNION ALL SELECT dataset_id, 'ready_wait_time', seg_id, clipped FROM ct WHERE state = 'READY'
