@@ -63,7 +63,12 @@ def test_closure_depths_budget_and_cycles(spark):
     assert (by["two"].refs, by["two"].halt_reason, by["two"].mode) == (2, None, "exact")
     assert (by["wide"].refs, by["wide"].halt_reason) == (1, "RHO_LIMIT")
     assert sorted((r.ref, r.depth) for r in closed.where("closure_id = 'one'").collect()) == [("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)]
-    assert evidence.proof_digest(closures).select("proof").distinct().count() == 3
+    proofs = evidence.proof_digest(closures)
+    assert proofs.select("proof").distinct().count() == 3
+    stated = proofs.withColumn("proof", F.when(F.col("closure_id") == "one", F.lit("sha256:0")).otherwise(F.col("proof"))).where("closure_id <> 'wide'").unionByName(spark.createDataFrame([("d", "gone", "x")], "dataset_id string, closure_id string, proof string"))
+    assert {r.closure_id: r.status for r in evidence.proof_check(stated, closures).collect()} == {"one": "changed", "two": "valid", "wide": "unproved", "gone": "unknown"}
+    validity = spark.createDataFrame([("d", "one", 0, 0), ("d", "two", 1, 0)], "dataset_id string, closure_id string, conflicts long, untrusted long")
+    assert {r.closure_id: r.consumer_mode for r in evidence.consumer_mode(closures, validity).collect()} == {"one": "REFERENCE_ONLY", "two": "REJECT_AUTOMATION", "wide": "REFERENCE_ONLY"}
 
 
 def test_chunk_files_round_trip_and_damage(spark, tmp_path):

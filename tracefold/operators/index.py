@@ -99,18 +99,10 @@ def index_summary(events: DataFrame) -> DataFrame:
 
 def wait_chains(waits: DataFrame, holds: DataFrame) -> DataFrame:
     """Waiting task, object and holder: every hold of the object, or without any the wait's recorded owner."""
-    h = holds.groupBy("dataset_id", "obj_id", F.col("task_id").alias("holder")).agg(F.collect_list(F.struct("evidence_ref", "trusted")).alias("hs"))
-    w = waits.select("dataset_id", "obj_id", F.col("task_id").alias("waiter"), "owner_task_id", F.col("evidence_ref").alias("wait_evidence"), F.col("trusted").alias("w_trusted"))
-    j = w.join(h, ["dataset_id", "obj_id"], "left").withColumn("h", F.explode_outer("hs"))
-    return j.where("holder is not null or owner_task_id is not null").select(
-        "dataset_id",
-        F.col("waiter").alias("task_id"),
-        "obj_id",
-        F.coalesce("holder", "owner_task_id").alias("owner_task_id"),
-        "wait_evidence",
-        F.col("h.evidence_ref").alias("hold_evidence"),
-        (F.col("w_trusted") & F.coalesce("h.trusted", F.lit(True))).alias("trusted"),
-    )
+    h = holds.select("dataset_id", "obj_id", F.col("task_id").alias("holder"), F.col("evidence_ref").alias("hold_evidence"), F.col("trusted").alias("h_trusted"))
+    w = waits.select("dataset_id", "obj_id", "task_id", "owner_task_id", F.col("evidence_ref").alias("wait_evidence"), F.col("trusted").alias("w_trusted"))
+    j = w.join(h, ["dataset_id", "obj_id"], "left").where("holder is not null or owner_task_id is not null")
+    return j.select("dataset_id", "task_id", "obj_id", F.coalesce("holder", "owner_task_id").alias("owner_task_id"), "wait_evidence", "hold_evidence", (F.col("w_trusted") & F.coalesce("h_trusted", F.lit(True))).alias("trusted"))
 
 
 def resource_graph(t, scope: DataFrame) -> DataFrame:

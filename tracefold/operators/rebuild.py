@@ -170,39 +170,56 @@ IRQ_COLUMNS = ["dataset_id", "core_id", "irq_id", "nesting_depth", "t_begin", "t
 IRQ_SCHEMA = "dataset_id string, core_id int, irq_id long, nesting_depth int, t_begin long, t_end long, enter_event string, exit_event string, close_kind string, trusted boolean"
 
 
+#: Rounds of matching by windows before what is left of a core is folded.
+ROUNDS = 3
+
+
+def _matched(irqs: DataFrame) -> DataFrame:
+    """Adds kind and enter. In each round, an exit whose nearest open row before it is an enter, or nothing, is settled:
+    that enter is the top of the stack, so they match or the exit stands alone. Only the first of several exits in a row waits for none."""
+    order = "OVER (PARTITION BY dataset_id, core_id ORDER BY ts, seq)"
+    irqs = irqs.withColumns({"kind": F.lit(None).cast("string"), "enter": F.expr("cast(null as struct<event_name:string,irq_id:bigint,nesting_depth:int,ts:bigint,event_uid:string,trusted:boolean>)")})
+    row = "struct(event_name, irq_id, nesting_depth, ts, event_uid, trusted)"
+    same = "{0}.irq_id = irq_id and {0}.nesting_depth = nesting_depth"
+    for _ in range(ROUNDS):
+        irqs = irqs.withColumn("row", F.expr(f"if(kind is null, {row}, null)"))
+        irqs = irqs.withColumns({"before": F.expr(f"lag(row) IGNORE NULLS {order}"), "after": F.expr(f"lead(row) IGNORE NULLS {order}")})
+        settled = F.expr(
+            f"case when kind is not null then kind when event_name = 'IRQ_ENTER' then if(after.event_name = 'IRQ_EXIT' and {same.format('after')}, 'USED', null)"
+            f" when before is null then 'UNMATCHED' when before.event_name = 'IRQ_EXIT' then null when {same.format('before')} then 'NORMAL' else 'UNMATCHED' end"
+        )
+        irqs = irqs.withColumn("now", settled)
+        irqs = irqs.withColumn("enter", F.when(F.col("kind").isNull() & (F.col("now") == "NORMAL"), F.col("before")).otherwise(F.col("enter"))).withColumn("kind", F.col("now")).drop("row", "before", "after", "now")
+    return irqs
+
+
 def irq_spans(events: DataFrame) -> DataFrame:
     """Interrupt spans with the task that ran on the core at their end as delayed_task.
 
-    On a core where each row's depth is the running level, an exit follows its
-    enter at the same depth; elsewhere the stack is folded.
+    An exit matches the top of its core's stack if interrupt and depth agree;
+    else it stands alone. A few rounds of windows settle nearly all; on a core
+    where exits are still open after that, its open rows are folded.
     """
     irqs = events.where(F.col("event_name").isin("IRQ_ENTER", "IRQ_EXIT")).join(dataset_end(events), "dataset_id")
-    order = W.partitionBy("dataset_id", "core_id").orderBy("ts", "seq")
-    enter = F.col("event_name") == "IRQ_ENTER"
-    level = F.sum(F.when(enter, 1).otherwise(-1)).over(order)
-    irqs = irqs.withColumn("fits", F.when(enter, level).otherwise(level + 1) == F.col("nesting_depth"))
-    pair = W.partitionBy("dataset_id", "core_id", "nesting_depth").orderBy("ts", "seq")
-    irqs = irqs.withColumn("same", enter | F.coalesce((F.lag("irq_id").over(pair) == F.col("irq_id")) & (F.lag("event_name").over(pair) == "IRQ_ENTER"), F.lit(False)))
-    whole = W.partitionBy("dataset_id", "core_id")
-    irqs = irqs.withColumn("clean", F.min(F.col("fits") & F.col("same")).over(whole))
-    irqs = irqs.select("dataset_id", "core_id", "irq_id", F.col("nesting_depth").cast("int").alias("nesting_depth"), "event_name", "ts", "seq", "event_uid", "trusted", "end_ts", "clean")
-    clean = irqs.where("clean")
-    nxt = lambda c: F.lead(c).over(pair)
-    paired = clean.withColumns({"x_ts": nxt("ts"), "x_uid": nxt("event_uid"), "x_trusted": nxt("trusted")}).where("event_name = 'IRQ_ENTER'")
-    paired = paired.select(
+    irqs = irqs.select("dataset_id", "core_id", F.col("irq_id").cast("long").alias("irq_id"), F.col("nesting_depth").cast("int").alias("nesting_depth"), "event_name", "ts", "seq", "event_uid", "trusted", "end_ts")
+    told = _matched(irqs)
+    open_exits = F.max(F.col("kind").isNull() & (F.col("event_name") == "IRQ_EXIT")).over(W.partitionBy("dataset_id", "core_id"))
+    told = told.withColumn("kind", F.when(F.col("kind").isNull(), F.when(open_exits, "FOLD").otherwise("OPEN")).otherwise(F.col("kind")))
+    normal, alone = F.col("kind") == "NORMAL", F.col("kind") == "UNMATCHED"
+    spans = told.where("kind in ('NORMAL', 'UNMATCHED', 'OPEN')").select(
         "dataset_id",
         "core_id",
         "irq_id",
         "nesting_depth",
-        F.col("ts").alias("t_begin"),
-        F.coalesce("x_ts", "end_ts").alias("t_end"),
-        F.col("event_uid").alias("enter_event"),
-        F.col("x_uid").alias("exit_event"),
-        F.when(F.col("x_ts").isNull(), "OPEN").otherwise("NORMAL").alias("close_kind"),
-        (F.col("trusted") & F.coalesce("x_trusted", F.lit(True))).alias("trusted"),
+        F.when(normal, F.col("enter.ts")).otherwise(F.col("ts")).alias("t_begin"),
+        F.when(normal | alone, F.col("ts")).otherwise(F.col("end_ts")).alias("t_end"),
+        F.when(normal, F.col("enter.event_uid")).when(~alone, F.col("event_uid")).alias("enter_event"),
+        F.when(normal | alone, F.col("event_uid")).alias("exit_event"),
+        F.col("kind").alias("close_kind"),
+        (F.col("trusted") & F.coalesce("enter.trusted", F.lit(True))).alias("trusted"),
     )
-    folded = irqs.where("not clean").groupBy("dataset_id", "core_id").applyInPandas(_fold_irqs, IRQ_SCHEMA)
-    return with_delayed_task(paired.unionByName(folded), events)
+    folded = told.where("kind = 'FOLD'").drop("kind", "enter").groupBy("dataset_id", "core_id").applyInPandas(_fold_irqs, IRQ_SCHEMA)
+    return with_delayed_task(spans.unionByName(folded), events)
 
 
 def with_delayed_task(spans: DataFrame, events: DataFrame) -> DataFrame:
