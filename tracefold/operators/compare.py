@@ -5,6 +5,8 @@ Both sides come as tables with a ``pair`` key that names what is compared.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -92,18 +94,26 @@ def irq(irqs: DataFrame) -> DataFrame:
     return outer(irqs.groupBy("dataset_id", "irq_id").agg(F.sum(_length()).alias("busy"), F.count("*").alias("spans")), ["irq_id"], ["busy", "spans"])
 
 
-def diff_detail(states: DataFrame, k: int = 3, margin: int = 20) -> DataFrame:
-    """Per task and pair: the k longest blocked segments of either side as samples, and the window to jump to."""
-    s = states.where("state = 'BLOCKED'").withColumn("length", _length())
-    w = W.partitionBy("dataset_id", "task_id").orderBy(F.desc("length"), "t_begin", "seg_id")
+def detail_rows(t) -> DataFrame:
+    """dataset_id, dimension, key, ref, t_begin, t_end: what can be shown for a task or resource (blocked segments), a core (slices) or an interrupt (spans)."""
+    blocked = t.states.where("state = 'BLOCKED'")
+    pick = lambda df, dimension, key, ref: df.where(F.col(key).isNotNull()).select("dataset_id", F.lit(dimension).alias("dimension"), F.col(key).cast("long").alias("key"), F.col(ref).alias("ref"), "t_begin", "t_end")
+    parts = [pick(blocked, "task", "task_id", "seg_id"), pick(blocked, "resource", "related_obj", "seg_id"), pick(t.slices, "core", "core_id", "slice_id"), pick(t.irqs, "irq", "irq_id", "irq_span_id")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def diff_detail(rows: DataFrame, k: int = 3, margin: int = 20) -> DataFrame:
+    """Per dimension, key and pair: the k longest rows of either side as samples, their time in all, and the window to jump to."""
+    s = rows.withColumn("length", _length())
+    w = W.partitionBy("dataset_id", "dimension", "key").orderBy(F.desc("length"), "t_begin", "ref")
     top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    g = top.groupBy("dataset_id", "task_id").agg(
-        F.sum("length").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "seg_id"))), lambda x: x["seg_id"]), ",").alias("samples"),
+    g = top.groupBy("dataset_id", "dimension", "key").agg(
+        F.sum("length").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ref"))), lambda x: x["ref"]), ",").alias("samples"),
         F.greatest(F.lit(0), F.min("t_begin") - margin).alias("jump_begin"), (F.max("t_end") + margin).alias("jump_end"),
     )
     base, cand = sides(g)
-    names = ("total", "samples", "jump_begin", "jump_end")
-    return base.select("pair", "task_id", *[F.col(c).alias(f"b_{c}") for c in names]).join(cand.select("pair", "task_id", *[F.col(c).alias(f"c_{c}") for c in names]), ["pair", "task_id"], "full")
+    names, by = ("total", "samples", "jump_begin", "jump_end"), ["pair", "dimension", "key"]
+    return base.select(*by, *[F.col(c).alias(f"b_{c}") for c in names]).join(cand.select(*by, *[F.col(c).alias(f"c_{c}") for c in names]), by, "full")
 
 
 def field_drift(expected: DataFrame, actual: DataFrame, key: str, fields: list[str]) -> DataFrame:
