@@ -230,6 +230,13 @@ def test_html_names_that_only_look_like_chrome():
     assert main_text(page) == "Discussion\nOthers did this\nHeed this\nHe drank\nBake\nTitle"
 
 
+def test_html_chrome_names():
+    gone = ["<div class='in-article-ad'>x</div>", "<section id='reader-comments'><p>x</section>", "<div class='commentBody'>x</div>", "<div class='cookie-law-info'>x</div>", "<ul class='share-bar'><li>x</ul>", "<div class='newsletter-signup'>x</div>", "<div class='site-footer'>x</div>"]
+    kept = ["<div class='article-header'><h1>Title</h1></div>", "<div class='post-content'><p>Text</p></div>", "<div class='author-note'>Note</div>", "<div class='advice'>Advice</div>"]
+    for page in (f"<body><article>{''.join(kept + gone)}</article>", f"<body><div id=main>{''.join(gone + kept)}</div>"):
+        assert main_text(page) == "Title\nText\nNote\nAdvice"
+
+
 def test_html_wrapper_of_hosts_without_article_elements(spark):
     """Two templates on one host, a host with a part that every article repeats, and articles with teasers, against the texts they were made of."""
     import random

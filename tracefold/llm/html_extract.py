@@ -54,16 +54,18 @@ HEADING = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements and roles that are never article text, by HTML's and ARIA's own meaning.
 CHROME = set("nav footer aside form button select input textarea menu dialog label fieldset".split()) | RAW
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
-#: Words of names that say what is no article text, and words that say nothing beside them.
-CHROME_WORDS = set(
-    "ad ads advert adverts advertisement advertisements advertising adsense banner banners breadcrumb breadcrumbs comment comments consent cookie cookies"
-    " disclaimer disqus footer header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted promotion"
-    " related replies reply respond share sharing sidebar sidebars social sponsor sponsored sponsors subscribe subscription toolbar widget widgets".split()
+#: Words of names that say what is no article text, words that say nothing beside them, and more such words beside what names comments or adverts.
+COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
+ADVERTS = set("ad ads advert adverts advertisement advertisements advertising adsense promo promoted promotion sponsor sponsored sponsors".split())
+CHROME_WORDS = COMMENTS | ADVERTS | set(
+    "banner banners breadcrumb breadcrumbs consent cookie cookies disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices"
+    " pagination popup related share sharing sidebar sidebars social subscribe subscription toolbar widget widgets".split()
 )
 PLAIN_WORDS = set(
-    "area articles bar block bottom box btn button buttons center col column container fixed form global group icons inner item items left link links list main"
-    " outer page panel policy posts primary right secondary section site slot sticky stories thread top unit wrap wrapper".split()
+    "alert area articles bar block bottom box btn button buttons center col column container fixed form global group icons info inner item items law left link links list main"
+    " outer page panel policy posts primary privacy right secondary section sign signup site slot sticky stories thread top unit up wrap wrapper".split()
 )
+WIDER_WORDS = set("article author body content count date entry google in inline meta mid native post reader readers text title user users visitor".split())
 NAMED = set("div section ul ol dl table p span center details".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
@@ -75,7 +77,8 @@ def named_chrome(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return False
     for name in [*attrs.get("class", "").split(), *attrs.get("id", "").split()]:
         words = {w.lower() for w in WORDS.findall(name)}
-        if words & CHROME_WORDS and words <= CHROME_WORDS | PLAIN_WORDS and not (in_article and words <= {"header"} | PLAIN_WORDS):
+        plain = PLAIN_WORDS | WIDER_WORDS if words & (COMMENTS | ADVERTS) else PLAIN_WORDS
+        if words & CHROME_WORDS and words <= CHROME_WORDS | plain and not (in_article and words <= {"header"} | PLAIN_WORDS):
             return True
     return False
 
