@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import settle
 
-__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "next_power_of_two", "settle"]
+__all__ = ["LOWER", "UPPER", "WORD", "ascii_lower", "in_struct", "next_power_of_two", "settle"]
 
 #: White space of the word contracts: \x20 and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,3 +21,8 @@ def ascii_lower(text: Column) -> Column:
 
 def next_power_of_two(n: float) -> int:
     return 1 << max(0, int(-(-n // 1)) - 1).bit_length()
+
+
+def in_struct(df: DataFrame, but: str | None = None) -> Column:
+    """All columns of a row as one struct (without ``but``), so that no name of theirs can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c != but])

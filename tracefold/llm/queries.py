@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from . import sql
 from .chat_format import preference_format, with_foreign_reply
 from .decontaminate import decontaminate
+from .fill_middle import fill_in_middle, restored
 from .html_extract import extract
 from .langid import fit, held_out, identify
 from .line_dedup import line_dedup
 from .mixing import mix_summary
 from .near_dedup import near_duplicates
+from .prefix_trie import prefix_trie, rebuilt
 from .secret_scan import listed, secret_scan
 from .substring_dedup import substring_dedup
 from .topk import quantised, top_k
@@ -74,8 +76,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = restored(F.col("output"), F.col("form"))
+    return out.select("row.doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_html_extract, op4_language_id, op5_top_k, op6_near_duplicates, op7_secret_scan, op8_substring_dedup, op9_preference_format, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_html_extract, op4_language_id, op5_top_k, op6_near_duplicates, op7_secret_scan, op8_substring_dedup, op9_preference_format, op10_line_dedup, op11_fill_in_middle, op12_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:

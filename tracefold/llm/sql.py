@@ -114,4 +114,37 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN g USING (row)
 """
 
-ORACLE = {"op7_secret_scan": OP7, "op5_top_k": OP5, "op9_preference_format": OP9, "op8_substring_dedup": OP8, "op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS varchar), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, CAST(length(t) AS bigint) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(x, i, 8) AS bigint)) AS h FROM d),
+k AS (SELECT *, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+      least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM h),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p
+"""
+
+#: CRC-32 of a decimal number, bit by bit.
+CRC32 = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS bigint), flatten(list_transform(string_split(CAST({} AS varchar), ''), lambda c: [CAST(ascii(c) AS bigint), 0, 0, 0, 0, 0, 0, 0]))),"
+    " lambda s, v: xor(xor(s, v) >> 1, (xor(s, v) & 1) * 3988292384)), 4294967295)"
+)
+
+OP12 = f"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS donor, {CRC32.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o) AS x),
+r AS (SELECT c.conv_id, i, role, text FROM c JOIN o ON o.conv_id = c.donor AND i <= h UNION ALL SELECT c.conv_id, i, role, text FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+t AS (SELECT conv_id, row_number() OVER w AS depth, sha256(role || chr(1) || text) AS x, strlen(text) AS b FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+p AS (SELECT conv_id, depth, b, sha256(string_agg(x, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS key FROM t UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT *, lag(key) OVER w AS above, lead(key) OVER w IS NULL AS ends FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+n AS (SELECT key, any_value(depth) AS depth, any_value(above) AS above, any_value(b) AS b, min(conv_id) AS conv_id, count(*) AS n, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE ends) AS ids FROM m GROUP BY key),
+k AS (SELECT above AS key, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY above),
+s AS (SELECT DISTINCT y.key AS top, z.key FROM m AS y JOIN m AS z ON z.conv_id = y.conv_id AND z.depth >= y.depth),
+u AS (SELECT top, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n - 1) * b) AS saved FROM s JOIN n USING (key) LEFT JOIN k USING (key) GROUP BY top)
+SELECT n.conv_id, CAST(n.depth AS bigint) AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS bigint) AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM n LEFT JOIN k USING (key) JOIN u ON u.top = n.key LEFT JOIN n AS q ON q.key = n.above
+"""
+
+ORACLE = {"op11_fill_in_middle": OP11, "op12_prefix_trie": OP12, "op7_secret_scan": OP7, "op5_top_k": OP5, "op9_preference_format": OP9, "op8_substring_dedup": OP8, "op1_decontaminate": OP1, "op6_near_duplicates": OP6, "op10_line_dedup": OP10}
