@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sql
+from . import quality_cnn, sql
 from .chat_format import preference_format, with_foreign_reply
 from .decontaminate import decontaminate
 from .fill_middle import fill_in_middle, restored
@@ -86,8 +86,15 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op13_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = quality_cnn.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality_cnn.score(docs.select("doc_id", "text"), network)
+    return out.select("row.doc_id", quality_cnn.held_out("row.doc_id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_html_extract, op4_language_id, op5_top_k, op6_near_duplicates, op7_secret_scan, op8_substring_dedup, op9_preference_format, op10_line_dedup, op11_fill_in_middle, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_html_extract, op4_language_id, op5_top_k, op6_near_duplicates, op7_secret_scan, op8_substring_dedup, op9_preference_format, op10_line_dedup, op11_fill_in_middle, op12_prefix_trie, op13_quality_cnn)}
 
 
 def oracle_sql() -> dict[str, str]:
