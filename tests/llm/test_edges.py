@@ -109,8 +109,8 @@ def test_mix_draws_blocks_of_the_pool(spark):
 
 
 def test_lines(spark, odd, none):
-    rows = {r.doc_id: r for r in line_dedup(odd).collect()}
-    assert rows[6].text == "a\nb\nc" and rows[6]._n_removed == 3
+    rows = {r.row.doc_id: r for r in line_dedup(odd).collect()}
+    assert rows[6].text == "a\nb\nc" and rows[6].n_removed == 3
     assert rows[1].text is None and rows[2].text == "" and rows[4].text == LONG
     assert line_dedup(none).count() == 0 and line_dedup(odd).count() == len(ODD)
 
@@ -129,10 +129,10 @@ def test_near_and_substring(spark, odd, none):
 def test_secrets_and_language(spark, odd, none):
     assert secret_scan(odd).count() == len(ODD) and secret_scan(none).count() == 0
     model = langid.fit(odd)
-    got = {r.doc_id: (r._lang_pred, r._lang_score) for r in langid.identify(odd, model, odd.columns).collect()}
+    got = {r.row.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, model).collect()}
     assert {got[i] for i in (1, 2, 3, 5)} == {("und", 0.0)} and got[4][0] in ("en", "fr")
-    assert langid.fit(none).languages == [] and {r._lang_pred for r in langid.identify(odd, langid.fit(none), ["doc_id"]).collect()} == {"und"}
-    assert langid.identify(none, model, ["doc_id"]).count() == 0
+    assert langid.fit(none).languages == [] and {r.lang_pred for r in langid.identify(odd, langid.fit(none)).collect()} == {"und"}
+    assert langid.identify(none, model).count() == 0
 
 
 def test_forward_sums_all_segmentations():
@@ -191,10 +191,10 @@ def test_language_without_words_or_spaces(spark):
     model = langid.fit(docs)
     assert model.languages == ["de", "en", "zh"]
     fresh = [(0, latin("the and of house".split()), "en"), (1, latin("der und mit ein".split()), "de"), (2, han(), "zh"), (3, "x" * 400_000, None), (4, "的" * 100_000, "zh"), (5, "é" * 501 + "的", None)]
-    got = langid.identify(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model, ["doc_id", "lang"]).collect()
-    assert len(got) == 6 and all(r._lang_pred == r.lang for r in got if r.lang) and all(0 <= r._lang_score <= 1 for r in got)
+    got = langid.identify(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model).collect()
+    assert len(got) == 6 and all(r.lang_pred == r.row.lang for r in got if r.row.lang) and all(0 <= r.score <= 1 for r in got)
     nothing = langid.fit(spark.createDataFrame([(1, " ", "en")], "doc_id long, text string, lang string"))
-    assert nothing.languages == [] and langid.identify(docs, nothing, ["doc_id"]).where("_lang_pred <> 'und'").count() == 0
+    assert nothing.languages == [] and langid.identify(docs, nothing).where("lang_pred <> 'und'").count() == 0
 
 
 def test_long_words_are_cut_between_characters():
@@ -359,10 +359,10 @@ def test_texts_of_one_id_are_judged_apart(spark):
     fields = "doc_id long, text string"
     # at the place where one text repeats lines, the other has clean ones
     lines = spark.createDataFrame([(1, "a\nb\nc"), (None, "a\nb\nc\nd"), (None, "p\nq\nr\ns"), (7, "a\nb\nc\nx"), (7, "k\nl\nm\nn"), (9, "p\nq\nr\nt")], fields)
-    rows = {(r.doc_id, r.text) for r in line_dedup(lines).collect()}
+    rows = {(r.row.doc_id, r.text) for r in line_dedup(lines).collect()}
     assert rows == {(None, "a\nb\nc\nd"), (None, "p\nq\nr\ns"), (1, ""), (7, "x"), (7, "k\nl\nm\nn"), (9, "t")}
     same_place = line_dedup(spark.createDataFrame([(None, "a\nb\nc\nd"), (None, "a\nb\nc\ne")], fields)).collect()
-    assert sorted(r._n_removed for r in same_place) == [0, 3]
+    assert sorted(r.n_removed for r in same_place) == [0, 3]
 
     base = " ".join(f"u{i}" for i in range(200))
     other = " ".join(f"v{i}" for i in range(200))

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, in_struct
 
 GRAM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PIECE = 500_000
@@ -111,5 +111,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark window; each text of a repeated or null doc_id is judged by itself."""
-    bad = judged(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_hash")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_hash")), "left_anti")
+    bad = judged(docs, benchmark, n).where("contaminated").select("doc_id", "text_hash").distinct()
+    rows = docs.select(in_struct(docs).alias("row"), F.xxhash64("text").alias("hash"))
+    return rows.join(bad, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("row.*")

@@ -18,7 +18,7 @@ thousand values.
 Defined results: null text, or text without a letter, is ``und`` with score
 0; a label none of whose sampled texts holds a word is not learned and never
 predicted; without any learned label all texts are ``und``; ties go to the
-first language by code point; every row gives one row. Scores are never NaN.
+first language by code point; every row gives one row, whatever its columns are called. Scores are never NaN.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrays import U, mix64, string_slices, word_hashes, words
-from .common import settle
+from .common import in_struct, settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LONGEST = 8  # bytes of the longest piece used
@@ -277,16 +278,15 @@ def _predict(model: Model) -> Callable:
                         if text and LETTER.search(text):
                             named[i], best[i] = model.languages[top[i]], posterior[i]
                 part = batch.slice(row, end - row)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(named, pa.string()), pa.array(best, pa.float64())], names=[*batch.schema.names[:-1], "_lang_pred", "_lang_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(named, pa.string()), pa.array(best, pa.float64())], names=["row", "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` of every row, with _lang_pred and _lang_score."""
-    out = docs.select(*keep, F.col(text).cast("string").alias("_lang_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[:-1])
-    return out.mapInArrow(_predict(model), f"{fields}, _lang_pred string, _lang_score double")
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Per row of ``docs``: row (all its columns), lang_pred, score."""
+    rows = docs.select(in_struct(docs).alias("row"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(_predict(model), StructType([rows.schema["row"], *StructType.fromDDL("lang_pred string, score double").fields]))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import in_struct, settle
 
 WINDOW = 3
 
@@ -45,16 +45,15 @@ def repeated_positions(docs: DataFrame) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with repeated lines cut from text, plus _n_lines and _n_removed."""
-    covered = repeated_positions(docs).select(F.col("doc_id").alias("_dup_id"), F.col("text_hash").alias("_dup_hash"), F.col("covered").alias("_covered"))
-    both = docs.join(covered, F.col("doc_id").eqNullSafe(F.col("_dup_id")) & (F.xxhash64("text") == F.col("_dup_hash")), "left").withColumn("_lines", lines_of(F.col("text")))
-    lines = F.col("_lines")
-    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_covered")), lambda i: F.get(lines, i)), "\n")
-    cut = both.withColumns(
-        {
-            "_n_lines": F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-            "_n_removed": F.coalesce(F.size("_covered"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_covered").isNull(), F.col("text")).otherwise(kept),
-        }
+    """Per row of ``docs``: row (all its columns as they were), text (repeated lines cut), n_lines, n_removed."""
+    rows = docs.select(in_struct(docs).alias("row"), F.xxhash64("text").alias("hash"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash"))
+    both = rows.join(repeated_positions(docs), same, "left").withColumn("lines", lines_of(F.col("row.text")))
+    lines = F.col("lines")
+    kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered")), lambda i: F.get(lines, i)), "\n")
+    return both.select(
+        "row",
+        F.when(F.col("covered").isNull(), F.col("row.text")).otherwise(kept).alias("text"),
+        F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("covered"), F.lit(0)).cast("long").alias("n_removed"),
     )
-    return cut.drop("_dup_id", "_dup_hash", "_covered", "_lines")

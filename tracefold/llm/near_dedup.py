@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U, mix64, rolling_hashes, run_starts, string_slices, word_hashes, words
-from .common import settle
+from .common import in_struct, settle
 from .components import connected_components
 
 K = 5
@@ -216,8 +216,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """The rows of ``docs`` that are kept, each text of a repeated or null doc_id by its own result."""
-    gone = judged(docs, threshold).where("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (text_hash() == F.col("_gone_hash")), "left_anti")
+    gone = judged(docs, threshold).where("not kept").select("doc_id", "text_hash").distinct()
+    rows = docs.select(in_struct(docs).alias("row"), text_hash().alias("hash"))
+    return rows.join(gone, F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("row.*")
 
 
 def text_hash() -> Column:

@@ -42,8 +42,8 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
-    out = identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
-    return out.select("doc_id", "held_out", F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("row.doc_id", held_out("row.doc_id").alias("held_out"), "lang_pred", "score")
 
 
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
