@@ -22,16 +22,13 @@ from tracefold.llm.near_dedup import drop_near_duplicates
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that no language is found for (null text, or text without a letter)."""
     model = fit(docs.where(~held_out()))
-    out = identify(docs, model, docs.columns)
-    return out.where("_lang_pred <> 'und'").select(*docs.columns)
+    return identify(docs, model).where("lang_pred <> 'und'").select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later occurrences of repeated three-line windows out of the texts."""
-    out = line_dedup(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return line_dedup(docs).select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
