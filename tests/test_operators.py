@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import ordering
 from tracefold.operators import convert, evidence
 from tracefold.operators.intervals import overlap_buckets, overlap_join
-from tracefold.sources import chunks, text_traces
+from tracefold.sources import chunks, segments, text_traces
 
 
 def test_overlap_join_finds_each_pair_once(spark):
@@ -78,12 +78,6 @@ def test_chunk_files_round_trip_and_damage(spark, tmp_path):
     got = chunks.scan_trace(chunks.files(spark, str(tmp_path))).collect()
     assert sorted((r.core_id, r.seq, r.ts_raw, r.event_name) for r in got) == [(0 if r["seq"] <= 20 else 1, r["seq"], r["ts_raw"], r["event_name"]) for r in rows]
     assert all((r.prev_task_id, r.next_task_id, r.reason) == (1, r.seq % 5, 2) for r in got if r.event_name == "CTX_SWITCH") and all(r.crc_ok for r in got)
-    path = chunks.files(spark, str(tmp_path)).first()["path"]
-    spans = spark.createDataFrame([(path, 1, 125, 130, None, 29)], "path string, core_id int, t_begin long, t_end long, seq_begin long, seq_end long")
-    kept, counters = chunks.read_window_spans(chunks.files(spark, str(tmp_path)), spans)
-    assert sorted(r.seq for r in kept.collect()) == [25, 26, 27, 28, 29]
-    (c,) = counters.collect()
-    assert (c.chunks, c.seeks, c.decoded, c.kept, c.hit_rate) == (2, 1, 20, 5, 0.25)
     first = chunks.TRACE_HEADER.size + chunks.SEGMENT_HEADER.size + chunks.CHUNK_HEADER.size
     bad = bytearray(good)
     bad[first + 30] ^= 1
@@ -114,3 +108,64 @@ def test_cluster_rows(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"collection_id": 1, "instance_index": 0, "type": 0, "priority": 99999, "time": 1}\n{"collection_id": 1, "instance_index": 0, "machine_id": 7, "type": 3, "priority": 1, "time": 2}\n{"collection_id": 1, "instance_index": 0, "type": 6, "priority": 1, "time": 9223372036854775807}\n')
     got = sorted((r.ts_raw, r.event_name, r.core_id, r.exit_code, r.prio) for r in convert.cluster_to_events(text_traces.scan_cluster_json(spark, str(tmp_path / "c.json"))).collect())
     assert got == [(1, "TASK_READY", 1, None, 32767), (2, "TASK_DISPATCH", 4, None, 1), (3, "TASK_EXIT", 4, 0, 1)]
+
+
+def test_segments_are_read_by_seeking(spark, tmp_path):
+    """Bytes read follow the chunks that are wanted, in files split over many partitions and in one of 3 GB."""
+    rows = lambda core, a, b: [{"event_name": "TASK_READY", "seq": i, "ts_raw": 1000 * core + i, "task_id": i} for i in range(a, b)]
+    parts = [(core, a) for core in (0, 1) for a in range(0, 100, 10)]
+    content = chunks.encode_segment("run", [chunks.encode_chunk(core, rows(core, a, a + 10)) for core, a in parts], cores=2)
+    folder = str(tmp_path / "many")
+    segments.write_segments(spark.createDataFrame([(n, bytearray(content)) for n in "abc"], "path string, content binary"), folder)
+    assert sorted(p.name for p in (tmp_path / "many").iterdir()) == ["a.seg", "b.seg", "c.seg"]
+
+    every = segments.read_events(spark, folder, split=500)
+    assert every.rdd.getNumPartitions() > 20 and every.count() == 600
+    got = every.where("core_id = 1 and seq >= 35 and seq < 52")
+    assert sorted((r.path[-5], r.seq) for r in got.collect()) == [(n, i) for n in "abc" for i in range(35, 52)]
+    assert segments.read_events(spark, folder, split=500).where("core_id = 9").count() == 0
+
+    reader = segments.SegmentReader(f"{folder}/a.seg", "events", 500)
+    wanted = list(reader.pushFilters([segments.EqualTo(("core_id",), 1), segments.GreaterThanOrEqual(("seq",), 35), segments.LessThan(("seq",), 52)]))
+    assert len(wanted) == 3  # Spark still tests the rows
+    seen = sum(b.num_rows for p in reader.partitions() for b in reader.read(p))
+    assert seen == 30 and len(reader.partitions()) < 20
+
+    opened = segments.Segment(f"{folder}/a.seg")
+    headers = chunks.TRACE_HEADER.size + chunks.SEGMENT_HEADER.size + len(parts) * chunks.CHUNK_HEADER.size
+    catalog = list(opened.chunks())
+    assert len(catalog) == 20 and opened.bytes_read == headers < len(content) / 3
+    list(opened.events(catalog[3]))
+    assert opened.bytes_read == headers + catalog[3]["payload_size"]
+
+    huge = tmp_path / "huge.seg"
+    with huge.open("wb") as f:
+        f.write(chunks.encode_segment("huge", []))
+        for i in range(3):  # a hole of 1 GB behind each small chunk
+            f.write(chunks.encode_chunk(i, rows(i, 1, 4)))
+            f.write(chunks.CHUNK_HEADER.pack(chunks.CHUNK_MARK, 1, 7, 0, 1 << 30, 0, 0, 0, 0, 1, 0))
+            f.seek(1 << 30, 1)
+        f.truncate()
+    assert huge.stat().st_size > 3 << 30
+    found = segments.catalog(spark, str(huge))
+    assert sorted((r.chunk_id, r.core_id, r.problem) for r in found.collect()) == [(i, i // 2 if i % 2 == 0 else 7, None) for i in range(6)]
+    spans = [(str(huge), 1, 0, 5000, None, 2, ["1:1", "1:9"]), (str(huge), 2, 2000, 2002, None, None, None)]
+    kept, counters = segments.read_spans(found, spark.createDataFrame(spans, "path string, core_id int, t_begin long, t_end long, seq_begin long, seq_end long, refs array<string>"))
+    assert sorted((r.core_id, r.seq) for r in kept.collect()) == [(1, 1), (2, 1), (2, 2)]
+    (c,) = counters.collect()
+    size = chunks.CHUNK_HEADER.size + 3 * (chunks.EVENT_HEADER.size + 10)
+    assert (c.chunks, c.seeks, c.bytes, c.decoded, c.kept, c.target_refs, c.missed_refs, c.hit_rate, c.span_total) == (6, 2, 2 * size, 6, 3, 2, 1, 0.5, 5002)
+    assert segments.read_events(spark, str(huge)).where("core_id < 7").count() == 9
+
+
+def test_damaged_segment_files(spark, tmp_path):
+    """By seeking, a damaged file gives the catalogue rows that its whole content gives."""
+    good = chunks.encode_segment("run", [chunks.encode_chunk(c, [{"event_name": "TS_CALIB", "seq": i, "ts_raw": i} for i in range(5)]) for c in (0, 1)])
+    old = chunks.TRACE_HEADER.pack(chunks.TRACE_MARK, 1, 1, 1, 1, 1, 1, b"", b"", b"") + chunks.encode_chunk(3, [])
+    cases = {"good": good, "short": good[:-3], "tail": good + b"cut", "mark": b"x" + good[1:], "head": good[:20], "none": b"", "meta": good[:110], "old": old, "long": good + b"y" * 90}
+    for name, content in cases.items():
+        (tmp_path / f"{name}.seg").write_bytes(content)
+    frame = spark.createDataFrame([(f"{tmp_path}/{k}.seg", bytearray(v)) for k, v in cases.items()], "path string, content binary")
+    columns = [c for c in chunks.chunk_catalog(frame).columns if c != "payload"]
+    assert sorted(map(str, segments.catalog(spark, str(tmp_path)).select(columns).collect())) == sorted(map(str, chunks.chunk_catalog(frame).select(columns).collect()))
+    assert segments.read_events(spark, str(tmp_path)).count() == chunks.scan_trace(frame).count()

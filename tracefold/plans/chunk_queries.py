@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.tables import settle
+from ..functions.tables import settle, shared_dir
 from ..operators import integrity
 from ..sources import chunks as ch
+from ..sources import segments as seg
 from ..sources.trace_view import trace_events
 from .index_queries import V as INDEX_VIEWS, parts
 from .sql import with_views
@@ -46,6 +49,29 @@ def segments(s, d):
     return settle(events.groupBy("dataset_id").applyInPandas(_segment, SEGMENT)).select("path", "content")
 
 
+def files(s, d):
+    """The folder that a segment file of every trace was written to."""
+    path = f"{shared_dir(s)}/tracefold-{s.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    seg.write_segments(segments(s, d), path)
+    return path
+
+
+def _named(df):
+    """Paths as the names of their traces."""
+    return df.withColumn("path", F.regexp_extract("path", r"([^/]+)\.seg$", 1))
+
+
+def _file_catalog(s, d):
+    return _named(seg.catalog(s, files(s, d)))
+
+
+def _read_spans(s, d):
+    catalog = seg.catalog(s, files(s, d))
+    paths = _named(catalog.select("path").distinct().select("path", F.col("path").alias("file")))
+    spans = _spans(s, d).withColumn("refs", F.expr("if(core_id = 3, transform(sequence(0, 200), i -> concat('3:', i)), null)"))
+    return seg.read_spans(catalog, spans.join(paths, "path").drop("path").withColumnRenamed("file", "path"))
+
+
 def _catalog(s, d):
     return ch.chunk_catalog(segments(s, d)).drop("payload")
 
@@ -66,13 +92,14 @@ def _payloads(s, d):
 
 
 QUERIES = {
-    "s01_scan_trace": lambda s, d: ch.scan_trace(segments(s, d)).where("problem is null").select("path", "core_id", "seq", "ts_raw", "event_name", *[f for f in ch.FIELDS if f != "exit_code"], "crc_ok"),
-    "s02_chunk_catalog": lambda s, d: _catalog(s, d).where("problem is null").select("path", "chunk_id", "core_id", "records", "t_begin", "t_end", "seq_begin", "seq_end", "segment_seq", "chunk_dict"),
-    "s03_prescan_preview": lambda s, d: ch.prescan(_catalog(s, d).where("problem is null"))[0],
-    "s03_prescan_buckets": lambda s, d: ch.prescan(_catalog(s, d).where("problem is null"))[1],
-    "s12_read_window_spans": lambda s, d: ch.read_window_spans(segments(s, d), _spans(s, d))[0],
-    "s12_read_counters": lambda s, d: ch.read_window_spans(segments(s, d), _spans(s, d))[1].drop("bytes"),
-    "j05_chunk_span_overlap": lambda s, d: ch.touched_chunks(_catalog(s, d), _spans(s, d)).select("path", "chunk_id"),
+    "s01_scan_trace": lambda s, d: _named(seg.read_events(s, files(s, d))).where("problem is null").select("path", "core_id", "seq", "ts_raw", "event_name", *[f for f in ch.FIELDS if f != "exit_code"], "crc_ok"),
+    "s01_scan_range": lambda s, d: _named(seg.read_events(s, files(s, d), split=4096).where("core_id = 2 and seq >= 50 and seq < 300")).select("path", "core_id", "seq", "ts_raw", "event_name"),
+    "s02_chunk_catalog": lambda s, d: _file_catalog(s, d).where("problem is null").select("path", "chunk_id", "core_id", "records", "t_begin", "t_end", "seq_begin", "seq_end", "segment_seq", "chunk_dict"),
+    "s03_prescan_preview": lambda s, d: ch.prescan(_file_catalog(s, d).where("problem is null"))[0],
+    "s03_prescan_buckets": lambda s, d: ch.prescan(_file_catalog(s, d).where("problem is null"))[1],
+    "s12_read_window_spans": lambda s, d: _named(_read_spans(s, d)[0]),
+    "s12_read_counters": lambda s, d: _named(_read_spans(s, d)[1]),
+    "j05_chunk_span_overlap": lambda s, d: ch.touched_chunks(_file_catalog(s, d), _spans(s, d)).select("path", "chunk_id"),
     "i03_crc_windows": lambda s, d: integrity.crc_windows(_payloads(s, d)),
     "i04_truncation_windows": lambda s, d: integrity.truncation_windows(
         ch.decode(_payloads(s, d)).where("problem is not null").select("path", "chunk_id", "problem").join(_catalog(s, d).select("path", "chunk_id", "t_begin", "t_end"), ["path", "chunk_id"])
@@ -94,7 +121,8 @@ V = {
   WHERE r.chunk_id = 5 AND seq = last_seq UNION ALL SELECT dataset_id, count(*), NULL, NULL, 'TRUNCATED_CHUNK' FROM chunks WHERE CAST(dataset_id AS bigint) % 2 = 1 GROUP BY dataset_id""",
     "spans": "SELECT dataset_id, core_id, min(ts_raw) + (max(ts_raw) - min(ts_raw)) // 20 * 9 AS s_begin, min(ts_raw) + (max(ts_raw) - min(ts_raw)) // 20 * 11 AS s_end FROM ev GROUP BY ALL",
     "met": "SELECT c.* FROM chunks AS c JOIN spans AS s ON s.dataset_id = c.dataset_id AND s.core_id = c.core_id WHERE c.t_begin <= s_end AND s_begin <= c.t_end AND (c.core_id % 2 = 1 OR seq_end >= 1)",
-    "inside": "SELECT r.* FROM read_rows AS r JOIN spans AS s ON s.dataset_id = r.dataset_id AND s.core_id = r.core_id WHERE ts_raw BETWEEN s_begin AND s_end",
+    "inside": "SELECT r.* FROM read_rows AS r JOIN spans AS s ON s.dataset_id = r.dataset_id AND s.core_id = r.core_id WHERE ts_raw BETWEEN s_begin AND s_end AND (r.core_id <> 3 OR seq <= 200)",
+    "sized": "SELECT dataset_id, chunk_id, sum(" + str(ch.EVENT_HEADER.size) + " + CASE event_name " + " ".join(f"WHEN '{n}' THEN {ch.struct.calcsize(layout)}" for n, (_, layout, _) in ch.EVENTS.items()) + " END) - CASE WHEN chunk_id = 5 THEN 4 ELSE 0 END AS size FROM placed GROUP BY dataset_id, chunk_id",
     "whole_c": "SELECT dataset_id, min(t_begin) AS w_begin, max(t_end) AS w_end FROM chunks GROUP BY dataset_id",
     "segs": "SELECT CAST(dataset_id AS bigint) AS n, CAST(dataset_id AS bigint) + 1 + CASE WHEN CAST(dataset_id AS bigint) % 3 = 2 THEN 1 ELSE 0 END AS seg, CASE WHEN CAST(dataset_id AS bigint) % 4 < 3 THEN 7 ELSE 9 END AS sum, t_begin, t_end FROM chunks WHERE chunk_id = 0",
     "chain": "SELECT *, lag(seg) OVER (ORDER BY n) AS last_seg, lag(sum) OVER (ORDER BY n) AS last_sum FROM segs",
@@ -109,13 +137,17 @@ SQL = {
     "s01_scan_trace": "SELECT dataset_id AS path, core_id, seq, ts_raw, event_name, "
     + ", ".join(f"CASE WHEN event_name IN ({', '.join(repr(n) for n in _HAS[f])}) THEN coalesce({f}, 0) END AS {f}" for f in ch.FIELDS if f != "exit_code")
     + ", chunk_id <> 2 AS crc_ok FROM read_rows",
+    "s01_scan_range": "SELECT dataset_id AS path, core_id, seq, ts_raw, event_name FROM read_rows WHERE core_id = 2 AND seq >= 50 AND seq < 300",
     "s02_chunk_catalog": "SELECT dataset_id AS path, chunk_id, core_id, CAST(records AS int) AS records, t_begin, t_end, seq_begin, seq_end, CAST(dataset_id AS bigint) + 1 + CASE WHEN CAST(dataset_id AS bigint) % 3 = 2 THEN 1 ELSE 0 END AS segment_seq, CASE WHEN chunk_id = 3 THEN 2 ELSE 1 END AS chunk_dict FROM chunks",
     "s03_prescan_preview": "SELECT dataset_id, count(*) AS chunks, CAST(sum(records) AS bigint) AS records, count(DISTINCT core_id) AS cores, min(t_begin) AS w_begin, max(t_end) AS w_end FROM chunks GROUP BY dataset_id",
     "s03_prescan_buckets": f"SELECT dataset_id, bucket, round(sum(part * records), 6) AS events, round(sum(part), 6) AS chunks FROM ({parts('chunks', 'whole_c', 24).replace('SELECT dataset_id, CAST(b AS int)', 'SELECT dataset_id, records, CAST(b AS int)', 1)}) AS p GROUP BY ALL",
     "s12_read_window_spans": "SELECT dataset_id AS path, core_id, seq, ts_raw, event_name, CASE WHEN event_name IN (" + ", ".join(repr(n) for n in _HAS["task_id"]) + ") THEN coalesce(task_id, 0) END AS task_id FROM inside",
-    "s12_read_counters": """SELECT path, chunks, coalesce(seeks, 0) AS seeks, coalesce(decoded, 0) AS decoded, coalesce(kept, 0) AS kept, CASE WHEN decoded > 0 THEN round(coalesce(kept, 0) * 1.0 / decoded, 6) END AS hit_rate FROM (SELECT dataset_id AS path, count(*) + any_value(CAST(dataset_id AS bigint) % 2) AS chunks FROM chunks GROUP BY dataset_id) AS a
-  LEFT JOIN (SELECT dataset_id AS path, count(*) AS seeks FROM met GROUP BY dataset_id) AS b USING (path) LEFT JOIN (SELECT r.dataset_id AS path, count(*) AS decoded FROM read_rows AS r SEMI JOIN met AS m ON m.dataset_id = r.dataset_id AND m.chunk_id = r.chunk_id GROUP BY r.dataset_id) AS c USING (path)
-  LEFT JOIN (SELECT dataset_id AS path, count(*) AS kept FROM inside GROUP BY dataset_id) AS e USING (path)""",
+    "s12_read_counters": f"""SELECT path, chunks, coalesce(seeks, 0) AS seeks, CAST(coalesce(bytes, 0) AS bigint) AS bytes, CAST(span_total AS bigint) AS span_total, coalesce(decoded, 0) AS decoded, coalesce(kept, 0) AS kept, target_refs, target_refs - coalesce(found, 0) AS missed_refs,
+  CASE WHEN target_refs = 0 THEN 1.0 ELSE round(coalesce(found, 0) * 1.0 / target_refs, 6) END AS hit_rate FROM (SELECT dataset_id AS path, count(*) + any_value(CAST(dataset_id AS bigint) % 2) AS chunks FROM chunks GROUP BY dataset_id) AS a
+  LEFT JOIN (SELECT m.dataset_id AS path, count(*) AS seeks, sum(size) + count(*) * {ch.CHUNK_HEADER.size} AS bytes FROM met AS m JOIN sized AS z ON z.dataset_id = m.dataset_id AND z.chunk_id = m.chunk_id GROUP BY m.dataset_id) AS b USING (path)
+  LEFT JOIN (SELECT r.dataset_id AS path, count(*) AS decoded FROM read_rows AS r SEMI JOIN met AS m ON m.dataset_id = r.dataset_id AND m.chunk_id = r.chunk_id GROUP BY r.dataset_id) AS c USING (path)
+  LEFT JOIN (SELECT dataset_id AS path, sum(s_end - s_begin) AS span_total, 201 * count(*) FILTER (WHERE core_id = 3) AS target_refs FROM spans GROUP BY dataset_id) AS f USING (path)
+  LEFT JOIN (SELECT dataset_id AS path, count(*) AS kept, count(*) FILTER (WHERE core_id = 3) AS found FROM inside GROUP BY dataset_id) AS e USING (path)""",
     "j05_chunk_span_overlap": "SELECT dataset_id AS path, chunk_id FROM met",
     "i03_crc_windows": windows("chunks WHERE chunk_id = 2", "crc_fail", "'CRC_FAIL'", "crc"),
     "i04_truncation_windows": windows("cut", "truncate", "problem", "truncate", severity="error"),

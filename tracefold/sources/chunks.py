@@ -4,9 +4,9 @@ A segment is a global header, from format 2 on a segment header, and chunks;
 a chunk is a header and a payload of events, each a header and its fields.
 Segments come as rows (path, content), from files (``files``) or any table,
 and one pass over a segment gives its chunks, each with its own payload, so
-that decoding is dealt out by chunk and no content is copied. A file is one
-row and so at most 2 GB; longer traces are written as several segments. What
-spans chunks (sequence gaps, segment chains) is a window over rows.
+that decoding is dealt out by chunk and no content is copied. Such a row has
+2 GB at most; ``segments.py`` reads files of any size by seeking. What spans
+chunks (sequence gaps, segment chains) is a window over rows.
 """
 
 from __future__ import annotations
@@ -198,20 +198,8 @@ def touched_chunks(catalog: DataFrame, spans: DataFrame) -> DataFrame:
     return met.where("(seq_begin is null or s1 >= seq_begin) and (seq_end is null or s0 <= seq_end)").select("path", "chunk_id", "payload_size").distinct()
 
 
-def read_window_spans(segments: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(events inside the spans, counters per path): decodes only chunks that a span touches.
-
-    spans: path, core_id, t_begin, t_end, seq_begin, seq_end (nulls: any seq).
-    Counters: chunks read (one seek each) of all, bytes read, events decoded
-    and kept, and the share kept.
-    """
-    catalog = chunk_catalog(segments, payloads=True)
-    touched = touched_chunks(catalog.drop("payload"), spans)
-    decoded = decode(catalog.join(touched.select("path", "chunk_id"), ["path", "chunk_id"], "left_semi")).where("problem is null")
-    points = decoded.withColumns({"t_begin": F.col("ts_raw"), "t_end": F.col("ts_raw")})
+def inside_spans(events: DataFrame, spans: DataFrame) -> DataFrame:
+    """Events with each span of their path and core that holds their time and seq (closed ends); the span's other columns come along."""
+    points = events.withColumns({"t_begin": F.col("ts_raw"), "t_end": F.col("ts_raw")})
     inside = overlap_join(points, spans.withColumnsRenamed({"seq_begin": "s0", "seq_end": "s1"}), ["path", "core_id"], closed=True)
-    kept = inside.where("(s0 is null or seq >= s0) and (s1 is null or seq <= s1)").select("path", "core_id", "seq", "ts_raw", "event_name", "task_id").distinct()
-    counts = catalog.groupBy("path").agg(F.count("*").alias("chunks"))
-    counts = counts.join(touched.groupBy("path").agg(F.count("*").alias("seeks"), F.sum("payload_size").alias("bytes")), "path", "left")
-    counts = counts.join(decoded.groupBy("path").agg(F.count("*").alias("decoded")), "path", "left").join(kept.groupBy("path").agg(F.count("*").alias("kept")), "path", "left").na.fill(0)
-    return kept, counts.withColumn("hit_rate", F.when(F.col("decoded") > 0, F.round(F.col("kept") / F.col("decoded"), 6)))
+    return inside.where("(s0 is null or seq >= s0) and (s1 is null or seq <= s1)")
