@@ -3,7 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from tracefold.functions import scans
 from tracefold.operators import integrity, rebuild
 from tracefold.plans.trace import TraceTables
 
@@ -12,8 +14,6 @@ SCHEMA = ", ".join(f"{c} {'string' if c in ('dataset_id', 'event_name') else 'in
 
 
 def events(spark, rows):
-    from pyspark.sql import functions as F
-
     full = [tuple({"dataset_id": "d", "core_id": 0, "seq": i + 1, **r}.get(c) for c in COLUMNS) for i, r in enumerate(rows)]
     return spark.createDataFrame(full, SCHEMA).withColumn("event_uid", F.concat_ws(":", F.lit("evt"), "dataset_id", "core_id", "seq"))
 
@@ -108,18 +108,80 @@ def test_states_match_a_sequential_walk(spark):
     assert got == walk_states(rows)
 
 
-def test_irq_stack_matches_a_fold_on_dirty_cores(spark):
-    rng = random.Random(5)
-    rows = [e(ts, rng.choice(["IRQ_ENTER", "IRQ_EXIT"]), irq_id=rng.randrange(2), nesting_depth=rng.randrange(1, 3)) for ts in range(200)]
-    stack, want = [], []
-    for r in rows:
-        key = (r["irq_id"], r["nesting_depth"])
-        if r["event_name"] == "IRQ_ENTER":
-            stack.append((key, r["ts_raw"]))
-        elif stack and stack[-1][0] == key:
-            want.append((stack.pop()[1], r["ts_raw"], "NORMAL"))
+def walk_irqs(rows):
+    """(begin, end, kind) per core by a stack, row for row."""
+    out = []
+    for core in {r.get("core_id", 0) for r in rows}:
+        stack = []
+        for r in (r for r in rows if r.get("core_id", 0) == core):
+            key = (r["irq_id"], r["nesting_depth"])
+            if r["event_name"] == "IRQ_ENTER":
+                stack.append((key, r["ts_raw"]))
+            elif stack and stack[-1][0] == key:
+                out.append((core, stack.pop()[1], r["ts_raw"], "NORMAL"))
+            else:
+                out.append((core, r["ts_raw"], r["ts_raw"], "UNMATCHED"))
+        out += [(core, ts, rows[-1]["ts_raw"], "OPEN") for _, ts in stack]
+    return sorted(out)
+
+
+def irq_rows(rng, shape, n):
+    irq = lambda ts, enter, irq_id, depth, core=0: e(ts, "IRQ_ENTER" if enter else "IRQ_EXIT", core_id=core, irq_id=irq_id, nesting_depth=depth)
+    if shape == "random":
+        return [irq(ts, rng.random() < 0.5, rng.randrange(2), rng.randrange(1, 3), rng.randrange(2)) for ts in range(n)]
+    if shape == "exits":  # long runs of exits, with and without an enter below
+        return [irq(ts, ts % 40 == 20, 1, ts % 7) for ts in range(n)]
+    if shape == "deep":  # one stack of n / 2 levels
+        return [irq(i, True, i % 3, i) for i in range(n // 2)] + [irq(n - 1 - i, False, i % 3, i) for i in range(n // 2 - 1, -1, -1)]
+    rows, stack = [], []  # nested, with some enters and exits lost or altered
+    while len(rows) < n:
+        if not stack or rng.random() < 0.5 and len(stack) < 30:
+            stack.append((rng.randrange(4), len(stack) + 1))
+            made = (True, *stack[-1])
+        else:
+            made = (False, *stack.pop())
+        if rng.random() > 0.06:
+            rows.append(irq(len(rows), made[0], made[1] if rng.random() > 0.03 else 9, made[2]))
+    return rows
+
+
+@pytest.mark.parametrize("long", [False, True])
+@pytest.mark.parametrize("shape", ["random", "exits", "deep", "nested"])
+def test_irq_stack_matches_a_walk(spark, shape, long):
+    rows = irq_rows(random.Random(5), shape, 300)
+    told = rebuild.irq_spans(TraceTables(events(spark, rows), long=long).events, long)
+    got = sorted((r.core_id, r.t_begin, r.t_end, r.close_kind) for r in told.collect())
+    assert got == walk_irqs(rows)
+
+
+def test_long_traces_give_the_same_rows(spark, monkeypatch):
+    """All interval tables of one trace by cells equal those by windows."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(1500):
+        name = rng.choice(["TASK_READY", "TASK_BLOCK", "TASK_WAKEUP", "TASK_EXIT", "TASK_DISPATCH", "CTX_SWITCH", "SYNC_LOCK", "SYNC_UNLOCK", "IRQ_ENTER", "IRQ_EXIT", "LOSS", "OVERFLOW", "TS_CALIB"])
+        ts = i if rng.random() < 0.98 else i + 10**12  # a few far outliers
+        core = rng.randrange(2)
+        if name == "CTX_SWITCH":
+            row = switch(ts, rng.randrange(4), rng.randrange(4), core_id=core)
         else:
-            want.append((r["ts_raw"], r["ts_raw"], "UNMATCHED"))
-    want += [(ts, 199, "OPEN") for _, ts in stack]
-    got = sorted((r.t_begin, r.t_end, r.close_kind) for r in rebuild.irq_spans(TraceTables(events(spark, rows)).events).collect())
-    assert got == sorted(want)
+            obj = rng.choice([None, 1, 2])
+            row = e(ts, name, core_id=core, task_id=rng.randrange(1, 4), obj_id=obj, wait_obj_id=obj if name == "TASK_BLOCK" else None, irq_id=rng.randrange(2), nesting_depth=1, reason=rng.randrange(4))
+        rows.append(row)
+    frame = events(spark, rows)
+    short, long = TraceTables(frame, long=False), TraceTables(frame, long=True)
+    assert short.events.count() == 1500
+    for name in ("events", "states", "slices", "holds", "waits", "irqs", "windows"):
+        a, b = getattr(short, name), getattr(long, name)
+        assert sorted(map(str, a.select(*sorted(a.columns)).collect())) == sorted(map(str, b.select(*sorted(a.columns)).collect())), name
+    monkeypatch.setattr(scans, "LONG_KEY", 100)
+    assert TraceTables(frame).is_long and not scans.is_long(frame.limit(50), ["dataset_id"])
+
+
+def test_scan_values(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), t, rng.choice([None, 1, 5])) for t in range(200)]
+    df = spark.createDataFrame(rows, "k string, t long, v int")
+    ask = dict(lag={"before": F.col("v")}, lead={"after": F.col("v")}, last={"seen": F.col("v")}, total={"sum": F.col("v")}, number="n")
+    results = [sorted(map(str, scans.scan(df, ["k"], ["t"], **ask, long=long, cells=9).collect())) for long in (False, True)]
+    assert results[0] == results[1]

@@ -8,19 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.scans import scan
+
 WINDOW_COLUMNS = ("dataset_id", "window_id", "source", "scope", "t_begin", "t_end", "reason_code", "severity")
 
 
-def with_previous(events: DataFrame) -> DataFrame:
+def with_previous(events: DataFrame, long: bool | None = False) -> DataFrame:
     """Adds the core's previous seq and timestamp, and whether the sequence breaks here."""
-    core = W.partitionBy("dataset_id", "core_id").orderBy("seq")
-    e = events.withColumns({"prev_seq": F.lag("seq").over(core), "prev_ts": F.lag("ts_raw").over(core)})
+    e = scan(events, ["dataset_id", "core_id"], ["seq"], lag={"prev_seq": F.col("seq"), "prev_ts": F.col("ts_raw")}, long=long)
     return e.withColumn("gap", F.coalesce(F.col("seq") != F.col("prev_seq") + 1, F.lit(False)))
 
 
-def tag_events(events: DataFrame) -> DataFrame:
+def tag_events(events: DataFrame, long: bool | None = False) -> DataFrame:
     """Adds trust_tags and trusted; an event is trusted if it has no tag."""
-    e = with_previous(events)
+    e = with_previous(events, long)
     marker = F.when(F.col("event_name") == "LOSS", "loss").when(F.col("event_name") == "OVERFLOW", F.when(F.col("reason") == 3, "io_backpressure").otherwise("overflow"))
     e = e.withColumn("trust_tags", F.array_compact(F.array(F.when(F.col("gap"), "seq_gap"), marker)))
     return e.withColumn("trusted", F.size("trust_tags") == 0).drop("prev_seq", "prev_ts", "gap")
@@ -40,13 +41,13 @@ def window_row(source, reason, begin, end, *key, scope="event", named=None, seve
     ]
 
 
-def seq_gap_windows(events: DataFrame) -> DataFrame:
-    e = with_previous(events).where("gap")
+def seq_gap_windows(events: DataFrame, long: bool | None = False) -> DataFrame:
+    e = with_previous(events, long).where("gap")
     return e.select(*window_row(F.lit("seq_gap"), F.lit("SEQ_GAP"), F.col("prev_ts"), F.col("ts_raw"), "core_id", "seq"))
 
 
-def loss_overflow_windows(events: DataFrame) -> DataFrame:
-    e = with_previous(events).where(F.col("event_name").isin("LOSS", "OVERFLOW"))
+def loss_overflow_windows(events: DataFrame, long: bool | None = False) -> DataFrame:
+    e = with_previous(events, long).where(F.col("event_name").isin("LOSS", "OVERFLOW"))
     pressure = F.col("reason") == 3
     source = F.when(F.col("event_name") == "LOSS", "loss").when(pressure, "io_backpressure").otherwise("overflow")
     reason = F.when(F.col("event_name") == "LOSS", "SEQ_GAP").when(pressure, "IO_BACKPRESSURE").otherwise("BUFFER_OVERFLOW")

@@ -1,28 +1,32 @@
 """Point events to intervals: task states, execution slices, hold and wait edges, interrupt spans.
 
-All input is aligned events (``ts``, ``trusted``). Every rule is a window
-over one key (task, core, or task and object) of one dataset, so traces and
-keys run in parallel; only interrupt stacks of cores whose nesting doesn't
-add up are folded in order, a core at a time.
+All input is aligned events (``ts``, ``trusted``). Every rule takes a few
+values from the rows before and behind within one key (task, core, or task and
+object) of one dataset, by ``functions.scans``: windows where keys are short,
+cells of a key where one trace is long (``long``; looked up where it is null).
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.scans import is_long, scan
+from ..functions.tables import settle
 from .intervals import overlap_join
 
 SORT = ("ts", "core_id", "seq")
+CORE, PLACE = ["dataset_id", "core_id"], ["ts", "seq"]
 
 
 def dataset_end(events: DataFrame) -> DataFrame:
     return events.groupBy("dataset_id").agg(F.max("ts").alias("end_ts"))
 
 
-def task_states(events: DataFrame) -> DataFrame:
+def task_states(events: DataFrame, long: bool | None = None) -> DataFrame:
     """dataset_id, seg_id, task_id, state, t_begin, t_end, cause_event, related_obj, trusted.
 
     A switch sets its previous task READY only if that task is running, which
@@ -37,10 +41,11 @@ def task_states(events: DataFrame) -> DataFrame:
     )
     rows = events.select("dataset_id", "ts", "core_id", "seq", "event_uid", "trusted", F.when(name.isin("TASK_BLOCK", "TASK_WAKEUP"), F.col("obj_id")).alias("related_obj"), F.explode(F.array_compact(changes)).alias("c"))
     rows = rows.select("*", "c.*").drop("c")
-    order = W.partitionBy("dataset_id", "task_id").orderBy(*SORT, "sub")
-    rows = rows.withColumn("running", F.coalesce(F.lag(F.when(~F.col("cond"), F.col("state"))).over(order) == "RUNNING", F.lit(False)))
-    rows = rows.where(~F.col("cond") | F.col("running"))
-    rows = rows.withColumns({"next_ts": F.lead("ts").over(order), "n": F.row_number().over(order)}).join(dataset_end(events), "dataset_id")
+    task, order = ["dataset_id", "task_id"], [*SORT, "sub"]
+    long = is_long(rows, task) if long is None else long
+    rows = scan(rows, task, order, lag={"before": F.when(~F.col("cond"), F.col("state"))}, long=long)
+    rows = rows.where("not cond or coalesce(before = 'RUNNING', false)")
+    rows = scan(rows, task, order, lead={"next_ts": F.col("ts")}, number="n", long=long).join(dataset_end(events), "dataset_id")
     return rows.select(
         "dataset_id",
         F.concat_ws(":", F.lit("seg"), "dataset_id", "task_id", "n").alias("seg_id"),
@@ -54,21 +59,20 @@ def task_states(events: DataFrame) -> DataFrame:
     )
 
 
-def dispatch_matches(events: DataFrame) -> DataFrame:
+def dispatch_matches(events: DataFrame, long: bool | None = None) -> DataFrame:
     """Each switch-in with the last dispatch of its task on its core since the previous switch-in (null if none)."""
     e = events.where("event_name = 'TASK_DISPATCH' or event_name = 'CTX_SWITCH' and next_task_id <> 0")
-    order = W.partitionBy("dataset_id", "task_id", "core_id").orderBy("ts", "seq")
-    pending = F.when(F.lag("event_name").over(order) == "TASK_DISPATCH", F.struct(F.lag("event_uid").over(order).alias("uid"), F.lag("trusted").over(order).alias("trusted")))
-    return e.withColumn("d", pending).where("event_name = 'CTX_SWITCH'").select("dataset_id", "event_uid", "task_id", "core_id", F.col("d.uid").alias("dispatch_event"), F.col("d.trusted").alias("dispatch_trusted"))
+    pending = F.when(F.col("event_name") == "TASK_DISPATCH", F.struct(F.col("event_uid").alias("uid"), "trusted"))
+    return scan(e, ["dataset_id", "task_id", "core_id"], PLACE, lag={"d": pending}, long=long).where("event_name = 'CTX_SWITCH'").select("dataset_id", "event_uid", "task_id", "core_id", F.col("d.uid").alias("dispatch_event"), F.col("d.trusted").alias("dispatch_trusted"))
 
 
-def exec_slices(events: DataFrame) -> DataFrame:
+def exec_slices(events: DataFrame, long: bool | None = None) -> DataFrame:
     """dataset_id, slice_id, task_id, core_id, t_begin, t_end, start_event, end_event, preempted_by, run_reason, trusted."""
-    order = W.partitionBy("dataset_id", "core_id").orderBy("ts", "seq")
-    s = events.where("event_name = 'CTX_SWITCH'")
-    s = s.select("dataset_id", "core_id", "ts", "seq", "event_uid", "next_task_id", "job_id", "trusted", *[F.lead(c).over(order).alias(f"close_{c}") for c in ("ts", "event_uid", "next_task_id", "reason", "trusted")])
-    s = s.where("next_task_id <> 0").withColumn("n", F.row_number().over(order)).join(dataset_end(events), "dataset_id")
-    s = s.join(dispatch_matches(events).select("dataset_id", "event_uid", "dispatch_event", "dispatch_trusted"), ["dataset_id", "event_uid"])
+    s = events.where("event_name = 'CTX_SWITCH'").select("dataset_id", "core_id", "ts", "seq", "event_uid", "next_task_id", "job_id", "reason", "trusted")
+    long = is_long(s, CORE) if long is None else long
+    s = scan(s, CORE, PLACE, lead={f"close_{c}": F.col(c) for c in ("ts", "event_uid", "next_task_id", "reason", "trusted")}, long=long)
+    s = scan(s.where("next_task_id <> 0"), CORE, PLACE, number="n", long=long).join(dataset_end(events), "dataset_id")
+    s = s.join(dispatch_matches(events, long).select("dataset_id", "event_uid", "dispatch_event", "dispatch_trusted"), ["dataset_id", "event_uid"])
     return s.select(
         "dataset_id",
         F.concat_ws(":", F.lit("slice"), "dataset_id", "core_id", "n").alias("slice_id"),
@@ -88,10 +92,9 @@ def exec_slices(events: DataFrame) -> DataFrame:
 EDGE = ("dataset_id", "edge_kind", "task_id", "obj_id", "owner_task_id", "t_begin", "t_end", "evidence_ref", "end_event", "close_kind", "reason_code", "trusted")
 
 
-def _edges(rows: DataFrame, ends: DataFrame, kind: str, open_name: str, close_name: str, missing: str, unmatched: str) -> DataFrame:
+def _edges(rows: DataFrame, ends: DataFrame, kind: str, open_name: str, close_name: str, missing: str, unmatched: str, long: bool | None) -> DataFrame:
     """rows: opens, closes and exits per (task, object); an open is ended by the next row of its key."""
-    order = W.partitionBy("dataset_id", "task_id", "obj_id").orderBy(*SORT)
-    r = rows.withColumns({f"{a}_{c}": f(c).over(order) for a, f in (("next", F.lead), ("last", F.lag)) for c in ("event_name", "ts", "event_uid", "trusted")})
+    r = scan(rows, ["dataset_id", "task_id", "obj_id"], list(SORT), lag={"last_event_name": F.col("event_name")}, lead={f"next_{c}": F.col(c) for c in ("event_name", "ts", "event_uid", "trusted")}, long=long)
     after = F.col("next_event_name")
     close_kind = F.when(after.isNull(), "OPEN").when(after == open_name, "SUCCESSOR_OPEN").when(after == "TASK_EXIT", "TERMINAL_TASK_EXIT").otherwise("NORMAL")
     opened = r.where(F.col("event_name") == open_name).join(ends, "dataset_id")
@@ -140,73 +143,90 @@ def _relation_rows(events: DataFrame, open_name: str, close_name: str) -> DataFr
     return named.unionByName(spread)
 
 
-def hold_edges(events: DataFrame) -> DataFrame:
+def hold_edges(events: DataFrame, long: bool | None = None) -> DataFrame:
     rows = _relation_rows(events, "SYNC_LOCK", "SYNC_UNLOCK").withColumn("owner_task_id", F.col("task_id"))
-    return _edges(rows, dataset_end(events), "hold", "SYNC_LOCK", "SYNC_UNLOCK", "LOCK_WITHOUT_UNLOCK", "UNLOCK_WITHOUT_LOCK")
+    return _edges(rows, dataset_end(events), "hold", "SYNC_LOCK", "SYNC_UNLOCK", "LOCK_WITHOUT_UNLOCK", "UNLOCK_WITHOUT_LOCK", long)
 
 
-def wait_edges(events: DataFrame) -> DataFrame:
+def wait_edges(events: DataFrame, long: bool | None = None) -> DataFrame:
     rows = _relation_rows(events, "TASK_BLOCK", "TASK_WAKEUP")
-    return _edges(rows, dataset_end(events), "wait", "TASK_BLOCK", "TASK_WAKEUP", "WAIT_WITHOUT_WAKEUP", "WAKEUP_WITHOUT_BLOCK")
+    return _edges(rows, dataset_end(events), "wait", "TASK_BLOCK", "TASK_WAKEUP", "WAIT_WITHOUT_WAKEUP", "WAKEUP_WITHOUT_BLOCK", long)
 
 
-def _fold_irqs(core: pd.DataFrame) -> pd.DataFrame:
-    """The stack of one core: an exit matches the top if interrupt and depth agree; else it stands alone."""
-    stack: list = []
-    out = []
-    for r in core.sort_values(["ts", "seq"]).itertuples():
-        if r.event_name == "IRQ_ENTER":
-            stack.append(r)
-        elif stack and stack[-1].irq_id == r.irq_id and stack[-1].nesting_depth == r.nesting_depth:
-            enter = stack.pop()
-            out.append((r.dataset_id, r.core_id, r.irq_id, r.nesting_depth, enter.ts, r.ts, enter.event_uid, r.event_uid, "NORMAL", bool(enter.trusted and r.trusted)))
-        else:
-            out.append((r.dataset_id, r.core_id, r.irq_id, r.nesting_depth, r.ts, r.ts, None, r.event_uid, "UNMATCHED", bool(r.trusted)))
-    out += [(r.dataset_id, r.core_id, r.irq_id, r.nesting_depth, r.ts, r.end_ts, r.event_uid, None, "OPEN", bool(r.trusted)) for r in stack]
-    return pd.DataFrame(out, columns=IRQ_COLUMNS)
+IRQ_COLUMNS = ["dataset_id", "core_id", "irq_id", "nesting_depth", "t_begin", "t_end", "enter_event", "exit_event", "close_kind", "trusted"]
 
 
-IRQ_COLUMNS = ["dataset_id", "core_id", "irq_id", "nesting_depth", "t_begin", "t_end", "enter_event", "exit_event", "close_kind", "trusted"]
-IRQ_SCHEMA = "dataset_id string, core_id int, irq_id long, nesting_depth int, t_begin long, t_end long, enter_event string, exit_event string, close_kind string, trusted boolean"
+def _is_enter() -> Column:
+    return F.col("event_name") == "IRQ_ENTER"
 
 
-#: Rounds of matching by windows before what is left of a core is folded.
-ROUNDS = 3
+def _as_enter() -> Column:
+    return F.when(_is_enter(), F.struct(*PLACE, "irq_id", "nesting_depth", "event_uid", "trusted"))
 
 
-def _matched(irqs: DataFrame) -> DataFrame:
-    """Adds kind and enter. In each round, an exit whose nearest open row before it is an enter, or nothing, is settled:
-    that enter is the top of the stack, so they match or the exit stands alone. Only the first of several exits in a row waits for none."""
-    order = "OVER (PARTITION BY dataset_id, core_id ORDER BY ts, seq)"
-    irqs = irqs.withColumns({"kind": F.lit(None).cast("string"), "enter": F.expr("cast(null as struct<event_name:string,irq_id:bigint,nesting_depth:int,ts:bigint,event_uid:string,trusted:boolean>)")})
-    row = "struct(event_name, irq_id, nesting_depth, ts, event_uid, trusted)"
-    same = "{0}.irq_id = irq_id and {0}.nesting_depth = nesting_depth"
-    for _ in range(ROUNDS):
-        irqs = irqs.withColumn("row", F.expr(f"if(kind is null, {row}, null)"))
-        irqs = irqs.withColumns({"before": F.expr(f"lag(row) IGNORE NULLS {order}"), "after": F.expr(f"lead(row) IGNORE NULLS {order}")})
-        settled = F.expr(
-            f"case when kind is not null then kind when event_name = 'IRQ_ENTER' then if(after.event_name = 'IRQ_EXIT' and {same.format('after')}, 'USED', null)"
-            f" when before is null then 'UNMATCHED' when before.event_name = 'IRQ_EXIT' then null when {same.format('before')} then 'NORMAL' else 'UNMATCHED' end"
-        )
-        irqs = irqs.withColumn("now", settled)
-        irqs = irqs.withColumn("enter", F.when(F.col("kind").isNull() & (F.col("now") == "NORMAL"), F.col("before")).otherwise(F.col("enter"))).withColumn("kind", F.col("now")).drop("row", "before", "after", "now")
-    return irqs
+def _fits(enter: str) -> Column:
+    """Whether an exit has the interrupt and depth of an enter."""
+    return ~_is_enter() & F.coalesce((F.col(f"{enter}.irq_id") == F.col("irq_id")) & (F.col(f"{enter}.nesting_depth") == F.col("nesting_depth")), F.lit(False))
 
 
-def irq_spans(events: DataFrame) -> DataFrame:
+def _natural_pairs(rows: DataFrame, long: bool) -> DataFrame:
+    """Adds kind and enter to open rows: NORMAL to exits and USED to enters that are sure to match, whatever the depth.
+
+    A running height of enters less exits gives each row a level; on a level,
+    enters and exits take turns, and an exit's natural mate is the enter before
+    it. If a pair fits and so do all pairs within it, the stack at the exit has
+    just that enter on top.
+    """
+    r = scan(rows, CORE, PLACE, total={"height": F.when(_is_enter(), 1).otherwise(-1)}, long=long)
+    r = r.withColumn("level", F.col("height") + F.when(_is_enter(), 0).otherwise(1))
+    r = scan(r, [*CORE, "level"], PLACE, lag={"mate": _as_enter()}, long=long)
+    misfit = ~_is_enter() & F.col("mate").isNotNull() & ~_fits("mate")
+    r = scan(r, CORE, PLACE, last={"misfit": F.when(misfit, F.struct(*PLACE))}, long=long)
+    r = r.withColumn("sure", _fits("mate") & F.coalesce(F.col("misfit") < F.struct("mate.ts", "mate.seq"), F.lit(True)))
+    r = scan(r, [*CORE, "level"], PLACE, lead={"used": F.col("sure")}, long=long)
+    kind = F.when(F.col("sure"), "NORMAL").when(_is_enter() & F.col("used"), "USED")
+    return r.select(*rows.columns, kind.alias("kind"), F.when(F.col("sure"), F.col("mate")).alias("enter"))
+
+
+def _runs(rows: DataFrame, long: bool) -> DataFrame:
+    """Adds kind and enter to open rows by runs of exits behind an open enter (or behind none).
+
+    That enter is the top of the stack for the whole run, up to the first exit
+    that fits: those before it stand alone, it matches, and those behind it wait.
+    """
+    r = settle(scan(rows, CORE, PLACE, last={"top": _as_enter()}, long=long))
+    fits = r.where(_fits("top")).groupBy(*CORE, F.col("top.event_uid").alias("top_uid")).agg(F.min(F.struct(*PLACE)).alias("first"))
+    exits = r.where(~_is_enter()).withColumn("top_uid", F.col("top.event_uid")).join(fits, [*CORE, "top_uid"], "left")
+    here = F.struct(*PLACE)
+    kind = F.when(F.col("first").isNull() | (here < F.col("first")), "UNMATCHED").when(here == F.col("first"), "NORMAL")
+    exits = exits.select(*rows.columns, kind.alias("kind"), F.when(kind == "NORMAL", F.col("top")).alias("enter"))
+    used = fits.select(*CORE, F.col("top_uid").alias("event_uid"), F.lit("USED").alias("kind"))
+    enters = r.where(_is_enter()).select(*rows.columns).join(used, [*CORE, "event_uid"], "left").select(*rows.columns, "kind", F.lit(None).cast(exits.schema["enter"].dataType).alias("enter"))
+    return exits.unionByName(enters)
+
+
+def irq_spans(events: DataFrame, long: bool | None = None) -> DataFrame:
     """Interrupt spans with the task that ran on the core at their end as delayed_task.
 
     An exit matches the top of its core's stack if interrupt and depth agree;
-    else it stands alone. A few rounds of windows settle nearly all; on a core
-    where exits are still open after that, its open rows are folded.
+    else it stands alone and the stack stays. Natural pairs settle all that is
+    cleanly nested at once. What is left goes through rounds, each of which
+    ends every open enter's run of exits on all cores and then pairs anew; every round
+    settles at least the first open exit of each core, and only open rows go on.
     """
     irqs = events.where(F.col("event_name").isin("IRQ_ENTER", "IRQ_EXIT")).join(dataset_end(events), "dataset_id")
     irqs = irqs.select("dataset_id", "core_id", F.col("irq_id").cast("long").alias("irq_id"), F.col("nesting_depth").cast("int").alias("nesting_depth"), "event_name", "ts", "seq", "event_uid", "trusted", "end_ts")
-    told = _matched(irqs)
-    open_exits = F.max(F.col("kind").isNull() & (F.col("event_name") == "IRQ_EXIT")).over(W.partitionBy("dataset_id", "core_id"))
-    told = told.withColumn("kind", F.when(F.col("kind").isNull(), F.when(open_exits, "FOLD").otherwise("OPEN")).otherwise(F.col("kind")))
+    long = is_long(irqs, CORE) if long is None else long
+    told = settle(_natural_pairs(irqs, long))
+    parts = [told.where("kind is not null")]
+    step, other = _runs, _natural_pairs
+    while not (left := told.where("kind is null").drop("kind", "enter")).where(~_is_enter()).isEmpty():
+        told = settle(step(left, long))
+        parts.append(told.where("kind is not null"))
+        step, other = other, step
+    told = reduce(DataFrame.unionByName, [*parts, told.where("kind is null").withColumn("kind", F.lit("OPEN"))]).where("kind <> 'USED'")
     normal, alone = F.col("kind") == "NORMAL", F.col("kind") == "UNMATCHED"
-    spans = told.where("kind in ('NORMAL', 'UNMATCHED', 'OPEN')").select(
+    spans = told.select(
         "dataset_id",
         "core_id",
         "irq_id",
@@ -217,18 +237,17 @@ def irq_spans(events: DataFrame) -> DataFrame:
         F.when(normal | alone, F.col("event_uid")).alias("exit_event"),
         F.col("kind").alias("close_kind"),
         (F.col("trusted") & F.coalesce("enter.trusted", F.lit(True))).alias("trusted"),
+        F.when(normal | alone, F.col("seq")).alias("exit_seq"),
     )
-    folded = told.where("kind = 'FOLD'").drop("kind", "enter").groupBy("dataset_id", "core_id").applyInPandas(_fold_irqs, IRQ_SCHEMA)
-    return with_delayed_task(spans.unionByName(folded), events)
+    return with_delayed_task(spans, events, long)
 
 
-def with_delayed_task(spans: DataFrame, events: DataFrame) -> DataFrame:
-    """As-of join: the last task switched to on the core up to the span's exit event (or the end of the trace)."""
-    at = spans.join(events.select(F.col("event_uid").alias("exit_event"), F.col("seq").alias("exit_seq")), "exit_event", "left")
-    probe = at.select("dataset_id", "core_id", F.col("t_end").alias("ts"), F.coalesce("exit_seq", F.lit(1 << 60)).alias("seq"), F.struct(*IRQ_COLUMNS).alias("span"), F.lit(None).cast("long").alias("next_task_id"))
-    switches = events.where("event_name = 'CTX_SWITCH'").select("dataset_id", "core_id", "ts", "seq", F.lit(None).cast(probe.schema["span"].dataType).alias("span"), "next_task_id")
-    order = W.partitionBy("dataset_id", "core_id").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
-    both = probe.unionByName(switches).withColumn("running", F.last("next_task_id", ignorenulls=True).over(order))
+def with_delayed_task(spans: DataFrame, events: DataFrame, long: bool | None = None) -> DataFrame:
+    """As-of join: the last task switched to on the core up to the span's exit (or the end of the trace; spans carry exit_seq)."""
+    key = F.coalesce("enter_event", "exit_event")
+    probe = spans.select(*CORE, F.col("t_end").alias("ts"), F.coalesce("exit_seq", F.lit(1 << 60)).alias("seq"), key.alias("tie"), F.struct(*IRQ_COLUMNS).alias("span"), F.lit(None).cast("long").alias("next_task_id"))
+    switches = events.where("event_name = 'CTX_SWITCH'").select(*CORE, "ts", "seq", F.lit(None).cast("string").alias("tie"), F.lit(None).cast(probe.schema["span"].dataType).alias("span"), "next_task_id")
+    both = scan(probe.unionByName(switches), CORE, [*PLACE, "tie"], last={"running": F.col("next_task_id")}, long=long)
     out = both.where("span is not null").select("span.*", F.nullif("running", F.lit(0)).alias("delayed_task"))
     return out.withColumn("irq_span_id", F.concat_ws(":", F.lit("irq"), "dataset_id", F.coalesce("enter_event", "exit_event")))
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered
 from ..operators import align, integrity, rebuild
+from ..sources import trace_view
 from .sql import with_views
-from .trace import over_trace
+from .trace import TraceTables, over_trace
 
 TRACE = {
     "i01_seq_gap_windows": lambda t: integrity.seq_gap_windows(t.raw),
@@ -35,6 +36,22 @@ TRACE = {
 }
 
 
+#: One trace of all events, with nested interrupts, by cells of its keys.
+LONG = {
+    "r01_long_trace": ("r01_task_state_segments", lambda t: t.states),
+    "r02_long_trace": ("r02_exec_slices", lambda t: t.slices),
+    "r04_long_trace": ("r04_hold_edges", lambda t: t.holds),
+    "r05_long_trace": ("r05_wait_edges", lambda t: t.waits),
+    "r06_long_trace": (None, lambda t: t.irqs),
+    "i01_long_trace": ("i01_seq_gap_windows", lambda t: integrity.seq_gap_windows(t.raw, t.is_long)),
+}
+WHOLE = 1 << 40  # events of a dataset
+
+
+def over_one_trace(f):
+    return lambda spark, sf_dir: f(TraceTables(trace_view.trace_events(spark, sf_dir, WHOLE, nested=True, long=True), long=True))
+
+
 def _ready(t):
     r = rebuild.ready_not_running(t.states, t.slices, t.irqs)
     return r.withColumns({"slice_ids": F.array_join("slice_ids", ","), "irq_ids": F.array_join("irq_ids", ",")})
@@ -69,5 +86,5 @@ SQL = {
   FROM (SELECT dataset_id, least(23, (ts - lo) * 24 // greatest(hi - lo, 1)) AS bucket, state FROM changes JOIN (SELECT dataset_id, min(ts) AS lo, max(ts) AS hi FROM al GROUP BY dataset_id) AS s USING (dataset_id)) AS x GROUP BY ALL""",
     "i00_untrusted_windows": "SELECT * FROM windows",
 }
-QUERIES = {k: over_trace(f) for k, f in TRACE.items()}
-ORACLE = {k: with_views(v) for k, v in SQL.items()}
+QUERIES = {k: over_trace(f) for k, f in TRACE.items()} | {k: over_one_trace(f) for k, (_, f) in LONG.items()}
+ORACLE = {k: with_views(v) for k, v in SQL.items()} | {k: with_views(SQL.get(same, "SELECT * FROM irqs"), trace_view.sql(WHOLE, nested=True)) for k, (same, _) in LONG.items()}

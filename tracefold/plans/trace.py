@@ -9,6 +9,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scans import is_long
 from ..functions.tables import settle
 from ..operators import align, integrity, rebuild
 from ..operators.alerts import Thresholds, all_alerts
@@ -22,14 +23,20 @@ class TraceTables:
     raw: DataFrame
     #: Interval tables are written once too, for queries that read some of them more than once.
     keep: bool = False
+    #: Whether a trace is too long for one task; looked up if null.
+    long: bool | None = None
     _alerts: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def _kept(self, df: DataFrame) -> DataFrame:
         return settle(df) if self.keep else df
 
+    @cached_property
+    def is_long(self) -> bool:
+        return is_long(self.raw, ["dataset_id"]) if self.long is None else self.long
+
     @cached_property
     def tagged(self) -> DataFrame:
-        return integrity.tag_events(self.raw)
+        return integrity.tag_events(self.raw, self.is_long)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -38,29 +45,29 @@ class TraceTables:
 
     @cached_property
     def states(self) -> DataFrame:
-        return self._kept(rebuild.task_states(self.events))
+        return self._kept(rebuild.task_states(self.events, self.is_long))
 
     @cached_property
     def slices(self) -> DataFrame:
-        return self._kept(rebuild.exec_slices(self.events))
+        return self._kept(rebuild.exec_slices(self.events, self.is_long))
 
     @cached_property
     def holds(self) -> DataFrame:
-        return self._kept(rebuild.hold_edges(self.events))
+        return self._kept(rebuild.hold_edges(self.events, self.is_long))
 
     @cached_property
     def waits(self) -> DataFrame:
-        return self._kept(rebuild.wait_edges(self.events))
+        return self._kept(rebuild.wait_edges(self.events, self.is_long))
 
     @cached_property
     def irqs(self) -> DataFrame:
-        return self._kept(rebuild.irq_spans(self.events))
+        return self._kept(rebuild.irq_spans(self.events, self.is_long))
 
     @cached_property
     def windows(self) -> DataFrame:
         """All untrusted windows."""
-        parts = [integrity.loss_overflow_windows(self.raw), align.degraded_windows(self.events), rebuild.relation_windows(self.holds, self.waits, self.irqs)]
-        out = integrity.seq_gap_windows(self.raw)
+        parts = [integrity.loss_overflow_windows(self.raw, self.is_long), align.degraded_windows(self.events), rebuild.relation_windows(self.holds, self.waits, self.irqs)]
+        out = integrity.seq_gap_windows(self.raw, self.is_long)
         for p in parts:
             out = out.unionByName(p)
         return self._kept(out)
