@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,48 +81,73 @@ def encode_segment(run: str, chunks: list[bytes], cores: int = 1, dictionary: in
     return head + meta + b"".join(chunks)
 
 
-def _chunks(path: str, content: bytes, payloads: bool) -> Iterator[dict]:
-    """Rows of CATALOG; damage ends the walk with a row that names it."""
-    row = {"path": path, "chunk_id": 0}
-    view, at = memoryview(content), TRACE_HEADER.size
-
-    def problem(what: str) -> dict:
-        return row | {"header_offset": at, "payload_offset": at, "payload_size": len(content) - at, "problem": what}
-
-    if len(content) < at:
-        at = 0
-        yield problem("TRUNCATED_HEADER")
-        return
-    mark, _, _, version, dictionary, *_ = TRACE_HEADER.unpack_from(view)
+def read_head(data: bytes) -> tuple[dict, int, str | None]:
+    """What the headers at the beginning of a segment tell, their size, and what is wrong with them (the size is then that of the good ones)."""
+    at = TRACE_HEADER.size
+    if len(data) < at:
+        return {}, 0, "TRUNCATED_HEADER"
+    mark, _, _, version, dictionary, *_ = TRACE_HEADER.unpack_from(data)
     if mark != TRACE_MARK:
-        at = 0
-        yield problem("BAD_MARK")
-        return
-    row |= {"format": version, "header_dict": dictionary}
-    if version >= 2:
-        if len(content) < at + SEGMENT_HEADER.size:
-            yield problem("TRUNCATED_HEADER")
-            return
-        mark, _, size, segment, before, own, _, checksum = SEGMENT_HEADER.unpack_from(view, at)
-        if mark != SEGMENT_MARK or size != SEGMENT_HEADER.size:
-            yield problem("BAD_MARK")
-            return
-        row |= {"segment_seq": segment, "prev_segment_seq": before, "dict_checksum": checksum, "segment_dict": own}
-        at += size
-    while at < len(content):
-        if at + CHUNK_HEADER.size > len(content):
-            yield problem("TRUNCATED_CHUNK")
-            return
-        mark, _, core, records, size, t0, t1, s0, s1, own, crc = CHUNK_HEADER.unpack_from(view, at)
-        if mark != CHUNK_MARK:
-            yield problem("BAD_MARK")
-            return
-        start = at + CHUNK_HEADER.size
-        told = {"header_offset": at, "payload_offset": start, "payload_size": size, "records": records, "crc": crc, "core_id": core, "t_begin": t0, "t_end": t1, "seq_begin": s0, "seq_end": s1, "chunk_dict": own}
-        short = start + size > len(content)
-        yield row | told | {"problem": "TRUNCATED_CHUNK" if short else None, "payload": bytes(view[start : start + size]) if payloads and not short else None}
-        at = start + size
-        row["chunk_id"] += 1
+        return {}, 0, "BAD_MARK"
+    row = {"format": version, "header_dict": dictionary, "segment_seq": None, "prev_segment_seq": None, "dict_checksum": None, "segment_dict": None}
+    if version < 2:
+        return row, at, None
+    if len(data) < at + SEGMENT_HEADER.size:
+        return row, at, "TRUNCATED_HEADER"
+    mark, _, size, segment, before, own, _, checksum = SEGMENT_HEADER.unpack_from(data, at)
+    if mark != SEGMENT_MARK or size != SEGMENT_HEADER.size:
+        return row, at, "BAD_MARK"
+    return row | {"segment_seq": segment, "prev_segment_seq": before, "dict_checksum": checksum, "segment_dict": own}, at + size, None
+
+
+HEAD_SIZE = TRACE_HEADER.size + SEGMENT_HEADER.size
+
+
+def read_chunk_head(data: bytes) -> dict:
+    _, _, core, records, size, t0, t1, s0, s1, own, crc = CHUNK_HEADER.unpack_from(data)
+    return {"payload_size": size, "records": records, "crc": crc, "core_id": core, "t_begin": t0, "t_end": t1, "seq_begin": s0, "seq_end": s1, "chunk_dict": own}
+
+
+def mark_of(data: bytes) -> int | None:
+    return int.from_bytes(data[:4], "little") if len(data) >= 4 else None
+
+
+def walk_chunks(path: str, size: int, read: Callable[[int, int], bytes], begin: int | None = None, end: int | None = None, first: int = 0) -> Iterator[dict]:
+    """Rows of CATALOG without payloads, from the headers that ``read(offset, n)`` gives, of chunks that begin in begin..end.
+
+    A file may hold several segments, each with its headers, one after another. Damage ends the walk with a row that names it.
+    """
+    row, at, problem = {"path": path, "chunk_id": first}, begin or 0, None
+    if begin is None:
+        told, at, problem = read_head(read(0, HEAD_SIZE))
+        row |= told
+    while problem is None and at < (size if end is None else min(end, size)):
+        data = read(at, CHUNK_HEADER.size)
+        mark = mark_of(data)
+        if mark == TRACE_MARK:
+            told, used, problem = read_head(read(at, HEAD_SIZE))
+            row |= told
+            at += used
+        elif len(data) < CHUNK_HEADER.size:
+            problem = "TRUNCATED_CHUNK"
+        elif mark != CHUNK_MARK:
+            problem = "BAD_MARK"
+        else:
+            told, start = read_chunk_head(data), at + CHUNK_HEADER.size
+            whole = start + told["payload_size"] <= size
+            yield row | told | {"header_offset": at, "payload_offset": start, "problem": None if whole else "TRUNCATED_CHUNK"}
+            at = start + told["payload_size"]
+            row["chunk_id"] += 1
+    if problem is not None:
+        yield row | {"header_offset": at, "payload_offset": at, "payload_size": size - at, "problem": problem}
+
+
+def _chunks(path: str, content: bytes, payloads: bool) -> Iterator[dict]:
+    """Rows of CATALOG of a whole content."""
+    view = memoryview(content)
+    for row in walk_chunks(path, len(content), lambda at, n: bytes(view[at : at + n])):
+        start = row["payload_offset"]
+        yield row | {"payload": bytes(view[start : start + row["payload_size"]]) if payloads and row["problem"] is None else None}
 
 
 def _walk(payloads: bool):

@@ -33,7 +33,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.tables import settle
 from . import chunks as ch
-from .chunks import CHUNK_HEADER, CHUNK_MARK, SEGMENT_HEADER, SEGMENT_MARK, TRACE_HEADER, TRACE_MARK
+from .chunks import CHUNK_HEADER
 
 NAME = "trace_segments"
 SUFFIX = ".seg"
@@ -77,49 +77,9 @@ class Segment:
         self.bytes_read += len(data)
         return data
 
-    def head(self) -> tuple[dict, int, str | None]:
-        """What the file's own headers tell, where the chunks begin, and what is wrong."""
-        row, at = {"path": self.path, "chunk_id": 0}, TRACE_HEADER.size
-        data = self.at(0, at + SEGMENT_HEADER.size)
-        if len(data) < at:
-            return row, 0, "TRUNCATED_HEADER"
-        mark, _, _, version, dictionary, *_ = TRACE_HEADER.unpack_from(data)
-        if mark != TRACE_MARK:
-            return row, 0, "BAD_MARK"
-        row |= {"format": version, "header_dict": dictionary}
-        if version < 2:
-            return row, at, None
-        if len(data) < at + SEGMENT_HEADER.size:
-            return row, at, "TRUNCATED_HEADER"
-        mark, _, size, segment, before, own, _, checksum = SEGMENT_HEADER.unpack_from(data, at)
-        if mark != SEGMENT_MARK or size != SEGMENT_HEADER.size:
-            return row, at, "BAD_MARK"
-        return row | {"segment_seq": segment, "prev_segment_seq": before, "dict_checksum": checksum, "segment_dict": own}, at + size, None
-
     def chunks(self, begin: int | None = None, end: int | None = None, first: int = 0) -> Iterator[dict]:
-        """Rows of CHUNKS from the headers of chunks that begin in begin..end; damage ends the walk with a row that names it."""
-        row, at, problem = self.head()
-        at = at if begin is None else begin
-        row["chunk_id"] = first
-        while problem is None and at < (self.size if end is None else min(end, self.size)):
-            data = self.at(at, CHUNK_HEADER.size)
-            if len(data) < CHUNK_HEADER.size:
-                problem = "TRUNCATED_CHUNK"
-                break
-            mark, _, core, records, size, t0, t1, s0, s1, own, crc = CHUNK_HEADER.unpack(data)
-            if mark != CHUNK_MARK:
-                problem = "BAD_MARK"
-                break
-            start = at + CHUNK_HEADER.size
-            short = start + size > self.size
-            yield row | {
-                "header_offset": at, "payload_offset": start, "payload_size": size, "records": records, "crc": crc, "core_id": core, "t_begin": t0, "t_end": t1,
-                "seq_begin": s0, "seq_end": s1, "chunk_dict": own, "problem": "TRUNCATED_CHUNK" if short else None,
-            }
-            at = start + size
-            row["chunk_id"] += 1
-        if problem is not None:
-            yield row | {"header_offset": at, "payload_offset": at, "payload_size": self.size - at, "problem": problem}
+        """Rows of CHUNKS from the headers of chunks that begin in begin..end."""
+        return ch.walk_chunks(self.path, self.size, lambda offset, n: self.at(offset, min(n, self.size - offset)), begin, end, first)
 
     def events(self, chunk: dict) -> Iterator[dict]:
         """Rows of chunks.ROWS of one whole chunk."""

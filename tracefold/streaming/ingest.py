@@ -1,11 +1,13 @@
 """Continuous ingest: events arriving as files, with gaps, states and slices followed per key.
 
-The log of all events is the truth; what a stream emits are closed intervals,
-and a batch run over the log gives the same ones.
+The log of all events is the truth. Streams put each key's rows in order
+behind a watermark, so batches may come shuffled within it, and give the
+intervals that a batch run over the log gives.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -29,91 +31,167 @@ def ingest(events: DataFrame, log: str, checkpoint: str) -> None:
     events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-class GapFinder(StatefulProcessor):
-    """Per core: the last seq and time; emits a window where the sequence breaks."""
+#: What moves the watermark on when traces are silent: an event of this name, in any dataset.
+HEARTBEAT = "HEARTBEAT"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "seq long, ts_raw long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values("seq")
-        before = self.last.get() if self.last.exists() else None
-        out = []
-        for r in batch.itertuples():
-            if before is not None and r.seq != before[0] + 1:
-                out.append((key[0], key[1], int(r.seq), min(before[1], int(r.ts_raw)), max(before[1], int(r.ts_raw))))
-            before = (int(r.seq), int(r.ts_raw))
-        self.last.update(before)
-        yield pd.DataFrame(out, columns=["dataset_id", "core_id", "seq", "t_begin", "t_end"])
+class Ordered(StatefulProcessor):
+    """Rows of a key in the order of their time, whatever batch they come in.
 
-    def close(self) -> None:
-        pass
+    Rows wait in a map of time buckets until the watermark has passed them; then
+    ``step`` gets them one by one, in order of their values. A timer at the next
+    waiting row, or ``idle`` ms behind the last one, wakes a key that gets no
+    more rows; an idle key gives its open end (``rest``) and is forgotten.
+    Rows behind the watermark are dropped by Spark; the log keeps them.
+    """
 
+    #: Columns of the input that make a row; the first is its time in microseconds.
+    values: tuple[str, ...] = ()
+    columns: tuple[str, ...] = ()
 
-def stream_seq_gaps(events: DataFrame) -> DataFrame:
-    return events.groupBy("dataset_id", "core_id").transformWithStateInPandas(GapFinder(), "dataset_id string, core_id int, seq long, t_begin long, t_end long", "Append", "None")
+    def __init__(self, width: int, idle: int):
+        self.width, self.idle = width, idle
 
+    def step(self, key: tuple, now: list | None, row: list, out: list) -> list | None:
+        """The new state of a key; closed intervals go to ``out``."""
+        raise NotImplementedError
 
-class SliceFollower(StatefulProcessor):
-    """Per core: the slice that is open; a switch closes it and may open the next."""
+    def rest(self, key: tuple, now: list | None, out: list) -> None:
+        """What is open when a key is idle."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "task long, ts long, uid string")
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", "rows string")
+        self.now = handle.getValueState("now", "last long, state string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["ts_raw", "seq"])
-        now = self.open.get() if self.open.exists() else None
-        out = []
-        for r in batch.itertuples():
-            if now is not None and now[0]:
-                out.append((key[0], key[1], now[0], now[1], int(r.ts_raw), now[2], r.event_uid))
-            now = (int(r.next_task_id), int(r.ts_raw), r.event_uid)
-        self.open.update(now)
-        yield pd.DataFrame(out, columns=["dataset_id", "core_id", "task_id", "t_begin", "t_end", "start_event", "end_event"])
+        fresh: dict[int, list] = {}
+        for frame in rows:
+            for row in zip(*(frame[c].tolist() for c in self.values), strict=True):
+                fresh.setdefault(int(row[0]) // self.width, []).append(row)
+        for bucket, new in fresh.items():
+            held = json.loads(self.waiting.getValue((bucket,))[0]) if self.waiting.containsKey((bucket,)) else []
+            self.waiting.updateValue((bucket,), (json.dumps(held + new),))
+        yield self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._release(key, timerValues.getCurrentWatermarkInMs())
+
+    def _release(self, key: tuple, watermark: int) -> pd.DataFrame:
+        passed, ready, later, out = watermark * 1000, [], None, []
+        for bucket in sorted(k[0] for k in self.waiting.keys()):
+            if bucket * self.width > passed:
+                later = bucket * self.width if later is None else later
+                break
+            held = json.loads(self.waiting.getValue((bucket,))[0])
+            ready += [r for r in held if r[0] <= passed]
+            held = [r for r in held if r[0] > passed]
+            if held:
+                self.waiting.updateValue((bucket,), (json.dumps(held),))
+                later = min(r[0] for r in held) if later is None else later
+            else:
+                self.waiting.removeKey((bucket,))
+        last, state = (self.now.get()[0], json.loads(self.now.get()[1])) if self.now.exists() else (None, None)
+        for row in sorted(ready):
+            last, state = row[0], self.step(key, state, row, out)
+        if later is not None:
+            self.handle.registerTimer(max(later // 1000, watermark) + 1)
+        elif last is not None and watermark > last // 1000 + self.idle:
+            self.rest(key, state, out)
+            last = state = None
+            self.now.clear()
+        elif last is not None:
+            self.handle.registerTimer(last // 1000 + self.idle + 1)
+        if last is not None:
+            self.now.update((last, json.dumps(state)))
+        return pd.DataFrame(out, columns=list(self.columns), dtype=object)
 
     def close(self) -> None:
         pass
 
 
-def stream_slices(events: DataFrame) -> DataFrame:
-    """Closed execution slices of each core as its switches arrive, in order of time."""
-    switches = events.where("event_name = 'CTX_SWITCH'")
-    return switches.groupBy("dataset_id", "core_id").transformWithStateInPandas(SliceFollower(), "dataset_id string, core_id int, task_id long, t_begin long, t_end long, start_event string, end_event string", "Append", "None")
+class GapFinder(Ordered):
+    """Per core: the last seq and time; gives a window where the sequence breaks."""
+
+    values = ("ts_raw", "seq")
+    columns = ("dataset_id", "core_id", "seq", "t_begin", "t_end")
+
+    def step(self, key, now, row, out):
+        ts, seq = row
+        if now is not None and seq != now[0] + 1:
+            out.append((*key, seq, min(now[1], ts), max(now[1], ts)))
+        return [seq, ts]
+
+
+class SliceFollower(Ordered):
+    """Per core: the slice that is open; a switch closes it and may open the next."""
+
+    values = ("ts_raw", "seq", "next_task_id", "event_uid")
+    columns = ("dataset_id", "core_id", "task_id", "t_begin", "t_end", "start_event", "end_event")
+
+    def step(self, key, now, row, out):
+        ts, _, task, uid = row
+        if now is not None and now[0]:
+            out.append((*key, now[0], now[1], ts, now[2], uid))
+        return [task, ts, uid]
 
+    def rest(self, key, now, out):
+        if now is not None and now[0]:
+            out.append((*key, now[0], now[1], None, now[2], None))
 
-class StateFollower(StatefulProcessor):
+
+class StateFollower(Ordered):
     """Per task: the state that is open; a switch-out makes it READY only if it is RUNNING."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "state string, ts long")
+    values = ("ts_raw", "core_id", "seq", "sub", "state", "cond")
+    columns = ("dataset_id", "task_id", "state", "t_begin", "t_end")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows).sort_values(["ts_raw", "core_id", "seq", "sub"])
-        now = self.open.get() if self.open.exists() else None
-        out = []
-        for r in batch.itertuples():
-            if r.cond and (now is None or now[0] != "RUNNING"):
-                continue
-            if now is not None:
-                out.append((key[0], int(key[1]), now[0], now[1], int(r.ts_raw)))
-            now = (r.state, int(r.ts_raw))
+    def step(self, key, now, row, out):
+        ts, _, _, _, state, cond = row
+        if cond and (now is None or now[0] != "RUNNING"):
+            return now
         if now is not None:
-            self.open.update(now)
-        yield pd.DataFrame(out, columns=["dataset_id", "task_id", "state", "t_begin", "t_end"])
+            out.append((*key, now[0], now[1], ts))
+        return [state, ts]
 
-    def close(self) -> None:
-        pass
+    def rest(self, key, now, out):
+        if now is not None:
+            out.append((*key, now[0], now[1], None))
+
+
+def _followed(rows: DataFrame, keys: list[str], follower: type[Ordered], schema: str, late: int, idle: int) -> DataFrame:
+    """Rows (with event_name) in the care of a follower. Heartbeats stay in up to here, as a filter would move below the watermark that they are for; no follower sees them."""
+    timed = rows.withColumn("at", F.timestamp_micros("ts_raw")).withWatermark("at", f"{late} milliseconds")
+    # a key of its own, whose rows change nothing
+    beat = F.col("event_name") == HEARTBEAT
+    kept = timed.withColumns({k: F.when(beat, F.lit(None)).otherwise(F.col(k)) for k in keys})
+    out = kept.groupBy(*keys).transformWithStateInPandas(follower(max(1, late * 1000 // 8), idle), schema, "Append", "EventTime")
+    return out.where(F.col(keys[0]).isNotNull())
+
+
+def stream_seq_gaps(events: DataFrame, late: int = 600_000, idle: int = 3_600_000) -> DataFrame:
+    """Windows where a core's sequence breaks; rows up to ``late`` ms behind the newest come in any order."""
+    rows = events.select("dataset_id", "core_id", "event_name", "ts_raw", "seq")
+    return _followed(rows, ["dataset_id", "core_id"], GapFinder, "dataset_id string, core_id int, seq long, t_begin long, t_end long", late, idle)
+
+
+def stream_slices(events: DataFrame, late: int = 600_000, idle: int = 3_600_000) -> DataFrame:
+    """Execution slices of each core; the one that is open when a core falls idle has no end."""
+    switches = events.where(F.col("event_name").isin("CTX_SWITCH", HEARTBEAT)).select("dataset_id", "core_id", "event_name", "ts_raw", "seq", F.coalesce("next_task_id", F.lit(0).cast("long")).alias("next_task_id"), "event_uid")
+    schema = "dataset_id string, core_id int, task_id long, t_begin long, t_end long, start_event string, end_event string"
+    return _followed(switches, ["dataset_id", "core_id"], SliceFollower, schema, late, idle)
 
 
-def stream_state_segments(events: DataFrame) -> DataFrame:
-    """Closed task-state segments as events arrive; a batch may hold events in any order, but those of a task come in batches in order of time."""
+def stream_state_segments(events: DataFrame, late: int = 600_000, idle: int = 3_600_000) -> DataFrame:
+    """Task-state segments; the one that is open when a task falls idle has no end."""
+    row = "array(named_struct('task_id', {}, 'state', '{}', 'cond', false, 'sub', 0))"
     changes = F.expr(
         "case when event_name = 'CTX_SWITCH' then filter(array(named_struct('task_id', prev_task_id, 'state', 'READY', 'cond', true, 'sub', 0), named_struct('task_id', next_task_id, 'state', 'RUNNING', 'cond', false, 'sub', 1)), x -> x.task_id <> 0)"
-        " when event_name in ('TASK_READY', 'TASK_WAKEUP') then array(named_struct('task_id', task_id, 'state', 'READY', 'cond', false, 'sub', 0)) when event_name = 'TASK_BLOCK' then array(named_struct('task_id', task_id, 'state', 'BLOCKED', 'cond', false, 'sub', 0))"
-        " when event_name = 'TASK_EXIT' then array(named_struct('task_id', task_id, 'state', 'EXIT', 'cond', false, 'sub', 0)) end"
+        f" when event_name in ('TASK_READY', 'TASK_WAKEUP') then {row.format('task_id', 'READY')} when event_name = 'TASK_BLOCK' then {row.format('task_id', 'BLOCKED')}"
+        f" when event_name = 'TASK_EXIT' then {row.format('task_id', 'EXIT')} when event_name = '{HEARTBEAT}' then {row.format('0L', '')} end"
     )
-    rows = events.select("dataset_id", "ts_raw", "core_id", "seq", F.explode(changes).alias("c")).select("dataset_id", "ts_raw", "core_id", "seq", "c.*")
-    return rows.groupBy("dataset_id", "task_id").transformWithStateInPandas(StateFollower(), "dataset_id string, task_id long, state string, t_begin long, t_end long", "Append", "None")
+    rows = events.select("dataset_id", "event_name", "ts_raw", "core_id", "seq", F.explode(changes).alias("c")).select("dataset_id", "event_name", "ts_raw", "core_id", "seq", "c.*")
+    return _followed(rows, ["dataset_id", "task_id"], StateFollower, "dataset_id string, task_id long, state string, t_begin long, t_end long", late, idle)
 
 
 def stream_bucket_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
