@@ -1,11 +1,14 @@
 """Operators that SQL can't check: overlap join, closures, chunk files and converters."""
 
+import hashlib
+import json
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from tracefold.functions import ordering
-from tracefold.operators import convert, evidence
+from tracefold.functions import ordering, quantiles
+from tracefold.operators import convert, evidence, stats
 from tracefold.operators.intervals import overlap_buckets, overlap_join
 from tracefold.sources import chunks, segments, text_traces
 
@@ -44,6 +47,24 @@ def test_order_within_long_keys(spark):
     assert near.count() == len(probes)
 
 
+def test_exact_quantiles(spark):
+    """Against sorting: ties, single values, nulls, null keys and keys without values, in one cell and in many."""
+    rng = random.Random(4)
+    rows = [(k, rng.choice([None, rng.randrange(5), rng.randrange(10_000)])) for k in ("a", "b", None) for _ in range(150)] + [("one", 7), ("two", 1), ("two", 4), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    ps = {"p0": 0.0, "p50": 0.5, "p90": 0.9, "p99": 0.99, "p100": 1.0}
+    want = set()
+    for key in {k for k, _ in rows}:
+        v = sorted(x for k, x in rows if k == key and x is not None)
+        if v:
+            at = lambda p: (len(v) - 1) * p  # noqa: E731, B023
+            inter = [v[int(at(p))] if at(p) == int(at(p)) else v[int(at(p))] + (v[int(at(p)) + 1] - v[int(at(p))]) * (at(p) - int(at(p))) for p in ps.values()]
+            want.add((key, len(v), *[round(x, 6) for x in inter], v[max(1, math.ceil(0.95 * len(v))) - 1]))
+    for long in (False, True):
+        got = quantiles.exact_quantiles(df, ["k"], "v", ps, {"near": 0.95}, long=long, cells=7).collect()
+        assert {(r.k, r.n, *[round(r[c], 6) for c in ps], r.near) for r in got} == want
+
+
 def test_bucket_parts_sum_to_one(spark):
     i = spark.createDataFrame([("d", 3, 3), ("d", 0, 100), ("d", 10, 33)], "dataset_id string, t_begin long, t_end long")
     w = spark.createDataFrame([("d", 0, 100)], "dataset_id string, w_begin long, w_end long")
@@ -67,10 +88,57 @@ def test_closure_depths_budget_and_cycles(spark):
     assert proofs.select("proof").distinct().count() == 3
     stated = proofs.withColumn("proof", F.when(F.col("closure_id") == "one", F.lit("sha256:0")).otherwise(F.col("proof"))).where("closure_id <> 'wide'").unionByName(spark.createDataFrame([("d", "gone", "x")], "dataset_id string, closure_id string, proof string"))
     assert {r.closure_id: r.status for r in evidence.proof_check(stated, closures).collect()} == {"one": "changed", "two": "valid", "wide": "unproved", "gone": "unknown"}
+    facts = {"bytes_emitted": 256, "closed_ref_count": 5, "closure_depth_reached": 4, "closure_mode": "bounded", "complete_wrt_rule_family": False, "events_emitted": 4, "frontier_halt_reason": "DEPTH_LIMIT", "missing_required_refs": 0}
+    facts |= {"seed_ref_count": 1, "snapshot_id": 'é"1', "truncated_frontier_count": 0, "rule_family": ["order", "é"], "budget_vector": {"D_max": 4, "C_events": 512, "S_bytes": 1 << 20, "rho_max": 4.0}}
+    proof = {r.closure_id: r.proof for r in evidence.proof_digest(closures, snapshot='é"1', families=("order", "é")).collect()}
+    assert proof["one"] == "sha256:" + hashlib.sha256(json.dumps(facts, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
     validity = spark.createDataFrame([("d", "one", 0, 0), ("d", "two", 1, 0)], "dataset_id string, closure_id string, conflicts long, untrusted long")
     assert {r.closure_id: r.consumer_mode for r in evidence.consumer_mode(closures, validity).collect()} == {"one": "REFERENCE_ONLY", "two": "REJECT_AUTOMATION", "wide": "REFERENCE_ONLY"}
 
 
+def test_closures_count_frontier_families_and_lost_events(spark):
+    edge = lambda a, b, family, p=50: ("d", a, b, "r", family, p, 1, 0, 1, "|".join(sorted((a, b))), 1, 64, f"{a}>{b}{family}")
+    rows = [edge("evt:a", "evt:b", "order"), edge("evt:b", "seg:1", "state"), edge("evt:a", "seg:2", "state"), edge("evt:b", "evt:c", "order"), edge("evt:b", "evt:c", "slice", 90)]
+    rows += [edge("evt:w", f"evt:w{i}", "order") for i in range(9)]
+    schema = "dataset_id string, src_ref string, dst_ref string, relation_kind string, rule_family string, priority int, time_hint long, core_hint int, seq_hint long, cycle_token string, estimate_events int, estimate_bytes int, edge_hash string"
+    starts = spark.createDataFrame([("d", "x", "evt:a"), ("d", "wide", "evt:w"), ("d", "whole", "seg:1")], "dataset_id string, closure_id string, ref string")
+    events = spark.createDataFrame([("d", f"evt:{x}") for x in ("a", "b", "w")], "dataset_id string, event_uid string")
+    closed, closures = evidence.closure(spark.createDataFrame(rows, schema), starts, events=events, frontier_limit=4)
+    got = {r.closure_id: (r.refs, r.halt_reason, r.frontier, r.truncated_frontier, r.missing, r["mode"]) for r in closures.collect()}
+    assert got == {"x": (5, "SIDECAR_MISMATCH", 0, 0, 1, "degraded"), "wide": (1, "RHO_LIMIT", 9, 5, 0, "bounded"), "whole": (1, None, 0, 0, 0, "exact")}
+    families = {(r.closure_id, r.rule_family): (r.refs, r.depth, r.missing) for r in evidence.closure_families(closed, events).collect() if r.closure_id == "x"}
+    assert families == {("x", "seed"): (1, 0, 0), ("x", "order"): (1, 1, 0), ("x", "state"): (2, 2, 0), ("x", "slice"): (1, 2, 1)}
+
+
+def test_window_plan_covers_hints_and_points(spark):
+    key = "dataset_id string, core_id int"
+    hints = spark.createDataFrame([("d", 0, "a", 10, 20, 5, 6), ("d", 0, "b", 24, 22, None, None), ("d", 0, "c", 60, 70, 7, 9), ("d", 1, "a", 12, 14, 1, 2), ("d", 0, "unasked", 30, 40, 1, 1)], f"{key}, ref string, begin long, end long, seq_begin long, seq_end long")
+    refs = spark.createDataFrame([("d", r) for r in ("a", "b", "c", "point", "nowhere", "a")], "dataset_id string, ref string")
+    index = spark.createDataFrame([("d", 0, "point", 71, 11), ("d", 0, "a", 15, 5)], f"{key}, ref_key string, ts long, seq long")
+    for long in (False, True):
+        spans, planned, unplanned = evidence.window_plan(hints, ["dataset_id", "core_id"], refs, index, most_gap=50, long=long)
+        # the median width of 10, 2, 10, 2 and 0 is 2
+        got = sorted((r.core_id, r.t_begin, r.t_end, r.seq_begin, r.seq_end, r.edges, r.refs) for r in spans.collect())
+        assert got == [(0, 10, 24, None, None, 2, 2), (0, 60, 71, 7, 11, 1, 2), (1, 12, 14, 1, 2, 1, 1)]
+        assert [r.ref for r in unplanned.collect()] == ["nowhere"]
+        events = spark.createDataFrame([("d", 0, "a", 15, 5), ("d", 0, "c", 80, 8), ("d", 0, "point", 71, 11), ("d", 0, "b", 23, 1)], f"{key}, event_uid string, ts long, seq long")
+        (s,) = evidence.read_plan_stats(spans, planned, unplanned, events, ["dataset_id", "core_id"]).collect()
+        assert (s.windows, s.span_total, s.point_spans, s.target_refs, s.matched_refs, s.missed_refs, s.unplanned_refs, s.hit_rate) == (3, 27, 0, 5, 3, 2, 1, 0.6)
+
+
+def test_version_chains_and_cycles(spark):
+    rows = [("good", i, i - 1 if i else None) for i in range(9)] + [("beside", i, i - 1 if i else None) for i in range(4)] + [("beside", 100 + i, 100 + (i + 1) % 5) for i in range(5)]
+    rows += [("tail", 1, 2), ("tail", 2, 3), ("tail", 3, 4), ("tail", 4, 2), ("two", 1, 2), ("two", 2, 1), ("two", 7, 7), ("fork", 1, None), ("fork", 2, 1), ("fork", 3, 1), ("lost", 5, 99), ("again", 1, None), ("again", 1, None), ("alone", 1, None)]
+    frame = spark.createDataFrame(rows, "k string, version long, prior long")
+    got = {r.k: (r.versions, r.repeated, r.leaves, r.forks, r.dangling, r.roots, r.cycles, r.cycle_records, r.current) for r in stats.current_version(frame, "k").collect()}
+    assert got == {
+        "good": (9, 0, 1, 0, 0, 1, 0, 0, 8), "beside": (9, 0, 1, 0, 0, 1, 1, 5, None), "tail": (4, 0, 1, 1, 0, 0, 1, 3, None), "two": (3, 0, 0, 0, 0, 0, 2, 3, None), "fork": (3, 0, 2, 1, 0, 1, 0, 0, None),
+        "lost": (1, 0, 1, 0, 1, 0, 0, 0, None), "again": (1, 1, 1, 0, 0, 2, 0, 0, None), "alone": (1, 0, 1, 0, 0, 1, 0, 0, 1),
+    }
+    assert sorted((r.k, r.cycle, r.length) for r in stats.version_cycles(frame, "k").collect()) == [("beside", 100, 5), ("tail", 2, 3), ("two", 1, 2), ("two", 7, 1)]
+    assert stats.current_version(frame.where("false"), "k").count() == 0
+
+
 def test_chunk_files_round_trip_and_damage(spark, tmp_path):
     rows = [{"event_name": ("TASK_BLOCK", "CTX_SWITCH", "IRQ_ENTER", "SYNC_CALIB")[i % 4], "seq": i, "ts_raw": 100 + i, "task_id": i % 3, "reason": 2, "irq_id": 4, "prev_task_id": 1, "next_task_id": i % 5} for i in range(1, 41)]
     good = chunks.encode_segment("run", [chunks.encode_chunk(0, rows[:20]), chunks.encode_chunk(1, rows[20:])], cores=2)

@@ -182,6 +182,6 @@ def test_scan_values(spark):
     rng = random.Random(2)
     rows = [(rng.choice(["a", "b", None]), t, rng.choice([None, 1, 5])) for t in range(200)]
     df = spark.createDataFrame(rows, "k string, t long, v int")
-    ask = dict(lag={"before": F.col("v")}, lead={"after": F.col("v")}, last={"seen": F.col("v")}, total={"sum": F.col("v")}, number="n")
+    ask = dict(lag={"before": F.col("v")}, lead={"after": F.col("v")}, last={"seen": F.col("v")}, total={"sum": F.col("v")}, highest={"top": F.col("v")}, number="n")
     results = [sorted(map(str, scans.scan(df, ["k"], ["t"], **ask, long=long, cells=9).collect())) for long in (False, True)]
     assert results[0] == results[1]

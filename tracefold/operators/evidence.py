@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.ordering import following
+from ..functions.quantiles import exact_quantiles
+from ..functions.scans import scan
 from ..functions.tables import settle
 
 
@@ -88,18 +91,21 @@ def seeds(alerts: DataFrame, events: DataFrame, kinds: list[str] | None = None,
     return reduce(DataFrame.unionByName, parts).join(known, ["dataset_id", "ref"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def closure(edges: DataFrame, starts: DataFrame, budget: Budget = Budget(), families: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def closure(edges: DataFrame, starts: DataFrame, budget: Budget = Budget(), families: list[str] | None = None, events: DataFrame | None = None, frontier_limit: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Breadth-first closures of all starts at once, a job per round.
 
-    starts: dataset_id, closure_id, ref. Returns the closed refs
-    (dataset_id, closure_id, ref, depth) and one row per closure with depth,
-    refs, events, bytes, halt_reason (null if it ended by itself) and mode.
-    A closure's round is checked against the budget before it is taken.
+    starts: dataset_id, closure_id, ref. Returns the closed refs (dataset_id,
+    closure_id, ref, depth, and the rule_family that led to it) and one row per
+    closure: depth, seeds, refs, events, bytes, halt_reason (null if it ended by
+    itself), frontier (refs that the halted round would have taken),
+    truncated_frontier (those beyond ``frontier_limit``), missing (closed event
+    refs that ``events`` lacks, where it is given) and mode. A round is checked
+    against the budget before it is taken.
     """
     if families is not None:
         edges = edges.where(F.col("rule_family").isin(families))
     key = ["dataset_id", "closure_id"]
-    closed = settle(starts.select(*key, "ref").distinct().withColumn("depth", F.lit(0)))
+    closed = settle(starts.select(*key, "ref").distinct().select("*", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("rule_family")))
     frontier, halted = closed, None
     for depth in range(1, budget.depth + 2):
         near = frontier.select(*key, F.col("ref").alias("src_ref")).join(edges, ["dataset_id", "src_ref"])
@@ -118,25 +124,55 @@ def closure(edges: DataFrame, starts: DataFrame, budget: Budget = Budget(), fami
             .when(F.col("used") * EVENT_BYTES + F.col("more_bytes") > budget.bytes, "BYTE_LIMIT")
             .when(F.col("n") / F.col("width") > budget.ratio, "RHO_LIMIT")
         )
-        plan = settle(plan.select(*key, reason.alias("halt_reason")))
+        plan = settle(plan.select(*key, reason.alias("halt_reason"), F.col("n").alias("frontier")))
         stopped = plan.where("halt_reason is not null")
         halted = stopped if halted is None else halted.unionByName(stopped)
         going = plan.where("halt_reason is null").select(*key)
-        frontier = settle(nexts.join(going, key, "left_semi").select(*key, F.col("dst_ref").alias("ref"), F.lit(depth).alias("depth")))
+        frontier = settle(nexts.join(going, key, "left_semi").select(*key, F.col("dst_ref").alias("ref"), F.lit(depth).alias("depth"), "rule_family"))
         if frontier.isEmpty():
             break
         closed = closed.unionByName(frontier)
     out = closed.groupBy(*key).agg(F.max("depth").alias("depth"), F.count_if(F.col("depth") == 0).alias("seeds"), F.count("*").alias("refs"))
-    out = out.join(halted, key, "left")
+    out = out.join(halted, key, "left").withColumn("frontier", F.coalesce("frontier", F.lit(0).cast("long")))
+    lost = missing_refs(closed, events).groupBy(*key).agg(F.count("*").alias("missing")) if events is not None else None
+    out = out.withColumn("missing", F.lit(0).cast("long")) if lost is None else out.join(lost, key, "left").withColumn("missing", F.coalesce("missing", F.lit(0).cast("long")))
     emitted = F.col("refs") - F.col("seeds")
-    return closed, out.select(*key, "depth", "seeds", "refs", emitted.alias("events"), (emitted * EVENT_BYTES).alias("bytes"), "halt_reason", F.when(F.col("halt_reason").isNull(), "exact").when(F.col("halt_reason") == "CYCLE_INFLATION", "degraded").otherwise("bounded").alias("mode"))
-
-
-def proof_digest(closures: DataFrame, budget: Budget = Budget(), snapshot: str = "s0") -> DataFrame:
-    """A digest per closure over thirteen facts in fixed order."""
-    limits = [F.lit(x).alias(n) for n, x in (("max_depth", budget.depth), ("max_events", budget.events), ("max_bytes", budget.bytes), ("max_ratio", budget.ratio))]
-    facts = F.to_json(F.struct(F.lit(snapshot).alias("snapshot"), "closure_id", *limits, "depth", "seeds", "refs", "events", "bytes", F.coalesce("halt_reason", F.lit("none")).alias("halt"), "mode"))
-    return closures.select("dataset_id", "closure_id", F.concat(F.lit("sha256:"), F.sha2(facts, 256)).alias("proof"))
+    reason = F.when(F.col("halt_reason").isNull() & (F.col("missing") > 0), "SIDECAR_MISMATCH").otherwise(F.col("halt_reason"))
+    out = out.withColumn("halt_reason", reason)
+    mode = F.when(F.col("halt_reason").isNull(), "exact").when(F.col("halt_reason").isin("CYCLE_INFLATION", "SIDECAR_MISMATCH"), "degraded").otherwise("bounded")
+    return closed, out.select(
+        *key, "depth", "seeds", "refs", emitted.alias("events"), (emitted * EVENT_BYTES).alias("bytes"), "halt_reason", "frontier",
+        F.greatest(F.col("frontier") - frontier_limit, F.lit(0).cast("long")).alias("truncated_frontier"), "missing", mode.alias("mode"),
+    )
+
+
+def missing_refs(closed: DataFrame, events: DataFrame) -> DataFrame:
+    """Closed event refs that no event has."""
+    known = events.select("dataset_id", F.col("event_uid").alias("ref"))
+    return closed.where(F.col("ref").startswith("evt:")).join(known, ["dataset_id", "ref"], "left_anti")
+
+
+def closure_families(closed: DataFrame, events: DataFrame) -> DataFrame:
+    """Per closure and rule family: refs that it brought, the deepest of them, and how many are missing among the events."""
+    by = ["dataset_id", "closure_id", "rule_family"]
+    seeds = F.coalesce("rule_family", F.lit("seed")).alias("rule_family")
+    every = closed.select("dataset_id", "closure_id", seeds, "ref", "depth")
+    lost = missing_refs(every, events).groupBy(*by).agg(F.count("*").alias("missing"))
+    return every.groupBy(*by).agg(F.count("*").alias("refs"), F.max("depth").alias("depth")).join(lost, by, "left").na.fill(0, ["missing"])
+
+
+def proof_digest(closures: DataFrame, budget: Budget = Budget(), snapshot: str = "s0", families: tuple[str, ...] = ("order", "slice", "state", "resource", "alert", "diagnosis", "anchor", "context")) -> DataFrame:
+    """A digest per closure over thirteen facts: the SHA-256 of their JSON with sorted keys, as ``json.dumps`` writes it."""
+    limits = {"C_events": budget.events, "D_max": budget.depth, "S_bytes": budget.bytes, "rho_max": float(budget.ratio)}
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    #: The names of the facts.
+    facts = {
+        "budget_vector": F.lit(json.dumps(limits)), "bytes_emitted": F.col("bytes"), "closed_ref_count": F.col("refs"), "closure_depth_reached": F.col("depth"), "closure_mode": text(F.col("mode")),
+        "complete_wrt_rule_family": (F.col("mode") == "exact") & (F.col("missing") == 0), "events_emitted": F.col("events"), "frontier_halt_reason": text(F.coalesce("halt_reason", F.lit("FRONTIER_EMPTY"))),
+        "missing_required_refs": F.col("missing"), "rule_family": F.lit(json.dumps(list(families), ensure_ascii=False)), "seed_ref_count": F.col("seeds"), "snapshot_id": F.lit(json.dumps(snapshot, ensure_ascii=False)), "truncated_frontier_count": F.col("truncated_frontier"),
+    }
+    body = F.concat_ws(", ", *[F.concat(F.lit(f'"{name}": '), value.cast("string")) for name, value in facts.items()])
+    return closures.select("dataset_id", "closure_id", F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("{"), body, F.lit("}")), 256)).alias("proof"))
 
 
 def proof_check(proofs: DataFrame, closures: DataFrame, budget: Budget = Budget(), snapshot: str = "s0") -> DataFrame:
@@ -147,23 +183,52 @@ def proof_check(proofs: DataFrame, closures: DataFrame, budget: Budget = Budget(
     return j.select("dataset_id", "closure_id", status.alias("status"))
 
 
-def window_plan(hints: DataFrame, keys: list[str], most_gap: int = 50_000) -> DataFrame:
-    """Read spans: hint ranges of a key merged when at most the median width (clamped) apart.
+def window_plan(hints: DataFrame, keys: list[str], refs: DataFrame, index: DataFrame, most_gap: int = 50_000, long: bool | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(read spans, planned refs with their span, refs without a plan) for wanted refs.
 
-    hints: keys, ref, begin, end.
+    hints: keys (dataset first, core_id among them), ref, begin, end, seq_begin, seq_end (nulls: any);
+    refs: dataset, ref; index: keys, ref_key, ts, seq. Hint ranges of a key are merged when at most the median
+    width of the dataset's hints (clamped) apart; a ref without a hint is planned as the point that the index has for it.
     """
-    h = hints.select(*keys, "ref", F.least("begin", "end").alias("begin"), F.greatest("begin", "end").alias("end"))
-    gap = h.groupBy(keys[0]).agg(F.floor(F.percentile(F.col("end") - F.col("begin"), 0.5)).alias("median")).select(keys[0], F.least(F.greatest("median", F.lit(0)), F.lit(most_gap)).alias("gap"))
-    w = W.partitionBy(*keys).orderBy("begin", "end", "ref")
-    j = h.join(gap, keys[0]).withColumn("reach", F.max("end").over(w.rowsBetween(W.unboundedPreceding, -1)))
-    j = j.withColumn("island", F.sum(F.when(F.col("reach").isNull() | (F.col("begin") > F.col("reach") + F.col("gap")), 1).otherwise(0)).over(w))
-    return j.groupBy(*keys, "island").agg(F.min("begin").alias("t_begin"), F.max("end").alias("t_end"), F.count("*").alias("edges"), F.count_distinct("ref").alias("refs"))
-
-
-def read_plan_stats(plan: DataFrame, key: str) -> DataFrame:
-    """Per key: spans (one seek each), their length, references, and references found per span read."""
-    g = plan.groupBy(key).agg(F.count("*").alias("spans"), F.sum(F.col("t_end") - F.col("t_begin")).alias("total_span"), F.sum("refs").alias("refs"), F.count_if(F.col("refs") == 1).alias("point_spans"))
-    return g.withColumn("refs_per_seek", F.round(F.col("refs") / F.col("spans"), 6))
+    dataset = keys[0]
+    wanted = refs.select(dataset, "ref").distinct()
+    h = hints.select(*keys, "ref", F.least("begin", "end").alias("begin"), F.greatest("begin", "end").alias("end"), "seq_begin", "seq_end", F.lit(1).alias("edges")).join(wanted, [dataset, "ref"], "left_semi")
+    h = settle(h)
+    unhinted = settle(wanted.join(h.select(dataset, "ref"), [dataset, "ref"], "left_anti"))
+    known = index.select(*keys, F.col("ref_key").alias("ref"), F.col("ts").alias("begin"), F.col("ts").alias("end"), F.col("seq").alias("seq_begin"), F.col("seq").alias("seq_end"), F.lit(0).alias("edges"))
+    points = known.join(unhinted, [dataset, "ref"], "left_semi")
+    rows = settle(h.select(points.columns).unionByName(points))
+    unplanned = wanted.join(rows.select(dataset, "ref"), [dataset, "ref"], "left_anti")
+
+    gap = exact_quantiles(rows, [dataset], F.col("end") - F.col("begin"), {"median": 0.5}).select(dataset, F.least(F.greatest(F.floor("median"), F.lit(0)), F.lit(most_gap)).alias("gap"))
+    order = ["begin", "end", "ref", "edges", "tie"]
+    # hints that are alike in all else are put in order by their place
+    j = scan(rows.withColumn("tie", F.monotonically_increasing_id()), keys, order, highest={"reach": F.col("end")}, long=long).join(gap, dataset)
+    opens = F.when(F.col("reach").isNull() | (F.col("begin") > F.col("reach") + F.col("gap")), 1).otherwise(0)
+    j = settle(scan(j, keys, order, total={"island": opens}, long=long))
+    # a bound on the seq holds for the span only if all of its ranges have one
+    bound = lambda f, c: F.when(F.count(c) == F.count("*"), f(c)).alias(c)
+    spans = j.groupBy(*keys, "island").agg(F.min("begin").alias("t_begin"), F.max("end").alias("t_end"), bound(F.min, "seq_begin"), bound(F.max, "seq_end"), F.sum("edges").alias("edges"), F.count_distinct("ref").alias("refs"))
+    return spans, j.select(*keys, "island", "ref").distinct(), unplanned
+
+
+def read_plan_stats(spans: DataFrame, planned: DataFrame, unplanned: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """Per dataset: windows (one seek each), their span, point spans, target refs, those found by reading the plan, missed and unplanned ones, and the hit rate.
+
+    events: keys, event_uid, ts, seq. A ref is found if its event lies in one of its spans.
+    """
+    dataset = keys[0]
+    read = planned.join(spans, [*keys, "island"]).join(events.select(*keys, F.col("event_uid").alias("ref"), "ts", "seq"), [*keys, "ref"])
+    read = read.where("ts between t_begin and t_end and (seq_begin is null or seq >= seq_begin) and (seq_end is null or seq <= seq_end)")
+    parts = [
+        spans.groupBy(dataset).agg(F.count("*").alias("windows"), F.sum(F.col("t_end") - F.col("t_begin")).alias("span_total"), F.count_if(F.col("t_begin") == F.col("t_end")).alias("point_spans")),
+        planned.unionByName(unplanned, allowMissingColumns=True).groupBy(dataset).agg(F.count_distinct("ref").alias("target_refs")),
+        read.groupBy(dataset).agg(F.count_distinct("ref").alias("matched_refs")),
+        unplanned.groupBy(dataset).agg(F.count("*").alias("unplanned_refs")),
+    ]
+    g = reduce(lambda a, b: a.join(b, dataset, "full"), parts).na.fill(0)
+    hit = F.when(F.col("target_refs") == 0, 1.0).otherwise(F.round(F.col("matched_refs") / F.col("target_refs"), 6))
+    return g.withColumns({"missed_refs": F.col("target_refs") - F.col("matched_refs"), "hit_rate": hit})
 
 
 def edge_partitions(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .filters import in_window
+from .filters import graph_filter, in_window, scope_filter
 
 TABLES = ("events", "states", "slices", "holds", "waits", "irqs", "windows")
 
@@ -38,9 +38,13 @@ def manifest(package: dict[str, DataFrame], checksums: bool = False) -> DataFram
     return reduce(DataFrame.unionByName, [told(n, df) for n, df in package.items()])
 
 
-def clip(t, scope: DataFrame) -> dict[str, DataFrame]:
-    """All tables cut to the scope; windows that a kept object touches stay even when outside."""
+def clip(t, scope: DataFrame, spec: dict | None = None) -> dict[str, DataFrame]:
+    """All tables cut to the scope and to a filter (task_id, core_id, event_name, obj_id, irq_id), which edges meet by either of their tasks; windows that a kept object touches stay even when outside."""
     kept = {name: in_window(getattr(t, name), scope).drop("w_begin", "w_end") for name in TABLES if name != "windows"}
+    if spec:
+        task, obj = spec.get("task_id"), spec.get("obj_id", spec.get("resource_id"))
+        rest = {k: v for k, v in spec.items() if k not in ("task_id", "obj_id", "resource_id")}
+        kept = {name: scope_filter(graph_filter(df, task, obj), rest) if name in ("holds", "waits") else scope_filter(df, spec) for name, df in kept.items()}
     inside = in_window(t.windows, scope).drop("w_begin", "w_end")
     edges = kept["holds"].unionByName(kept["waits"]).where("reason_code is not null").select("dataset_id", F.concat_ws(":", F.lit("uw"), "dataset_id", "reason_code", "evidence_ref").alias("window_id"))
     needed = t.windows.join(edges, ["dataset_id", "window_id"], "left_semi").select(*inside.columns)

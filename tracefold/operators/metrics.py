@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import round6
+from ..functions.quantiles import exact_quantiles
 from .filters import clipped, in_window
 from .intervals import overlap_buckets
 
@@ -132,8 +133,8 @@ def irq_latency(irqs: DataFrame, scope: DataFrame) -> DataFrame:
 
 def quantiles(df: DataFrame, column: str, keys: tuple = ("dataset_id",)) -> DataFrame:
     """Interpolated p50, p90, p95 and p99, and the count."""
-    q = df.groupBy(*keys).agg(F.percentile(column, list(QUANTILES)).alias("q"), F.count("*").alias("n"))
-    return q.select(*keys, *[round6(F.get("q", F.lit(i))).alias(f"p{int(p * 100)}") for i, p in enumerate(QUANTILES)], "n")
+    names = {f"p{int(p * 100)}": p for p in QUANTILES}
+    return exact_quantiles(df, list(keys), column, names).select(*keys, *[round6(F.col(c)).alias(c) for c in names], "n")
 
 
 def metric_values(t, scope: DataFrame) -> DataFrame:

@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import round6, wilson
+from ..functions.quantiles import exact_quantiles
+from ..functions.scans import scan
+from ..functions.tables import settle
 
 
 def run_statistics(runs: DataFrame, scenario: str, metrics: list[str]) -> DataFrame:
     """Per scenario and metric: count, median, nearest-rank p95, least and most."""
     long = runs.select(scenario, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")).select(scenario, "x.*")
-    return long.groupBy(scenario, "metric").agg(
-        F.count("value").alias("n"), round6(F.median("value")).alias("median"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.min("value").alias("least"), F.max("value").alias("most")
-    )
+    long = settle(long)
+    counts = long.groupBy(scenario, "metric").agg(F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    q = exact_quantiles(long, [scenario, "metric"], "value", {"median": 0.5}, {"p95": 0.95}).select(F.col(scenario).alias("of"), F.col("metric").alias("by"), "median", "p95")
+    j = counts.join(q, F.col(scenario).eqNullSafe(F.col("of")) & (F.col("metric") == F.col("by")), "left")
+    return j.select(scenario, "metric", "n", round6(F.col("median")).alias("median"), "p95", "least", "most")
 
 
 def status_counts(rows: DataFrame, scenario: str, status: str, values: list[str]) -> DataFrame:
@@ -81,9 +86,11 @@ def detector_eval(captures: DataFrame, group: str, families: dict[str, list[int]
 
 def clock_drift(edges: DataFrame, key: str, at: str, tick: float) -> DataFrame:
     """Intervals between edges: mean, median, deviation, nearest-rank p95, and drift against the nominal tick in ppm."""
-    w = W.partitionBy(key).orderBy(at)
-    d = edges.withColumn("gap", F.col(at) - F.lag(at).over(w)).where("gap is not null")
-    g = d.groupBy(key).agg(F.count("*").alias("n"), F.avg("gap").alias("mean"), F.median("gap").alias("median"), F.stddev_samp("gap").alias("sd"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY gap)").alias("p95"))
+    # edges at one time are alike, so they are put in order by any of their columns
+    d = scan(edges.select(key, at, F.monotonically_increasing_id().alias("tie")), [key], [at, "tie"], lag={"before": F.col(at)})
+    d = settle(d.select(key, (F.col(at) - F.col("before")).alias("gap")).where("gap is not null"))
+    g = d.groupBy(key).agg(F.avg("gap").alias("mean"), F.stddev_samp("gap").alias("sd"))
+    g = g.join(exact_quantiles(d, [key], "gap", {"median": 0.5}, {"p95": 0.95}), key)
     return g.select(key, "n", F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), F.round("sd", 3).alias("sd"), "p95", F.round((F.col("mean") / tick - 1) * 1e6, 3).alias("drift_ppm"))
 
 
@@ -165,18 +172,54 @@ def ledger_violations(ledger: DataFrame, key: str) -> DataFrame:
     return x.select(key, "append_sequence", bad.alias("violation")).where("violation <> ''")
 
 
+def _followed_back(rows: DataFrame, key: str) -> DataFrame:
+    """Every version's walk to its first ancestor, by pointer doubling: back (null once it has ended), steps and the least version on the way.
+
+    After as many doublings as the largest key has versions in binary digits, a walk that hasn't ended runs in a cycle, and ``back`` is on it.
+    """
+    most = rows.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    known = rows.select(key, "version").distinct()
+    # priors that are nowhere end a walk, like none
+    walks = rows.groupBy(key, "version").agg(F.min("prior").alias("prior")).join(known.withColumnRenamed("version", "prior").withColumn("there", F.lit(True)), [key, "prior"], "left")
+    walks = settle(walks.select(key, "version", F.when(F.col("there"), F.col("prior")).alias("back"), F.lit(1).alias("steps"), F.col("version").alias("least")))
+    for _ in range(int(most).bit_length()):
+        if walks.where("back is not null").isEmpty():
+            break
+        on = walks.select(key, F.col("version").alias("back"), F.col("back").alias("further"), F.col("steps").alias("more"), F.col("least").alias("low"))
+        j = walks.join(on, [key, "back"], "left")
+        steps = F.when(F.col("back").isNull(), F.col("steps")).otherwise(F.col("steps") + F.col("more"))
+        walks = settle(j.select(key, "version", F.col("further").alias("back"), steps.alias("steps"), F.least("least", "low").alias("least")))
+    return walks
+
+
+def version_cycles(rows: DataFrame, key: str) -> DataFrame:
+    """rows: key, version, prior. Each cycle of priors: key, cycle (its least version), length."""
+    return _cycles(_followed_back(rows, key), key)
+
+
+def _cycles(walks: DataFrame, key: str) -> DataFrame:
+    on = walks.where("back is not null").select(key, F.col("back").alias("version")).distinct()
+    return walks.join(on, [key, "version"]).groupBy(key, F.col("least").alias("cycle")).agg(F.count("*").alias("length"))
+
+
 def current_version(rows: DataFrame, key: str) -> DataFrame:
-    """rows: key, version, prior. Per key: leaves, forks, dangling priors, roots; and the leaf if it is the only one."""
+    """rows: key, version, prior. Per key: versions, repeated ones, leaves, forks, dangling priors, roots, cycles and records on them; and the current version.
+
+    That is the only leaf, if the walk back from it ends at the only root and meets every version.
+    """
     prior = rows.where("prior is not null").groupBy(key, F.col("prior").alias("version")).agg(F.count("*").alias("followers"))
-    j = rows.join(prior, [key, "version"], "full")
+    j = rows.select(key, "version").distinct().withColumn("own", F.lit(1)).join(prior, [key, "version"], "full")
     g = j.groupBy(key).agg(
-        F.count_if(F.col("followers").isNull()).alias("leaves"), F.count_if(F.col("followers") > 1).alias("forks"),
-        F.max(F.when(F.col("followers").isNull(), F.col("version"))).alias("leaf"), F.count("*").alias("seen"),
+        F.count_if(F.col("followers").isNull()).alias("leaves"), F.count_if(F.col("followers") > 1).alias("forks"), F.count_if(F.col("own").isNull()).alias("dangling"),
+        F.max(F.when(F.col("followers").isNull(), F.col("version"))).alias("leaf"),
     )
-    known = rows.groupBy(key).agg(F.count("*").alias("versions"), F.count_if(F.col("prior").isNull()).alias("roots"))
-    g = g.join(known, key, "left").withColumn("dangling", F.col("seen") - F.col("versions"))
-    ok = (F.col("leaves") == 1) & (F.col("forks") == 0) & (F.col("dangling") == 0) & (F.col("roots") == 1)
-    return g.select(key, "versions", "leaves", "forks", "dangling", "roots", F.when(ok, F.col("leaf")).alias("current"))
+    known = rows.groupBy(key).agg(F.count_distinct("version").alias("versions"), F.count("*").alias("n"), F.count_if(F.col("prior").isNull()).alias("roots"))
+    walks = _followed_back(rows, key)
+    cycles = _cycles(walks, key).groupBy(key).agg(F.count("*").alias("cycles"), F.sum("length").alias("cycle_records"))
+    walks = walks.where("back is null").select(key, F.col("version").alias("leaf"), F.col("steps").alias("chain"))
+    g = g.join(known, key).join(cycles, key, "left").join(walks, [key, "leaf"], "left").na.fill(0, ["cycles", "cycle_records"])
+    ok = (F.col("leaves") == 1) & (F.col("forks") == 0) & (F.col("dangling") == 0) & (F.col("roots") == 1) & (F.col("n") == F.col("versions")) & (F.col("chain") == F.col("versions"))
+    return g.select(key, "versions", (F.col("n") - F.col("versions")).alias("repeated"), "leaves", "forks", "dangling", "roots", "cycles", "cycle_records", F.when(ok, F.col("leaf")).alias("current"))
 
 
 def epoch_pairing(begins: DataFrame, ends: DataFrame, key: str) -> DataFrame:

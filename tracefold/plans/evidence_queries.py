@@ -50,14 +50,16 @@ def _seeds(t):
 def _closure(t):
     alerts = _alerts(t)
     starts = ev.seeds(alerts, t.events).where("found and kind = 'alert'").select("dataset_id", "closure_id", "ref")
-    return ev.closure(settle(ev.dependency_edges(t, alerts, _marks(t, alerts))), starts, ev.Budget())
+    # one event in 200 can't be read
+    return ev.closure(settle(ev.dependency_edges(t, alerts, _marks(t, alerts))), starts, ev.Budget(), events=t.events.where("seq % 200 <> 0"), frontier_limit=8)
 
 
 def clipped_trace(t: TraceTables) -> TraceTables:
     """The tables rebuilt from the events of the scope alone."""
     c = TraceTables(t.raw, keep=True)
     c.__dict__["events"] = settle(in_window(t.events, t.scope).drop("w_begin", "w_end"))
-    c.__dict__["scope"] = t.scope
+    # every third clip states a scope that ends too early
+    c.__dict__["scope"] = t.scope.withColumn("w_end", F.col("w_end") - F.when(F.col("dataset_id").cast("long") % 3 == 1, 1).otherwise(0))
     # damage of the input is what the full trace knows of it
     parts = [integrity.loss_overflow_windows(t.raw), align.degraded_windows(t.events), rebuild.relation_windows(c.holds, c.waits, c.irqs)]
     c.__dict__["windows"] = reduce(DataFrame.unionByName, parts, integrity.seq_gap_windows(t.raw))
@@ -114,6 +116,29 @@ def _consumer(t):
     return ev.consumer_mode(closures, v)
 
 
+def _plan(t):
+    """Reads for the events of interrupts: exits are hinted by their spans, enters stand in an index that lacks one event in 50, and one ref is nowhere."""
+    none = F.lit(None).cast("long")
+    hints = t.irqs.where("exit_event is not null").select("dataset_id", "core_id", F.col("exit_event").alias("ref"), F.col("t_begin").alias("begin"), F.col("t_end").alias("end"), none.alias("seq_begin"), none.alias("seq_end"))
+    refs = t.irqs.select("dataset_id", F.explode(F.array_compact(F.array("enter_event", "exit_event"))).alias("ref")).unionByName(t.scope.select("dataset_id", F.concat(F.lit("evt:"), "dataset_id", F.lit(":gone")).alias("ref")))
+    return ev.window_plan(hints, ["dataset_id", "core_id"], refs, ex.ref_index(t.events).where("seq % 50 <> 0"), 3_600_000_000)
+
+
+def _plan_stats(t):
+    spans, planned, unplanned = _plan(t)
+    return ev.read_plan_stats(settle(spans), planned, unplanned, t.events.where("seq % 40 <> 0"), ["dataset_id", "core_id"])
+
+
+def _families(t):
+    return ev.closure_families(_closure(t)[0], t.events.where("seq % 200 <> 0"))
+
+
+def _damaged_package(t):
+    """A package read back without one event in 60."""
+    package = _exported(t)
+    return package | {"events": package["events"].where("seq % 60 <> 0")}
+
+
 def _exported(t):
     path = f"{shared_dir(t.raw.sparkSession)}/package-{uuid.uuid4().hex}"
     alerts = _alerts(t)
@@ -134,10 +159,12 @@ TRACE = {
     "e02_edge_contract": lambda t: ev.contract_rejects(_edges(t).withColumn("time_hint", F.when(F.col("seq_hint") % 10 == 0, 0).otherwise(F.col("time_hint")))),
     "e03_seed_resolution": _seeds,
     "e04_closure": lambda t: _closure(t)[1],
+    "e04_closure_families": _families,
     "e05_proof_digest": lambda t: ev.proof_digest(_closure(t)[1]),
     "e05_proof_check": _proofs,
-    "e06_window_plan": lambda t: ev.window_plan(t.irqs.select("dataset_id", "core_id", F.col("irq_span_id").alias("ref"), F.col("t_begin").alias("begin"), F.col("t_end").alias("end")), ["dataset_id", "core_id"], 3_600_000_000),
-    "e07_read_plan_stats": lambda t: ev.read_plan_stats(ev.window_plan(t.irqs.select("dataset_id", "core_id", F.col("irq_span_id").alias("ref"), F.col("t_begin").alias("begin"), F.col("t_end").alias("end")), ["dataset_id", "core_id"], 3_600_000_000), "dataset_id"),
+    "e06_window_plan": lambda t: _plan(t)[0],
+    "e06_unplanned_refs": lambda t: _plan(t)[2],
+    "e07_read_plan_stats": _plan_stats,
     "e08_edge_partitions": lambda t: ev.edge_partitions(_edges(t)),
     "e09_validity_index": lambda t: ev.validity_index(_validity_rows(t)),
     "e10_consumer_mode": _consumer,
@@ -153,8 +180,9 @@ TRACE = {
     "k06_metric_export": lambda t: ex.metric_rows(metric_values(t, t.scope)),
     "k01_export_full": lambda t: ex.manifest(_exported(t)),
     "k02_export_clipped": lambda t: ex.manifest(ex.clip(t, t.scope)),
+    "k02_export_filtered": lambda t: ex.manifest(ex.clip(t, t.scope, {"task_id": 3})),
     "s10_scan_package": lambda t: _exported(t)["slices"].select("dataset_id", "slice_id", "t_begin", "t_end"),
-    "q07_package_ref_check": lambda t: ex.missing_refs(_exported(t), by_category=True),
+    "q07_package_ref_check": lambda t: ex.missing_refs(_damaged_package(t), by_category=True),
     "k04_ref_index": lambda t: ex.ref_index(t.events),
     "k05_required_refs": lambda t: ex.required_refs({n: getattr(t, n) for n in ("states", "slices", "holds", "waits", "irqs")}),
     "k08_merge_segments": lambda t: ex.merge_segments([t.raw.where(F.col("seq") <= 100), t.raw.where(F.col("seq") > 100)]).select("event_uid", "ts_raw"),
@@ -163,7 +191,7 @@ TRACE = {
 }
 
 #: Views before the rebuild, which a clipped trace shares with the full one.
-SHARED = {"named", "payload", "ev", "prev", "tagged", "cores", "cal", "al", "gap_windows", "loss_windows", "align_windows", "scope"}
+SHARED = {"named", "payload", "ev", "prev", "tagged", "cores", "cal", "al", "gap_windows", "loss_windows", "align_windows"}
 NAMES = (set(VIEWS) | set(METRIC_VIEWS)) - SHARED
 
 
@@ -208,9 +236,19 @@ V = {
   FROM ends2 AS e LEFT JOIN al AS d ON d.event_uid = e.dst_ref LEFT JOIN al AS s ON s.event_uid = e.src_ref""",
     "valid_rows": """SELECT dataset_id, cause_event AS object_id, CASE WHEN trusted THEN 'exact' ELSE 'bounded' END AS scope, 'rebuilt' AS derivation FROM states UNION ALL SELECT dataset_id, start_event, CASE WHEN trusted THEN 'exact' ELSE 'bounded' END, 'rebuilt' FROM slices
   UNION ALL SELECT dataset_id, evidence_ref, CASE WHEN trusted THEN 'exact' ELSE 'bounded' END, 'rebuilt' FROM holds""",
-    "hints": "SELECT *, least(coalesce(CAST(floor(quantile_cont(t_end - t_begin, 0.5) OVER (PARTITION BY dataset_id)) AS bigint), 0), 3600000000) AS gap, max(t_end) OVER (PARTITION BY dataset_id, core_id ORDER BY t_begin, t_end, irq_span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM irqs",
-    "islands": "SELECT *, sum(CASE WHEN reach IS NULL OR t_begin > reach + gap THEN 1 ELSE 0 END) OVER (PARTITION BY dataset_id, core_id ORDER BY t_begin, t_end, irq_span_id ROWS UNBOUNDED PRECEDING) AS island FROM hints",
-    "plan": "SELECT dataset_id, core_id, CAST(island AS bigint) AS island, min(t_begin) AS t_begin, max(t_end) AS t_end, count(*) AS edges, count(DISTINCT irq_span_id) AS refs FROM islands GROUP BY ALL",
+    "want": "SELECT dataset_id, enter_event AS ref FROM irqs WHERE enter_event IS NOT NULL UNION SELECT dataset_id, exit_event FROM irqs WHERE exit_event IS NOT NULL UNION SELECT dataset_id, 'evt:' || dataset_id || ':gone' FROM scope",
+    "hinted": """SELECT dataset_id, core_id, exit_event AS ref, t_begin AS b, t_end AS e, CAST(NULL AS bigint) AS sb, CAST(NULL AS bigint) AS se, 1 AS edges FROM irqs WHERE exit_event IS NOT NULL
+  UNION ALL SELECT a.dataset_id, core_id, ref, ts, ts, seq, seq, 0 FROM al AS a JOIN want ON want.dataset_id = a.dataset_id AND ref = event_uid WHERE seq % 50 <> 0 AND event_uid NOT IN (SELECT exit_event FROM irqs WHERE exit_event IS NOT NULL)""",
+    "gaps": "SELECT dataset_id, least(greatest(CAST(floor(quantile_cont(e - b, 0.5)) AS bigint), 0), 3600000000) AS gap FROM hinted GROUP BY dataset_id",
+    "reached": "SELECT *, max(e) OVER (PARTITION BY dataset_id, core_id ORDER BY b, e, ref, edges ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM hinted JOIN gaps USING (dataset_id)",
+    "islands": "SELECT *, CAST(sum(CASE WHEN reach IS NULL OR b > reach + gap THEN 1 ELSE 0 END) OVER (PARTITION BY dataset_id, core_id ORDER BY b, e, ref, edges ROWS UNBOUNDED PRECEDING) AS bigint) AS island FROM reached",
+    "plan": "SELECT dataset_id, core_id, island, min(b) AS t_begin, max(e) AS t_end, CASE WHEN count(sb) = count(*) THEN min(sb) END AS seq_begin, CASE WHEN count(se) = count(*) THEN max(se) END AS seq_end, CAST(sum(edges) AS bigint) AS edges, count(DISTINCT ref) AS refs FROM islands GROUP BY ALL",
+    "hits": """SELECT DISTINCT i.dataset_id, i.ref FROM islands AS i JOIN plan AS p ON p.dataset_id = i.dataset_id AND p.core_id = i.core_id AND p.island = i.island JOIN al AS a ON a.event_uid = i.ref AND a.core_id = i.core_id
+  WHERE a.seq % 40 <> 0 AND a.ts BETWEEN p.t_begin AND p.t_end AND (p.seq_begin IS NULL OR a.seq >= p.seq_begin) AND (p.seq_end IS NULL OR a.seq <= p.seq_end)""",
+    "every_mention": """SELECT dataset_id, 'states' AS category, cause_event AS ref_key FROM states UNION SELECT dataset_id, 'slices', start_event FROM slices UNION SELECT dataset_id, 'slices', end_event FROM slices UNION SELECT dataset_id, edge_kind || 's', evidence_ref FROM both_edges
+  UNION SELECT dataset_id, edge_kind || 's', end_event FROM both_edges UNION SELECT dataset_id, 'irqs', enter_event FROM irqs UNION SELECT dataset_id, 'irqs', exit_event FROM irqs UNION SELECT dataset_id, 'alerts', evidence FROM alerts UNION SELECT dataset_id, 'diagnoses', evidence FROM alerts
+  UNION SELECT dataset_id, 'anchors', ref FROM marks WHERE family = 'anchor'""",
+    "filtered_windows": """SELECT dataset_id, window_id FROM cw UNION SELECT w.dataset_id, w.window_id FROM windows AS w JOIN (SELECT * FROM kept_edges WHERE task_id = 3 OR owner_task_id = 3) AS k ON k.dataset_id = w.dataset_id AND w.window_id = 'uw:' || k.dataset_id || ':' || k.reason_code || ':' || k.evidence_ref""",
     "mentions": "SELECT dataset_id, cause_event AS ref_key FROM states UNION SELECT dataset_id, start_event FROM slices UNION SELECT dataset_id, end_event FROM slices UNION SELECT dataset_id, evidence_ref FROM both_edges UNION SELECT dataset_id, end_event FROM both_edges UNION SELECT dataset_id, enter_event FROM irqs UNION SELECT dataset_id, exit_event FROM irqs",
     "c_al": "SELECT al.* FROM al JOIN scope USING (dataset_id) WHERE ts BETWEEN w_begin AND w_end",
     "kept_edges": "SELECT e.* FROM both_edges AS e JOIN scope USING (dataset_id) WHERE t_begin < w_end AND t_end > w_begin",
@@ -219,7 +257,7 @@ V = {
 V["valid"] = "SELECT dataset_id, object_id, count(*) AS rows, min(scope) AS least_scope, count(DISTINCT (scope, derivation)) > 1 AS conflict FROM valid_rows GROUP BY dataset_id, object_id"
 V |= {f"c_{n}": clipped((VIEWS | METRIC_VIEWS)[n]) for n in NAMES} | {f"c_{n}": clipped(V[n]) for n in ("diags", "mv", "resources", "valid", "valid_rows")}
 V["c_both_edges"] = "SELECT * FROM c_holds UNION ALL SELECT * FROM c_waits"
-V["c_scope"] = "SELECT * FROM scope"
+V["c_scope"] = "SELECT dataset_id, w_begin, w_end - CASE WHEN CAST(dataset_id AS bigint) % 3 = 1 THEN 1 ELSE 0 END AS w_end FROM scope"
 
 
 def findings(full: str, clip: str, key: list[str], fields: list[str], numbers: list[str] | None = None) -> str:
@@ -252,7 +290,11 @@ SQL = {
     "e02_edge_contract": "SELECT dataset_id, 'TIME_HINT' AS reason, count(*) AS n FROM edges WHERE seq_hint % 10 = 0 OR time_hint <= 0 GROUP BY dataset_id",
     "e03_seed_resolution": "SELECT s.dataset_id, kind, closure_id, ref, e.event_uid IS NOT NULL AS found FROM starts AS s LEFT JOIN (SELECT event_uid FROM al WHERE seq % 3 <> 0) AS e ON e.event_uid = s.ref",
     "e06_window_plan": "SELECT * FROM plan",
-    "e07_read_plan_stats": "SELECT dataset_id, count(*) AS spans, CAST(sum(t_end - t_begin) AS bigint) AS total_span, CAST(sum(refs) AS bigint) AS refs, count(*) FILTER (WHERE refs = 1) AS point_spans, round(sum(refs) * 1.0 / count(*), 6) AS refs_per_seek FROM plan GROUP BY dataset_id",
+    "e06_unplanned_refs": "SELECT dataset_id, ref FROM want EXCEPT SELECT dataset_id, ref FROM hinted",
+    "e07_read_plan_stats": """SELECT dataset_id, windows, CAST(span_total AS bigint) AS span_total, point_spans, target_refs, coalesce(matched_refs, 0) AS matched_refs, coalesce(unplanned_refs, 0) AS unplanned_refs, target_refs - coalesce(matched_refs, 0) AS missed_refs,
+  round(coalesce(matched_refs, 0) * 1.0 / target_refs, 6) AS hit_rate FROM (SELECT dataset_id, count(*) AS windows, sum(t_end - t_begin) AS span_total, count(*) FILTER (WHERE t_begin = t_end) AS point_spans FROM plan GROUP BY dataset_id) AS p
+  JOIN (SELECT dataset_id, count(*) AS target_refs FROM want GROUP BY dataset_id) AS w USING (dataset_id) LEFT JOIN (SELECT dataset_id, count(*) AS matched_refs FROM hits GROUP BY dataset_id) AS h USING (dataset_id)
+  LEFT JOIN (SELECT dataset_id, count(*) AS unplanned_refs FROM (SELECT dataset_id, ref FROM want EXCEPT SELECT dataset_id, ref FROM hinted) AS x GROUP BY dataset_id) AS u USING (dataset_id)""",
     "e08_edge_partitions": "SELECT dataset_id, core_hint, count(*) AS edges, min(time_hint) AS t_min, max(time_hint) AS t_max, count(DISTINCT rule_family) AS families FROM edges GROUP BY ALL",
     "e09_validity_index": "SELECT dataset_id, object_id, count(*) AS rows, count(DISTINCT (scope, derivation)) AS variants, min(scope) AS least_scope, count(DISTINCT (scope, derivation)) > 1 AS conflict FROM valid_rows GROUP BY dataset_id, object_id",
     "v01_scope_identity": FOUND["scope"],
@@ -268,8 +310,10 @@ SQL = {
     "v07_ref_closure": "SELECT dataset_id, category, ref_key FROM mentioned ANTI JOIN (SELECT event_uid AS ref_key FROM ce) AS e USING (ref_key) WHERE ref_key LIKE 'evt:%'",
     "k01_export_full": " UNION ALL ".join(f"SELECT dataset_id, count(*) AS rows, '{n}' AS \"table\" FROM {v} GROUP BY dataset_id" for n, v in (("events", "al"), ("states", "states"), ("slices", "slices"), ("holds", "holds"), ("waits", "waits"), ("irqs", "irqs"), ("windows", "windows"), ("alerts", "alerts"), ("diagnoses", "alerts"), ("metrics", "mv"))) + " UNION ALL SELECT dataset_id, count(*), 'anchors' FROM marks WHERE family = 'anchor' GROUP BY dataset_id",
     "k02_export_clipped": "SELECT dataset_id, count(*) AS rows, 'events' AS \"table\" FROM ce GROUP BY dataset_id UNION ALL SELECT dataset_id, count(*), 'windows' FROM kept_windows GROUP BY dataset_id UNION ALL " + " UNION ALL ".join(WINDOWED.format(n=n) for n in ("states", "slices", "holds", "waits", "irqs")),
+    "k02_export_filtered": "SELECT dataset_id, count(*) AS rows, 'events' AS \"table\" FROM ce WHERE task_id = 3 GROUP BY dataset_id UNION ALL SELECT dataset_id, count(*), 'windows' FROM filtered_windows GROUP BY dataset_id UNION ALL "
+    + " UNION ALL ".join(WINDOWED.format(n=n).replace(" GROUP BY", f" AND {c} GROUP BY") for n, c in (("states", "task_id = 3"), ("slices", "task_id = 3"), ("holds", "(task_id = 3 OR owner_task_id = 3)"), ("waits", "(task_id = 3 OR owner_task_id = 3)"), ("irqs", "delayed_task = 3"))),
     "s10_scan_package": "SELECT dataset_id, slice_id, t_begin, t_end FROM slices",
-    "q07_package_ref_check": "SELECT dataset_id, 'states' AS category, ref_key FROM mentions ANTI JOIN (SELECT event_uid AS ref_key FROM al) AS e USING (ref_key) WHERE ref_key IS NOT NULL",
+    "q07_package_ref_check": "SELECT dataset_id, category, ref_key FROM every_mention ANTI JOIN (SELECT event_uid AS ref_key FROM al WHERE seq % 60 <> 0) AS e USING (ref_key) WHERE ref_key LIKE 'evt:%'",
     "k04_ref_index": "SELECT dataset_id, event_uid AS ref_key, ts, core_id, seq FROM al",
     "k05_required_refs": "SELECT * FROM mentions WHERE ref_key IS NOT NULL",
     "k08_merge_segments": "SELECT event_uid, ts_raw FROM ev",

@@ -70,7 +70,7 @@ VIEWS = {
     "windows": "SELECT * FROM gap_windows UNION ALL SELECT * FROM loss_windows UNION ALL SELECT * FROM align_windows UNION ALL SELECT * FROM relation_windows",
     "scope": "SELECT dataset_id, min(ts) + (max(ts) - min(ts)) // 10 AS w_begin, max(ts) - (max(ts) - min(ts)) // 10 AS w_end FROM al GROUP BY dataset_id",
 }
-RECURSIVE = {"irq_walk", "c_irq_walk"}
+RECURSIVE = {"irq_walk", "c_irq_walk", "vwalk"}
 
 
 def with_views(query: str, extra: dict[str, str] | None = None) -> str:

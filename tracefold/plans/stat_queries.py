@@ -71,6 +71,14 @@ def _orders(s, d):
     return _table(s, d, "orders")
 
 
+def _versions(s, d):
+    """Orders as versions of their customers; every seventh customer has a cycle of three more beside them."""
+    own = _orders(s, d).select("o_custkey", F.col("o_orderkey").alias("version"), F.expr("if(o_orderkey % 3 = 0, null, o_orderkey - o_orderkey % 3)").alias("prior"))
+    n = 3 + F.col("o_custkey") % 2
+    more = _orders(s, d).where("o_custkey % 7 = 0").select("o_custkey", n.alias("n"), F.explode(F.array(*map(F.lit, range(3)))).alias("x")).distinct()
+    return own.unionByName(more.select("o_custkey", F.expr("x - n").alias("version"), F.expr("if(x = 0, 2 - n, x - 1 - n)").alias("prior")))
+
+
 def _facts(s, d):
     """Collector counters of each core made from its events, with a few planted errors."""
     g = trace_events(s, d).groupBy("dataset_id", "core_id").agg(F.count("*").alias("accepted_records"), F.coalesce(F.sum("overflow_count"), F.lit(0)).alias("buffer_overflow_dropped_records"), F.count_if(F.col("event_name") == "SYNC_TRY").alias("rejected_payload_records"), F.count_if(F.col("event_name").isin("LOSS", "OVERFLOW")).alias("integrity_markers"), F.max("seq").alias("buffer_high_watermark"))
@@ -225,7 +233,8 @@ QUERIES = {
     "s09_logic_edges": lambda s, d: text_traces.scan_logic_csv(s, _logic_path(s, d), ["a", "b"])[1].drop("file"),
     "t17_raw_facts": lambda s, d: stats.raw_facts(trace_events(s, d)),
     "t18_ledger_chain": lambda s, d: stats.ledger_violations(_ledger(s, d), "o_custkey"),
-    "t19_current_version": lambda s, d: stats.current_version(_orders(s, d).select("o_custkey", F.col("o_orderkey").alias("version"), F.expr("if(o_orderkey % 3 = 0, null, o_orderkey - o_orderkey % 3)").alias("prior")), "o_custkey"),
+    "t19_current_version": lambda s, d: stats.current_version(_versions(s, d), "o_custkey"),
+    "t19_version_cycles": lambda s, d: stats.version_cycles(_versions(s, d), "o_custkey"),
     "t20_scoring_eligibility": lambda s, d: stats.bundle_violations(_bundle(s, d), "o_orderkey"),
     "j12_capture_bundle_join": lambda s, d: stats.capture_bundles(_bundle(s, d), "o_orderkey").select("o_orderkey", F.col("ledger.session").alias("session"), F.col("ccm.digest").alias("ccm_digest"), F.col("oar.complete").alias("observed"), F.col("cvr.status").alias("status")),
     "t21_epoch_pairing": lambda s, d: stats.epoch_pairing(trace_events(s, d).where("event_name = 'IRQ_ENTER'").select("dataset_id", F.expr("seq div 3").alias("epoch")), trace_events(s, d).where("event_name = 'IRQ_EXIT'").select("dataset_id", F.expr("seq div 3").alias("epoch")), "dataset_id"),
@@ -283,7 +292,9 @@ V = {
     "led": "SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY append_sequence) AS n, lag(digest) OVER (PARTITION BY o_custkey ORDER BY append_sequence) AS before, count(*) OVER (PARTITION BY o_custkey, record_id) AS same_id, min(session) OVER (PARTITION BY o_custkey) AS s0, max(session) OVER (PARTITION BY o_custkey) AS s1 FROM led0",
     "led0": """SELECT o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN i + 100 ELSE i END AS append_sequence, digest, CASE WHEN o_orderkey % 11 = 0 THEN 'none' ELSE prev END AS previous_digest, CASE WHEN o_orderkey % 17 = 0 THEN 0 ELSE o_orderkey END AS record_id, CASE WHEN o_orderkey % 19 = 0 THEN 's2' ELSE 's1' END AS session FROM (SELECT o_custkey, o_orderkey, row_number() OVER w AS i, md5(CAST(o_orderkey AS varchar)) AS digest,
   md5(CAST(lag(o_orderkey) OVER w AS varchar)) AS prev FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) AS x""",
-    "vers": "SELECT o_custkey, o_orderkey AS version, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey - o_orderkey % 3 END AS prior FROM orders",
+    "vwalk": "SELECT o_custkey, version AS start, prior AS pos, 1 AS n FROM vers WHERE prior IS NOT NULL UNION ALL SELECT w.o_custkey, start, v.prior, n + 1 FROM vwalk AS w JOIN vers AS v ON v.o_custkey = w.o_custkey AND v.version = w.pos WHERE v.prior IS NOT NULL AND w.pos <> w.start AND n < 100",
+    "vcycles": "SELECT o_custkey, cycle, count(*) AS length FROM (SELECT o_custkey, start, min(pos) AS cycle FROM vwalk GROUP BY ALL HAVING bool_or(pos = start)) AS x GROUP BY o_custkey, cycle",
+    "vers": "SELECT o_custkey, o_orderkey AS version, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey - o_orderkey % 3 END AS prior FROM orders UNION ALL SELECT c, x - n, CASE WHEN x = 0 THEN 2 - n ELSE x - 1 - n END FROM (SELECT DISTINCT o_custkey AS c, 3 + o_custkey % 2 AS n FROM orders WHERE o_custkey % 7 = 0) AS z, range(3) AS t(x)",
     "cases97": """SELECT lang, doc_id % 97 AS case_id, 2 * count(*) FILTER (WHERE list_has_all(k, [1, 3]) OR list_has_all(k, [0, 4]) OR list_contains(k, 2)) > count(*) AS hit, bool_and(toxic = 0) AS truth
   FROM (SELECT *, [n_chars % 3, 3 + n_chars % 2, n_chars % 7] AS k FROM documents JOIN labels USING (doc_id)) AS x GROUP BY ALL""",
     "conf": "SELECT lang, count(*) AS n_case, count(*) FILTER (WHERE hit AND truth) AS tp, count(*) FILTER (WHERE NOT hit AND NOT truth) AS tn, count(*) FILTER (WHERE hit AND NOT truth) AS fp, count(*) FILTER (WHERE NOT hit AND truth) AS fn FROM cases97 GROUP BY lang",
@@ -340,10 +351,13 @@ SQL = {
     "s09_logic_edges": "SELECT t AS time FROM logic WHERE a = 1 AND la = 0",
     "t17_raw_facts": "SELECT dataset_id, CAST(coalesce(sum(greatest(step, 0)), 0) AS bigint) AS missing, CAST(coalesce(sum(lost_count), 0) AS bigint) AS lost, CAST(coalesce(sum(overflow_count), 0) AS bigint) AS overflowed FROM (SELECT *, seq - lag(seq) OVER (PARTITION BY dataset_id, core_id ORDER BY seq) - 1 AS step FROM ev) AS x GROUP BY dataset_id",
     "t18_ledger_chain": "SELECT * FROM (SELECT o_custkey, append_sequence, array_to_string(list_filter([CASE WHEN append_sequence <> n THEN 'SEQUENCE' END, CASE WHEN previous_digest IS DISTINCT FROM before THEN 'CHAIN' END, CASE WHEN same_id > 1 THEN 'DUPLICATE_ID' END, CASE WHEN s0 <> s1 THEN 'SESSION' END], lambda x: x IS NOT NULL), ',') AS violation FROM led) AS x WHERE violation <> ''",
-    "t19_current_version": """SELECT o_custkey, versions, leaves, forks, seen - versions AS dangling, roots, CASE WHEN leaves = 1 AND forks = 0 AND seen = versions AND roots = 1 THEN leaf END AS current FROM (
-  SELECT o_custkey, count(*) FILTER (WHERE followers IS NULL) AS leaves, count(*) FILTER (WHERE followers > 1) AS forks, max(version) FILTER (WHERE followers IS NULL) AS leaf, count(*) AS seen
-  FROM vers FULL JOIN (SELECT o_custkey, prior AS version, count(*) AS followers FROM vers WHERE prior IS NOT NULL GROUP BY ALL) AS p USING (o_custkey, version) GROUP BY o_custkey) AS g
-  JOIN (SELECT o_custkey, count(*) AS versions, count(*) FILTER (WHERE prior IS NULL) AS roots FROM vers GROUP BY ALL) AS k USING (o_custkey)""",
+    "t19_current_version": """SELECT o_custkey, versions, n - versions AS repeated, leaves, forks, dangling, roots, coalesce(cycles, 0) AS cycles, CAST(coalesce(cycle_records, 0) AS bigint) AS cycle_records,
+  CASE WHEN leaves = 1 AND forks = 0 AND dangling = 0 AND roots = 1 AND n = versions AND cycles IS NULL THEN leaf END AS current FROM (
+  SELECT o_custkey, count(*) FILTER (WHERE followers IS NULL) AS leaves, count(*) FILTER (WHERE followers > 1) AS forks, count(*) FILTER (WHERE own IS NULL) AS dangling, max(version) FILTER (WHERE followers IS NULL) AS leaf
+  FROM (SELECT DISTINCT o_custkey, version, 1 AS own FROM vers) AS v FULL JOIN (SELECT o_custkey, prior AS version, count(*) AS followers FROM vers WHERE prior IS NOT NULL GROUP BY ALL) AS p USING (o_custkey, version) GROUP BY o_custkey) AS g
+  JOIN (SELECT o_custkey, count(DISTINCT version) AS versions, count(*) AS n, count(*) FILTER (WHERE prior IS NULL) AS roots FROM vers GROUP BY ALL) AS k USING (o_custkey)
+  LEFT JOIN (SELECT o_custkey, count(*) AS cycles, sum(length) AS cycle_records FROM vcycles GROUP BY o_custkey) AS c USING (o_custkey)""",
+    "t19_version_cycles": "SELECT * FROM vcycles",
     "t20_scoring_eligibility": f"""SELECT o_orderkey, v AS violation, v = '' AND coalesce(cvr_status = 'valid' AND inventory_available AND cir_complete AND oar_complete, false) AS eligible FROM (SELECT *, array_to_string(list_filter([{
         ", ".join([f"CASE WHEN {k}_session IS NULL THEN 'NO_{k.upper()}' END" for k in stats.KINDS] + ["CASE WHEN " + " OR ".join(f"coalesce({b[0].replace('.', '_')} <> {r.replace('.', '_')}, false)" for r in b[1:]) + f" THEN '{n}' END" for n, b in stats.BINDINGS.items()])
     }], lambda x: x IS NOT NULL), ',') AS v FROM bundle) AS x""",
