@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracefold.functions import ordering, quantiles
-from tracefold.operators import convert, evidence, stats
+from tracefold.operators import evidence, stats
 from tracefold.operators.intervals import overlap_buckets, overlap_join
 from tracefold.sources import chunks, segments, text_traces
 
@@ -172,11 +172,6 @@ def test_vcd_and_logic_csv(spark, tmp_path):
     assert sorted(r.time for r in edges.collect()) == [0.2, 0.5]
 
 
-def test_cluster_rows(spark, tmp_path):
-    (tmp_path / "c.json").write_text('{"collection_id": 1, "instance_index": 0, "type": 0, "priority": 99999, "time": 1}\n{"collection_id": 1, "instance_index": 0, "machine_id": 7, "type": 3, "priority": 1, "time": 2}\n{"collection_id": 1, "instance_index": 0, "type": 6, "priority": 1, "time": 9223372036854775807}\n')
-    got = sorted((r.ts_raw, r.event_name, r.core_id, r.exit_code, r.prio) for r in convert.cluster_to_events(text_traces.scan_cluster_json(spark, str(tmp_path / "c.json"))).collect())
-    assert got == [(1, "TASK_READY", 1, None, 32767), (2, "TASK_DISPATCH", 4, None, 1), (3, "TASK_EXIT", 4, 0, 1)]
-
 
 def test_segments_are_read_by_seeking(spark, tmp_path):
     """Bytes read follow the chunks that are wanted, in files split over many partitions and in one of 3 GB."""

@@ -56,7 +56,7 @@ def scan(
         new = {k: F.lag(v).over(w) for k, v in lag.items()} | {k: F.lead(v).over(w) for k, v in lead.items()}
         new |= {k: F.last(v, True).over(so_far) for k, v in last.items()} | {k: F.sum(v).over(so_far) for k, v in total.items()}
         new |= {k: F.max(v).over(w.rowsBetween(W.unboundedPreceding, -1)) for k, v in highest.items()}
-        return df.withColumns(new | ({number: F.row_number().over(w)} if number else {}))
+        return df.withColumns(new | ({number: F.row_number().over(w).cast("long")} if number else {}))
 
     # every value is named, so that a cell can hand it on
     sent = {f"_g{i}": v for i, v in enumerate(lag.values())}
@@ -96,5 +96,5 @@ def scan(
     new |= {k: F.when(F.col(f"{c}_own").isNull(), F.col(f"{c}_sum")).when(F.col(f"{c}_sum").isNull(), F.col(f"{c}_own")).otherwise(F.col(f"{c}_own") + F.col(f"{c}_sum")) for k, c in zip(total, added, strict=True)}
     new |= {k: F.greatest(f"{c}_own", f"{c}_max") for k, c in zip(highest, most, strict=True)}
     if number:
-        new[number] = (F.coalesce("_before", none) + F.col("_n")).cast("int")
+        new[number] = F.coalesce("_before", none) + F.col("_n")
     return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[v.alias(k) for k, v in new.items()])

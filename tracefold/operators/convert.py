@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from ..functions.scans import LONG_KEY, is_long, scan
+from ..functions.tables import settle
 
 #: Largest time of the cluster format: "after the end".
 NEVER = 9_223_372_036_854_775_807
-TERMINAL = {5: 1, 6: 0, 7: 137, 8: 2}  # fail, finish, kill, lost: exit codes
+TERMINAL = (5, 6, 7, 8)  # fail, finish, kill, lost
 
 
 def btf_to_semantic(rows: DataFrame) -> DataFrame:
@@ -21,66 +23,186 @@ def vcd_to_semantic(changes: DataFrame) -> DataFrame:
     return changes.select("timestamp", F.lit("marker").alias("semantic"), "identifier", "value")
 
 
-def systrace_to_events(lines: DataFrame) -> DataFrame:
-    """dataset_id, core_id, seq, ts_raw, event_name, task_id, prev_task_id, next_task_id, irq_id, nesting_depth.
+#: The lines that carry events, and what their system calls act on.
+CALLS = {
+    "ready": r"^sched_wakeup_new: comm=(\S+) pid=(\d+) target_cpu=(\d+)",
+    "wake": r"^sched_(?:waking|wakeup): comm=(\S+) pid=(\d+) target_cpu=(\d+)",
+    "switch": r"^sched_switch: prev_comm=(\S+) prev_pid=(\d+) prev_state=(\S+) ==> next_comm=(\S+) next_pid=(\d+)",
+    "irq_in": r"^irq_handler_entry: irq=(\d+)",
+    "irq_out": r"^irq_handler_exit: irq=(\d+)",
+    "enter": r"^sys_([A-Za-z0-9_]+)\((.*)\)$",
+    "leave": r"^sys_([A-Za-z0-9_]+)\s*->\s*(.+)$",
+}
+SYNC_CALL = "sem_|mutex_|mq_|queue|msgq|event|flag"
+LOCK_CALL = "sem_wait|sem_timedwait|mutex_lock|mutex_timedlock|mq_receive|mq_timedreceive|event_wait|flag_wait"
+UNLOCK_CALL = "sem_post|mutex_unlock|mq_send|mq_timedsend|event_post|flag_post"
+#: The first pattern that a call's name has gives the type of its object, and the reason of a block in it; others have 2.
+OBJECT_TYPES = (("mutex", 1), ("sem", 2), ("mq_|queue|msgq", 3), ("event|flag", 4))
+BLOCK_REASONS = (("sleep|delay", 1), ("mutex", 3), ("sem", 4), ("mq_|queue|msgq", 5), ("event|flag", 6))
+
+
+def _first_match(name: Column, table: tuple) -> Column:
+    out = F.lit(2)
+    for pattern, value in reversed(table):
+        out = F.when(name.rlike(pattern), value).otherwise(out)
+    return out
+
 
-    Switches give a block (if the previous task sleeps), a dispatch and the
-    switch itself. Interrupt depth is the walk of entries and exits that never
-    falls below zero: the running sum less its lowest value so far.
+def object_id(call: Column, task: Column) -> Column:
+    """A number of 60 bits that stays the same for a call of a task (from the MD5 of both)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", call, task.cast("string"))), 1, 15), 16, 10).cast("long")
+
+
+def systrace_to_events(lines: DataFrame, long: bool | None = None) -> DataFrame:
+    """dataset_id, core_id, seq, ts_raw, event_name, task_id, prev_task_id, next_task_id, irq_id, nesting_depth, reason, obj_id, obj_type, wake_src.
+
+    Lines count in order of time (then core, task and text). Three states are
+    carried along: the interrupt depth of a core (a walk that never falls below
+    zero: the running sum less its lowest value so far), the system call that a
+    task is in, and the call that it was last blocked in, which a wakeup on any
+    core reports. A switch gives a block (if the previous task sleeps), a
+    dispatch and itself; calls on objects give a try when they begin and a lock
+    or unlock when they end well.
     """
-    field = lambda name: F.regexp_extract("payload", rf"\b{name}=(\S+)", 1)
-    number = lambda name: field(name).try_cast("long")
-    call = F.regexp_extract("payload", r"^(\w+):", 1)
-    state = field("prev_state")
-    none = F.lit(None).cast("long")
-    e = lambda name, sub, task=none, prev=none, nxt=none, irq=none, core=F.col("cpu"): F.struct(F.lit(name).alias("event_name"), F.lit(sub).alias("sub"), task.alias("task_id"), prev.alias("prev_task_id"), nxt.alias("next_task_id"), irq.alias("irq_id"), core.cast("int").alias("core_id"))
-    rows = (
-        F.when(call == "sched_wakeup_new", F.array(e("TASK_READY", 0, number("pid"), core=F.coalesce(number("target_cpu"), F.col("cpu")))))
-        .when(call == "sched_waking", F.array(e("TASK_WAKEUP", 0, number("pid"), core=F.coalesce(number("target_cpu"), F.col("cpu")))))
+    part = lambda kind, i: F.regexp_extract("payload", CALLS[kind], i)
+    kind = F.coalesce(*[F.when(F.col("payload").rlike(p), k) for k, p in CALLS.items()])
+    trace = F.col("dataset_id") if "dataset_id" in lines.columns else F.lit("0")
+    rows = lines.select(trace.alias("dataset_id"), "timestamp_ns", "cpu", "tid", "payload", kind.alias("kind")).where("kind is not null")
+    is_ = lambda *names: F.col("kind").isin(*names)
+    pid = F.when(is_("ready"), part("ready", 2)).when(is_("wake"), part("wake", 2)).when(is_("switch"), part("switch", 2)).try_cast("long")
+    target = F.when(is_("ready"), part("ready", 3)).when(is_("wake"), part("wake", 3)).try_cast("int")
+    call = F.lower(F.when(is_("enter"), part("enter", 1)).otherwise(part("leave", 1)))
+    rows = rows.withColumns(
+        {
+            "subject": F.when(is_("enter", "leave"), F.col("tid")).otherwise(pid), "core_id": F.coalesce(target, F.col("cpu")), "call": F.when(is_("enter", "leave"), call), "next": F.when(is_("switch"), part("switch", 5).try_cast("long")),
+            "sleeps": is_("switch") & part("switch", 3).rlike("[SDT]") & (pid > 0), "irq_id": F.when(is_("irq_in"), part("irq_in", 1)).when(is_("irq_out"), part("irq_out", 1)).try_cast("long"), "done": is_("leave") & ~part("leave", 2).startswith("-"),
+        }
+    )
+    order = ["timestamp_ns", "cpu", "tid", "payload", "copy"]
+    # lines that are alike in all else are told apart by their place
+    rows = settle(rows.withColumn("copy", F.monotonically_increasing_id()))
+    long = is_long(rows, ["dataset_id"]) if long is None else long
+    step = F.when(is_("irq_in"), 1).when(is_("irq_out"), -1).otherwise(0)
+    rows = scan(rows, ["dataset_id", "cpu"], order, total={"walk": step}, long=long)
+    rows = scan(rows, ["dataset_id", "cpu"], order, highest={"high": -F.col("walk")}, long=long)
+    rows = rows.withColumn("level", F.col("walk") - F.least(F.lit(0), F.col("walk"), -F.col("high")))
+
+    own = F.struct("call", object_id(F.col("call"), F.col("subject")).alias("obj"))
+    of_task = scan(rows.where("subject is not null"), ["dataset_id", "subject"], order, last={"active": F.when(is_("enter"), F.struct(F.lit(True).alias("inside"), own.alias("own"))).when(is_("leave"), F.struct(F.lit(False).alias("inside"), own.alias("own")))}, long=long)
+    inside = F.when(F.col("active.inside"), F.col("active.own"))
+    blocked = F.when(F.col("sleeps"), F.struct(F.coalesce(_first_match(inside["call"], BLOCK_REASONS), F.lit(2)).alias("reason"), F.coalesce(inside["obj"], F.lit(0).cast("long")).alias("obj")))
+    of_task = scan(of_task, ["dataset_id", "subject"], order, lag={"before": F.col("active")}, last={"block": blocked}, long=long)
+    rest = rows.where("subject is null")
+    none = lambda name: F.lit(None).cast(of_task.schema[name].dataType).alias(name)
+    rows = of_task.unionByName(rest.select("*", none("active"), none("before"), none("block")))
+
+    irq = F.col("level") > 0
+    dispatch = F.when(irq, 5).when(part("switch", 3).rlike("[SDT]"), 3).otherwise(1)
+    reason, obj = F.coalesce("block.reason", F.lit(2)), F.coalesce("block.obj", F.lit(0).cast("long"))
+    wake = F.when(irq, 4).when(reason == 1, 2).when(reason == 2, 3).otherwise(1)
+    held = F.coalesce(F.when(F.col("before.inside"), F.col("before.own.obj")), own["obj"])
+    kind_of = _first_match(F.col("call"), OBJECT_TYPES)
+    fields = {"task_id": "long", "prev_task_id": "long", "next_task_id": "long", "reason": "int", "obj_id": "long", "obj_type": "int", "wake_src": "int"}
+    e = lambda name, sub, **v: F.struct(F.lit(name).alias("event_name"), F.lit(sub).alias("sub"), *[v.get(f, F.lit(None)).cast(t).alias(f) for f, t in fields.items()])
+    task, nxt = F.col("subject"), F.col("next")
+    events = (
+        F.when(is_("ready"), F.array(e("TASK_READY", 0, task_id=task, reason=F.lit(1))))
+        .when(is_("wake"), F.array(e("TASK_WAKEUP", 0, task_id=task, wake_src=wake, obj_id=obj)))
         .when(
-            call == "sched_switch",
+            is_("switch"),
             F.array(
-                F.when(state.rlike("[SDT]") & (number("prev_pid") > 0), e("TASK_BLOCK", 0, number("prev_pid"))),
-                F.when(number("next_pid") > 0, e("TASK_DISPATCH", 1, number("next_pid"))),
-                e("CTX_SWITCH", 2, number("next_pid"), number("prev_pid"), number("next_pid")),
+                F.when(F.col("sleeps"), e("TASK_BLOCK", 0, task_id=task, reason=reason, obj_id=obj)),
+                F.when(nxt > 0, e("TASK_DISPATCH", 1, task_id=nxt, reason=dispatch)),
+                e("CTX_SWITCH", 2, task_id=nxt, prev_task_id=task, next_task_id=nxt, reason=dispatch),
             ),
         )
-        .when(call == "irq_handler_entry", F.array(e("IRQ_ENTER", 0, irq=number("irq"))))
-        .when(call == "irq_handler_exit", F.array(e("IRQ_EXIT", 0, irq=number("irq"))))
+        .when(is_("irq_in"), F.array(e("IRQ_ENTER", 0)))
+        .when(is_("irq_out"), F.array(e("IRQ_EXIT", 0)))
+        .when(is_("enter") & F.col("call").rlike(SYNC_CALL), F.array(e("SYNC_TRY", 0, task_id=task, obj_id=own["obj"], obj_type=kind_of)))
+        .when(F.col("done") & F.col("call").rlike(LOCK_CALL), F.array(e("SYNC_LOCK", 0, task_id=task, obj_id=held, obj_type=kind_of)))
+        .when(F.col("done") & F.col("call").rlike(UNLOCK_CALL), F.array(e("SYNC_UNLOCK", 0, task_id=task, obj_id=held, obj_type=kind_of)))
     )
-    trace = F.col("dataset_id") if "dataset_id" in lines.columns else F.lit("0")
-    out = lines.select(trace.alias("dataset_id"), "timestamp_ns", F.explode(F.array_compact(rows)).alias("x")).select("dataset_id", "timestamp_ns", "x.*")
-    w = W.partitionBy("dataset_id", "core_id").orderBy("timestamp_ns", "sub", "event_name", "task_id")
-    step = F.when(F.col("event_name") == "IRQ_ENTER", 1).when(F.col("event_name") == "IRQ_EXIT", -1).otherwise(0)
-    out = out.withColumn("walk", F.sum(step).over(w)).withColumn("low", F.least(F.lit(0), F.min("walk").over(w)))
-    level = F.col("walk") - F.col("low")
-    depth = F.when(F.col("event_name") == "IRQ_ENTER", level).when(F.col("event_name") == "IRQ_EXIT", level + 1)
-    return out.select("dataset_id", "core_id", F.row_number().over(w).cast("long").alias("seq"), F.col("timestamp_ns").alias("ts_raw"), "event_name", "task_id", "prev_task_id", "next_task_id", "irq_id", depth.cast("int").alias("nesting_depth"))
+    depth = F.when(is_("irq_in"), F.col("level")).when(is_("irq_out"), F.col("level") + 1)
+    out = rows.select("dataset_id", "core_id", *order, "irq_id", depth.cast("int").alias("nesting_depth"), F.explode(F.array_compact(events)).alias("x")).select("dataset_id", "core_id", *order, "irq_id", "nesting_depth", "x.*")
+    out = scan(out, ["dataset_id", "core_id"], [*order, "sub"], number="seq", long=long)
+    return out.select("dataset_id", "core_id", F.col("seq").cast("long").alias("seq"), F.col("timestamp_ns").alias("ts_raw"), "event_name", "task_id", "prev_task_id", "next_task_id", "irq_id", "nesting_depth", "reason", "obj_id", "obj_type", "wake_src")
+
 
+def _numbered_by_first(rows: DataFrame, keys: list[str], name: str, long: bool) -> DataFrame:
+    """Adds numbers from 1 to the values of ``keys`` in order of their first place, and that place (as <name>_first)."""
+    firsts = rows.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.min("place").alias(f"{name}_first"))
+    firsts = scan(firsts.withColumn("one", F.lit(0)), ["one"], [f"{name}_first"], number=name, long=long).drop("one")
+    return settle(rows.join(firsts, keys, "left"))
 
-def cluster_to_events(rows: DataFrame, buckets: int = 4) -> DataFrame:
-    """Instance events of a cluster as task events: task_id, core_id, ts_raw, event_name, exit_code, prio.
 
-    Tasks are numbered by first appearance; a machine is core 1 + |id| mod
-    buckets; rows without a machine stay on the task's last core. A time of
-    "never" becomes the latest time plus one.
+def cluster_to_events(rows: DataFrame, buckets: int | None = None, long: bool | None = None) -> DataFrame:
+    """Instance events of a cluster as scheduler events: core_id, seq, ts_raw, event_name, task_id, prio, core_hint, reason, obj_id, prev_task_id, next_task_id, exit_code, wake_src.
+
+    Records count in order of time (then collection, instance, type and
+    machine). Tasks (collection, instance) and machines are numbered by first
+    appearance; with ``buckets`` a machine is core 1 + |id| mod buckets. Core 0
+    is the queue. A time of "never" is one more than the latest before it.
+
+    Two states run through each other. A task's run begins when it is
+    scheduled and ends when it is queued, evicted or done; within it, it holds
+    the core of its last schedule (a schedule without a machine stays there,
+    or goes to core 1). A core holds the task that was last scheduled on it. A
+    task that leaves a core gives a switch to idle if the core still holds it;
+    one that comes gives a switch from the core's task unless that is itself.
     """
-    last = rows.where(F.col("time") < NEVER).agg(F.max("time").alias("latest"))
-    r = rows.crossJoin(F.broadcast(last)).withColumn("ts_raw", F.when(F.col("time") >= NEVER, F.col("latest") + 1).otherwise(F.col("time")))  # last is one row
-    first = r.groupBy("collection_id", "instance_index").agg(F.min("ts_raw").alias("seen"))
-    keyed = r.withColumn("task_id", F.pmod(F.xxhash64("collection_id", "instance_index"), F.lit((1 << 62) - 1)) + 1).join(first, ["collection_id", "instance_index"])
-    w = W.partitionBy("collection_id", "instance_index").orderBy("ts_raw", "type")
-    own = F.when(F.col("machine_id").isNotNull(), 1 + F.pmod(F.abs("machine_id"), F.lit(buckets))).cast("int")
-    keyed = keyed.withColumn("core_id", F.coalesce(F.last(own, True).over(w.rowsBetween(W.unboundedPreceding, 0)), F.lit(1)))
+    order = ["time", "collection_id", "instance_index", "type", "machine_id", "copy"]
+    r = settle(rows.select("collection_id", "instance_index", F.nullif("machine_id", F.lit(0)).alias("machine_id"), "type", F.coalesce("priority", F.lit(0)).alias("priority"), "time").where("collection_id is not null and instance_index is not null").withColumn("copy", F.monotonically_increasing_id()))
+    if long is None:
+        long = r.count() > LONG_KEY
+    never = F.col("time") >= NEVER
+    r = scan(r.withColumn("one", F.lit(0)), ["one"], order, total={"nevers": never.cast("int")}, number="place", long=long)
+    r = scan(r, ["one"], ["place"], highest={"latest": F.when(~never, F.col("time") - F.col("nevers"))}, long=long)
+    r = r.withColumn("ts_raw", F.when(never, F.greatest(F.coalesce("latest", F.lit(0).cast("long")), F.lit(0)) + F.col("nevers")).otherwise(F.col("time")))
+    r = _numbered_by_first(settle(r.drop("one", "nevers", "latest", "time", "copy")), ["collection_id", "instance_index"], "task_id", long)
+    if buckets:
+        r = r.withColumn("machine", F.coalesce(1 + F.pmod(F.abs("machine_id"), F.lit(buckets)), F.lit(0)).cast("int"))
+    else:
+        r = _numbered_by_first(r, ["machine_id"], "machine", long).withColumn("machine", F.coalesce("machine", F.lit(0)).cast("int"))
     kind = F.col("type")
-    e = lambda name, sub: F.struct(F.lit(name).alias("event_name"), F.lit(sub).alias("sub"))
+    come, leave = kind == 3, kind.isin(1, 4, *TERMINAL)
+    r = scan(r, ["task_id"], ["place"], total={"left": leave.cast("int")}, long=long).withColumn("run", F.col("left") - leave.cast("int"))
+    run = ["task_id", "run"]
+    r = scan(r, run, ["place"], last={"named": F.when(come & (F.col("machine") > 0), F.col("machine"))}, long=long)
+    r = scan(r, run, ["place"], last={"running": F.when(come, F.coalesce("named", F.lit(1)))}, long=long)
+    r = settle(scan(r, run, ["place"], lag={"before": F.col("running")}, long=long))
+
+    #: The reason of a switch to idle by what made the task leave.
+    why = F.when(kind.isin(1, 4), 3).when(come, 2).otherwise(6)
+    outs = r.select(F.when(come, F.col("before")).otherwise(F.col("running")).alias("core"), "place", F.lit(0).alias("sub"), "task_id", why.alias("why"), (leave | (come & (F.col("before") != F.col("running")))).alias("goes"), "ts_raw")
+    outs = outs.where("goes and core is not null").drop("goes")
+    ins = r.where(come).select(F.col("running").alias("core"), "place", F.lit(2).alias("sub"), "task_id", F.lit(None).cast("int").alias("why"), "ts_raw")
+    both = scan(outs.unionByName(ins), ["core"], ["place", "sub"], last={"holder": F.when(F.col("sub") == 2, F.col("task_id"))}, long=long)
+    now = F.when(F.col("sub") == 2, F.col("task_id")).when(F.col("holder") == F.col("task_id"), 0)
+    both = scan(both, ["core"], ["place", "sub"], last={"current": now}, long=long)
+    both = scan(both, ["core"], ["place", "sub"], lag={"held": F.col("current")}, long=long).withColumn("held", F.coalesce("held", F.lit(0)))
+    fields = {"task_id": "long", "prio": "int", "core_hint": "int", "reason": "int", "obj_id": "long", "prev_task_id": "long", "next_task_id": "long", "exit_code": "int", "wake_src": "int"}
+    full = lambda **v: [v.get(f, F.lit(None)).cast(t).alias(f) for f, t in fields.items()]
+    task = F.col("task_id")
+    switched = both.where("sub = 0 and holder = task_id or sub = 2 and held <> task_id")
+    gone = F.col("sub") == 0
+    switches = switched.select(
+        F.col("core").alias("core_id"), "place", "sub", "ts_raw", F.lit("CTX_SWITCH").alias("event_name"),
+        *full(task_id=F.when(gone, 0).otherwise(task), reason=F.when(gone, F.col("why")).when(F.col("held") == 0, 1).otherwise(2), prev_task_id=F.when(gone, task).otherwise(F.col("held")), next_task_id=F.when(gone, 0).otherwise(task)),
+    )
+
+    prio = F.least(F.greatest("priority", F.lit(-32768)), F.lit(32767))
+    obj = F.col("collection_id").bitwiseAND((1 << 63) - 1)
+    queue, here = F.lit(0), F.when(come, F.col("running")).otherwise(F.coalesce("running", F.nullif("machine", F.lit(0)), F.lit(1)))
+    e = lambda name, sub, core, **v: F.struct(F.lit(name).alias("event_name"), F.lit(sub).alias("sub"), core.cast("int").alias("core_id"), *full(task_id=task, **v))
+    code = F.when(kind == 5, 1).when(kind == 6, 0).when(kind == 7, 137).otherwise(2)
     names = (
-        F.when(kind.isin(0, 9), F.array(e("TASK_READY", 0)))
-        .when(kind == 1, F.array(e("SYNC_TRY", 0), e("TASK_BLOCK", 1)))
-        .when(kind == 2, F.array(e("TASK_WAKEUP", 0)))
-        .when(kind.isin(3, 10), F.array(e("TASK_DISPATCH", 0)))
-        .when(kind == 4, F.array(e("TASK_BLOCK", 0)))
-        .when(kind.isin(*TERMINAL), F.array(e("TASK_EXIT", 0)))
+        F.when(kind == 0, F.array(e("TASK_READY", 1, queue, prio=prio, core_hint=F.col("machine"), reason=F.when(F.col("place") == F.col("task_id_first"), 1).otherwise(2))))
+        .when(kind == 1, F.array(e("SYNC_TRY", 1, queue, obj_id=obj), e("TASK_BLOCK", 2, queue, obj_id=obj, reason=F.lit(5))))
+        .when(kind == 2, F.array(e("TASK_WAKEUP", 1, queue, obj_id=obj, wake_src=F.lit(3))))
+        .when(kind.isin(3, 10), F.array(e("TASK_DISPATCH", 1, here, prio=prio, reason=F.lit(1))))
+        .when(kind == 4, F.array(e("TASK_BLOCK", 1, queue, obj_id=obj, reason=F.lit(2))))
+        .when(kind.isin(*TERMINAL), F.array(e("TASK_EXIT", 1, F.col("machine"), exit_code=code)))
+        .when(kind == 9, F.array(e("TASK_READY", 1, queue, prio=prio, core_hint=F.col("machine"), reason=F.lit(2))))
     )
-    codes = F.create_map(*[F.lit(x) for kv in TERMINAL.items() for x in kv])
-    return keyed.select("task_id", "core_id", "ts_raw", F.explode(names).alias("x"), F.try_element_at(codes, kind).alias("exit_code"), F.least(F.greatest("priority", F.lit(-32768)), F.lit(32767)).alias("prio")).select("task_id", "core_id", "ts_raw", "x.event_name", "exit_code", "prio")
+    out = r.select("place", "ts_raw", F.explode(names).alias("x")).select("x.core_id", "place", "x.sub", "ts_raw", "x.event_name", *[f"x.{f}" for f in fields]).unionByName(switches)
+    return scan(out, ["core_id"], ["place", "sub"], number="seq", long=long).drop("place", "sub")

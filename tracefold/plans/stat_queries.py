@@ -45,10 +45,12 @@ def _btf_path(s, d):
 
 
 def _systrace_path(s, d):
-    e = trace_events(s, d).where("event_name in ('CTX_SWITCH', 'IRQ_ENTER', 'IRQ_EXIT', 'TASK_WAKEUP')")  # the kinds that the format has
+    e = trace_events(s, d).where("event_name in ('CTX_SWITCH', 'IRQ_ENTER', 'IRQ_EXIT', 'TASK_WAKEUP', 'TASK_READY', 'SYNC_LOCK', 'SYNC_UNLOCK')")  # the kinds that the format has
     call = F.expr(
-        "case event_name when 'CTX_SWITCH' then format_string('sched_switch: prev_pid=%d prev_state=%s next_pid=%d', prev_task_id, if(reason = 1, 'S', 'R'), next_task_id)"
-        " when 'TASK_WAKEUP' then format_string('sched_waking: pid=%d target_cpu=%d', task_id, core_id) when 'IRQ_ENTER' then format_string('irq_handler_entry: irq=%d', irq_id) else format_string('irq_handler_exit: irq=%d', irq_id) end"
+        "case event_name when 'CTX_SWITCH' then format_string('sched_switch: prev_comm=p prev_pid=%d prev_state=%s ==> next_comm=n next_pid=%d', prev_task_id, if(reason = 1, 'S', 'R'), next_task_id)"
+        " when 'TASK_READY' then format_string('sched_wakeup_new: comm=w pid=%d target_cpu=%d', task_id, core_id) when 'TASK_WAKEUP' then format_string('sched_%s: comm=w pid=%d target_cpu=%d', if(seq % 2 = 0, 'waking', 'wakeup'), task_id, (core_id + 1) % 4)"
+        " when 'SYNC_LOCK' then element_at(array('sys_sem_wait()', 'sys_mutex_lock(a, b)', 'sys_nanosleep()'), cast(seq % 3 as int) + 1) when 'SYNC_UNLOCK' then element_at(array('sys_sem_wait -> 0', 'sys_mutex_lock -> -1', 'sys_sem_post -> 0'), cast(seq % 3 as int) + 1)"
+        " when 'IRQ_ENTER' then format_string('irq_handler_entry: irq=%d', irq_id) else format_string('irq_handler_exit: irq=%d', irq_id) end"
     )
     stamp = F.expr("format_string('%d.%06d', ts_raw div 1000000, ts_raw % 1000000)")
     return _written(e.select(F.concat(F.lit("  trace"), "dataset_id", F.lit(".worker-"), F.coalesce("task_id", F.lit(0)), F.lit(" ["), F.lpad(F.col("core_id").cast("string"), 3, "0"), F.lit("] "), stamp, F.lit(": "), call)), "systrace")
@@ -228,7 +230,8 @@ QUERIES = {
     "s06_vcd_problems": lambda s, d: text_traces.scan_vcd(s, _vcd_path(s, d))[1].groupBy("reason").agg(F.count("*").alias("n")),
     "c03_vcd_to_semantic": lambda s, d: convert.vcd_to_semantic(text_traces.scan_vcd(s, _vcd_path(s, d))[0]).groupBy("semantic", "identifier").agg(F.count("*").alias("n"), F.sum("value").alias("ones")),
     "s08_scan_cluster_json": lambda s, d: text_traces.scan_cluster_json(s, _cluster_path(s, d)),
-    "c02_cluster_to_events": lambda s, d: convert.cluster_to_events(text_traces.scan_cluster_json(s, _cluster_path(s, d))).groupBy("core_id", "event_name", "exit_code").agg(F.count("*").alias("n"), F.max("ts_raw").alias("last"), F.min("prio").alias("least_prio"), F.count_distinct("task_id").alias("tasks")),
+    "c02_cluster_to_events": lambda s, d: convert.cluster_to_events(text_traces.scan_cluster_json(s, _cluster_path(s, d))),
+    "c02_cluster_buckets": lambda s, d: convert.cluster_to_events(text_traces.scan_cluster_json(s, _cluster_path(s, d)), buckets=4).groupBy("core_id", "event_name", "reason", "exit_code").agg(F.count("*").alias("n"), F.max("ts_raw").alias("last"), F.sum("seq").alias("seqs"), F.count_distinct("task_id").alias("tasks")),
     "s09_scan_logic_csv": lambda s, d: text_traces.scan_logic_csv(s, _logic_path(s, d), ["a", "b"])[0].drop("file"),
     "s09_logic_edges": lambda s, d: text_traces.scan_logic_csv(s, _logic_path(s, d), ["a", "b"])[1].drop("file"),
     "t17_raw_facts": lambda s, d: stats.raw_facts(trace_events(s, d)),
@@ -242,7 +245,7 @@ QUERIES = {
     "s05_btf_rejects": lambda s, d: text_traces.scan_btf(s, _btf_path(s, d))[1].groupBy("reason").agg(F.count("*").alias("n")),
     "c03_btf_to_semantic": lambda s, d: convert.btf_to_semantic(text_traces.scan_btf(s, _btf_path(s, d))[0]).groupBy("semantic", "cpu").agg(F.count("*").alias("n")),
     "s07_scan_systrace": lambda s, d: _systrace(s, d).select("dataset_id", "tid", "cpu", "timestamp_ns"),
-    "c01_systrace_to_events": lambda s, d: convert.systrace_to_events(_systrace(s, d)).groupBy("dataset_id", "core_id", "event_name", "nesting_depth").agg(F.count("*").alias("n"), F.sum("task_id").alias("tasks")),
+    "c01_systrace_to_events": lambda s, d: convert.systrace_to_events(_systrace(s, d)),
 }
 
 CHUNKS = "SELECT doc_id, i + 1 AS first_line, array_to_string(ls[i + 1:i + 32], chr(10)) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL) AS d, unnest(range(0, greatest(0, len(ls) - 5) + 1, 28)) AS u(i)"
@@ -300,8 +303,52 @@ V = {
     "conf": "SELECT lang, count(*) AS n_case, count(*) FILTER (WHERE hit AND truth) AS tp, count(*) FILTER (WHERE NOT hit AND NOT truth) AS tn, count(*) FILTER (WHERE hit AND NOT truth) AS fp, count(*) FILTER (WHERE NOT hit AND truth) AS fn FROM cases97 GROUP BY lang",
     "sums": "SELECT l_linestatus, l_returnflag, 'q' AS metric, CAST(sum(l_quantity) AS double) AS value FROM lineitem GROUP BY ALL UNION ALL SELECT l_linestatus, l_returnflag, 'n', CAST(count(*) AS double) FROM lineitem GROUP BY ALL",
     "btf": "SELECT ts_raw, core_id, event_name, coalesce(task_id, 0) AS t FROM ev WHERE event_name IN ('CTX_SWITCH', 'TASK_READY', 'SYNC_TRY', 'LOSS')",
-    "sys": "SELECT * FROM ev WHERE event_name IN ('IRQ_ENTER', 'IRQ_EXIT', 'TASK_WAKEUP', 'CTX_SWITCH')",
+    "sys": "SELECT * FROM ev WHERE event_name IN ('IRQ_ENTER', 'IRQ_EXIT', 'TASK_WAKEUP', 'CTX_SWITCH', 'TASK_READY', 'SYNC_LOCK', 'SYNC_UNLOCK')",
+    "lin": """SELECT dataset_id, ts_raw * 1000 AS ts, core_id AS cpu, coalesce(task_id, 0) AS tid, event_name AS name, task_id, prev_task_id, next_task_id, irq_id, CASE event_name WHEN 'CTX_SWITCH' THEN prev_task_id WHEN 'IRQ_ENTER' THEN NULL WHEN 'IRQ_EXIT' THEN NULL ELSE task_id END AS subject,
+    event_name = 'CTX_SWITCH' AND reason = 1 AS asleep, CASE event_name WHEN 'SYNC_LOCK' THEN ['sem_wait', 'mutex_lock', 'nanosleep'][seq % 3 + 1] WHEN 'SYNC_UNLOCK' THEN ['sem_wait', 'mutex_lock', 'sem_post'][seq % 3 + 1] END AS call,
+    CASE event_name WHEN 'CTX_SWITCH' THEN 'sched_switch: prev_comm=p prev_pid=' || prev_task_id || ' prev_state=' || CASE WHEN reason = 1 THEN 'S' ELSE 'R' END WHEN 'TASK_READY' THEN 'sched_wakeup_new' WHEN 'TASK_WAKEUP' THEN 'sched_' || CASE WHEN seq % 2 = 0 THEN 'waking' ELSE 'wakeup' END
+      WHEN 'SYNC_LOCK' THEN ['sys_sem_wait()', 'sys_mutex_lock(a, b)', 'sys_nanosleep()'][seq % 3 + 1] WHEN 'SYNC_UNLOCK' THEN ['sys_sem_wait -> 0', 'sys_mutex_lock -> -1', 'sys_sem_post -> 0'][seq % 3 + 1] WHEN 'IRQ_ENTER' THEN 'irq_handler_entry' ELSE 'irq_handler_exit' END AS payload FROM sys""",
+    "lin1": "SELECT *, sum(CASE name WHEN 'IRQ_ENTER' THEN 1 WHEN 'IRQ_EXIT' THEN -1 ELSE 0 END) OVER (PARTITION BY dataset_id, cpu ORDER BY ts, tid, payload) AS walk FROM lin",
+    "lin2": "SELECT *, walk - least(0, min(walk) OVER (PARTITION BY dataset_id, cpu ORDER BY ts, tid, payload)) AS level, last_value(CASE name WHEN 'SYNC_LOCK' THEN call WHEN 'SYNC_UNLOCK' THEN '' END IGNORE NULLS) OVER (PARTITION BY dataset_id, subject ORDER BY ts, cpu, tid, payload ROWS UNBOUNDED PRECEDING) AS active FROM lin1",
+    "lin3": "SELECT *, lag(active) OVER w AS before, last_value(CASE WHEN asleep AND prev_task_id > 0 THEN coalesce(active, '') END IGNORE NULLS) OVER w AS block FROM lin2 WINDOW w AS (PARTITION BY dataset_id, subject ORDER BY ts, cpu, tid, payload ROWS UNBOUNDED PRECEDING)",
+    "lin4": """SELECT *, CASE WHEN subject IS NULL THEN NULL WHEN block LIKE '%sleep' THEN 1 WHEN block LIKE 'mutex%' THEN 3 WHEN block LIKE 'sem%' THEN 4 ELSE 2 END AS why, CASE WHEN coalesce(block, '') = '' THEN 0 ELSE CAST('0x' || substr(md5(block || ':' || subject), 1, 15) AS bigint) END AS bobj,
+    CASE WHEN level > 0 THEN 5 WHEN asleep THEN 3 ELSE 1 END AS how, CAST('0x' || substr(md5(CASE WHEN name = 'SYNC_UNLOCK' AND coalesce(before, '') <> '' THEN before ELSE call END || ':' || subject), 1, 15) AS bigint) AS obj, CASE WHEN call LIKE 'mutex%' THEN 1 ELSE 2 END AS typ FROM lin3""",
+    "lin5": """SELECT dataset_id, cpu AS core_id, ts, cpu, tid, payload, 0 AS sub, 'TASK_READY' AS event_name, task_id, NULL AS prev_task_id, NULL AS next_task_id, NULL AS irq_id, NULL AS nesting_depth, 1 AS reason, NULL AS obj_id, NULL AS obj_type, NULL AS wake_src FROM lin4 WHERE name = 'TASK_READY'
+  UNION ALL SELECT dataset_id, (cpu + 1) % 4, ts, cpu, tid, payload, 0, name, task_id, NULL, NULL, NULL, NULL, NULL, bobj, NULL, CASE WHEN level > 0 THEN 4 WHEN why = 1 THEN 2 WHEN why = 2 THEN 3 ELSE 1 END FROM lin4 WHERE name = 'TASK_WAKEUP'
+  UNION ALL SELECT dataset_id, cpu, ts, cpu, tid, payload, 0, 'TASK_BLOCK', prev_task_id, NULL, NULL, NULL, NULL, why, bobj, NULL, NULL FROM lin4 WHERE asleep AND prev_task_id > 0
+  UNION ALL SELECT dataset_id, cpu, ts, cpu, tid, payload, 1, 'TASK_DISPATCH', next_task_id, NULL, NULL, NULL, NULL, how, NULL, NULL, NULL FROM lin4 WHERE name = 'CTX_SWITCH' AND next_task_id > 0
+  UNION ALL SELECT dataset_id, cpu, ts, cpu, tid, payload, 2, name, next_task_id, prev_task_id, next_task_id, NULL, NULL, how, NULL, NULL, NULL FROM lin4 WHERE name = 'CTX_SWITCH'
+  UNION ALL SELECT dataset_id, cpu, ts, cpu, tid, payload, 0, name, NULL, NULL, NULL, irq_id, level + CASE name WHEN 'IRQ_EXIT' THEN 1 ELSE 0 END, NULL, NULL, NULL, NULL FROM lin4 WHERE name LIKE 'IRQ%'
+  UNION ALL SELECT dataset_id, cpu, ts, cpu, tid, payload, 0, 'SYNC_TRY', task_id, NULL, NULL, NULL, NULL, NULL, obj, typ, NULL FROM lin4 WHERE name = 'SYNC_LOCK' AND call <> 'nanosleep'
+  UNION ALL SELECT dataset_id, cpu, ts, cpu, tid, payload, 0, CASE call WHEN 'sem_wait' THEN 'SYNC_LOCK' ELSE 'SYNC_UNLOCK' END, task_id, NULL, NULL, NULL, NULL, NULL, obj, typ, NULL FROM lin4 WHERE name = 'SYNC_UNLOCK' AND call <> 'mutex_lock'""",
+    "cl0": """SELECT collection_id, instance_index, nullif(machine_id, 0) AS mid, type, least(greatest(coalesce(priority, 0), -32768), 32767) AS prio, at_ts, row_number() OVER (ORDER BY at_ts, collection_id, instance_index, type, nullif(machine_id, 0) NULLS FIRST) AS place,
+    sum(CASE WHEN at_ts = 9223372036854775807 THEN 1 ELSE 0 END) OVER (ORDER BY at_ts, collection_id, instance_index, type, nullif(machine_id, 0) NULLS FIRST ROWS UNBOUNDED PRECEDING) AS nevers FROM cluster""",
+    "cl1": """SELECT *, CAST(CASE WHEN at_ts = 9223372036854775807 THEN (SELECT max(at_ts) FROM cluster WHERE at_ts < 9223372036854775807) + nevers ELSE at_ts END AS bigint) AS ts_raw, min(place) OVER (PARTITION BY collection_id, instance_index) AS tfirst,
+    CASE WHEN type IN (1, 4, 5, 6, 7, 8) THEN 1 ELSE 0 END AS leaves FROM cl0""",
+    "mids": "SELECT mid, row_number() OVER (ORDER BY min(place)) AS machine FROM cl0 WHERE mid IS NOT NULL GROUP BY mid",
+    "cl2": "SELECT c.*, dense_rank() OVER (ORDER BY tfirst) AS task_id, coalesce(machine, 0) AS machine, sum(leaves) OVER (PARTITION BY tfirst ORDER BY place) - leaves AS run FROM cl1 AS c LEFT JOIN mids USING (mid)",
+    "cl2b": "SELECT * EXCLUDE (machine), CASE WHEN mid IS NULL THEN 0 ELSE 1 + abs(mid) % 4 END AS machine FROM cl2",
 }
+for b in ("", "b"):
+    V |= {
+        f"cl3{b}": f"SELECT *, last_value(CASE WHEN type = 3 AND machine > 0 THEN machine END IGNORE NULLS) OVER (PARTITION BY task_id, run ORDER BY place ROWS UNBOUNDED PRECEDING) AS named FROM cl2{b}",
+        f"cl4{b}": f"SELECT *, last_value(CASE WHEN type = 3 THEN coalesce(named, 1) END IGNORE NULLS) OVER (PARTITION BY task_id, run ORDER BY place ROWS UNBOUNDED PRECEDING) AS running FROM cl3{b}",
+        f"cl5{b}": f"SELECT *, lag(running) OVER (PARTITION BY task_id, run ORDER BY place) AS before FROM cl4{b}",
+        f"occ0{b}": f"""SELECT running AS core, place, 0 AS sub, task_id, CASE WHEN type IN (1, 4) THEN 3 ELSE 6 END AS why, ts_raw FROM cl5{b} WHERE leaves = 1 AND running IS NOT NULL
+  UNION ALL SELECT before, place, 0, task_id, 2, ts_raw FROM cl5{b} WHERE type = 3 AND before <> running UNION ALL SELECT running, place, 2, task_id, NULL, ts_raw FROM cl5{b} WHERE type = 3""",
+        f"occ1{b}": f"SELECT *, last_value(CASE WHEN sub = 2 THEN task_id END IGNORE NULLS) OVER (PARTITION BY core ORDER BY place, sub ROWS UNBOUNDED PRECEDING) AS holder FROM occ0{b}",
+        f"occ2{b}": f"SELECT *, coalesce(last_value(CASE WHEN sub = 2 THEN task_id WHEN holder = task_id THEN 0 END IGNORE NULLS) OVER (PARTITION BY core ORDER BY place, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held FROM occ1{b}",
+        f"cl6{b}": f"""SELECT core AS core_id, place, sub, ts_raw, 'CTX_SWITCH' AS event_name, CASE sub WHEN 0 THEN 0 ELSE task_id END AS task_id, NULL AS prio, NULL AS core_hint, CASE WHEN sub = 0 THEN why WHEN held = 0 THEN 1 ELSE 2 END AS reason, NULL AS obj_id,
+    CASE sub WHEN 0 THEN task_id ELSE held END AS prev_task_id, CASE sub WHEN 0 THEN 0 ELSE task_id END AS next_task_id, NULL AS exit_code, NULL AS wake_src FROM occ2{b} WHERE sub = 0 AND holder = task_id OR sub = 2 AND held <> task_id
+  UNION ALL SELECT 0, place, 1, ts_raw, 'TASK_READY', task_id, prio, machine, CASE WHEN type = 0 AND place = tfirst THEN 1 ELSE 2 END, NULL, NULL, NULL, NULL, NULL FROM cl5{b} WHERE type IN (0, 9)
+  UNION ALL SELECT 0, place, 1, ts_raw, 'SYNC_TRY', task_id, NULL, NULL, NULL, collection_id, NULL, NULL, NULL, NULL FROM cl5{b} WHERE type = 1
+  UNION ALL SELECT 0, place, CASE type WHEN 1 THEN 2 ELSE 1 END, ts_raw, 'TASK_BLOCK', task_id, NULL, NULL, CASE type WHEN 1 THEN 5 ELSE 2 END, collection_id, NULL, NULL, NULL, NULL FROM cl5{b} WHERE type IN (1, 4)
+  UNION ALL SELECT 0, place, 1, ts_raw, 'TASK_WAKEUP', task_id, NULL, NULL, NULL, collection_id, NULL, NULL, NULL, 3 FROM cl5{b} WHERE type = 2
+  UNION ALL SELECT CASE WHEN type = 3 THEN running WHEN running IS NOT NULL THEN running ELSE greatest(machine, 1) END, place, 1, ts_raw, 'TASK_DISPATCH', task_id, prio, NULL, 1, NULL, NULL, NULL, NULL, NULL FROM cl5{b} WHERE type IN (3, 10)
+  UNION ALL SELECT machine, place, 1, ts_raw, 'TASK_EXIT', task_id, NULL, NULL, NULL, NULL, NULL, NULL, CASE type WHEN 5 THEN 1 WHEN 6 THEN 0 WHEN 7 THEN 137 ELSE 2 END, NULL FROM cl5{b} WHERE type IN (5, 6, 7, 8)""",
+        f"cl7{b}": f"SELECT *, row_number() OVER (PARTITION BY core_id ORDER BY place, sub) AS seq FROM cl6{b}",
+    }
+
 V["bundle"] = "SELECT o_orderkey, " + ", ".join(f"CASE WHEN NOT ({lacks}) THEN {v} END AS {kind}_{n}" for kind, (lacks, fields) in BUNDLE.items() for n, v in fields.items()) + " FROM orders"
 SQL = {
     "t01_doc_chunks": "SELECT doc_id, CAST(first_line AS int) AS first_line, CAST(length(text) AS int) AS n_chars FROM chunks",
@@ -344,9 +391,8 @@ SQL = {
     "s06_vcd_problems": "SELECT 'UNSUPPORTED_VALUE' AS reason, count(*) AS n FROM vcd WHERE event_name = 'LOSS' UNION ALL SELECT 'TIMESTAMP_REGRESSION', count(*) FROM (SELECT *, max(at_s) OVER (PARTITION BY dataset_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS latest FROM vcd) AS x WHERE at_s < latest",
     "c03_vcd_to_semantic": "SELECT 'marker' AS semantic, 'i' || irq_id AS identifier, count(*) AS n, count(*) FILTER (WHERE event_name = 'IRQ_ENTER') AS ones FROM vcd WHERE event_name <> 'LOSS' GROUP BY ALL",
     "s08_scan_cluster_json": "SELECT collection_id, instance_index, machine_id, type, priority, at_ts AS time, CAST(NULL AS int) AS missing_type FROM cluster",
-    "c02_cluster_to_events": """SELECT CAST(core AS int) AS core_id, name AS event_name, CASE type WHEN 5 THEN 1 WHEN 6 THEN 0 WHEN 7 THEN 137 WHEN 8 THEN 2 END AS exit_code, count(*) AS n, max(ts_raw) AS last, min(least(greatest(priority, -32768), 32767)) AS least_prio, count(DISTINCT (collection_id, instance_index)) AS tasks FROM (
-  SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY collection_id, instance_index ORDER BY ts_raw, type ROWS UNBOUNDED PRECEDING), 1) AS core, unnest(CASE WHEN type IN (0, 9) THEN ['TASK_READY'] WHEN type = 1 THEN ['SYNC_TRY', 'TASK_BLOCK'] WHEN type = 2 THEN ['TASK_WAKEUP'] WHEN type IN (3, 10) THEN ['TASK_DISPATCH']
-    WHEN type = 4 THEN ['TASK_BLOCK'] ELSE ['TASK_EXIT'] END) AS name FROM (SELECT *, CASE WHEN machine_id IS NOT NULL THEN 1 + abs(machine_id) % 4 END AS own, CASE WHEN at_ts = 9223372036854775807 THEN (SELECT max(at_ts) FROM cluster WHERE at_ts < 9223372036854775807) + 1 ELSE at_ts END AS ts_raw FROM cluster) AS x) AS y GROUP BY ALL""",
+    "c02_cluster_to_events": "SELECT * EXCLUDE (place, sub) FROM cl7",
+    "c02_cluster_buckets": "SELECT core_id, event_name, reason, exit_code, count(*) AS n, max(ts_raw) AS last, CAST(sum(seq) AS bigint) AS seqs, count(DISTINCT task_id) AS tasks FROM cl7b GROUP BY ALL",
     "s09_scan_logic_csv": "SELECT t AS time, CAST(a AS int) AS a, CAST(b AS int) AS b FROM logic WHERE a IS DISTINCT FROM la OR b IS DISTINCT FROM lb",
     "s09_logic_edges": "SELECT t AS time FROM logic WHERE a = 1 AND la = 0",
     "t17_raw_facts": "SELECT dataset_id, CAST(coalesce(sum(greatest(step, 0)), 0) AS bigint) AS missing, CAST(coalesce(sum(lost_count), 0) AS bigint) AS lost, CAST(coalesce(sum(overflow_count), 0) AS bigint) AS overflowed FROM (SELECT *, seq - lag(seq) OVER (PARTITION BY dataset_id, core_id ORDER BY seq) - 1 AS step FROM ev) AS x GROUP BY dataset_id",
@@ -368,12 +414,6 @@ SQL = {
     "s05_btf_rejects": "SELECT 'ACTION' AS reason, count(*) AS n FROM btf WHERE event_name = 'SYNC_TRY'",
     "c03_btf_to_semantic": "SELECT CASE event_name WHEN 'TASK_READY' THEN 'task_create' WHEN 'CTX_SWITCH' THEN 'context_switch' ELSE 'marker' END AS semantic, core_id AS cpu, count(*) AS n FROM btf WHERE event_name <> 'SYNC_TRY' GROUP BY ALL",
     "s07_scan_systrace": "SELECT dataset_id, coalesce(task_id, 0) AS tid, core_id AS cpu, ts_raw * 1000 AS timestamp_ns FROM sys",
-    "c01_systrace_to_events": """SELECT dataset_id, core_id, name AS event_name, CAST(depth AS int) AS nesting_depth, count(*) AS n, CAST(sum(task) AS bigint) AS tasks FROM (
-  SELECT dataset_id, core_id, 'TASK_BLOCK' AS name, NULL AS depth, prev_task_id AS task FROM sys WHERE event_name = 'CTX_SWITCH' AND reason = 1 AND prev_task_id > 0
-  UNION ALL SELECT dataset_id, core_id, 'TASK_DISPATCH', NULL, next_task_id FROM sys WHERE event_name = 'CTX_SWITCH' AND next_task_id > 0
-  UNION ALL SELECT dataset_id, core_id, 'CTX_SWITCH', NULL, next_task_id FROM sys WHERE event_name = 'CTX_SWITCH' UNION ALL SELECT dataset_id, core_id, 'TASK_WAKEUP', NULL, task_id FROM sys WHERE event_name = 'TASK_WAKEUP'
-  UNION ALL SELECT dataset_id, core_id, event_name, CASE event_name WHEN 'IRQ_ENTER' THEN walk - low ELSE walk - low + 1 END, NULL FROM (SELECT *, least(0, min(walk) OVER w) AS low FROM (
-    SELECT *, sum(CASE event_name WHEN 'IRQ_ENTER' THEN 1 ELSE -1 END) OVER w AS walk FROM sys WHERE event_name LIKE 'IRQ%' WINDOW w AS (PARTITION BY dataset_id, core_id ORDER BY ts_raw, event_name ROWS UNBOUNDED PRECEDING)) AS a
-    WINDOW w AS (PARTITION BY dataset_id, core_id ORDER BY ts_raw, event_name ROWS UNBOUNDED PRECEDING)) AS b) AS x GROUP BY ALL""",
+    "c01_systrace_to_events": "SELECT dataset_id, core_id, row_number() OVER (PARTITION BY dataset_id, core_id ORDER BY ts, cpu, tid, payload, sub) AS seq, ts AS ts_raw, event_name, task_id, prev_task_id, next_task_id, irq_id, nesting_depth, reason, obj_id, obj_type, wake_src FROM lin5",
 }
 ORACLE = {k: with_views(v, V) for k, v in SQL.items()}
