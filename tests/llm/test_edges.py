@@ -219,7 +219,7 @@ def test_html(spark):
     assert main_text(page) == "T\none two three\nx\ny"
     site = lambda t, *ps: f"<body><div class=top>Site</div><div id=c><h2>{t}</h2>{''.join(f'<p>{p}</p>' for p in ps)}</div><div class=bottom>All rights</div>"
     wrapper = infer([site("one", "first words here"), site("two", "other words", "and more of them"), site("six", "last of all these")])
-    assert expression(wrapper) == "<#root><body><div.bottom>#text</><div.c><h2>#slot</>(<p>#slot</>)+</><div.top>#text</></></>"
+    assert expression(wrapper) == "<#root><body><div.top>#text</><div.c><h2>#slot</>(<p>#slot</>)+</><div.bottom>#text</></></>"
     assert main_text(site("t", "p1", "p2", "p3"), wrapper) == "t\np1\np2\np3"
     assert len(main_text("<div>" * 20000 + "deep")) == 4
 

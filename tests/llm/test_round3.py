@@ -217,3 +217,98 @@ def test_quality_corner_cases(spark):
     got = quality_cnn.score(docs, some).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert quality_cnn.score(docs.where("false"), some).count() == 0
+
+
+def test_html_keeps_what_only_looks_like_chrome():
+    from tracefold.llm.html_extract import main_text
+
+    parts = ["<section class='social-policy'><p>Policy text</p></section>", "<div id='share'><p>Shares fell</p></div>", "<section id='privacy-notices'><p>On notices</p></section>", "<div class='newsletter'><p>A letter</p></div>"]
+    inline = "<p>Press <button>OK</button> now, <label>reader</label>.</p><xmp>a <b> & c</xmp><p>Where <math><mi>x</mi></math> is</p><aside><p>A quote of hers</p></aside>"
+    gone = "<button>Share</button><nav>menu</nav><form><label>Mail</label><input></form><div class='comments'><p>Nice</p></div><aside><a href=/x>Elsewhere</a></aside><div class='ad'>Buy</div>"
+    page = f"<html><body><article><h1>T</h1>{''.join(parts)}{gone}{inline}</article></body></html>"
+    assert main_text(page) == "T\nPolicy text\nShares fell\nOn notices\nA letter\nPress OK now, reader.\na <b> & c\nWhere x is\nA quote of hers"
+
+
+def test_html_template_by_alignment_alone():
+    """Menus and ends without a name, between which the text stands in elements of the same kind, go by the host's pages alone."""
+    from tracefold.llm.html_extract import expression, infer, main_text
+
+    rng = random.Random(6)
+    sentence = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    bodies = [[sentence(12) for _ in range(rng.randrange(1, 5))] for _ in range(9)]
+    site = lambda ps: f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div>{''.join(f'<p>{p}</p>' for p in ps)}</div><div>All rights reserved</div></body>"
+    pages = [site(b) for b in bodies]
+    wrapper = infer(pages)
+    changed = sum(main_text(p, wrapper) != main_text(p) for p in pages)
+    assert changed == 9 and [main_text(p, wrapper) for p in pages] == ["\n".join(b) for b in bodies]
+    assert main_text(site(["fresh words of a new page"]), wrapper) == "fresh words of a new page"
+    lead = "<p class='lead'>Correction: a name was wrong</p>"
+    for n in (3, 5):
+        articles = [f"<body><article><h1>{sentence(2)}</h1>{lead}<p>{sentence(9)}</p></article></body>" for _ in range(n)]
+        assert all("Correction" in main_text(p, infer(articles)) for p in articles)
+    assert expression(infer(["<p>a</p><ul><li>x<li>y</ul><p>b</p>", "<p>a</p><p>c</p>"])) == "<#root>(<p>#slot</>)+(<ul>(<li>#text</>)+</>)?(<p>#text</>)?</>"
+    assert expression(infer(["<h2>a</h2><p>b</p><h2>c</h2><p>d</p>", "<h2>a</h2><p>e</p>"])) == "<#root>(<h2>#slot</><p>#slot</>)+</>"
+
+
+def brute_lcs(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_alignment_of_streams():
+    from tracefold.llm import html_wrapper as hw
+
+    rng = random.Random(1)
+    for _ in range(300):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randrange(9))] for _ in range(2))
+        pairs = hw.matches(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and pairs == sorted(pairs) and len({i for i, _ in pairs}) == len(pairs) == len({j for _, j in pairs}) == brute_lcs(a, b)
+
+    def fits(node, tokens):
+        """Whether an element stream matches the wrapper's regular expression, tried in all ways."""
+        import re
+
+        def pattern(n, top):
+            inner = "".join(pattern(k, False) for k in n.kids)
+            body = "t" if n.mark == hw.TEXT else f"(?:{inner})" if n.mark.startswith("(") else f"{n.mark}<{inner}>"
+            return body if top else f"(?:{body})*" if n.times > n.pages else f"(?:{body})?"
+
+        return re.fullmatch(pattern(node, True), tokens) is not None
+
+    def page(depth=0):
+        return [(rng.choice("abc"), page(depth + 1) if depth < 2 else []) if rng.random() < 0.8 else None for _ in range(rng.randrange(5))]
+
+    def tokens(kids, out, parent):
+        for k in kids:
+            out.append((parent, hw.TEXT if k is None else k[0], str(rng.random()) if k is None else None))
+            if k is not None:
+                tokens(k[1], out, len(out) - 1)
+        return out
+
+    stream = lambda kids: "".join("t" if k is None else f"{k[0]}<{stream(k[1])}>" for k in kids)
+    for _ in range(60):
+        pages = [page() for _ in range(rng.randrange(1, 5))]
+        wrapper = None
+        for p in pages:
+            own, nodes = hw.of_page(tokens(p, [(-1, "r", None)], 0))
+            assert len(nodes) == len(tokens(p, [(-1, "r", None)], 0)) and set(nodes) <= set(hw.ordered(own))
+            wrapper = own if wrapper is None else hw.merge(wrapper, own)
+        again = hw.read(hw.written(wrapper))
+        assert hw.written(again) == hw.written(wrapper) and again.pages == len(pages)
+        assert all(fits(again, f"r<{stream(p)}>") for p in pages)
+
+
+def test_html_wrappers_meet_over_many_buckets(spark, monkeypatch):
+    from tracefold.llm import html_extract
+
+    monkeypatch.setattr(html_extract, "ALIGNED", 2)
+    rows = [(i, f"http://{'big' if i % 5 else 'small'}.example/{i}", f"<body><div>Menu of the site</div><div><p>text {i} of a page {i * 7}</p></div><div>End of it</div></body>") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = html_extract.parsed(pages)
+    wrappers = {r.host: r.wrapper for r in html_extract.fit_wrappers(read).collect()}
+    assert wrappers == {r.host: r.wrapper for r in html_extract.fit_wrappers(read.repartition(7)).collect()} and set(wrappers) == {"big.example", "small.example"}
+    assert {h: html_extract.read(w).pages for h, w in wrappers.items()} == {"big.example": 240, "small.example": 60}
+    assert all(r.text == f"text {r.page_id} of a page {r.page_id * 7}" for r in html_extract.extract(pages).collect())

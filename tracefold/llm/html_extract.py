@@ -1,28 +1,27 @@
 """HTML main-text extraction with per-host wrappers.
 
-A wrapper is a union-free regular expression over the tags and texts of a
-host's pages. It is inferred by aligning the pages' token streams one after
-another: an element that only some pages have becomes an optional group, one
-that a page has several times at its place a repeated group, a text that
-differs between pages a slot; what stays the same is template. The streams
-are aligned element by element (an element is known by its tag and name,
-within its parent), so the result doesn't depend on the order of the pages,
-and wrappers of parts of a host can be merged: every page takes part, tasks
-align the pages that they read, and the parts meet in sums and minima per
-host and element, however large the host.
+A wrapper is a union-free regular expression over the elements and texts of a
+host's pages, inferred by aligning their streams one after another
+(``html_wrapper.py``): every page takes part. Pages of a host are aligned in
+buckets dealt by a hash of their content, and partial wrappers are merged by
+sixteen, level by level, so no task takes a host as a whole and the result
+doesn't depend on partitions or on tasks that ran twice.
 
 Extraction follows the wrapper. From the root it goes down to the element
 that holds most of the host's slots, weighing article and main elements
-higher; that element is the article. Its blocks are the text, without the
-elements that are never article text by HTML's own meaning (menus, asides,
-forms, scripts, ...), without containers whose name says only that (a prior;
-see ``named_chrome``), and without named elements whose text is the same on
-at least SAME_ON different pages of the host.
-
-A page is parsed once; the blocks found are written, and wrappers are joined
-to them: by a broadcast up to MOST_BYTES of them, otherwise by a join that
-adaptive execution splits where a host is large. Elements that one page alone
-has are not in the wrapper that is joined, since the page knows them itself.
+higher; that element is the article. Its lines are the text, without what is
+never article text by HTML's own meaning (menus, forms, footers, scripts, ...).
+A part with a name goes by that name alone only outside articles, or where it
+names comments, adverts or consent, or is clearly a bar, box or list of such
+things (``named_chrome``). Texts that stay the same on at least SAME_ON
+different pages are template and go where the article has no article or main
+element around it; inside one only parts with a name go, if nearly all articles
+of the host (SAME_ON_IN_ARTICLE at least) repeat them word for word.
+
+A page is parsed once; its tokens are written, and wrappers are joined to
+them: by a broadcast up to MOST_BYTES of them, otherwise by a join that
+adaptive execution splits where a host is large. Nodes of a single page leave
+a wrapper once it covers 32 pages, since the page knows them itself.
 
 Defined results: null or empty html gives empty text; a null or odd url has
 host ``""``; unclosed and stray tags are tolerated; every row gives one row;
@@ -32,27 +31,31 @@ without an article of its own a page gives the text of its body.
 from __future__ import annotations
 
 import html
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
 from .html_tree import BLOCK, RAW, SPACE, Element, parse
+from .html_wrapper import TEXT, Node, expression, merge, of_page, ordered, placed, pruned, read, same_on, written
+
+__all__ = ["expression", "extract", "infer", "main_text"]
 
 MOST_BYTES = 32_000_000
 #: Least share of an element's weighed letters that its part must hold to be the article; weight of an article or main element; least letters of a repeated article against the longest.
 SHARE, WEIGHT, TEASER = 0.6, 6.0, 0.25
-SAME_ON = 4
+SAME_ON, SAME_ON_IN_ARTICLE = 4, 8
+SEMANTIC = ("article", "main")
 CONTAINER = set("#root html body div section article main center td tr tbody table".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 #: Elements and roles that are never article text, by HTML's and ARIA's own meaning.
-CHROME = set("nav footer aside form button select input textarea menu dialog label fieldset".split()) | RAW
+CHROME = set("nav footer form select input textarea menu dialog".split()) | RAW
+#: Controls: words of theirs count within a sentence, not alone.
+CONTROLS = set("button label legend".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alertdialog menu menubar toolbar".split())
 #: Words of names that say what is no article text, words that say nothing beside them, and more such words beside what names comments or adverts.
 COMMENTS = set("comment comments commentlist disqus replies reply respond".split())
@@ -66,34 +69,53 @@ PLAIN_WORDS = set(
     " outer page panel policy posts primary privacy right secondary section sign signup site slot sticky stories thread top unit up wrap wrapper".split()
 )
 WIDER_WORDS = set("article author body content count date entry google in inline meta mid native post reader readers text title user users visitor".split())
-NAMED = set("div section ul ol dl table p span center details".split())
+NAMED = set("div section ul ol dl table p span center details aside".split())
+#: Inside an article a name counts only with one of these beside its chrome word, with two chrome words, or if it names comments, adverts or consent.
+PARTS = set("articles bar box btn button buttons fixed form icons items links list posts signup site slot sticky stories unit".split())
+CONSENT = set("cookie cookies consent gdpr".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 
 
 def named_chrome(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """A container with a class or id made up of chrome words and plain words only, such as ``ad``, ``cookie-notice`` or ``relatedPosts``, but not ``related-work``."""
+    """A container with a class or id made up of chrome words and plain words only, such as ``ad``, ``cookie-notice`` or ``relatedPosts``, but not ``related-work``; inside an article not ``share``, ``newsletter`` or ``social-policy`` either, which can be its own sections."""
     if tag not in NAMED:
         return False
     for name in [*attrs.get("class", "").split(), *attrs.get("id", "").split()]:
         words = {w.lower() for w in WORDS.findall(name)}
+        chrome = words & CHROME_WORDS
         plain = PLAIN_WORDS | WIDER_WORDS if words & (COMMENTS | ADVERTS) else PLAIN_WORDS
-        if words & CHROME_WORDS and words <= CHROME_WORDS | plain and not (in_article and words <= {"header"} | PLAIN_WORDS):
+        if not chrome or not words <= CHROME_WORDS | plain:
+            continue
+        if not in_article or words & (COMMENTS | ADVERTS | CONSENT):
+            return True
+        if not words <= {"header"} | PLAIN_WORDS and not words & {"policy", "privacy"} and (len(chrome) > 1 or words & PARTS):
             return True
     return False
 
 
+def only_links(e: Element) -> bool:
+    """Whether at least four fifths of an element's letters are links."""
+    links = letters = 0
+    todo = [(c, e.tag == "a") for c in e.children]
+    while todo:
+        c, inside = todo.pop()
+        if isinstance(c, str):
+            n = len("".join(c.split()))
+            letters += n
+            links += n if inside else 0
+        else:
+            todo += [(x, inside or c.tag == "a") for x in c.children]
+    return links >= 0.8 * letters
+
+
 def is_chrome(e: Element) -> bool:
     a = e.attrs
-    if e.tag in CHROME or (e.tag == "header" and not e.in_article):
+    if e.tag in CHROME or (e.tag == "header" and not e.in_article) or (e.tag == "aside" and (not e.in_article or only_links(e))):
         return True
     return bool(a) and ("hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or named_chrome(e.tag, a, e.in_article))
 
 
-def node_id(parent: int, mark: str) -> int:
-    return xxhash.xxh64_intdigest(mark, seed=parent) >> 1
-
-
 def mark_of(e: Element) -> str:
     """What tells an element from its like: its tag, with its id or classes, numbers left out."""
     name = e.attrs.get("id") or e.attrs.get("class") or ""
@@ -101,224 +123,185 @@ def mark_of(e: Element) -> str:
 
 
 class Page:
-    """Blocks and elements of a page.
-
-    blocks: (element, number of the outermost article around it or 0, text)
-    in page order; an element is named by a number made from its path.
-    shape: element -> [parent, mark, times, letters, hash of its text],
-    parents before their children.
-    """
+    """Tokens of a page in its order: (place of the parent, mark, number of the outermost article around it or 0, text of a line or null)."""
 
     def __init__(self, page: str | None):
-        self.blocks: list[tuple[int, int, str]] = []
-        self.shape: dict[int, list] = {}
+        self.tokens: list[tuple[int, str, int, str | None]] = [(-1, "#root", 0, None)]
         if page:
             self._read(parse(page))
 
-    def _open(self, e: Element, parent: int) -> int:
-        mark = mark_of(e)
-        node = node_id(parent, mark)
-        self.shape.setdefault(node, [parent, mark, 0, 0, 0])[2] += 1
-        return node
-
     def _read(self, root: Element) -> None:
-        texts: list[str] = []
-        here = (self._open(root, 0), 0)
+        texts: list[tuple[str, bool]] = []  # with whether a control shows it
+        here = (0, 0)
         articles = 0
 
         def close() -> None:
-            line = SPACE.sub(" ", "".join(texts)).strip()
+            line = SPACE.sub(" ", "".join(t for t, _ in texts)).strip()
+            alone = all(control or not t.strip() for t, control in texts)
             texts.clear()
-            if line:
-                self.blocks.append((*here, line))
-                known = self.shape[here[0]]
-                known[3] += len(line)
-                known[4] = xxhash.xxh64_intdigest(line, seed=known[4]) >> 1
+            if line and not alone:
+                self.tokens.append((here[0], TEXT, here[1], line))
 
-        todo: list = [(c, here) for c in reversed(root.children)]
+        todo: list = [(c, here, False) for c in reversed(root.children)]
         while todo:
-            c, around = todo.pop()
+            c, around, control = todo.pop()
             if c is None:  # the end of a block; text goes on in the one around it
                 close()
                 here = around
             elif isinstance(c, str):
-                texts.append(html.unescape(c))
+                texts.append((html.unescape(c), control))
             elif is_chrome(c):
                 if c.tag in BLOCK:
                     close()
-            elif c.tag in BLOCK:
+            elif c.tag in BLOCK and c.tag not in CONTROLS:
                 close()
-                todo.append((None, around))
+                todo.append((None, around, control))
                 articles += c.tag == "article" and not around[1]
-                here = (self._open(c, around[0]), around[1] or (articles if c.tag == "article" else 0))
-                todo.extend((x, here) for x in reversed(c.children))
+                here = (len(self.tokens), around[1] or (articles if c.tag == "article" else 0))
+                self.tokens.append((around[0], mark_of(c), here[1], None))
+                todo.extend((x, here, control) for x in reversed(c.children))
             else:
                 if c.tag == "br":
-                    texts.append(" ")
-                todo.extend((x, around) for x in reversed(c.children))
+                    texts.append((" ", control))
+                todo.extend((x, around, control or c.tag in CONTROLS) for x in reversed(c.children))
         close()
 
+    def wrapper(self) -> tuple[Node, list[Node]]:
+        return of_page([(parent, mark, text) for parent, mark, _, text in self.tokens])
 
-# A wrapper: element -> [parent, mark, pages, times, letters, lowest and highest text hash, bits of page hashes].
-
-
-def align(wrapper: dict[int, list], shape: dict[int, list]) -> dict[int, list]:
-    """The wrapper generalised in place so that it also fits a page of this shape.
-
-    An element with fewer pages than its parent is an optional group, with
-    more times than pages a repeated one; different hashes make its text a slot.
-    """
-    bit = 1 << (sum(n * 31 ^ s[4] for n, s in shape.items() if s[4]) % 61)
-    bit = bit - (1 << 64) if bit >> 63 else bit
-    for node, (parent, mark, times, letters, h) in shape.items():
-        w = wrapper.setdefault(node, [parent, mark, 0, 0, 0, h, h, 0])
-        w[2] += 1
-        w[3] += times
-        w[4] += letters
-        w[5], w[6] = min(w[5], h), max(w[6], h)
-        w[7] |= bit
-    return wrapper
-
-
-def expression(wrapper: dict[int, list]) -> str:
-    """The wrapper as a regular expression: (...)? optional, (...)+ repeated, #slot, and texts that stay as #text; siblings by their marks."""
-    children: dict[int, list[int]] = {}
-    for node, w in sorted(wrapper.items(), key=lambda x: x[1][1]):
-        children.setdefault(w[0], []).append(node)
-
-    def render(node: int) -> str:
-        parent, mark, pages, times, letters, low, high, _ = wrapper[node]
-        text = "" if not letters else "#slot" if low != high else "#text"
-        out = f"<{mark}>{text}{''.join(map(render, children.get(node, ())))}</>"
-        optional, repeated = parent in wrapper and pages < wrapper[parent][2], times > pages
-        return f"({out}){'*' if optional and repeated else '+' if repeated else '?'}" if optional or repeated else out
 
-    return "".join(render(n) for n in children.get(0, ()))
-
-
-def same_everywhere(w: list) -> bool:
-    return w[5] == w[6] and bin(w[7] & (2**64 - 1)).count("1") >= SAME_ON
-
-
-def infer(pages: list[str]) -> dict[int, list]:
+def infer(pages: list[str]) -> Node:
     """The wrapper of a few pages of one host."""
-    wrapper: dict[int, list] = {}
+    out: Node | None = None
     for p in pages:
-        align(wrapper, Page(p).shape)
-    return wrapper
+        own = Page(p).wrapper()[0]
+        out = own if out is None else merge(out, own)
+    return out or Node("#root")
 
 
-def main_text(page: str | None, wrapper: dict[int, list] | None = None) -> str:
-    read = Page(page)
-    return article_text(read.blocks, read.shape, wrapper or {})
+def main_text(page: str | None, wrapper: Node | None = None) -> str:
+    return article_text(Page(page).tokens, wrapper)
 
 
-def article_text(blocks: list[tuple[int, int, str]], shape: dict[int, list], wrapper: dict[int, list]) -> str:
-    """The article's blocks, one a line, by the wrapper of the page's host; elements it doesn't have count as on this page alone."""
-    if not blocks:
+def article_text(tokens: list[tuple[int, str, int, str | None]], wrapper: Node | None) -> str:
+    """The article's lines by the wrapper of the page's host; what the wrapper doesn't have counts as on this page alone."""
+    if not any(text for *_, text in tokens):
         return ""
-    alone = align({}, {n: s for n, s in shape.items() if n not in wrapper})
-    stats = {n: wrapper.get(n) or alone[n] for n in shape}
-    tags = {n: s[1].split(".")[0] for n, s in shape.items()}
-    root = next(iter(shape))
-
-    weighed: dict[int, float] = {}  # letters a page in slots below, those of articles counted WEIGHT times
-    children: dict[int, list[int]] = {}
-    for n, w in reversed(list(stats.items())):
-        own = 0.0 if same_everywhere(w) and "." in w[1] else w[4] / w[2]
-        weighed[n] = (weighed.get(n, 0.0) + own) * (WEIGHT if tags[n] in ("article", "main") else 1.0)
-        parent = shape[n][0]
-        weighed[parent] = weighed.get(parent, 0.0) + weighed[n]
-        children.setdefault(parent, []).append(n)
-
-    at = root
+    own, nodes = of_page([(parent, mark, text) for parent, mark, _, text in tokens])
+    host = placed(own, wrapper)
+    every = ordered(own)
+    stats = {n: host.get(n, n) for n in every}
+    tag = {n: n.mark.split(".")[0] for n in every}
+    parent = {k: n for n in every for k in n.kids}
+
+    weighed: dict[Node, float] = {}  # letters a page in slots below, those of articles counted WEIGHT times
+    fixed: dict[Node, bool] = {}  # whether an element has text and all of it stays the same over many pages
+    for n in reversed(every):
+        s = stats[n]
+        if n.mark == TEXT:
+            weighed[n], fixed[n] = 0.0 if same_on(s, SAME_ON) else s.letters / s.pages, same_on(s, SAME_ON_IN_ARTICLE)
+        else:
+            weighed[n] = sum(weighed[k] for k in n.kids) * (WEIGHT if tag[n] in SEMANTIC else 1.0)
+            fixed[n] = any(fixed[k] for k in n.kids) and all(fixed[k] or not weighed[k] for k in n.kids)
+
+    at = own
     while True:
-        inside = [n for n in children.get(at, ()) if tags[n] in CONTAINER and (stats[n][3] <= 1.5 * stats[n][2] or tags[n] == "article")]
-        best = max(inside, key=lambda n: (weighed[n], n), default=root)
-        if best == root or not weighed[best] or weighed[best] < SHARE * weighed[at] / (WEIGHT if tags[at] in ("article", "main") else 1.0):
+        inside = []
+        for k in at.kids:  # members of a group stand where the group stands
+            inside += k.kids if k.mark.startswith("(") else [k]
+        inside = [n for n in inside if tag[n] in CONTAINER and (stats[n].times <= 1.5 * stats[n].pages or tag[n] == "article")]
+        best = max(inside, key=lambda n: weighed[n], default=own)
+        if best is own or not weighed[best] or weighed[best] < SHARE * weighed[at] / (WEIGHT if tag[at] in SEMANTIC else 1.0):
             break
         at = best
 
-    within, template = {at}, set()
-    for n, s in shape.items():
-        if s[0] in within:
-            within.add(n)
-            fixed = same_everywhere(stats[n]) and stats[n][4] and "." in s[1] and tags[n] not in HEADING
-            if fixed or s[0] in template:
-                template.add(n)
-    lines = [(k, line) for n, k, line in blocks if n in within and n not in template]
-    if tags[at] == "article" and shape[at][2] > 1:
+    around = at
+    while tag[around] not in SEMANTIC and around in parent:
+        around = parent[around]
+    semantic = tag[around] in SEMANTIC
+    within, gone, heading = {at}, set(), set()
+    for n in ordered(at):
+        for k in n.kids:
+            within.add(k)
+            if n in heading or tag[n] in HEADING:
+                heading.add(k)
+            s = stats[k]
+            if semantic:  # only a part with a name that nearly all articles of the host repeat word for word
+                template = tag[k] in NAMED - {"p", "span"} and "." in k.mark and fixed[k] and s.pages >= 0.9 * stats[at].pages
+            else:
+                template = k.mark == TEXT and k not in heading and same_on(s, SAME_ON)
+            if n in gone or template:
+                gone.add(k)
+    lines = [(k, text) for (_, _, k, text), n in zip(tokens, nodes, strict=True) if text and n in within and n not in gone]
+    if tag[at] == "article" and at.times > 1:
         letters: dict[int, int] = {}
         for k, line in lines:
             letters[k] = letters.get(k, 0) + len(line)
         lines = [(k, line) for k, line in lines if letters[k] >= TEASER * max(letters.values())]
-    if not lines and at == root:  # nothing but template
-        lines = [(k, line) for _, k, line in blocks]
+    if not lines and at is own:  # nothing but template
+        lines = [(k, text) for _, _, k, text in tokens if text]
     return "\n".join(line for _, line in lines)
 
 
-PARSED = "page_id bigint, url string, host string, blocks array<struct<node:bigint,article:int,text:string>>, shape array<struct<node:bigint,parent:bigint,mark:string,times:int,letters:bigint,h:bigint>>"
-PART = "host string, node bigint, parent bigint, mark string, pages bigint, times bigint, letters bigint, low bigint, high bigint, bits bigint"
-_LIST = {
-    "blocks": pa.list_(pa.struct([("node", pa.int64()), ("article", pa.int32()), ("text", pa.string())])),
-    "shape": pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("mark", pa.string()), ("times", pa.int32()), ("letters", pa.int64()), ("h", pa.int64())])),
-}
-#: Pages handled at a time; elements kept by a task before it passes its wrappers on.
-PAGES, KEPT = 64, 200_000
-
-
-def _lists(rows: list[list[tuple]], kind: str) -> pa.Array:
-    sizes = [0]
-    for r in rows:
-        sizes.append(sizes[-1] + len(r))
-    columns = list(zip(*(x for r in rows for x in r), strict=True)) or [()] * _LIST[kind].value_type.num_fields
-    fields = list(_LIST[kind].value_type)
-    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields))
+PARSED = "page_id bigint, url string, host string, tokens array<struct<parent:int,mark:string,article:int,text:string>>"
+TOKENS = pa.list_(pa.struct([("parent", pa.int32()), ("mark", pa.string()), ("article", pa.int32()), ("text", pa.string())]))
+#: Pages handled at a time; pages whose streams a task aligns one after another; partial wrappers that are merged into one (a power of two).
+PAGES, ALIGNED, MERGED = 64, 32, 16
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), PAGES):
             part = batch.slice(at, PAGES)
-            read = [Page(h) for h in part.column(3).to_pylist()]
-            shapes = [[(n, *s) for n, s in p.shape.items()] for p in read]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), _lists([p.blocks for p in read], "blocks"), _lists(shapes, "shape")], names=["page_id", "url", "host", "blocks", "shape"])
+            rows = [Page(h).tokens for h in part.column(3).to_pylist()]
+            sizes = [0]
+            for r in rows:
+                sizes.append(sizes[-1] + len(r))
+            fields = list(TOKENS.value_type)
+            columns = zip(*(x for r in rows for x in r), strict=True)
+            tokens = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), tokens], names=["page_id", "url", "host", "tokens"])
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial wrappers of the hosts of a task's pages, a row for each element."""
-    wrappers: dict[str, dict[int, list]] = {}
+def _tokens(value: list[dict]) -> list[tuple[int, str, int, str | None]]:
+    return [(t["parent"], t["mark"], t["article"], t["text"]) for t in value]
 
-    def out() -> pa.RecordBatch:
-        rows = [(host, node, *w) for host, wrapper in wrappers.items() for node, w in wrapper.items()]
-        wrappers.clear()
-        columns = list(zip(*rows, strict=True)) or [()] * 10
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 6]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PART.split(", ")])
 
-    for batch in batches:
-        for at in range(0, len(batch), PAGES):
-            part = batch.slice(at, PAGES)
-            for host, shape in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                align(wrappers.setdefault(host, {}), {s["node"]: [s["parent"], s["mark"], s["times"], s["letters"], s["h"]] for s in shape})
-            if sum(map(len, wrappers.values())) > KEPT:
-                yield out()
-    yield out()
+def _aligned(of_pages: bool) -> Callable:
+    """One wrapper for each run of rows of one (host, bucket), from pages (tokens) or partial wrappers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"host": [key[0]], "bucket": pa.array([key[1]], pa.int64()), "wrapper": [written(pruned(held))]})
+
+        for batch in batches:
+            for i in range(len(batch)):
+                host, bucket, value = (batch.column(c)[i].as_py() for c in range(3))
+                own = of_page([(p, m, t) for p, m, _, t in _tokens(value)])[0] if of_pages else read(value)
+                if key == (host, bucket):
+                    merge(held, own)
+                else:
+                    if key is not None:
+                        yield out()
+                    key, held = (host, bucket), own
+        if key is not None:
+            yield out()
+
+    return run
 
 
 @lru_cache(maxsize=64)
-def _told(wrapper: str | None) -> dict[int, list]:
-    return {row[0]: row[1:] for row in json.loads(wrapper)} if wrapper else {}
+def _told(wrapper: str | None) -> Node | None:
+    return read(wrapper) if wrapper else None
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), PAGES):
             part = batch.slice(at, PAGES)
-            texts = []
-            for blocks, shape, wrapper in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                own = {s["node"]: [s["parent"], s["mark"], s["times"], s["letters"], s["h"]] for s in shape}
-                texts.append(article_text([(b["node"], b["article"], b["text"]) for b in blocks], own, _told(wrapper)))
+            texts = [article_text(_tokens(tokens), _told(wrapper)) for tokens, wrapper in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -332,17 +315,30 @@ def parsed(pages: DataFrame) -> DataFrame:
     return settle(own.mapInArrow(_parse, PARSED))
 
 
-def fit_wrappers(read: DataFrame) -> DataFrame:
-    """host, node and the other columns of PART over all pages of ``read`` (see ``parsed``)."""
-    sums = [F.sum(c).alias(c) for c in ("pages", "times", "letters")]
-    return read.select("host", "shape").mapInArrow(_align, PART).groupBy("host", "node").agg(F.min("parent").alias("parent"), F.min("mark").alias("mark"), *sums, F.min("low").alias("low"), F.max("high").alias("high"), F.bit_or("bits").alias("bits"))
+def fit_wrappers(pages: DataFrame) -> DataFrame:
+    """host, wrapper (JSON) over all pages of ``pages`` (see ``parsed``), for hosts of several pages.
+
+    Pages are dealt to buckets by a hash of their content, about ALIGNED pages a bucket, and aligned in
+    order of that hash; then MERGED neighbouring buckets are merged at a time, until each host has one. So the
+    result depends neither on the partitions nor on a task that ran twice.
+    """
+    sizes = pages.groupBy("host").agg(F.count("*").alias("n")).where("n > 1")
+    # buckets by host: a power of two
+    bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / ALIGNED))).cast("int")
+    order = F.xxhash64("tokens", "page_id")
+    dealt = pages.join(sizes.select("host", bits.alias("bits")), "host").select("host", F.expr("shiftrightunsigned(xxhash64(tokens, page_id), 64 - bits) * if(bits = 0, 0, 1)").alias("bucket"), "tokens", order.alias("place"))
+    rows = dealt.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "place").select("host", "bucket", "tokens")
+    out = settle(rows.mapInArrow(_aligned(True), "host string, bucket bigint, wrapper string"))
+    while (out.agg(F.max("bucket")).first()[0] or 0) > 0:
+        near = out.select("host", F.expr(f"bucket div {MERGED}").alias("next"), "wrapper", "bucket").repartition("host", "next").sortWithinPartitions("host", "next", "bucket")
+        out = settle(near.select("host", "next", "wrapper").mapInArrow(_aligned(False), "host string, bucket bigint, wrapper string"))
+    return out.select("host", "wrapper")
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Per row of ``pages``: page_id, url, text (the article's blocks, one a line), n_chars."""
-    read = parsed(pages)
-    items = F.concat(F.lit("["), F.concat_ws(",", "node", "parent", F.to_json(F.array("mark")).substr(F.lit(2), F.length(F.to_json(F.array("mark"))) - 2), "pages", "times", "letters", "low", "high", "bits"), F.lit("]"))
-    wrappers = settle(fit_wrappers(read).where("pages > 1").groupBy("host").agg(F.concat(F.lit("["), F.array_join(F.collect_list(items), ","), F.lit("]")).alias("wrapper")))
+    """Per row of ``pages``: page_id, url, text (the article's lines, joined by newlines), n_chars."""
+    read_ = parsed(pages)
+    wrappers = settle(fit_wrappers(read_))
     size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host") + 64)).first()[0] or 0
-    told = read.join(F.broadcast(wrappers) if size <= MOST_BYTES else wrappers, "host", "left").select("page_id", "url", "blocks", "shape", "wrapper")
+    told = read_.join(F.broadcast(wrappers) if size <= MOST_BYTES else wrappers, "host", "left").select("page_id", "url", "tokens", "wrapper")
     return told.mapInArrow(_extract, "page_id bigint, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

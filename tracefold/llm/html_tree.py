@@ -13,7 +13,7 @@ SPACE = re.compile(r"\s+")
 
 #: HTML's void, raw-text and block elements.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+RAW = set("script style textarea title noscript iframe template svg noembed noframes".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -115,6 +115,10 @@ def parts(page: str) -> Iterator[tuple[str, str, str]]:
         tag = m[0].lower()
         yield ">" if closing else "<", tag, page[m.end() : stop]
         at = stop + 1
+        if not closing and tag == "xmp":  # its content is text as it stands
+            close = page.find("</xmp", at)
+            yield "text", html.escape(page[at : close if close >= 0 else end], quote=False), ""
+            at = close if close >= 0 else end
         if not closing and tag in RAW:  # its content is no markup
             close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
