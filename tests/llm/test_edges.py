@@ -152,6 +152,21 @@ def test_forward_sums_all_segmentations():
             assert abs(np.exp(got) - brute(b" " + word)) < 1e-12
         assert np.isfinite(got)
 
+    # pieces of more than eight bytes, and long runs by the pass that keeps the last values only
+    pieces += [b"ab" * 6, b"a" * 9, b" " + b"ab" * 5]
+    probs = np.array([[0.1, 0.2], [0.2, 0.1], [0.3, 0.1], [0.15, 0.2], [0.05, 0.1], [0.2, 0.1], [0.2, 0.0], [0.01, 0.3], [0.4, 0.1]])
+    model = langid.Model(["x", "y"], pieces, probs)
+    lookup, table = langid.Lookup.of(pieces), np.vstack([probs, np.zeros((1, 2))])
+    for word in (b"ab" * 7, b"aaaaaaaaaaab", b"ba", b"ab" * 900 + b"a" * 700 + b"ba" * 300):
+        data = np.frombuffer(word, np.uint8)
+        got = model.scorer()(data, np.array([0]), np.array([len(word)]))[0]
+        run = langid.forward_run(np.frombuffer(b" " + word, np.uint8), lookup, table)
+        whole = langid.forward(np.frombuffer(b" " + word, np.uint8)[None], np.array([len(word) + 1]), lookup, table)[0][0]
+        assert np.allclose(got, run) and np.allclose(run, whole)
+        if len(word) < 20:
+            walk = lambda s, k: 1.0 if not s else sum(probs[i][k] * walk(s[len(p) :], k) for i, p in enumerate(pieces) if s.startswith(p))
+            assert np.allclose(np.exp(got), [walk(b" " + word, k) for k in (0, 1)])
+
 
 def test_expected_counts_match_all_segmentations():
     import numpy as np

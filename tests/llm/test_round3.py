@@ -45,7 +45,7 @@ def test_clashing_names(spark, tmp_path):
     for operator, left in ((lambda d: drop_contaminated(d, bench), 3), (drop_near_duplicates, 4)):
         out = operator(docs)
         assert out.columns == docs.columns and out.count() == left
-    turns = named(spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "q")], "conv_id long, turn long, role string, text string"))
+    turns = named(spark.createDataFrame([(0, 0, "user", "q"), (0, 1, "assistant", "a"), (5, 0, "user", "q")], "conv_id long, turn long, role string, text string"))
     assert prefix_trie.prefix_trie(prefix_trie.rebuilt(turns)).count() == 3
     assert preference_format(with_foreign_reply(turns)).count() == 2
     vectors = quantised(named(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")))

@@ -1,16 +1,17 @@
 """Language identification by segmentation-marginalised unigrams.
 
 A language is a probability for each piece of a fixed public byte-level
-vocabulary. A word's probability is the sum over all its segmentations into
-pieces (a forward pass over its bytes); a text's is the product over its
-words, and the prediction is the language of largest posterior under equal
-priors. A run without white space of more than CHUNK bytes counts as several
-words of at most CHUNK bytes, cut between characters, so scripts without
-spaces are learned and scored whole and no run, however long, is one matrix.
+vocabulary, whatever a piece's length. A word's probability is the sum over
+all its segmentations into pieces (a forward pass over its bytes); a text's is
+the product over its words, and the prediction is the language of largest
+posterior under equal priors. A run without white space is one word, however
+long: beyond RUN bytes its forward pass keeps only as many values as the
+longest piece has bytes.
 
 Piece probabilities are learned by expectation maximisation. The bounded
 sample it uses, about ``sample`` rows per language chosen by a hash of the
-row, is a parameter of the fit alone; every text is scored whole. Words are
+row, is a parameter of the fit alone, as are the words of at most CHUNK bytes
+that it cuts longer runs into, between characters; every text is scored whole. Words are
 counted and expected piece counts summed by Spark; only languages x pieces
 numbers reach the driver, so labels are taken to be a set of at most some
 thousand values.
@@ -39,36 +40,45 @@ from .arrays import U, mix64, string_slices, word_hashes, words
 from .common import in_struct, settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-LONGEST = 8  # bytes of the longest piece used
-CHUNK = 60  # most bytes of a word
+EXACT = 8  # bytes of a piece that are its key as they are; longer ones are hashed
+CHUNK = 60  # most bytes of a word that the fit learns from
+RUN = 512  # bytes from which on a word has a pass of its own
 FLOOR = 1e-7  # least probability of a single byte
 LETTER = regex.compile(r"\p{L}")
 STEP = 0x9E3779B97F4A7C15
 
 
-def load_pieces(path: str = VOCABULARY, longest: int = LONGEST) -> list[bytes]:
-    """The pieces of at most ``longest`` bytes of a rank file (base64 piece and rank a line), read on the driver, and all single bytes."""
+def load_pieces(path: str = VOCABULARY) -> list[bytes]:
+    """The pieces of a rank file (base64 piece and rank a line), read on the driver, and all single bytes.
+
+    Words begin with one space and have no other, so pieces with white space behind their first byte can't occur and are left out.
+    """
     if not os.path.isfile(path):
         raise FileNotFoundError(f"{path}: pass the path of a byte-level vocabulary (a rank file) as ``vocabulary``")
     with open(path, "rb") as lines:
         found = {base64.b64decode(line.split()[0]) for line in lines if line.strip()}
-    return sorted({p for p in found if len(p) <= longest} | {bytes([b]) for b in range(256)})
+    return sorted({p for p in found if p and not set(p[1:]) & set(b" \t\n\v\f\r")} | {bytes([b]) for b in range(256)})
 
 
 def piece_key(matrix: np.ndarray) -> np.ndarray:
-    """A key per row of a (n, length <= 8) byte matrix: the bytes as one integer, with the length mixed in."""
+    """A key per row of a (n, length) byte matrix: up to EXACT bytes as one integer, more as a polynomial of them, with the length mixed in."""
     key = np.zeros(len(matrix), dtype=U)
     for i in range(matrix.shape[1]):
-        key = (key << U(8)) | matrix[:, i].astype(U)
+        key = (key << U(8)) | matrix[:, i].astype(U) if matrix.shape[1] <= EXACT else key * U(0xD1342543DE82EF95) + matrix[:, i].astype(U) + U(1)
     return mix64(key + U(matrix.shape[1] * STEP % 2**64))
 
 
 @dataclass
 class Lookup:
-    """Piece numbers by key: hash tables, each for the keys that collide in those before it."""
+    """Piece numbers by key: hash tables, each for the keys that collide in those before it.
+
+    ``long`` are the lengths above EXACT bytes; ``tails`` the keys of such pieces' last EXACT bytes, in order, by which nearly all places are seen to end none.
+    """
 
     keys: np.ndarray
     tables: list[np.ndarray]
+    long: list[int]
+    tails: np.ndarray
 
     @classmethod
     def of(cls, pieces: list[bytes]) -> Lookup:
@@ -83,7 +93,15 @@ class Lookup:
             table[place] = left
             left = left[table[place] != left]
             tables.append(table)
-        return cls(keys, tables)
+        long = [p for p in pieces if len(p) > EXACT]
+        ends = np.frombuffer(b"".join(p[-EXACT:] for p in long), np.uint8).reshape(-1, EXACT)
+        return cls(keys, tables, sorted({len(p) for p in long}), np.unique(piece_key(ends)))
+
+    def ends_long(self, keys: np.ndarray) -> np.ndarray:
+        """Which of the keys of EXACT bytes may end a longer piece."""
+        if not len(self.tails):
+            return np.zeros(len(keys), dtype=bool)
+        return self.tails[np.minimum(np.searchsorted(self.tails, keys), len(self.tails) - 1)] == keys
 
     @staticmethod
     def place(keys: np.ndarray, level: int) -> np.ndarray:
@@ -99,7 +117,7 @@ class Lookup:
         return out
 
 
-def forward(matrix: np.ndarray, sizes: np.ndarray, lookup: Lookup, probs: np.ndarray, longest: int = LONGEST) -> tuple[np.ndarray, list, list]:
+def forward(matrix: np.ndarray, sizes: np.ndarray, lookup: Lookup, probs: np.ndarray) -> tuple[np.ndarray, list, list]:
     """Log probability (n, languages) of the words in a padded byte matrix, and what a backward pass needs.
 
     probs: (pieces + 1, languages), the last row 0. Values are scaled at every
@@ -112,10 +130,20 @@ def forward(matrix: np.ndarray, sizes: np.ndarray, lookup: Lookup, probs: np.nda
     for end in range(1, width + 1):
         total = np.zeros_like(alphas[0])
         found = {}
-        for length in range(1, min(longest, end) + 1):
-            found[length] = lookup.find(piece_key(matrix[:, end - length : end]))
+        for length in range(1, min(EXACT, end) + 1):
+            keys = piece_key(matrix[:, end - length : end])
+            found[length] = lookup.find(keys)
             total += alphas[end - length] * np.exp(np.minimum(scales[end - length] - scales[end - 1], 600)) * probs[found[length]]
-        norm = np.maximum(total.max(axis=1, keepdims=True), 1e-300)
+        may = np.flatnonzero(lookup.ends_long(keys)) if end > EXACT else ()
+        for length in lookup.long if len(may) else ():
+            if length > end:
+                break
+            part = lookup.find(piece_key(matrix[may, end - length : end]))
+            if (part < len(lookup.keys)).any():
+                found[length] = np.full(n, len(lookup.keys), dtype=np.int64)
+                found[length][may] = part
+                total += alphas[end - length] * np.exp(np.minimum(scales[end - length] - scales[end - 1], 600)) * probs[found[length]]
+        norm = np.where(total > 0, total, 1.0)  # each language its own, so none vanishes beside another
         alphas.append(total / norm)
         scales.append(scales[end - 1] + np.log(norm))
         ids.append(found)
@@ -123,6 +151,36 @@ def forward(matrix: np.ndarray, sizes: np.ndarray, lookup: Lookup, probs: np.nda
     return last, [alphas, scales], ids
 
 
+def forward_run(word: np.ndarray, lookup: Lookup, probs: np.ndarray) -> np.ndarray:
+    """``forward`` of one long word, with a leading space in it: the pieces that end at each place come first, then one pass that keeps the last values only."""
+    n = len(word)
+    lengths = [*range(1, EXACT + 1), *lookup.long]
+    windows = lambda length: np.lib.stride_tricks.sliding_window_view(word, length)
+    ids = np.full((len(lengths), n + 1), len(lookup.keys), dtype=np.int32)
+    for i, length in enumerate(lengths[:EXACT]):
+        if length <= n:
+            keys = piece_key(windows(length))
+            ids[i, length:] = lookup.find(keys)
+    may = np.flatnonzero(lookup.ends_long(keys)) + EXACT if n >= EXACT else np.zeros(0, np.int64)
+    for i, length in enumerate(lookup.long, EXACT):
+        at = may[may >= length]
+        if len(at):
+            ids[i, at] = lookup.find(piece_key(windows(length)[at - length]))
+    size = lengths[-1]
+    ring = np.zeros((size, probs.shape[1]))
+    ring[0] = 1.0
+    back, log = np.array(lengths), np.zeros(probs.shape[1])
+    for end in range(1, n + 1):
+        some = ids[:, end] < len(lookup.keys)
+        value = np.einsum("kl,kl->l", ring[(end - back[some]) % size], probs[ids[some, end]]) if some.any() else np.zeros(probs.shape[1])
+        ring[end % size] = value
+        if end % 8 == 0 or end == n:  # before values vanish
+            scale = np.maximum(ring.max(axis=0), 1e-300)
+            ring /= scale
+            log += np.log(scale)
+    return np.log(np.maximum(ring[n % size], 1e-300)) + log
+
+
 def chunked(starts: np.ndarray, ends: np.ndarray, first: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words with those above CHUNK bytes cut into several, never inside a UTF-8 character."""
     parts = np.maximum(1, -(-(ends - starts) // (CHUNK - 3)))
@@ -167,8 +225,12 @@ class Model:
 
         def score(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
             out = np.zeros((len(starts), len(self.languages)))
-            for part, matrix, sizes in by_length(starts, ends, data):
-                out[part] = forward(matrix, sizes, lookup, probs)[0]
+            long = ends - starts > RUN
+            short = np.flatnonzero(~long)
+            for part, matrix, sizes in by_length(starts[short], ends[short], data):
+                out[short[part]] = forward(matrix, sizes, lookup, probs)[0]
+            for i in np.flatnonzero(long):
+                out[i] = forward_run(np.concatenate((np.array([32], np.uint8), data[starts[i] : ends[i]])), lookup, probs)
             return out
 
         return score
@@ -251,7 +313,7 @@ def fit(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = 1500, round
         probs[got["piece"], got["lang"]] = got["n"]
         probs[single] += FLOOR * probs.sum(axis=0)
         probs /= probs.sum(axis=0)
-    kept = probs.max(axis=1) > 1e-9
+    kept = probs.max(axis=1) > 0  # others add nothing to any sum
     return Model(languages, [p for p, k in zip(pieces, kept, strict=True) if k], probs[kept])
 
 
@@ -265,7 +327,6 @@ def _predict(model: Model) -> Callable:
                 if score is not None:
                     data = _LOWER[data]
                     starts, ends, first = words(offsets, data)
-                    starts, ends, first = chunked(starts, ends, first, data)
                     _, at, inverse = np.unique(word_hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
                     unique = score(data, starts[at], ends[at])
                     sums = np.zeros((len(starts) + 1, len(model.languages)))
