@@ -293,7 +293,7 @@ def test_alignment_of_streams():
         pages = [page() for _ in range(rng.randrange(1, 5))]
         wrapper = None
         for p in pages:
-            own, nodes = hw.of_page(tokens(p, [(-1, "r", None)], 0))
+            own, nodes = hw.of_page(hw.stream(tokens(p, [(-1, "r", None)], 0)))
             assert len(nodes) == len(tokens(p, [(-1, "r", None)], 0)) and set(nodes) <= set(hw.ordered(own))
             wrapper = own if wrapper is None else hw.merge(wrapper, own)
         again = hw.read(hw.written(wrapper))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 from .html_tree import BLOCK, RAW, SPACE, Element, parse
-from .html_wrapper import TEXT, Node, expression, merge, of_page, ordered, placed, pruned, read, same_on, written
+from .html_wrapper import TEXT, Node, expression, merge, of_page, ordered, placed, pruned, read, same_on, stream, written
 
 __all__ = ["expression", "extract", "infer", "main_text"]
 
@@ -167,7 +167,7 @@ class Page:
         close()
 
     def wrapper(self) -> tuple[Node, list[Node]]:
-        return of_page([(parent, mark, text) for parent, mark, _, text in self.tokens])
+        return of_page(stream([(parent, mark, text) for parent, mark, _, text in self.tokens]))
 
 
 def infer(pages: list[str]) -> Node:
@@ -187,7 +187,7 @@ def article_text(tokens: list[tuple[int, str, int, str | None]], wrapper: Node |
     """The article's lines by the wrapper of the page's host; what the wrapper doesn't have counts as on this page alone."""
     if not any(text for *_, text in tokens):
         return ""
-    own, nodes = of_page([(parent, mark, text) for parent, mark, _, text in tokens])
+    own, nodes = of_page(stream([(parent, mark, text) for parent, mark, _, text in tokens]))
     host = placed(own, wrapper)
     every = ordered(own)
     stats = {n: host.get(n, n) for n in every}
@@ -247,6 +247,8 @@ PARSED = "page_id bigint, url string, host string, tokens array<struct<parent:in
 TOKENS = pa.list_(pa.struct([("parent", pa.int32()), ("mark", pa.string()), ("article", pa.int32()), ("text", pa.string())]))
 #: Pages handled at a time; pages whose streams a task aligns one after another; partial wrappers that are merged into one (a power of two).
 PAGES, ALIGNED, MERGED = 64, 32, 16
+#: Hosts of several pages whose sizes are broadcast; with more, the join is shuffled.
+FEW_HOSTS = 200_000
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,7 +270,7 @@ def _tokens(value: list[dict]) -> list[tuple[int, str, int, str | None]]:
 
 
 def _aligned(of_pages: bool) -> Callable:
-    """One wrapper for each run of rows of one (host, bucket), from pages (tokens) or partial wrappers."""
+    """One wrapper for each run of rows of one (host, bucket), from pages (streams without texts) or partial wrappers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, None
@@ -279,7 +281,7 @@ def _aligned(of_pages: bool) -> Callable:
         for batch in batches:
             for i in range(len(batch)):
                 host, bucket, value = (batch.column(c)[i].as_py() for c in range(3))
-                own = of_page([(p, m, t) for p, m, _, t in _tokens(value)])[0] if of_pages else read(value)
+                own = of_page([(t["parent"], t["mark"], t["letters"], t["h"]) for t in value])[0] if of_pages else read(value)
                 if key == (host, bucket):
                     merge(held, own)
                 else:
@@ -322,11 +324,16 @@ def fit_wrappers(pages: DataFrame) -> DataFrame:
     order of that hash; then MERGED neighbouring buckets are merged at a time, until each host has one. So the
     result depends neither on the partitions nor on a task that ran twice.
     """
-    sizes = pages.groupBy("host").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = settle(pages.groupBy("host").agg(F.count("*").alias("n")).where("n > 1"))
     # buckets by host: a power of two
     bits = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / ALIGNED))).cast("int")
-    order = F.xxhash64("tokens", "page_id")
-    dealt = pages.join(sizes.select("host", bits.alias("bits")), "host").select("host", F.expr("shiftrightunsigned(xxhash64(tokens, page_id), 64 - bits) * if(bits = 0, 0, 1)").alias("bucket"), "tokens", order.alias("place"))
+    # texts stay behind: alignment asks for their lengths and hashes alone
+    stream_ = F.transform("tokens", lambda t: F.struct(t["parent"].alias("parent"), t["mark"].alias("mark"), F.coalesce(F.char_length(t["text"]), F.lit(0)).alias("letters"), F.shiftrightunsigned(F.xxhash64(t["text"]), 1).alias("h")))
+    lean = pages.select("host", F.xxhash64("tokens", "page_id").alias("place"), stream_.alias("tokens"))
+    hosts = sizes.select("host", bits.alias("bits"))
+    if sizes.count() <= FEW_HOSTS:
+        hosts = F.broadcast(hosts)
+    dealt = lean.join(hosts, "host").select("host", F.expr("if(bits = 0, 0L, shiftrightunsigned(place, 64 - bits))").alias("bucket"), "tokens", "place")
     rows = dealt.repartition("host", "bucket").sortWithinPartitions("host", "bucket", "place").select("host", "bucket", "tokens")
     out = settle(rows.mapInArrow(_aligned(True), "host string, bucket bigint, wrapper string"))
     while (out.agg(F.max("bucket")).first()[0] or 0) > 0:

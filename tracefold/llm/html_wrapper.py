@@ -187,16 +187,21 @@ def ordered(root: Node) -> list[Node]:
     return out
 
 
-def of_page(tokens: list[tuple[int, str, str | None]]) -> tuple[Node, list[Node]]:
-    """The wrapper of one page alone and each token's node, from (parent's place, mark, text) in page order."""
-    nodes = [Node(mark, len(text or ""), xxhash.xxh64_intdigest(text or "") >> 1) for _, mark, text in tokens]
+def stream(tokens: list[tuple[int, str, str | None]]) -> list[tuple[int, str, int, int]]:
+    """(parent's place, mark, text) of a page as ``of_page`` takes them."""
+    return [(parent, mark, len(text or ""), xxhash.xxh64_intdigest(text or "") >> 1) for parent, mark, text in tokens]
+
+
+def of_page(tokens: list[tuple[int, str, int, int]]) -> tuple[Node, list[Node]]:
+    """The wrapper of one page alone and each token's node, from (parent's place, mark, letters, hash of the text) in page order."""
+    nodes = [Node(mark, letters, h) for _, mark, letters, h in tokens]
     kids: list[list[Node]] = [[] for _ in tokens]
     for i in range(len(tokens) - 1, -1, -1):  # children before their parents
         kids[i].reverse()
         nodes[i].kids = fold(kids[i])
         if i:
             kids[tokens[i][0]].append(nodes[i])
-    page = xxhash.xxh64_intdigest("\n".join(text for _, _, text in tokens if text)) % 61
+    page = xxhash.xxh64_intdigest(",".join(str(h) for _, _, letters, h in tokens if letters)) % 61
     every = ordered(nodes[0])
     for node in every:
         node.bits = 1 << page
