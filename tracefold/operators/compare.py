@@ -94,25 +94,46 @@ def irq(irqs: DataFrame) -> DataFrame:
     return outer(irqs.groupBy("dataset_id", "irq_id").agg(F.sum(_length()).alias("busy"), F.count("*").alias("spans")), ["irq_id"], ["busy", "spans"])
 
 
-def detail_rows(t) -> DataFrame:
-    """dataset_id, dimension, key, ref, t_begin, t_end: what can be shown for a task or resource (blocked segments), a core (slices) or an interrupt (spans)."""
-    blocked = t.states.where("state = 'BLOCKED'")
-    pick = lambda df, dimension, key, ref: df.where(F.col(key).isNotNull()).select("dataset_id", F.lit(dimension).alias("dimension"), F.col(key).cast("long").alias("key"), F.col(ref).alias("ref"), "t_begin", "t_end")
-    parts = [pick(blocked, "task", "task_id", "seg_id"), pick(blocked, "resource", "related_obj", "seg_id"), pick(t.slices, "core", "core_id", "slice_id"), pick(t.irqs, "irq", "irq_id", "irq_span_id")]
+def detail_rows(t, alerts: DataFrame, hotspots: DataFrame) -> DataFrame:
+    """dataset_id, dimension, key, ref, t_begin, t_end, evidence: what can be shown for each of the eight dimensions.
+
+    Metrics show the intervals they add up, alerts themselves, hotspots (dataset_id, node) their
+    events, the interval dimension the blocked segments of the trace, tasks and resources theirs, cores slices, interrupts spans.
+    """
+    blocked, ready = t.states.where("state = 'BLOCKED'"), t.states.where("state = 'READY'")
+    lit = F.lit
+
+    def pick(df, dimension, key, ref, *evidence):
+        span = ["t_begin", "t_end"] if "t_begin" in df.columns else [F.col("ts").alias("t_begin"), F.col("ts").alias("t_end")]
+        events = F.array_distinct(F.array_compact(F.array(*evidence)))
+        return df.where(key.isNotNull()).select("dataset_id", lit(dimension).alias("dimension"), key.cast("string").alias("key"), F.col(ref).alias("ref"), *span, events.alias("evidence"))
+
+    slices, spans = ("start_event", "end_event"), ("enter_event", "exit_event")
+    nodes = F.explode(F.array_compact(F.array(F.concat(lit("task:"), F.col("task_id").cast("string")), F.concat(lit("obj:"), F.col("obj_id").cast("string")))))
+    hot = t.events.select("dataset_id", "event_uid", "ts", nodes.alias("node")).join(hotspots.select("dataset_id", "node"), ["dataset_id", "node"], "left_semi")
+    parts = [
+        pick(t.slices, "metric", lit("cpu_utilization"), "slice_id", *slices), pick(blocked, "metric", lit("blocked_time"), "seg_id", "cause_event"), pick(ready, "metric", lit("ready_wait_time"), "seg_id", "cause_event"),
+        pick(t.irqs, "metric", lit("irq_busy_time"), "irq_span_id", *spans), pick(t.irqs.where("delayed_task is not null"), "metric", lit("irq_latency"), "irq_span_id", *spans),
+        pick(t.events.where("event_name = 'CTX_SWITCH'"), "metric", lit("context_switch_count"), "event_uid", "event_uid"),
+        pick(alerts, "alert", F.col("type"), "alert_id", "evidence"), pick(hot, "hotspot", F.col("node"), "event_uid", "event_uid"), pick(blocked, "interval", lit("max_blocked"), "seg_id", "cause_event"),
+        pick(blocked, "task", F.col("task_id"), "seg_id", "cause_event"), pick(blocked, "resource", F.col("related_obj"), "seg_id", "cause_event"),
+        pick(t.slices, "core", F.col("core_id"), "slice_id", *slices), pick(t.irqs, "irq", F.col("irq_id"), "irq_span_id", *spans),
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def diff_detail(rows: DataFrame, k: int = 3, margin: int = 20) -> DataFrame:
-    """Per dimension, key and pair: the k longest rows of either side as samples, their time in all, and the window to jump to."""
+    """Per dimension, key and pair: the k longest rows of either side as samples, their time in all, the events that they rest on (each once), and the window to jump to."""
     s = rows.withColumn("length", _length())
     w = W.partitionBy("dataset_id", "dimension", "key").orderBy(F.desc("length"), "t_begin", "ref")
     top = s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     g = top.groupBy("dataset_id", "dimension", "key").agg(
         F.sum("length").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "ref"))), lambda x: x["ref"]), ",").alias("samples"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))), ",").alias("refs"),
         F.greatest(F.lit(0), F.min("t_begin") - margin).alias("jump_begin"), (F.max("t_end") + margin).alias("jump_end"),
     )
     base, cand = sides(g)
-    names, by = ("total", "samples", "jump_begin", "jump_end"), ["pair", "dimension", "key"]
+    names, by = ("total", "samples", "refs", "jump_begin", "jump_end"), ["pair", "dimension", "key"]
     return base.select(*by, *[F.col(c).alias(f"b_{c}") for c in names]).join(cand.select(*by, *[F.col(c).alias(f"c_{c}") for c in names]), by, "full")
 
 

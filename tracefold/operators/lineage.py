@@ -80,7 +80,35 @@ def subset(rec: DataFrame, objects: DataFrame) -> DataFrame:
     return rec.join(objects.select("dataset_id", "object_id"), ["dataset_id", "object_id"], "left_semi")
 
 
-def violations(rec: DataFrame, events: DataFrame) -> DataFrame:
-    """Records whose sources don't exist, or whose range runs backwards."""
-    missing = rec.select("dataset_id", "object_id", F.explode("sources").alias("event_uid")).join(events, ["dataset_id", "event_uid"], "left_anti").select("dataset_id", "object_id", F.lit("UNKNOWN_SOURCE").alias("violation"))
-    return missing.unionByName(rec.where("t_end < t_begin").select("dataset_id", "object_id", F.lit("NEGATIVE_RANGE").alias("violation")))
+def violations(rec: DataFrame, events: DataFrame, windows: DataFrame, listed: DataFrame, objects: DataFrame) -> DataFrame:
+    """What is wrong with lineage records: dataset_id, object_id, violation, detail.
+
+    listed: dataset_id, object_id, window_id (the windows that records name);
+    objects: dataset_id, object_id, t_begin, t_end (what was rebuilt). Sources and
+    named windows must exist; a record's ends must be among its sources; it must
+    name all windows that overlap it, ends included, and no others; and records
+    and objects must agree in existence and range.
+    """
+    by = ["dataset_id", "object_id"]
+    bad = lambda df, what, detail: df.select(*by, F.lit(what).alias("violation"), (F.col(detail) if detail else F.lit(None)).cast("string").alias("detail"))
+    sources = rec.select(*by, F.explode("sources").alias("event_uid"))
+    ends = rec.select(*by, "sources", F.explode(F.array_compact(F.array("open_event", "close_event"))).alias("event_uid")).where(~F.array_contains("sources", F.col("event_uid")))
+    known = windows.select("dataset_id", "window_id").distinct()
+    ranges = rec.select(*by, "t_begin", "t_end")
+    meets = overlap_join(ranges, windows.select("dataset_id", "window_id", "t_begin", "t_end"), ["dataset_id"], closed=True).select(*by, "window_id")
+    listed = listed.select(*by, "window_id").distinct()
+    both = ranges.join(objects.select(*by, F.col("t_begin").alias("o_begin"), F.col("t_end").alias("o_end"), F.lit(True).alias("there")), by, "full")
+    return reduce(
+        DataFrame.unionByName,
+        [
+            bad(sources.join(events, ["dataset_id", "event_uid"], "left_anti"), "UNKNOWN_SOURCE", "event_uid"),
+            bad(rec.where("t_end < t_begin"), "NEGATIVE_RANGE", None),
+            bad(ends.distinct(), "END_NOT_A_SOURCE", "event_uid"),
+            bad(listed.join(known, ["dataset_id", "window_id"], "left_anti"), "UNKNOWN_WINDOW", "window_id"),
+            bad(meets.join(listed, [*by, "window_id"], "left_anti"), "UNLISTED_WINDOW", "window_id"),
+            bad(listed.join(known, ["dataset_id", "window_id"], "left_semi").join(meets, [*by, "window_id"], "left_anti"), "LISTED_WITHOUT_OVERLAP", "window_id"),
+            bad(both.where("there is null"), "RECORD_WITHOUT_OBJECT", None),
+            bad(both.where("there and t_begin is null"), "OBJECT_WITHOUT_RECORD", None),
+            bad(both.where("t_begin <> o_begin or t_end <> o_end"), "OBJECT_DIFFERS", None),
+        ],
+    )

@@ -302,8 +302,9 @@ def hotspots(events: DataFrame, k: int = 10) -> DataFrame:
 
 
 def capability_flags(events: DataFrame) -> DataFrame:
-    some = lambda c: F.max(F.col(c).isNotNull())
-    return events.groupBy("dataset_id").agg(some("job_id").alias("job_semantics"), some("deadline_ts").alias("deadline_semantics"), F.lit(False).alias("instance_semantics"))
+    """Whether any event has a job, a deadline or an instance id; a column that the events don't have counts as empty."""
+    some = lambda c: F.max(F.col(c).isNotNull()) if c in events.columns else F.lit(False)
+    return events.groupBy("dataset_id").agg(some("job_id").alias("job_semantics"), some("deadline_ts").alias("deadline_semantics"), some("instance_id").alias("instance_semantics"))
 
 
 def state_preview(events: DataFrame, buckets: int = 24) -> DataFrame:

@@ -19,7 +19,7 @@ from ..operators.filters import in_window
 from ..operators import align, integrity, rebuild
 from ..operators.metrics import metric_values
 from .metric_queries import SQL as METRIC_SQL, TH, V as METRIC_VIEWS
-from .sql import VIEWS, with_views
+from .sql import CRC32, VIEWS, with_views
 from .trace import TraceTables, over_trace
 
 
@@ -92,6 +92,19 @@ def _marked_clip(t):
     return ex.clip(t, t.scope) | {"alerts": alerts, "diagnoses": al.diagnose(alerts), "anchors": marks.where("family = 'anchor'"), "contexts": marks.where("family = 'context'")}
 
 
+def _planted_lineage(t):
+    """Records against events of which some are gone, lists that lack some windows and name two that don't belong, and objects of which some differ, are gone or are new."""
+    rec = settle(ln.records(t))
+    code = F.pmod(F.crc32(F.encode("object_id", "utf-8")), F.lit(50))
+    named = ln.touching_windows(rec, t.windows).select("dataset_id", "object_id", F.explode("window_ids").alias("window_id"))
+    extra = rec.where(code == 7).select("dataset_id", "object_id", F.explode(F.array(F.lit("uw:nowhere"), F.concat(F.lit("uw:far:"), "dataset_id"))).alias("window_id"))
+    far = rec.select("dataset_id").distinct().select("dataset_id", F.concat(F.lit("uw:far:"), "dataset_id").alias("window_id"), F.lit(-9).cast("long").alias("t_begin"), F.lit(-8).cast("long").alias("t_end"))
+    windows = t.windows.select("dataset_id", "window_id", "t_begin", "t_end").unionByName(far)
+    objects = rec.where(code != 3).select("dataset_id", "object_id", "t_begin", (F.col("t_end") + F.when(code == 5, 1).otherwise(0)).alias("t_end")).unionByName(rec.where(code == 9).select("dataset_id", F.concat("object_id", F.lit(":new")).alias("object_id"), "t_begin", "t_end"))
+    opened = rec.withColumn("open_event", F.when(code == 11, F.concat("open_event", F.lit("x"))).otherwise(F.col("open_event")))
+    return ln.violations(opened, t.events.where("seq % 40 <> 0"), windows, named.where(code != 1).unionByName(extra), objects)
+
+
 def _lacking(t):
     """Kinds of objects for which a trace has no events (odd traces are taken to lack locks)."""
     return t.events.select("dataset_id").distinct().where("cast(dataset_id as bigint) % 2 = 1").withColumn("object_type", F.lit("hold"))
@@ -154,7 +167,7 @@ TRACE = {
     "l04_lineage_backtrace": lambda t: ln.backtrace(ln.records(t), t.events),
     "l05_reused_ids": lambda t: ln.reused_ids(t.events.unionByName(t.events.where("seq % 50 = 0").withColumn("ts", F.col("ts") + 1))),
     "l06_lineage_subset": lambda t: ln.subset(ln.records(t), t.slices.where("not trusted").select("dataset_id", F.col("slice_id").alias("object_id"))).select("object_id", "open_event", "close_event"),
-    "l07_lineage_validate": lambda t: ln.violations(ln.records(t), t.events.where("seq % 40 <> 0")),
+    "l07_lineage_validate": _planted_lineage,
     "e01_dependency_edges": _edges,
     "e02_edge_contract": lambda t: ev.contract_rejects(_edges(t).withColumn("time_hint", F.when(F.col("seq_hint") % 10 == 0, 0).otherwise(F.col("time_hint")))),
     "e03_seed_resolution": _seeds,
@@ -210,6 +223,7 @@ V = {
     "both_edges": "SELECT * FROM holds UNION ALL SELECT * FROM waits",
     "rec0": REC,
     "rec": "SELECT dataset_id, object_id, object_type, 'rebuild.' || object_type AS rule_id, open_event, close_event, list_sort(list_distinct(list_filter(s, lambda x: x IS NOT NULL))) AS sources, t_begin, t_end, reason_code FROM rec0",
+    "coded": f"SELECT *, {CRC32.format('object_id')} % 50 AS code FROM rec",
     "src": "SELECT dataset_id, object_id, unnest(sources) AS event_uid FROM rec",
     "touch": """SELECT r.dataset_id, r.object_id, string_agg(window_id, ',' ORDER BY w.t_begin, w.t_end, window_id) AS window_ids, string_agg(DISTINCT w.reason_code, ',' ORDER BY w.reason_code) AS reasons, count(*) AS n
   FROM rec AS r JOIN windows AS w ON w.dataset_id = r.dataset_id AND w.t_begin <= r.t_end AND r.t_begin <= w.t_end GROUP BY ALL""",
@@ -285,7 +299,10 @@ SQL = {
     "l04_lineage_backtrace": "SELECT s.dataset_id, object_id, s.event_uid, event_name, ts_raw FROM src AS s JOIN al AS e ON e.event_uid = s.event_uid",
     "l05_reused_ids": "SELECT dataset_id, event_uid, CAST(2 AS bigint) AS n FROM al WHERE seq % 50 = 0",
     "l06_lineage_subset": "SELECT object_id, open_event, close_event FROM rec WHERE object_id IN (SELECT slice_id FROM slices WHERE NOT trusted)",
-    "l07_lineage_validate": "SELECT s.dataset_id, object_id, 'UNKNOWN_SOURCE' AS violation FROM src AS s ANTI JOIN (SELECT event_uid FROM al WHERE seq % 40 <> 0) AS e USING (event_uid) UNION ALL SELECT dataset_id, object_id, 'NEGATIVE_RANGE' FROM rec WHERE t_end < t_begin",
+    "l07_lineage_validate": """SELECT s.dataset_id, object_id, 'UNKNOWN_SOURCE' AS violation, event_uid AS detail FROM src AS s ANTI JOIN (SELECT event_uid FROM al WHERE seq % 40 <> 0) AS e USING (event_uid) UNION ALL SELECT dataset_id, object_id, 'NEGATIVE_RANGE', NULL FROM rec WHERE t_end < t_begin
+  UNION ALL SELECT dataset_id, object_id, 'END_NOT_A_SOURCE', open_event || 'x' FROM coded WHERE code = 11 AND open_event IS NOT NULL UNION ALL SELECT dataset_id, object_id, 'UNKNOWN_WINDOW', 'uw:nowhere' FROM coded WHERE code = 7 UNION ALL SELECT dataset_id, object_id, 'LISTED_WITHOUT_OVERLAP', 'uw:far:' || dataset_id FROM coded WHERE code = 7
+  UNION ALL SELECT c.dataset_id, object_id, 'UNLISTED_WINDOW', window_id FROM coded AS c JOIN windows AS w ON w.dataset_id = c.dataset_id AND w.t_begin <= c.t_end AND c.t_begin <= w.t_end WHERE code = 1
+  UNION ALL SELECT dataset_id, object_id, 'RECORD_WITHOUT_OBJECT', NULL FROM coded WHERE code = 3 UNION ALL SELECT dataset_id, object_id || ':new', 'OBJECT_WITHOUT_RECORD', NULL FROM coded WHERE code = 9 UNION ALL SELECT dataset_id, object_id, 'OBJECT_DIFFERS', NULL FROM coded WHERE code = 5""",
     "e01_dependency_edges": "SELECT * FROM edges",
     "e02_edge_contract": "SELECT dataset_id, 'TIME_HINT' AS reason, count(*) AS n FROM edges WHERE seq_hint % 10 = 0 OR time_hint <= 0 GROUP BY dataset_id",
     "e03_seed_resolution": "SELECT s.dataset_id, kind, closure_id, ref, e.event_uid IS NOT NULL AS found FROM starts AS s LEFT JOIN (SELECT event_uid FROM al WHERE seq % 3 <> 0) AS e ON e.event_uid = s.ref",

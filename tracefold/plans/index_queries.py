@@ -57,7 +57,7 @@ TRACE = {
     "p06_core": lambda t: cp.core(t.slices, t.events),
     "p07_resource": lambda t: cp.resource(t.events, t.states),
     "p08_irq": lambda t: cp.irq(t.irqs),
-    "p09_diff_detail": lambda t: cp.diff_detail(cp.detail_rows(t)),
+    "p09_diff_detail": lambda t: cp.diff_detail(cp.detail_rows(t, t.alerts(TH), rebuild.hotspots(t.events))),
     "p11_summary_drift": lambda t: cp.field_drift(_reports(t, 0), _reports(t, 1), "dataset_id", ["event_count", "first_timestamp", "cores"]),
     "p12_fact_drift": lambda t: cp.fact_drift(_reports(t, 0), _reports(t, 1), "dataset_id", ["event_count", "first_timestamp", "cores"]),
     "p13_replay_invariants": lambda t: cp.replay_invariants(t.events),
@@ -111,10 +111,17 @@ V = {
     "cc": "SELECT * FROM (SELECT dataset_id, core_id, CAST(sum(t_end - t_begin) AS bigint) AS runtime FROM slices GROUP BY ALL) AS a FULL JOIN (SELECT dataset_id, core_id, count(*) AS switches FROM al WHERE event_name = 'CTX_SWITCH' GROUP BY ALL) AS b USING (dataset_id, core_id)",
     "rr": "SELECT * FROM (SELECT dataset_id, obj_id, count(*) AS events FROM al WHERE obj_id IS NOT NULL GROUP BY ALL) AS a FULL JOIN (SELECT dataset_id, related_obj AS obj_id, CAST(sum(t_end - t_begin) AS bigint) AS blocked FROM states WHERE state = 'BLOCKED' AND related_obj IS NOT NULL GROUP BY ALL) AS b USING (dataset_id, obj_id)",
     "ii": "SELECT dataset_id, irq_id, CAST(sum(t_end - t_begin) AS bigint) AS busy, count(*) AS spans FROM irqs GROUP BY ALL",
-    "shown": """SELECT dataset_id, 'task' AS dimension, task_id AS key, seg_id AS ref, t_begin, t_end FROM states WHERE state = 'BLOCKED' UNION ALL SELECT dataset_id, 'resource', related_obj, seg_id, t_begin, t_end FROM states WHERE state = 'BLOCKED' AND related_obj IS NOT NULL
-  UNION ALL SELECT dataset_id, 'core', core_id, slice_id, t_begin, t_end FROM slices UNION ALL SELECT dataset_id, 'irq', irq_id, irq_span_id, t_begin, t_end FROM irqs""",
-    "dd": """SELECT dataset_id, dimension, key, CAST(sum(t_end - t_begin) AS bigint) AS total, string_agg(ref, ',' ORDER BY r) AS samples, greatest(0, min(t_begin) - 20) AS jump_begin, max(t_end) + 20 AS jump_end
-  FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, dimension, key ORDER BY t_end - t_begin DESC, t_begin, ref) AS r FROM shown) AS x WHERE r <= 3 GROUP BY ALL""",
+    "hotnodes": """SELECT dataset_id, node FROM (SELECT dataset_id, node, row_number() OVER (PARTITION BY dataset_id ORDER BY count(*) DESC, node) AS r FROM (SELECT dataset_id, 'task:' || task_id AS node FROM al UNION ALL SELECT dataset_id, 'obj:' || obj_id FROM al) AS x WHERE node IS NOT NULL GROUP BY dataset_id, node) AS y WHERE r <= 10""",
+    "shown": """SELECT dataset_id, 'metric' AS dimension, 'cpu_utilization' AS key, slice_id AS ref, t_begin, t_end, [start_event, end_event] AS ev FROM slices UNION ALL SELECT dataset_id, 'core', CAST(core_id AS varchar), slice_id, t_begin, t_end, [start_event, end_event] FROM slices
+  UNION ALL SELECT dataset_id, 'metric', CASE state WHEN 'BLOCKED' THEN 'blocked_time' ELSE 'ready_wait_time' END, seg_id, t_begin, t_end, [cause_event] FROM states WHERE state IN ('BLOCKED', 'READY')
+  UNION ALL SELECT dataset_id, 'metric', 'irq_busy_time', irq_span_id, t_begin, t_end, [enter_event, exit_event] FROM irqs UNION ALL SELECT dataset_id, 'metric', 'irq_latency', irq_span_id, t_begin, t_end, [enter_event, exit_event] FROM irqs WHERE delayed_task IS NOT NULL
+  UNION ALL SELECT dataset_id, 'irq', CAST(irq_id AS varchar), irq_span_id, t_begin, t_end, [enter_event, exit_event] FROM irqs UNION ALL SELECT dataset_id, 'metric', 'context_switch_count', event_uid, ts, ts, [event_uid] FROM al WHERE event_name = 'CTX_SWITCH'
+  UNION ALL SELECT dataset_id, 'alert', type, alert_id, t_begin, t_end, [evidence] FROM alerts UNION ALL SELECT dataset_id, 'hotspot', node, event_uid, ts, ts, [event_uid] FROM (SELECT dataset_id, event_uid, ts, unnest(['task:' || task_id, 'obj:' || obj_id]) AS node FROM al) AS n JOIN hotnodes USING (dataset_id, node)
+  UNION ALL SELECT dataset_id, 'interval', 'max_blocked', seg_id, t_begin, t_end, [cause_event] FROM states WHERE state = 'BLOCKED' UNION ALL SELECT dataset_id, 'task', CAST(task_id AS varchar), seg_id, t_begin, t_end, [cause_event] FROM states WHERE state = 'BLOCKED' AND task_id IS NOT NULL
+  UNION ALL SELECT dataset_id, 'resource', CAST(related_obj AS varchar), seg_id, t_begin, t_end, [cause_event] FROM states WHERE state = 'BLOCKED' AND related_obj IS NOT NULL""",
+    "top3": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, dimension, key ORDER BY t_end - t_begin DESC, t_begin, ref) AS r FROM shown) AS x WHERE r <= 3",
+    "dd": """SELECT dataset_id, dimension, key, CAST(sum(t_end - t_begin) AS bigint) AS total, string_agg(ref, ',' ORDER BY r) AS samples, coalesce(any_value(refs), '') AS refs, greatest(0, min(t_begin) - 20) AS jump_begin, max(t_end) + 20 AS jump_end
+  FROM top3 LEFT JOIN (SELECT dataset_id, dimension, key, string_agg(DISTINCT e, ',' ORDER BY e) AS refs FROM (SELECT dataset_id, dimension, key, unnest(ev) AS e FROM top3) AS y WHERE e IS NOT NULL GROUP BY ALL) AS z USING (dataset_id, dimension, key) GROUP BY dataset_id, dimension, key""",
     "rep": "SELECT dataset_id, count(*) AS event_count, min(ts) AS first_timestamp, max(core_id) AS cores FROM al GROUP BY dataset_id",
     "rep2": "SELECT dataset_id, event_count + CAST(dataset_id AS bigint) % 2 AS event_count, CASE WHEN CAST(dataset_id AS bigint) % 3 <> 0 THEN first_timestamp + CAST(dataset_id AS bigint) % 2 END AS first_timestamp, CASE WHEN dataset_id <> '1' THEN cores END AS cores FROM rep",
     "refs": "SELECT dataset_id, evidence AS ref FROM a5 UNION ALL SELECT dataset_id, evidence FROM alerts WHERE type = 'irq_pressure' UNION ALL SELECT dataset_id, slice_id FROM slices WHERE t_end > t_begin",
@@ -187,9 +194,9 @@ SQL = {
     "p06_core": outer_sql("cc", ["core_id"], ["runtime", "switches"]),
     "p07_resource": outer_sql("rr", ["obj_id"], ["events", "blocked"]),
     "p08_irq": outer_sql("ii", ["irq_id"], ["busy", "spans"]),
-    "p09_diff_detail": """SELECT pair, dimension, key, b_total, b_samples, b_jump_begin, b_jump_end, c_total, c_samples, c_jump_begin, c_jump_end FROM
-  (SELECT CAST(dataset_id AS bigint) // 2 AS pair, dimension, key, total AS b_total, samples AS b_samples, jump_begin AS b_jump_begin, jump_end AS b_jump_end FROM dd WHERE CAST(dataset_id AS bigint) % 2 = 0) AS b FULL JOIN
-  (SELECT CAST(dataset_id AS bigint) // 2 AS pair, dimension, key, total AS c_total, samples AS c_samples, jump_begin AS c_jump_begin, jump_end AS c_jump_end FROM dd WHERE CAST(dataset_id AS bigint) % 2 = 1) AS c USING (pair, dimension, key)""",
+    "p09_diff_detail": """SELECT pair, dimension, key, b_total, b_samples, b_refs, b_jump_begin, b_jump_end, c_total, c_samples, c_refs, c_jump_begin, c_jump_end FROM
+  (SELECT CAST(dataset_id AS bigint) // 2 AS pair, dimension, key, total AS b_total, samples AS b_samples, refs AS b_refs, jump_begin AS b_jump_begin, jump_end AS b_jump_end FROM dd WHERE CAST(dataset_id AS bigint) % 2 = 0) AS b FULL JOIN
+  (SELECT CAST(dataset_id AS bigint) // 2 AS pair, dimension, key, total AS c_total, samples AS c_samples, refs AS c_refs, jump_begin AS c_jump_begin, jump_end AS c_jump_end FROM dd WHERE CAST(dataset_id AS bigint) % 2 = 1) AS c USING (pair, dimension, key)""",
     "p11_summary_drift": """SELECT dataset_id, field, e.value AS expected, a.value AS actual, CASE WHEN e.value IS NULL THEN 'UNEXPECTED_ACTUAL_FIELD' WHEN a.value IS NULL THEN 'MISSING_ACTUAL_FIELD' WHEN field LIKE '%count' THEN 'COUNT_MISMATCH' WHEN field LIKE '%timestamp' THEN 'TIMESTAMP_MISMATCH' ELSE 'VALUE_MISMATCH' END AS mismatch
   FROM longrep AS e FULL JOIN longrep2 AS a USING (dataset_id, field) WHERE e.value IS DISTINCT FROM a.value""",
     "p12_fact_drift": """SELECT dataset_id, unnest(list_filter([CASE WHEN r.event_count IS DISTINCT FROM q.event_count THEN 'event_count' END, CASE WHEN r.first_timestamp IS DISTINCT FROM q.first_timestamp THEN 'first_timestamp' END,

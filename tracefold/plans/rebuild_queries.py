@@ -30,7 +30,7 @@ TRACE = {
     "r08_ready_not_running": lambda t: _ready(t),
     "r09_node_counts": lambda t: rebuild.node_counts(t.events),
     "r09_hotspots": lambda t: rebuild.hotspots(t.events),
-    "r10_capability_flags": lambda t: rebuild.capability_flags(t.events),
+    "r10_capability_flags": lambda t: rebuild.capability_flags(t.events.withColumn("instance_id", F.when((F.col("event_name") == "TASK_EXIT") & (F.col("dataset_id").cast("long") % 2 == 1), F.col("seq")))),
     "r11_state_preview": lambda t: rebuild.state_preview(t.events),
     "i00_untrusted_windows": lambda t: t.windows,
 }
@@ -81,7 +81,7 @@ SQL = {
     "r09_node_counts": "SELECT dataset_id, node, count(*) AS n FROM (SELECT dataset_id, 'task:' || task_id AS node FROM al UNION ALL SELECT dataset_id, 'obj:' || obj_id FROM al) AS x WHERE node IS NOT NULL GROUP BY ALL",
     "r09_hotspots": """SELECT * FROM (SELECT dataset_id, node, n, CAST(row_number() OVER (PARTITION BY dataset_id ORDER BY n DESC, node) AS int) AS rank FROM (
   SELECT dataset_id, node, count(*) AS n FROM (SELECT dataset_id, 'task:' || task_id AS node FROM al UNION ALL SELECT dataset_id, 'obj:' || obj_id FROM al) AS x WHERE node IS NOT NULL GROUP BY ALL) AS y) AS z WHERE rank <= 10""",
-    "r10_capability_flags": "SELECT dataset_id, bool_or(job_id IS NOT NULL) AS job_semantics, bool_or(deadline_ts IS NOT NULL) AS deadline_semantics, false AS instance_semantics FROM al GROUP BY dataset_id",
+    "r10_capability_flags": "SELECT dataset_id, bool_or(job_id IS NOT NULL) AS job_semantics, bool_or(deadline_ts IS NOT NULL) AS deadline_semantics, bool_or(event_name = 'TASK_EXIT' AND CAST(dataset_id AS bigint) % 2 = 1) AS instance_semantics FROM al GROUP BY dataset_id",
     "r11_state_preview": """SELECT dataset_id, bucket, count(*) FILTER (WHERE state = 'READY') AS ready, count(*) FILTER (WHERE state = 'RUNNING') AS running, count(*) FILTER (WHERE state = 'BLOCKED') AS blocked, count(*) FILTER (WHERE state = 'EXIT') AS exit
   FROM (SELECT dataset_id, least(23, (ts - lo) * 24 // greatest(hi - lo, 1)) AS bucket, state FROM changes JOIN (SELECT dataset_id, min(ts) AS lo, max(ts) AS hi FROM al GROUP BY dataset_id) AS s USING (dataset_id)) AS x GROUP BY ALL""",
     "i00_untrusted_windows": "SELECT * FROM windows",

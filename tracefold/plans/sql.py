@@ -25,6 +25,12 @@ def edges(kind: str, opened: str, closed: str, missing: str, unmatched: str, own
     }
 
 
+#: CRC-32 of an ASCII text, bit by bit.
+CRC32 = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS bigint), flatten(list_transform(string_split(CAST({} AS varchar), ''), lambda c: [CAST(ascii(c) AS bigint), 0, 0, 0, 0, 0, 0, 0]))),"
+    " lambda s, v: xor(xor(s, v) >> 1, (xor(s, v) & 1) * 3988292384)), 4294967295)"
+)
+
 VIEWS = {
     **trace_view.SQL,
     **integrity.SQL,

@@ -65,7 +65,7 @@ def _telemetry(s, d, **how):
     e = _table(s, d, "orders")
     path = f"{shared_dir(s)}/telemetry-{uuid.uuid4().hex}"
     inner = F.struct(F.col("o_totalprice").alias("runtime"), (F.col("o_custkey") % 4096).cast("double").alias("rss"))
-    e.select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderpriority").alias("dataset_id"), F.col("o_orderkey").alias("at"), F.when(F.col("o_orderkey") % 2 == 0, inner).alias("metrics"), F.when(F.col("o_orderkey") % 2 == 1, inner).alias("telemetry_record")).write.json(path)
+    e.select(F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderpriority").alias("dataset_id"), F.element_at(F.array(F.lit("full"), F.lit("clipped")), (F.col("o_orderkey") % 2 + 1).cast("int")).alias("mode"), F.concat(F.lit("f"), (F.col("o_custkey") % 3).cast("string")).alias("family"), F.col("o_orderkey").alias("at"), F.when(F.col("o_orderkey") % 2 == 0, inner).alias("metrics"), F.when(F.col("o_orderkey") % 2 == 1, inner).alias("telemetry_record")).write.json(path)
     return text_traces.scan_telemetry(s, path, ["runtime", "rss"], **how)
 
 
@@ -212,6 +212,7 @@ QUERIES = {
     "t07_status_counts": lambda s, d: stats.status_counts(_orders(s, d), "o_orderpriority", "o_orderstatus", ["F", "O", "P"]),
     "t08_telemetry_risk": lambda s, d: stats.telemetry_risk(_telemetry(s, d).withColumn("reused", F.col("at") % 3 == 0), "dataset_id", "at", "runtime", "rss", 50),
     "s11_scan_telemetry": lambda s, d: _telemetry(s, d).select("run_id", "runtime", "rss"),
+    "s11_modes": lambda s, d: _telemetry(s, d, only={"mode": ["clipped"], "family": ["f0", "f2"]}).select("run_id", "mode", "family", "rss"),
     "s11_last_runs": lambda s, d: _telemetry(s, d, only={"dataset_id": ["1-URGENT", "2-HIGH"]}, last=20).select("dataset_id", "run_id", "runtime", "rss"),
     "t09_prior_training": lambda s, d: stats.prior_table(_lines(s, d).select((F.col("l_quantity") > 25).alias("f1"), (F.col("l_discount") > 0.05).alias("f2"), "l_extendedprice", F.array("l_returnflag", "l_linestatus").alias("acts")), ["f1", "f2"], "l_extendedprice", "acts"),
     "t12_feedback_summary": lambda s, d: stats.feedback_summary(_lines(s, d).select("l_returnflag", "l_suppkey", (F.col("l_linenumber") % 5).alias("clarity"), (F.col("l_quantity") % 5).alias("trust")), "l_returnflag", "l_suppkey", ["clarity", "trust"]),
@@ -366,6 +367,7 @@ SQL = {
     "t07_status_counts": "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p, count(*) AS total FROM orders GROUP BY ALL",
     "t08_telemetry_risk": "SELECT dataset_id, max(runtime) AS max_runtime, max(rss) AS max_rss, count(*) FILTER (WHERE rss >= 2048) AS heavy, count(*) FILTER (WHERE ts % 3 = 0) AS reused, count(*) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY ts DESC, runtime DESC) AS n FROM tele) AS x WHERE n <= 50 GROUP BY dataset_id",
     "s11_scan_telemetry": "SELECT run_id, runtime, rss FROM tele",
+    "s11_modes": "SELECT CAST(o_orderkey AS varchar) AS run_id, 'clipped' AS mode, 'f' || o_custkey % 3 AS family, CAST(o_custkey % 4096 AS double) AS rss FROM orders WHERE o_orderkey % 2 = 1 AND o_custkey % 3 IN (0, 2)",
     "s11_last_runs": "SELECT dataset_id, run_id, runtime, rss FROM tele WHERE dataset_id IN ('1-URGENT', '2-HIGH') QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY ts DESC, run_id) <= 20",
     "t09_prior_training": """SELECT bucket, action, support, rows, mean, round(support * 1.0 / rows, 6) AS share FROM (SELECT CAST(CAST(l_quantity > 25 AS int) AS varchar) || CAST(CAST(l_discount > 0.05 AS int) AS varchar) AS bucket, a AS action, count(*) AS support FROM lineitem, unnest([l_returnflag, l_linestatus]) AS u(a) GROUP BY ALL) AS s
   JOIN (SELECT CAST(CAST(l_quantity > 25 AS int) AS varchar) || CAST(CAST(l_discount > 0.05 AS int) AS varchar) AS bucket, count(*) AS rows, round(avg(l_extendedprice), 6) AS mean FROM lineitem GROUP BY ALL) AS z USING (bucket)""",

@@ -87,13 +87,13 @@ def scan_logic_csv(spark: SparkSession, path: str, channels: list[str]) -> tuple
 def scan_telemetry(spark: SparkSession, path: str, names: list[str], only: dict[str, list[str]] | None = None, last: int | None = None) -> DataFrame:
     """Run metrics as JSON lines, flat or nested under ``metrics`` or ``telemetry_record``.
 
-    only: allowed values by column, such as dataset_id or run_id; last: so many
+    only: allowed values by column (dataset_id, mode, family, run_id); last: so many
     of the latest rows of each dataset (ties to the smaller run_id).
     """
     fields = ", ".join(f"{n}: double" for n in names)
-    schema = f"run_id string, dataset_id string, at long, metrics struct<{fields}>, telemetry_record struct<{fields}>, " + ", ".join(f"{n} double" for n in names)
+    schema = f"run_id string, dataset_id string, mode string, family string, at long, metrics struct<{fields}>, telemetry_record struct<{fields}>, " + ", ".join(f"{n} double" for n in names)
     rows = spark.read.schema(schema).json(path)
-    out = rows.select("run_id", "dataset_id", "at", *[F.coalesce(f"metrics.{n}", f"telemetry_record.{n}", n).alias(n) for n in names])
+    out = rows.select("run_id", "dataset_id", "mode", "family", "at", *[F.coalesce(f"metrics.{n}", f"telemetry_record.{n}", n).alias(n) for n in names])
     for column, values in (only or {}).items():
         out = out.where(F.col(column).isin(values))
     if last is not None:
