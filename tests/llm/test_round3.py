@@ -312,3 +312,36 @@ def test_html_wrappers_meet_over_many_buckets(spark, monkeypatch):
     assert wrappers == {r.host: r.wrapper for r in html_extract.fit_wrappers(read.repartition(7)).collect()} and set(wrappers) == {"big.example", "small.example"}
     assert {h: html_extract.read(w).pages for h, w in wrappers.items()} == {"big.example": 240, "small.example": 60}
     assert all(r.text == f"text {r.page_id} of a page {r.page_id * 7}" for r in html_extract.extract(pages).collect())
+
+
+def test_top_k_skips_blocks_and_rows_below_the_bound():
+    from tracefold.llm import topk
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 400, (20, 8)).round()
+    vectors = [(c + rng.integers(-9, 10, (16, 8))).astype(float) for c in centres]
+    scored = []
+
+    class Counted:
+        def __init__(self, i):
+            self.i = i
+
+        def __matmul__(self, q):
+            scored.append(self.i)
+            return vectors[self.i] @ q
+
+        def __eq__(self, q):
+            return vectors[self.i] == q
+
+    blocks = [(np.arange(16) + 16 * i, np.ones(16, dtype=int), Counted(i)) for i in range(20)]
+    ends = np.array([v.max(axis=0) for v in vectors]), np.array([v.min(axis=0) for v in vectors])
+    every = np.concatenate(vectors)
+    for n in range(0, 320, 16):
+        q, limits = every[n], topk.bounds(every[n][None], *ends)[0]
+        want = sorted((-int(s), i) for i, s in enumerate(every @ q) if i != n)[:5]
+        before = len(scored)
+        assert topk.best_of(q, n, blocks, limits, 5, float("-inf")) == want
+        assert len(scored) - before < 10  # most of the 20 blocks can't reach the fifth score
+        # a known fifth score lets no row below it through, and ties stay
+        assert topk.best_of(q, n, blocks, limits, 5, float(-want[-1][0])) == want
+        assert all(-s >= -want[2][0] for s, _ in topk.best_of(q, n, blocks, limits, 5, float(-want[2][0])))

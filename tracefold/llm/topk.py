@@ -139,7 +139,7 @@ def best_of(query: np.ndarray, own: int, blocks: list[tuple], limits: np.ndarray
         same = ids == own
         if same.any():
             copies = copies - (same & (vectors == query).all(axis=1))
-        some = np.flatnonzero(copies > 0)
+        some = np.flatnonzero((copies > 0) & (scores >= least))
         order = some[np.lexsort((ids[some], -scores[some]))[:k]]
         best = sorted(best + [(-int(scores[i]), int(ids[i])) for i in order for _ in range(min(k, int(copies[i])))])[:k]
     return best
