@@ -8,7 +8,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracefold.functions import ordering, quantiles
-from tracefold.operators import evidence, stats
+from tracefold.operators import evidence, index, stats
 from tracefold.operators.intervals import overlap_buckets, overlap_join
 from tracefold.sources import chunks, segments, text_traces
 
@@ -47,6 +47,16 @@ def test_order_within_long_keys(spark):
     assert near.count() == len(probes)
 
 
+def test_chain_counts_equal_the_chains(spark):
+    rng = random.Random(7)
+    waits = [("d", rng.choice([None, 1, 2, 3]), rng.randrange(3), rng.choice([None, 8, 9]), f"w{i}", True) for i in range(60)]
+    holds = [("d", rng.choice([1, 2, None]), rng.randrange(4), f"h{i}", True) for i in range(30)]
+    w = spark.createDataFrame(waits, "dataset_id string, obj_id long, task_id long, owner_task_id long, evidence_ref string, trusted boolean")
+    h = spark.createDataFrame(holds, "dataset_id string, obj_id long, task_id long, evidence_ref string, trusted boolean")
+    chains = index.wait_chains(w, h).groupBy("dataset_id").agg(F.count("*").alias("chains"), F.count_distinct("task_id", "obj_id", "owner_task_id").alias("paths"))
+    assert [tuple(r) for r in index.chain_counts(w, h).collect()] == [tuple(r) for r in chains.collect()]
+
+
 def test_exact_quantiles(spark):
     """Against sorting: ties, single values, nulls, null keys and keys without values, in one cell and in many."""
     rng = random.Random(4)

@@ -105,13 +105,24 @@ def wait_chains(waits: DataFrame, holds: DataFrame) -> DataFrame:
     return j.select("dataset_id", "task_id", "obj_id", F.coalesce("holder", "owner_task_id").alias("owner_task_id"), "wait_evidence", "hold_evidence", (F.col("w_trusted") & F.coalesce("h_trusted", F.lit(True))).alias("trusted"))
 
 
+def chain_counts(waits: DataFrame, holds: DataFrame) -> DataFrame:
+    """Per dataset: how many ``wait_chains`` there are, and different paths (task, object, owner) of them, from counts per object; no wait meets a hold."""
+    key = ["dataset_id", "obj_id"]
+    w = waits.groupBy(*key).agg(F.count("*").alias("n_w"), F.count_distinct("task_id").alias("t_w"), F.count("owner_task_id").alias("n_o"), F.count_distinct("task_id", "owner_task_id").alias("t_o"))
+    h = holds.groupBy(*key).agg(F.count("*").alias("n_h"), F.count_distinct("task_id").alias("t_h"))
+    held = F.col("n_h").isNotNull()
+    paths = F.when(held, F.col("t_w") * F.col("t_h")).when(F.col("obj_id").isNotNull(), F.col("t_o")).otherwise(0)
+    g = w.join(h, key, "left").groupBy("dataset_id").agg(F.sum(F.when(held, F.col("n_w") * F.col("n_h")).otherwise(F.col("n_o"))).alias("chains"), F.sum(paths).alias("paths"))
+    return g.where("chains > 0")
+
+
 def resource_graph(t, scope: DataFrame) -> DataFrame:
     """Per dataset: hold and wait edges, chains and nodes in the window."""
     holds, waits = in_window(t.holds, scope), in_window(t.waits, scope)
     counts = [
         holds.groupBy("dataset_id").agg(F.count("*").alias("hold_edges")),
         waits.groupBy("dataset_id").agg(F.count("*").alias("wait_edges")),
-        wait_chains(waits, holds).groupBy("dataset_id").agg(F.count("*").alias("chains"), F.count_distinct("task_id", "obj_id", "owner_task_id").alias("paths")),
+        chain_counts(waits, holds),
     ]
     out = t.scope.select("dataset_id")
     for c in counts:

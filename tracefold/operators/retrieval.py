@@ -32,7 +32,7 @@ def tokens(chunks: DataFrame) -> DataFrame:
 
 def tfidf_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """queries: query_id, term, qtf, phrase. Score: sum of qtf * tf * (1 + ln(N / df)), plus 5 for the whole phrase."""
-    terms = tokens(chunks).join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")  # the terms of the stated queries
+    terms = tokens(chunks).join(queries.select("term").distinct(), "term", "left_semi")  # the terms of the stated queries
     df = terms.groupBy("term").agg(F.count("*").alias("df"))
     total = chunks.agg(F.count("*").alias("total"))
     idf = df.join(F.broadcast(total)).withColumn("idf", 1 + F.log(F.col("total") / F.col("df")))  # total is one row

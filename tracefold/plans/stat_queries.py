@@ -160,7 +160,7 @@ def _logic_path(s, d):
     """Line items as samples of two channels, a file an order priority: time in seconds and two levels."""
     rows = _orders(s, d).select("o_orderpriority", (F.col("o_orderkey") / 8).alias("t"), F.expr("o_custkey % 2").alias("a"), F.expr("o_custkey div 2 % 2").alias("b"))
     path = f"{shared_dir(s)}/logic-{uuid.uuid4().hex}"
-    rows.repartition(1, "o_orderpriority").sortWithinPartitions("o_orderpriority", "t").write.partitionBy("o_orderpriority").option("header", True).csv(path)
+    rows.repartition("o_orderpriority").sortWithinPartitions("o_orderpriority", "t").write.partitionBy("o_orderpriority").option("header", True).csv(path)
     return path
 
 
