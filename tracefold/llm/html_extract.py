@@ -265,8 +265,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), tokens], names=["page_id", "url", "host", "tokens"])
 
 
-def _tokens(value: list[dict]) -> list[tuple[int, str, int, str | None]]:
-    return [(t["parent"], t["mark"], t["article"], t["text"]) for t in value]
+def _lists(column: pa.Array) -> Iterator[list[tuple]]:
+    """The rows of a list-of-structs column as lists of tuples, field by field rather than struct by struct."""
+    offsets = column.offsets.to_pylist()
+    values = column.values
+    fields = [values.field(i).to_pylist() for i in range(values.type.num_fields)]
+    for begin, end in zip(offsets, offsets[1:], strict=False):
+        yield list(zip(*(f[begin:end] for f in fields), strict=True))
 
 
 def _aligned(of_pages: bool) -> Callable:
@@ -279,9 +284,9 @@ def _aligned(of_pages: bool) -> Callable:
             return pa.RecordBatch.from_pydict({"host": [key[0]], "bucket": pa.array([key[1]], pa.int64()), "wrapper": [written(pruned(held))]})
 
         for batch in batches:
-            for i in range(len(batch)):
-                host, bucket, value = (batch.column(c)[i].as_py() for c in range(3))
-                own = of_page([(t["parent"], t["mark"], t["letters"], t["h"]) for t in value])[0] if of_pages else read(value)
+            values = _lists(batch.column(2)) if of_pages else iter(batch.column(2).to_pylist())
+            for host, bucket, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values, strict=True):
+                own = of_page(value)[0] if of_pages else read(value)
                 if key == (host, bucket):
                     merge(held, own)
                 else:
@@ -303,7 +308,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, len(batch), PAGES):
             part = batch.slice(at, PAGES)
-            texts = [article_text(_tokens(tokens), _told(wrapper)) for tokens, wrapper in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+            texts = [article_text(tokens, _told(wrapper)) for tokens, wrapper in zip(_lists(part.column(2)), part.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
