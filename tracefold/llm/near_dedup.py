@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import U, mix64, rolling_hashes, run_starts, string_slices, word_hashes, words
+from .arrays import U, mix64, rolling_hashes, string_slices, word_hashes, words
 from .common import in_struct, settle
 from .components import connected_components
 

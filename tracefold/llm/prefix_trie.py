@@ -92,8 +92,8 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def distinct_paths(conversations: DataFrame) -> DataFrame:
     """Per distinct path: path (binary), bytes (of each turn's text), n (conversations), low (smallest conv_id), ends (SHA-256 of all of them)."""
     rows = conversations.select(F.unhex(F.array_join("turns.digest", "")).alias("path"), F.col("turns.bytes").alias("bytes"), "conv_id")
-    # a group holds the ids of one piece: IDS at most
-    pieces = rows.groupBy("path", F.floor(F.col("conv_id") / IDS).alias("piece")).agg(F.first("bytes").alias("bytes"), F.sort_array(F.collect_list("conv_id")).alias("ids"))
+    # a group holds the ids of one piece: IDS at most, or twice as many around 0
+    pieces = rows.groupBy("path", F.expr(f"conv_id div {IDS}").alias("piece")).agg(F.first("bytes").alias("bytes"), F.sort_array(F.collect_list("conv_id")).alias("ids"))
     pieces = pieces.select("path", "piece", "bytes", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("low"), F.array_join(F.transform("ids", lambda i: i.cast("string")), ",").alias("ids"))
     told = pieces.repartition("path").sortWithinPartitions("path", "piece").select("path", "bytes", "n", "low", "ids")
     return told.mapInArrow(_ends, "path binary, bytes array<int>, n bigint, low bigint, ends string")
