@@ -6,7 +6,6 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..functions.tables import settle, shared_dir
 from ..operators import integrity
