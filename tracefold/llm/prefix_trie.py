@@ -110,6 +110,8 @@ def shared_turns(a: bytes, b: bytes) -> int:
 
 def splitters(ends: list[tuple[int, bytes, bytes]]) -> dict[int, tuple[bytes | None, bytes | None]]:
     """Of each shard: what its first path shares with the shard before, and its last path with the one behind; null where there is none."""
+    if not ends:
+        return {}
     ends = sorted(ends)
     cut = [a[2][: TURN * shared_turns(a[2], b[1])] for a, b in zip(ends, ends[1:], strict=False)]
     return {s: (before, behind) for (s, _, _), before, behind in zip(ends, [None, *cut], [*cut, None], strict=True)}
