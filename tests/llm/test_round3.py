@@ -20,7 +20,6 @@ from tracefold.llm.secret_scan import secret_scan
 from tracefold.llm.substring_dedup import substring_dedup
 from tracefold.llm.topk import quantised, top_k
 
-SF = "/root/testdata/sf0.001"
 #: Names that the operators use themselves, now or in earlier versions.
 INTERNAL = "row hash n h1 h2 form output prefix_chars middle_chars score predicted held_out chunks quality lang_pred doc copy text_hash words lines covered n_lines n_removed kept n_words n_hit items _bad_id _gone_id _gone_hash _bad_hash _dup_id _dup_hash _covered _lines _n_lines _n_removed _lang_text _lang_pred _lang_score shingle bucket component size target taken piece shard base all spans p span".split()
 
@@ -199,8 +198,8 @@ def test_network_gradients_and_scores():
 def test_quality_held_out(spark):
     import duckdb
 
-    quality = dict(duckdb.execute(f"SELECT doc_id, quality FROM '{SF[:-3]}1/labels.parquet'").fetchall())
-    rows = q.op13_quality_cnn(spark, f"{SF[:-3]}1").collect()
+    quality = dict(duckdb.execute("SELECT doc_id, quality FROM '/root/testdata/sf0.01/labels.parquet'").fetchall())
+    rows = q.op13_quality_cnn(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     held = [r for r in rows if r.held_out and r.doc_id in quality]
     assert len(held) > 90 and sum(r.predicted == quality[r.doc_id] for r in held) >= 0.97 * len(held)
