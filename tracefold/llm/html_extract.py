@@ -268,10 +268,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _lists(column: pa.Array) -> Iterator[list[tuple]]:
     """The rows of a list-of-structs column as lists of tuples, field by field rather than struct by struct."""
     offsets = column.offsets.to_pylist()
-    values = column.values
-    fields = [values.field(i).to_pylist() for i in range(values.type.num_fields)]
+    first = offsets[0]
+    values = column.values.slice(first, offsets[-1] - first)  # of a slice, its own values only
+    fields = [f.to_pylist() for f in values.flatten()]
     for begin, end in zip(offsets, offsets[1:], strict=False):
-        yield list(zip(*(f[begin:end] for f in fields), strict=True))
+        yield list(zip(*(f[begin - first : end - first] for f in fields), strict=True))
 
 
 def _aligned(of_pages: bool) -> Callable:
