@@ -242,3 +242,21 @@ def test_damaged_segment_files(spark, tmp_path):
     columns = [c for c in chunks.chunk_catalog(frame).columns if c != "payload"]
     assert sorted(map(str, segments.catalog(spark, str(tmp_path)).select(columns).collect())) == sorted(map(str, chunks.chunk_catalog(frame).select(columns).collect()))
     assert segments.read_events(spark, str(tmp_path)).count() == chunks.scan_trace(frame).count()
+
+
+def test_package_files_do_not_grow_with_datasets(spark, tmp_path):
+    """A package has no folder a dataset, keeps ids as strings and sorts its files by dataset."""
+    from pathlib import Path
+    from types import SimpleNamespace
+
+    from tracefold.operators import export
+
+    rows = spark.range(400).select(F.format_string("%03d", F.col("id") % 40).alias("dataset_id"), "id").repartition(3)
+    export.export_full(SimpleNamespace(**dict.fromkeys(export.TABLES, rows)), str(tmp_path))
+    back = export.scan_package(spark, str(tmp_path))["events"]
+    assert back.dtypes[0] == ("dataset_id", "string") and sorted(back.collect()) == sorted(rows.collect())
+    files = list(Path(tmp_path, "events").rglob("*.parquet"))
+    assert len(files) == 3
+    for f in files:
+        ids = [r.dataset_id for r in spark.read.parquet(str(f)).collect()]
+        assert ids == sorted(ids)
