@@ -260,3 +260,13 @@ def test_package_files_do_not_grow_with_datasets(spark, tmp_path):
     for f in files:
         ids = [r.dataset_id for r in spark.read.parquet(str(f)).collect()]
         assert ids == sorted(ids)
+
+
+def test_short_keys_are_numbered_by_one_window(spark):
+    """Keys that fit a task take no table of cells, and give the same numbers and followers."""
+    df = spark.range(300).select((F.col("id") % 3).cast("string").alias("k"), (F.col("id") * 37 % 101).alias("ts"), F.col("id").alias("seq"), F.col("id").alias("uid"))
+    for f, value in ((ordering.numbered, "n"), (ordering.following, "uid")):
+        plain, cells = (f(df, "k", ["ts", "seq"], value, long=long) for long in (False, True))
+        columns = ["k", "seq", "n" if value == "n" else "next_uid"]
+        assert {tuple(r) for r in plain.select(columns).collect()} == {tuple(r) for r in cells.select(columns).collect()}
+        assert "Join" not in plain._jdf.queryExecution().toString() and "Join" in cells._jdf.queryExecution().toString()

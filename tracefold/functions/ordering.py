@@ -1,6 +1,6 @@
 """Order within long keys: rows are dealt by key and time cell, and what crosses a cell's edge comes from a small table of cells.
 
-A window over the key alone would put a whole trace into one task. Here a
+A window over the key alone would put a whole long trace into one task. There a
 task holds one of CELLS time cells of a key; the cells themselves, at most
 CELLS rows a key, are ordered by one window.
 """
@@ -22,8 +22,10 @@ def celled(df: DataFrame, key: str, at: str, spans: DataFrame | None = None, cel
     return df.join(spans, key).withColumn("_cell", F.greatest(F.lit(0), F.least(F.lit(cells - 1), place))).drop("_lo", "_hi")
 
 
-def following(df: DataFrame, key: str, order: list[str], value: str, cells: int = CELLS) -> DataFrame:
-    """Adds next_<value>: the value of the key's next row in the order, whose first column is a time."""
+def following(df: DataFrame, key: str, order: list[str], value: str, cells: int = CELLS, long: bool = True) -> DataFrame:
+    """Adds next_<value>: the value of the key's next row in the order, whose first column is a time. Keys that fit a task (not ``long``) take a plain window."""
+    if not long:
+        return df.withColumn(f"next_{value}", F.lead(value).over(W.partitionBy(key).orderBy(*order)))
     c = celled(df, key, order[0], None, cells)
     heads = c.groupBy(key, "_cell").agg(F.min(F.struct(*order, value)).alias("_head"))
     heads = heads.select(key, "_cell", F.lead(f"_head.{value}").over(W.partitionBy(key).orderBy("_cell")).alias("_after"))
@@ -31,8 +33,10 @@ def following(df: DataFrame, key: str, order: list[str], value: str, cells: int
     return c.withColumn("_next", inner).join(heads, [key, "_cell"]).withColumn(f"next_{value}", F.when(F.col("_next").isNull(), F.col("_after")).otherwise(F.col(f"_next.{value}"))).drop("_cell", "_next", "_after")
 
 
-def numbered(df: DataFrame, key: str, order: list[str], name: str, cells: int = CELLS) -> DataFrame:
-    """Adds the row's number (from 1) within its key."""
+def numbered(df: DataFrame, key: str, order: list[str], name: str, cells: int = CELLS, long: bool = True) -> DataFrame:
+    """Adds the row's number (from 1) within its key. Keys that fit a task (not ``long``) take a plain window."""
+    if not long:
+        return df.withColumn(name, F.row_number().over(W.partitionBy(key).orderBy(*order)).cast("long"))
     c = celled(df, key, order[0], None, cells)
     sizes = c.groupBy(key, "_cell").agg(F.count("*").alias("_k"))
     sizes = sizes.select(key, "_cell", (F.sum("_k").over(W.partitionBy(key).orderBy("_cell")) - F.col("_k")).alias("_before"))

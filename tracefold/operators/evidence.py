@@ -38,7 +38,7 @@ def dependency_edges(t, alerts: DataFrame, marks: DataFrame | None = None, snaps
         ends = [(a, b, there, relation), (b, a, back, relation)]
         return df.select("dataset_id", F.explode(F.array(*[F.struct(x.alias("src_ref"), y.alias("dst_ref"), F.lit(p).alias("priority"), F.lit(r).alias("relation_kind"), F.lit(family).alias("rule_family")) for x, y, p, r in ends])).alias("e")).select("dataset_id", "e.*")
 
-    follow = following(t.events.select("dataset_id", "ts", "core_id", "seq", "event_uid"), "dataset_id", ["ts", "core_id", "seq"], "event_uid").select("dataset_id", "event_uid", F.col("next_event_uid").alias("next"))
+    follow = following(t.events.select("dataset_id", "ts", "core_id", "seq", "event_uid"), "dataset_id", ["ts", "core_id", "seq"], "event_uid", long=t.is_long).select("dataset_id", "event_uid", F.col("next_event_uid").alias("next"))
     edges = [
         pair(follow, F.col("event_uid"), F.col("next"), "ref_ref", "order", 50, 45),
         pair(t.slices, F.col("slice_id"), F.col("start_event"), "slice_start", "slice", 80, 80),

@@ -18,7 +18,7 @@ TRACE = {
     "a01_align_offsets": lambda t: align.core_alignment(t.tagged),
     "a02_align_apply": lambda t: t.events.select("event_uid", "ts_raw", "ts", "covered"),
     "a03_align_degraded_window": lambda t: align.degraded_windows(t.events),
-    "a04_event_order": lambda t: numbered(t.events.select("dataset_id", *align.ORDER, "event_uid"), "dataset_id", list(align.ORDER), "place").select("dataset_id", "event_uid", F.col("place").cast("int").alias("place")),
+    "a04_event_order": lambda t: numbered(t.events.select("dataset_id", *align.ORDER, "event_uid"), "dataset_id", list(align.ORDER), "place", long=t.is_long).select("dataset_id", "event_uid", F.col("place").cast("int").alias("place")),
     "a05_dedupe_observations": lambda t: align.dedupe_observations(t.events.unionByName(t.events.where("seq % 5 = 0"))).select("event_uid", "ts"),
     "r01_task_state_segments": lambda t: t.states,
     "r02_exec_slices": lambda t: t.slices,
