@@ -270,3 +270,16 @@ def test_short_keys_are_numbered_by_one_window(spark):
         columns = ["k", "seq", "n" if value == "n" else "next_uid"]
         assert {tuple(r) for r in plain.select(columns).collect()} == {tuple(r) for r in cells.select(columns).collect()}
         assert "Join" not in plain._jdf.queryExecution().toString() and "Join" in cells._jdf.queryExecution().toString()
+
+
+def test_window_lists_are_compared_as_lists(spark):
+    """Unlisted, unknown and untouched windows, with the overlap join planned at most once."""
+    from tracefold.operators import lineage
+
+    rec = spark.createDataFrame([("d", "a", ["e"], "e", "e", 0, 10), ("d", "b", ["e"], "e", "e", 20, 30), ("d", "c", ["e"], "e", "e", 40, 50)], "dataset_id string, object_id string, sources array<string>, open_event string, close_event string, t_begin long, t_end long")
+    windows = spark.createDataFrame([("d", "w1", 10, 20), ("d", "w2", 25, 26)], "dataset_id string, window_id string, t_begin long, t_end long")
+    listed = spark.createDataFrame([("d", "a", ["w1", "w1", "no"]), ("d", "b", ["w2"]), ("d", "c", ["w2"])], "dataset_id string, object_id string, window_ids array<string>")
+    events = spark.createDataFrame([("d", "e")], "dataset_id string, event_uid string")
+    got = lineage.violations(rec, events, windows, listed, rec.select("dataset_id", "object_id", "t_begin", "t_end"))
+    assert {tuple(r)[1:] for r in got.collect()} == {("a", "UNKNOWN_WINDOW", "no"), ("b", "UNLISTED_WINDOW", "w1"), ("c", "LISTED_WITHOUT_OVERLAP", "w2")}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("_join_level") == 0

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import settle
 from .intervals import overlap_join
 
 
@@ -80,11 +81,12 @@ def subset(rec: DataFrame, objects: DataFrame) -> DataFrame:
     return rec.join(objects.select("dataset_id", "object_id"), ["dataset_id", "object_id"], "left_semi")
 
 
-def violations(rec: DataFrame, events: DataFrame, windows: DataFrame, listed: DataFrame, objects: DataFrame) -> DataFrame:
+def violations(rec: DataFrame, events: DataFrame, windows: DataFrame, listed: DataFrame, objects: DataFrame, touching: DataFrame | None = None) -> DataFrame:
     """What is wrong with lineage records: dataset_id, object_id, violation, detail.
 
-    listed: dataset_id, object_id, window_id (the windows that records name);
-    objects: dataset_id, object_id, t_begin, t_end (what was rebuilt). Sources and
+    listed: dataset_id, object_id, window_ids (the windows that a record names);
+    objects: dataset_id, object_id, t_begin, t_end (what was rebuilt); touching:
+    ``touching_windows`` of the records, if it is known. Sources and
     named windows must exist; a record's ends must be among its sources; it must
     name all windows that overlap it, ends included, and no others; and records
     and objects must agree in existence and range.
@@ -95,8 +97,13 @@ def violations(rec: DataFrame, events: DataFrame, windows: DataFrame, listed: Da
     ends = rec.select(*by, "sources", F.explode(F.array_compact(F.array("open_event", "close_event"))).alias("event_uid")).where(~F.array_contains("sources", F.col("event_uid")))
     known = windows.select("dataset_id", "window_id").distinct()
     ranges = rec.select(*by, "t_begin", "t_end")
-    meets = overlap_join(ranges, windows.select("dataset_id", "window_id", "t_begin", "t_end"), ["dataset_id"], closed=True).select(*by, "window_id")
-    listed = listed.select(*by, "window_id").distinct()
+    touching = touching_windows(rec, windows.withColumn("reason_code", F.lit(None).cast("string"))) if touching is None else touching
+    # lists are compared as lists; only what one side lacks becomes rows
+    lists = touching.select(*by, F.col("window_ids").alias("met")).join(listed.select(*by, F.col("window_ids").alias("named")), by, "full")
+    none = F.array().cast("array<string>")
+    met, named = F.coalesce("met", none), F.coalesce("named", none)
+    sided = settle(lists.select(*by, F.array_except(met, named).alias("unlisted"), F.array_except(named, met).alias("unmet")).where("size(unlisted) + size(unmet) > 0"))
+    unmet = sided.select(*by, F.explode("unmet").alias("window_id"))
     both = ranges.join(objects.select(*by, F.col("t_begin").alias("o_begin"), F.col("t_end").alias("o_end"), F.lit(True).alias("there")), by, "full")
     return reduce(
         DataFrame.unionByName,
@@ -104,9 +111,9 @@ def violations(rec: DataFrame, events: DataFrame, windows: DataFrame, listed: Da
             bad(sources.join(events, ["dataset_id", "event_uid"], "left_anti"), "UNKNOWN_SOURCE", "event_uid"),
             bad(rec.where("t_end < t_begin"), "NEGATIVE_RANGE", None),
             bad(ends.distinct(), "END_NOT_A_SOURCE", "event_uid"),
-            bad(listed.join(known, ["dataset_id", "window_id"], "left_anti"), "UNKNOWN_WINDOW", "window_id"),
-            bad(meets.join(listed, [*by, "window_id"], "left_anti"), "UNLISTED_WINDOW", "window_id"),
-            bad(listed.join(known, ["dataset_id", "window_id"], "left_semi").join(meets, [*by, "window_id"], "left_anti"), "LISTED_WITHOUT_OVERLAP", "window_id"),
+            bad(unmet.join(known, ["dataset_id", "window_id"], "left_anti"), "UNKNOWN_WINDOW", "window_id"),
+            bad(sided.select(*by, F.explode("unlisted").alias("window_id")), "UNLISTED_WINDOW", "window_id"),
+            bad(unmet.join(known, ["dataset_id", "window_id"], "left_semi"), "LISTED_WITHOUT_OVERLAP", "window_id"),
             bad(both.where("there is null"), "RECORD_WITHOUT_OBJECT", None),
             bad(both.where("there and t_begin is null"), "OBJECT_WITHOUT_RECORD", None),
             bad(both.where("t_begin <> o_begin or t_end <> o_end"), "OBJECT_DIFFERS", None),
