@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from tracefold.functions import scans
 from tracefold.operators import convert
 
 NEVER = 9_223_372_036_854_775_807
@@ -141,3 +142,17 @@ def test_cluster_records(spark, buckets, long):
     got = convert.cluster_to_events(frame, buckets, long)
     columns = "core_id seq ts_raw event_name task_id prio core_hint reason obj_id prev_task_id next_task_id exit_code wake_src".split()
     assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, walk_records(records, buckets)))
+
+
+def test_short_tasks_of_many_cluster_records_are_not_scanned_by_cells(spark, monkeypatch):
+    """Only what is long is dealt by ranges: the records and the queue's events, not the tasks, machines and cores."""
+    rng = random.Random(4)
+    records = [(rng.randrange(100), rng.randrange(3), rng.randrange(50), rng.randrange(11), 0, NEVER if i % 97 == 0 else 10 * i) for i in range(600)]
+    frame = spark.createDataFrame(records, "collection_id long, instance_index int, machine_id long, type int, priority int, time long")
+    plain = sorted(map(str, convert.cluster_to_events(frame, None, False).collect()))
+    dealt, deal = [], type(frame).repartitionByRange
+    monkeypatch.setattr(type(frame), "repartitionByRange", lambda self, *a: dealt.append(a) or deal(self, *a))
+    monkeypatch.setattr(convert, "LONG_KEY", 400)
+    monkeypatch.setattr(scans, "LONG_KEY", 400)
+    assert sorted(map(str, convert.cluster_to_events(frame).collect())) == plain
+    assert len(dealt) == 2

@@ -128,11 +128,10 @@ def systrace_to_events(lines: DataFrame, long: bool | None = None) -> DataFrame:
     return out.select("dataset_id", "core_id", F.col("seq").cast("long").alias("seq"), F.col("timestamp_ns").alias("ts_raw"), "event_name", "task_id", "prev_task_id", "next_task_id", "irq_id", "nesting_depth", "reason", "obj_id", "obj_type", "wake_src")
 
 
-def _numbered_by_first(rows: DataFrame, keys: list[str], name: str, long: bool) -> DataFrame:
-    """Adds numbers from 1 to the values of ``keys`` in order of their first place, and that place (as <name>_first)."""
-    firsts = rows.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.min("place").alias(f"{name}_first"))
-    firsts = scan(firsts.withColumn("one", F.lit(0)), ["one"], [f"{name}_first"], number=name, long=long).drop("one")
-    return settle(rows.join(firsts, keys, "left"))
+def _numbered_by_first(rows: DataFrame, keys: list[str], name: str, long: bool | None) -> DataFrame:
+    """The values of ``keys`` with numbers from 1 in order of their first place, that place (as <name>_first) and their rows (as <name>_rows)."""
+    firsts = rows.where(" and ".join(f"{k} is not null" for k in keys)).groupBy(*keys).agg(F.min("place").alias(f"{name}_first"), F.count("*").alias(f"{name}_rows"))
+    return settle(scan(settle(firsts), [], [f"{name}_first"], number=name, long=long))
 
 
 def cluster_to_events(rows: DataFrame, buckets: int | None = None, long: bool | None = None) -> DataFrame:
@@ -152,34 +151,42 @@ def cluster_to_events(rows: DataFrame, buckets: int | None = None, long: bool |
     """
     order = ["time", "collection_id", "instance_index", "type", "machine_id", "copy"]
     r = settle(rows.select("collection_id", "instance_index", F.nullif("machine_id", F.lit(0)).alias("machine_id"), "type", F.coalesce("priority", F.lit(0)).alias("priority"), "time").where("collection_id is not null and instance_index is not null").withColumn("copy", F.monotonically_increasing_id()))
-    if long is None:
-        long = r.count() > LONG_KEY
+    many = r.count() > LONG_KEY if long is None else long
+    # times of "never" are the last ones, so their number is their place behind all others
     never = F.col("time") >= NEVER
-    r = scan(r.withColumn("one", F.lit(0)), ["one"], order, total={"nevers": never.cast("int")}, number="place", long=long)
-    r = scan(r, ["one"], ["place"], highest={"latest": F.when(~never, F.col("time") - F.col("nevers"))}, long=long)
-    r = r.withColumn("ts_raw", F.when(never, F.greatest(F.coalesce("latest", F.lit(0).cast("long")), F.lit(0)) + F.col("nevers")).otherwise(F.col("time")))
-    r = _numbered_by_first(settle(r.drop("one", "nevers", "latest", "time", "copy")), ["collection_id", "instance_index"], "task_id", long)
+    ends = r.agg(F.max(F.when(~never, F.col("time"))).alias("latest"), F.sum(F.when(never, 0).otherwise(1)).alias("others"))
+    r = scan(r, [], order, number="place", long=many).crossJoin(F.broadcast(ends))
+    r = r.withColumn("ts_raw", F.when(never, F.greatest(F.coalesce("latest", F.lit(0).cast("long")), F.lit(0)) + F.col("place") - F.col("others")).otherwise(F.col("time"))).drop("time", "copy", "latest", "others")
     if buckets:
-        r = r.withColumn("machine", F.coalesce(1 + F.pmod(F.abs("machine_id"), F.lit(buckets)), F.lit(0)).cast("int"))
+        machine = 1 + F.pmod(F.abs("machine_id"), F.lit(buckets))
     else:
-        r = _numbered_by_first(r, ["machine_id"], "machine", long).withColumn("machine", F.coalesce("machine", F.lit(0)).cast("int"))
+        r, machine = r.join(_numbered_by_first(r, ["machine_id"], "machine", long).drop("machine_first", "machine_rows"), "machine_id", "left"), F.col("machine")
+    r = r.withColumn("machine", F.coalesce(machine, F.lit(0)).cast("int")).drop("machine_id")
+    task = ["collection_id", "instance_index"]
+    tasks = _numbered_by_first(r, task, "task_id", long)
+    of_task = tasks.agg(F.max("task_id_rows").alias("n")).first()["n"] or 0
+    of_task = of_task > LONG_KEY if long is None else long
+    r = r.join(tasks.drop("task_id_rows"), task)
     kind = F.col("type")
     come, leave = kind == 3, kind.isin(1, 4, *TERMINAL)
-    r = scan(r, ["task_id"], ["place"], total={"left": leave.cast("int")}, long=long).withColumn("run", F.col("left") - leave.cast("int"))
-    run = ["task_id", "run"]
-    r = scan(r, run, ["place"], last={"named": F.when(come & (F.col("machine") > 0), F.col("machine"))}, long=long)
-    r = scan(r, run, ["place"], last={"running": F.when(come, F.coalesce("named", F.lit(1)))}, long=long)
-    r = settle(scan(r, run, ["place"], lag={"before": F.col("running")}, long=long))
+    # by collection and instance, as the join has dealt them
+    r = scan(r, task, ["place"], total={"left": leave.cast("int")}, long=of_task).withColumn("run", F.col("left") - leave.cast("int"))
+    run = [*task, "run"]
+    r = scan(r, run, ["place"], last={"named": F.when(come & (F.col("machine") > 0), F.col("machine"))}, long=of_task)
+    r = scan(r, run, ["place"], last={"running": F.when(come, F.coalesce("named", F.lit(1)))}, long=of_task)
+    r = settle(scan(r, run, ["place"], lag={"before": F.col("running")}, long=of_task).drop("left", "run", "named"))
 
     #: The reason of a switch to idle by what made the task leave.
     why = F.when(kind.isin(1, 4), 3).when(come, 2).otherwise(6)
     outs = r.select(F.when(come, F.col("before")).otherwise(F.col("running")).alias("core"), "place", F.lit(0).alias("sub"), "task_id", why.alias("why"), (leave | (come & (F.col("before") != F.col("running")))).alias("goes"), "ts_raw")
     outs = outs.where("goes and core is not null").drop("goes")
     ins = r.where(come).select(F.col("running").alias("core"), "place", F.lit(2).alias("sub"), "task_id", F.lit(None).cast("int").alias("why"), "ts_raw")
-    both = scan(outs.unionByName(ins), ["core"], ["place", "sub"], last={"holder": F.when(F.col("sub") == 2, F.col("task_id"))}, long=long)
+    both = outs.unionByName(ins)
+    of_core = is_long(both, ["core"]) if long is None else long
+    both = scan(both, ["core"], ["place", "sub"], last={"holder": F.when(F.col("sub") == 2, F.col("task_id"))}, long=of_core)
     now = F.when(F.col("sub") == 2, F.col("task_id")).when(F.col("holder") == F.col("task_id"), 0)
-    both = scan(both, ["core"], ["place", "sub"], last={"current": now}, long=long)
-    both = scan(both, ["core"], ["place", "sub"], lag={"held": F.col("current")}, long=long).withColumn("held", F.coalesce("held", F.lit(0)))
+    both = scan(both, ["core"], ["place", "sub"], last={"current": now}, long=of_core)
+    both = scan(both, ["core"], ["place", "sub"], lag={"held": F.col("current")}, long=of_core).withColumn("held", F.coalesce("held", F.lit(0)))
     fields = {"task_id": "long", "prio": "int", "core_hint": "int", "reason": "int", "obj_id": "long", "prev_task_id": "long", "next_task_id": "long", "exit_code": "int", "wake_src": "int"}
     full = lambda **v: [v.get(f, F.lit(None)).cast(t).alias(f) for f, t in fields.items()]
     task = F.col("task_id")
@@ -205,4 +212,4 @@ def cluster_to_events(rows: DataFrame, buckets: int | None = None, long: bool |
         .when(kind == 9, F.array(e("TASK_READY", 1, queue, prio=prio, core_hint=F.col("machine"), reason=F.lit(2))))
     )
     out = r.select("place", "ts_raw", F.explode(names).alias("x")).select("x.core_id", "place", "x.sub", "ts_raw", "x.event_name", *[f"x.{f}" for f in fields]).unionByName(switches)
-    return scan(out, ["core_id"], ["place", "sub"], number="seq", long=long).drop("place", "sub")
+    return scan(out, ["core_id"], ["place", "sub"], number="seq", long=many).drop("place", "sub")
