@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tracefold.functions import ordering, quantiles
 from tracefold.operators import evidence, index, stats
 from tracefold.operators.intervals import overlap_buckets, overlap_join
+from tracefold.plans.trace import tables
 from tracefold.sources import chunks, segments, text_traces
 
 
@@ -283,3 +284,22 @@ def test_window_lists_are_compared_as_lists(spark):
     got = lineage.violations(rec, events, windows, listed, rec.select("dataset_id", "object_id", "t_begin", "t_end"))
     assert {tuple(r)[1:] for r in got.collect()} == {("a", "UNKNOWN_WINDOW", "no"), ("b", "UNLISTED_WINDOW", "w1"), ("c", "LISTED_WITHOUT_OVERLAP", "w2")}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("_join_level") == 0
+
+
+def test_closure_reads_the_edges_once_a_round(spark):
+    columns = "dataset_id string, src_ref string, dst_ref string, rule_family string, priority int, time_hint long, cycle_token string, estimate_events int, estimate_bytes int, edge_hash string"
+    rows = [("d", f"n{i}", f"n{i + 1}", "order", 50, i, f"n{i}|n{i + 1}", 1, 64, f"h{i}") for i in range(8)]
+    read = spark.sparkContext.accumulator(0)
+    edges = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1).map(lambda r: (read.add(1), r)[1]), columns)
+    closed, _ = evidence.closure(edges, spark.createDataFrame([("d", "c", "n0")], "dataset_id string, closure_id string, ref string"))
+    assert sorted((r.ref, r.depth) for r in closed.collect()) == [(f"n{i}", i) for i in range(5)]
+    assert read.value <= 5 * len(rows)
+
+
+def test_edges_of_reused_event_ids_are_unique(spark):
+    t = tables(spark, "/root/testdata/sf0.001")
+    again = t.events.where("seq % 50 = 0").withColumn("ts", F.col("ts") + 1)
+    t.__dict__["events"] = t.events.unionByName(again)
+    none = spark.createDataFrame([], "dataset_id string, alert_id string, evidence string")
+    order = evidence.dependency_edges(t, none).where("rule_family = 'order'")
+    assert order.count() == order.select("dataset_id", "src_ref", "dst_ref", "relation_kind").distinct().count() > 0

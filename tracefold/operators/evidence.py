@@ -34,13 +34,16 @@ def dependency_edges(t, alerts: DataFrame, marks: DataFrame | None = None, snaps
     marks: dataset_id, family (anchor or context), mark, ref: what a reader has marked.
     """
 
+    # a relation is one row with both directions until hints are found: low and high are its ends, up and down the priorities of low to high and back
+    def ends(df, a, b, there, back, *more):
+        up = a < b
+        rows = df.where(a != b)
+        return rows.select("dataset_id", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"), F.when(up, there).otherwise(back).alias("up"), F.when(up, back).otherwise(there).alias("down"), *more)
+
     def pair(df, a, b, relation, family, there, back):
-        ends = [(a, b, there, relation), (b, a, back, relation)]
-        return df.select("dataset_id", F.explode(F.array(*[F.struct(x.alias("src_ref"), y.alias("dst_ref"), F.lit(p).alias("priority"), F.lit(r).alias("relation_kind"), F.lit(family).alias("rule_family")) for x, y, p, r in ends])).alias("e")).select("dataset_id", "e.*")
+        return ends(df, a, b, there, back, F.lit(relation).alias("relation_kind"), F.lit(family).alias("rule_family"))
 
-    follow = following(t.events.select("dataset_id", "ts", "core_id", "seq", "event_uid"), "dataset_id", ["ts", "core_id", "seq"], "event_uid", long=t.is_long).select("dataset_id", "event_uid", F.col("next_event_uid").alias("next"))
-    edges = [
-        pair(follow, F.col("event_uid"), F.col("next"), "ref_ref", "order", 50, 45),
+    pairs = [
         pair(t.slices, F.col("slice_id"), F.col("start_event"), "slice_start", "slice", 80, 80),
         pair(t.slices, F.col("slice_id"), F.col("end_event"), "slice_end", "slice", 80, 80),
         pair(t.states, F.col("seg_id"), F.col("cause_event"), "state_cause", "state", 85, 85),
@@ -49,12 +52,23 @@ def dependency_edges(t, alerts: DataFrame, marks: DataFrame | None = None, snaps
         pair(alerts.withColumn("diag", F.concat(F.lit("diag:"), "alert_id")), F.col("diag"), F.col("alert_id"), "diagnosis_alert", "diagnosis", 95, 95),
     ]
     if marks is not None:
-        edges += [pair(marks.where(F.col("family") == f), F.col("mark"), F.col("ref"), f"{f}_ref", f, 92, 92) for f in ("anchor", "context")]
-    every = reduce(DataFrame.unionByName, edges).where("src_ref is not null and dst_ref is not null and src_ref <> dst_ref")
-    every = every.groupBy("dataset_id", "src_ref", "dst_ref", "relation_kind", "rule_family").agg(F.max("priority").alias("priority"))
+        pairs += [pair(marks.where(F.col("family") == f), F.col("mark"), F.col("ref"), f"{f}_ref", f, 92, 92) for f in ("anchor", "context")]
+    by = ["dataset_id", "low", "high", "relation_kind", "rule_family"]
+    related = reduce(DataFrame.unionByName, pairs).groupBy(*by).agg(F.max("up").alias("up"), F.max("down").alias("down"))
     hint = t.events.select("dataset_id", "event_uid", F.struct("ts", "core_id", "seq").alias("hint"))
-    d = every.join(hint.select("dataset_id", F.col("event_uid").alias("dst_ref"), F.col("hint").alias("d")), ["dataset_id", "dst_ref"], "left")
-    both = d.join(hint.select("dataset_id", F.col("event_uid").alias("src_ref"), F.col("hint").alias("s")), ["dataset_id", "src_ref"], "left").withColumn("h", F.coalesce("d", "s"))
+    for end in ("low", "high"):
+        related = related.join(hint.select("dataset_id", F.col("event_uid").alias(end), F.col("hint").alias(f"{end}_hint")), ["dataset_id", end], "left")
+
+    # neighbours in the order of a trace bring their hints with them
+    own = t.events.select("dataset_id", "ts", "core_id", "seq", F.struct("event_uid", F.struct("ts", "core_id", "seq").alias("hint")).alias("own"))
+    follow = following(own, "dataset_id", ["ts", "core_id", "seq"], "own", long=t.is_long)
+    one, other = F.col("own.event_uid"), F.col("next_own.event_uid")
+    hints = [F.when(one < other, F.col(f"{x}.hint")).otherwise(F.col(f"{y}.hint")).alias(name) for name, x, y in (("low_hint", "own", "next_own"), ("high_hint", "next_own", "own"))]
+    order = ends(follow, one, other, 50, 45, *hints).groupBy("dataset_id", "low", "high").agg(*[F.max(c).alias(c) for c in ("up", "down", "low_hint", "high_hint")])
+    every = related.unionByName(order.withColumns({"relation_kind": F.lit("ref_ref"), "rule_family": F.lit("order")}))
+
+    direction = lambda src, dst, p: F.struct(F.col(src).alias("src_ref"), F.col(dst).alias("dst_ref"), F.col(p).alias("priority"), F.coalesce(f"{dst}_hint", f"{src}_hint").alias("h"))
+    both = every.select("dataset_id", "relation_kind", "rule_family", F.explode(F.array(direction("low", "high", "up"), direction("high", "low", "down"))).alias("e")).select("dataset_id", "relation_kind", "rule_family", "e.*")
     return both.select(
         "dataset_id", "src_ref", "dst_ref", "relation_kind", "rule_family", "priority",
         F.coalesce("h.ts", F.lit(0)).alias("time_hint"), F.col("h.core_id").alias("core_hint"), F.col("h.seq").alias("seq_hint"),
@@ -107,11 +121,13 @@ def closure(edges: DataFrame, starts: DataFrame, budget: Budget = Budget(), fami
     key = ["dataset_id", "closure_id"]
     closed = settle(starts.select(*key, "ref").distinct().select("*", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("rule_family")))
     frontier, halted = closed, None
+    taken = ["dst_ref", "rule_family", "priority", "time_hint", "cycle_token", "estimate_events", "estimate_bytes", "edge_hash"]
     for depth in range(1, budget.depth + 2):
-        near = frontier.select(*key, F.col("ref").alias("src_ref")).join(edges, ["dataset_id", "src_ref"])
+        # the edges are read once a round; all else goes by those that leave the frontier
+        near = settle(frontier.select(*key, F.col("ref").alias("src_ref")).join(edges, ["dataset_id", "src_ref"]).select(*key, *taken))
         fresh = near.join(closed.select(*key, F.col("ref").alias("dst_ref")), [*key, "dst_ref"], "left_anti")
         best = W.partitionBy(*key, "dst_ref").orderBy(F.desc("priority"), "time_hint", "dst_ref", "edge_hash")
-        nexts = fresh.withColumn("n", F.row_number().over(best)).where("n = 1")
+        nexts = settle(fresh.withColumn("n", F.row_number().over(best)).where("n = 1").select(*key, "dst_ref", "rule_family", "estimate_events", "estimate_bytes"))
         sizes = frontier.groupBy(*key).agg(F.count("*").alias("width"))
         used = closed.where("depth > 0").groupBy(*key).agg(F.count("*").alias("used"))
         cycles = near.groupBy(*key, "cycle_token").agg(F.count("*").alias("k")).groupBy(*key).agg(F.max("k").alias("most"))
