@@ -303,3 +303,25 @@ def test_edges_of_reused_event_ids_are_unique(spark):
     none = spark.createDataFrame([], "dataset_id string, alert_id string, evidence string")
     order = evidence.dependency_edges(t, none).where("rule_family = 'order'")
     assert order.count() == order.select("dataset_id", "src_ref", "dst_ref", "relation_kind").distinct().count() > 0
+
+
+def test_windows_of_records_are_listed_within_a_task(spark, monkeypatch):
+    """Short traces make no rows of pairs, long ones go by time cells; both against comparing all, with ties, no reason, an id twice and records without windows."""
+    from tracefold.operators import lineage
+
+    rng = random.Random(12)
+    span = lambda: (b := rng.randrange(300), b + rng.choice([0, 0, 3, 40, 200]))
+    recs = [(d, f"o{i % 50}", *span()) for d in "ab" for i in range(51)] + [("a", "far", 900, 901), ("c", "alone", 1, 2), ("a", "open", 5, None)]
+    wins = [(d, *span(), f"w{i}", rng.choice([None, "X", "Y"])) for d in "abd" for i in range(30)]
+    rec = spark.createDataFrame(recs, "dataset_id string, object_id string, t_begin long, t_end long")
+    windows = spark.createDataFrame(wins, "dataset_id string, t_begin long, t_end long, window_id string, reason_code string")
+    met = {}
+    for d, o, b, e in recs:
+        met.setdefault((d, o), []).extend((*w[1:4], w[4]) for w in wins if e is not None and w[0] == d and w[1] <= e and b <= w[2])
+    want = {k: ([w[2] for w in sorted(v, key=lambda w: w[:3])], sorted({w[3] for w in v} - {None})) for k, v in met.items() if v}
+    told = lineage.touching_windows(rec, windows)
+    assert "explode" not in told._jdf.queryExecution().toString()
+    for limit in (10_000_000, 0):
+        monkeypatch.setattr(lineage, "SHORT_TRACE", limit)
+        assert {(r.dataset_id, r.object_id): (r.window_ids, r.reasons) for r in lineage.touching_windows(rec, windows).collect()} == want
+        assert {(r.dataset_id, r.object_id): (r.n, r.reasons) for r in lineage.touching_windows(rec, windows, counted=True).collect()} == {k: (len(a), b) for k, (a, b) in want.items()}

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import settle
 from .intervals import overlap_join
 
+#: Records times windows of a trace up to which one task compares them all.
+SHORT_TRACE = 10_000_000
+
 
 def records(t) -> DataFrame:
     """dataset_id, object_id, object_type, rule_id, open_event, close_event, sources, t_begin, t_end, reason_code."""
@@ -35,13 +42,52 @@ def records(t) -> DataFrame:
     )
 
 
-def touching_windows(rec: DataFrame, windows: DataFrame) -> DataFrame:
-    """Each record with the untrusted windows that overlap its range, ends included, in order of time."""
-    r = rec.select("dataset_id", "object_id", "t_begin", "t_end")
-    pairs = overlap_join(r, windows.select("dataset_id", "t_begin", "t_end", "window_id", "reason_code"), ["dataset_id"], closed=True)
-    return pairs.groupBy("dataset_id", "object_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("r_begin", "r_end", "window_id"))), lambda x: x["window_id"]).alias("window_ids"), F.array_sort(F.collect_set("reason_code")).alias("reasons")
-    )
+def _touched(counted: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The records of one short trace with its windows; lists are cut from one array of all pairs."""
+
+    def run(rec: pa.Table, windows: pa.Table) -> pa.Table:
+        windows = windows.take(pc.sort_indices(windows, [(c, "ascending") for c in ("t_begin", "t_end", "window_id")], null_placement="at_start"))
+        ids = rec["object_id"].combine_chunks().dictionary_encode("encode")
+        begin, end, w_begin, w_end = (t[c].to_numpy() for t in (rec, windows) for c in ("t_begin", "t_end"))
+        at, met = np.nonzero((w_begin <= end[:, None]) & (w_end >= begin[:, None]))
+        at = ids.indices.to_numpy()[at]
+        if len(ids.dictionary) < len(rec):  # records of one id are one object, whose pairs come together
+            order = np.lexsort((met, at))
+            at, met = at[order], met[order]
+        here, counts = np.unique(at, return_counts=True)
+        codes = windows["reason_code"].combine_chunks()
+        names = pc.unique(codes.drop_null()).sort()
+        code = pc.fill_null(pc.index_in(codes, names), -1).to_numpy()[met]
+        told = np.unique(at[code >= 0].astype("int64") * max(len(names), 1) + code[code >= 0])
+        ends = np.searchsorted(told, (here.astype("int64") + 1) * max(len(names), 1))
+        lists = lambda ends, values: pa.ListArray.from_arrays(pa.array([0, *ends.tolist()], "int32"), values)
+        found = pa.array(counts, "int32") if counted else lists(np.cumsum(counts), windows["window_id"].combine_chunks().take(met))
+        columns = {"dataset_id": rec["dataset_id"].combine_chunks().take(pa.array(np.zeros(len(here), "int64"))), "object_id": ids.dictionary.take(here)}
+        return pa.table(columns | {"n" if counted else "window_ids": found, "reasons": lists(ends, names.take(told % max(len(names), 1)))})
+
+    return run
+
+
+def touching_windows(rec: DataFrame, windows: DataFrame, counted: bool = False) -> DataFrame:
+    """Each record with the untrusted windows that overlap its range, ends included, in order of time; if ``counted`` their number n, not their ids.
+
+    A short trace is compared in one task, so that its pairs never become rows;
+    the others go by time cells. Both sides are read twice.
+    """
+    r = rec.select("dataset_id", "object_id", "t_begin", "t_end").where("dataset_id is not null and t_begin is not null and t_end is not null")
+    w = windows.select("dataset_id", "t_begin", "t_end", "window_id", "reason_code").where("dataset_id is not null and t_begin is not null and t_end is not null")
+    size = lambda df, name: df.groupBy("dataset_id").agg(F.count("*").alias(name))
+    long = settle(size(r, "records").join(size(w, "windows"), "dataset_id").where(F.col("records") * F.col("windows") > SHORT_TRACE).select("dataset_id"))
+    found = "n int" if counted else "window_ids array<string>"
+    cut = lambda df, how: df.join(F.broadcast(long), "dataset_id", how)
+    some = not long.isEmpty()
+    sides = [(cut(df, "left_anti") if some else df).groupBy("dataset_id") for df in (r, w)]
+    out = sides[0].cogroup(sides[1]).applyInArrow(_touched(counted), f"dataset_id string, object_id string, {found}, reasons array<string>")
+    if not some:
+        return out
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("r_begin", "r_end", "window_id"))), lambda x: x["window_id"]).alias("window_ids")
+    pairs = overlap_join(cut(r, "left_semi"), cut(w, "left_semi"), ["dataset_id"], closed=True)
+    return out.unionByName(pairs.groupBy("dataset_id", "object_id").agg(F.count("*").cast("int").alias("n") if counted else listed, F.array_sort(F.collect_set("reason_code")).alias("reasons")))
 
 
 def reused_ids(events: DataFrame) -> DataFrame:
@@ -55,7 +101,7 @@ def status(rec: DataFrame, windows: DataFrame, reused: DataFrame, unsupported: D
     unsupported: dataset_id, object_type that a trace lacks the events for.
     """
     bad = rec.select("dataset_id", "object_id", F.explode("sources").alias("event_uid")).join(reused, ["dataset_id", "event_uid"], "left_semi").select("dataset_id", "object_id").distinct().withColumn("reused", F.lit(True))
-    j = rec.join(touching_windows(rec, windows), ["dataset_id", "object_id"], "left").join(bad, ["dataset_id", "object_id"], "left")
+    j = rec.join(touching_windows(rec, windows, counted=True), ["dataset_id", "object_id"], "left").join(bad, ["dataset_id", "object_id"], "left")
     if unsupported is not None:
         j = j.join(unsupported.select("dataset_id", "object_type").distinct().withColumn("lacking", F.lit(True)), ["dataset_id", "object_type"], "left")
     lacking = F.col("lacking") if unsupported is not None else F.lit(False)
@@ -69,7 +115,7 @@ def status(rec: DataFrame, windows: DataFrame, reused: DataFrame, unsupported: D
         .when(has("SEQ_GAP", "BUFFER_OVERFLOW", "IO_BACKPRESSURE"), "LOSS_AFFECTED")
         .otherwise("COMPLETE")
     )
-    return j.select("dataset_id", "object_id", "object_type", verdict.alias("status"), F.coalesce(F.size("window_ids"), F.lit(0)).alias("n_windows"))
+    return j.select("dataset_id", "object_id", "object_type", verdict.alias("status"), F.coalesce("n", F.lit(0)).alias("n_windows"))
 
 
 def backtrace(rec: DataFrame, events: DataFrame) -> DataFrame:
