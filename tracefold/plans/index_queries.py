@@ -204,6 +204,6 @@ SQL = {
     "p13_replay_invariants": "SELECT dataset_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS events, count(*) FILTER (WHERE ts < before) AS regressions FROM (SELECT *, lag(ts) OVER (PARTITION BY dataset_id, core_id ORDER BY seq) AS before FROM al) AS x GROUP BY dataset_id",
 }
 #: Queries that read some interval tables more than once.
-REREAD = {"p01_metric", "p02_alert", "q06_alerts_query", "q09_metric_evidence", "j13_evidence_resolution"}
+REREAD = {"p01_metric", "p02_alert", "p09_diff_detail", "q06_alerts_query", "q09_metric_evidence", "j13_evidence_resolution"}
 QUERIES = {k: over_trace(f, keep=k in REREAD) for k, f in TRACE.items()}
 ORACLE = {k: with_views(v, V) for k, v in SQL.items()}
