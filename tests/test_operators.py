@@ -325,3 +325,15 @@ def test_windows_of_records_are_listed_within_a_task(spark, monkeypatch):
         monkeypatch.setattr(lineage, "SHORT_TRACE", limit)
         assert {(r.dataset_id, r.object_id): (r.window_ids, r.reasons) for r in lineage.touching_windows(rec, windows).collect()} == want
         assert {(r.dataset_id, r.object_id): (r.n, r.reasons) for r in lineage.touching_windows(rec, windows, counted=True).collect()} == {k: (len(a), b) for k, (a, b) in want.items()}
+
+
+def test_terms_are_counted_within_their_chunk(spark):
+    """Totals equal those of chunks and terms, also of documents that share an id; without such, nothing is dealt by chunk."""
+    from tracefold.operators import retrieval
+
+    texts = ["aa bb aa", "\n".join(f"w{i} aa 中文字" for i in range(70)), None, "", "中 bb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert "hashpartitioning(doc_id" not in retrieval.term_totals(docs)._jdf.queryExecution().executedPlan().toString()
+    for d in (docs, docs.unionByName(docs.where("doc_id in (1, 4)")).unionByName(docs.selectExpr("null as doc_id", "text"))):
+        want = retrieval.tokens(retrieval.doc_chunks(d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+        assert {tuple(r) for r in retrieval.term_totals(d).select("term", "df", "tf").collect()} == {tuple(r) for r in want.collect()}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions.tables import settle
+
 #: What a word is, and a run of Chinese characters.
 TOKEN = r"[a-z0-9_][a-z0-9_.:-]+"
 CJK = r"[\x{4e00}-\x{9fff}]+"
@@ -20,14 +22,37 @@ def doc_chunks(docs: DataFrame, lines: int = LINES, overlap: int = OVERLAP) -> D
     return d.select("doc_id", "ls", F.explode(starts).alias("at")).select("doc_id", (F.col("at") + 1).alias("first_line"), F.array_join(F.slice("ls", F.col("at") + 1, lines), "\n").alias("text"))
 
 
-def tokens(chunks: DataFrame) -> DataFrame:
-    """One row per chunk and term with its count: lower-cased words, and of each Chinese run the characters and pairs of neighbours."""
-    low = F.lower("text")
+def _terms(text: Column) -> Column:
+    """Lower-cased words, and of each Chinese run the characters and pairs of neighbours."""
+    low = F.lower(text)
     runs = F.regexp_extract_all(low, F.lit(CJK), F.lit(0))
     grams = F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r)), lambda i: F.substr(r, i, F.lit(1))))
     pairs = F.transform(F.filter(runs, lambda r: F.char_length(r) > 1), lambda r: F.transform(F.sequence(F.lit(1), F.char_length(r) - 1), lambda i: F.substr(r, i, F.lit(2))))
-    terms = F.concat(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), F.flatten(grams), F.flatten(pairs))
-    return chunks.select("doc_id", "first_line", F.explode(terms).alias("term")).groupBy("doc_id", "first_line", "term").agg(F.count("*").alias("tf"))
+    return F.concat(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0)), F.flatten(grams), F.flatten(pairs))
+
+
+def tokens(chunks: DataFrame) -> DataFrame:
+    """One row per chunk and term with its count."""
+    return chunks.select("doc_id", "first_line", F.explode(_terms(F.col("text"))).alias("term")).groupBy("doc_id", "first_line", "term").agg(F.count("*").alias("tf"))
+
+
+def term_totals(docs: DataFrame) -> DataFrame:
+    """Chunks (df) and occurrences (tf) of each term over all chunks of the documents.
+
+    A chunk is one row, so its terms are told apart within it and only totals are
+    shuffled; documents that share an id, whose chunks count as one, go through ``tokens``.
+    """
+    shared = settle(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    some = not shared.isEmpty()
+    own = docs.join(F.broadcast(shared), F.equal_null(docs.doc_id, shared.doc_id), "left_anti") if some else docs
+    terms = doc_chunks(own).select(_terms(F.col("text")).alias("terms"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    row = lambda tf, df: lambda x: F.struct(x.alias("term"), tf.alias("tf"), df.alias("df"))
+    rows = terms.select(F.explode(F.concat(F.transform("terms", row(one, none)), F.transform(F.array_distinct("terms"), row(none, one)))).alias("t")).select("t.*")
+    if some:
+        again = docs.join(F.broadcast(shared), F.equal_null(docs.doc_id, shared.doc_id), "left_semi")
+        rows = rows.unionByName(tokens(doc_chunks(again)).select("term", "tf", one.alias("df")))
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def tfidf_search(chunks: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

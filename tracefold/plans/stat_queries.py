@@ -203,7 +203,7 @@ def _ledger(s, d):
 
 QUERIES = {
     "t01_doc_chunks": lambda s, d: _chunks(s, d).select("doc_id", "first_line", F.char_length("text").alias("n_chars")),
-    "t02_tokenize": lambda s, d: retrieval.tokens(_chunks(s, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")),
+    "t02_tokenize": lambda s, d: retrieval.term_totals(_table(s, d, "documents")),
     "t03_tfidf_search": lambda s, d: retrieval.tfidf_search(_chunks(s, d), _queries(s)),
     "t04_snippet": lambda s, d: retrieval.snippet(_chunks(s, d), "license"),
     "t05_case_similarity": lambda s, d: retrieval.similar_cases(_runs(s, d), _cases(s, d), CASE_WEIGHTS, action=6, missing=2),
