@@ -337,3 +337,15 @@ def test_terms_are_counted_within_their_chunk(spark):
     for d in (docs, docs.unionByName(docs.where("doc_id in (1, 4)")).unionByName(docs.selectExpr("null as doc_id", "text"))):
         want = retrieval.tokens(retrieval.doc_chunks(d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
         assert {tuple(r) for r in retrieval.term_totals(d).select("term", "df", "tf").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_small_ranges_share_a_partition(monkeypatch):
+    """Tasks don't grow with files or with a small split; every range is kept, in order, and big ones stay alone."""
+    few = segments.SegmentReader("p", "events", 4096)
+    monkeypatch.setattr(segments, "found", lambda path: [(f"f{i}", 9000) for i in range(5000)])
+    monkeypatch.setattr(few, "ranges", lambda f: [(*f, 0, 4500, 0), (*f, 4500, None, 9)])
+    parts = [p.value for p in few.partitions()]
+    assert len(parts) <= 2 * segments.PARTITIONS and sum(parts, []) == [r for i in range(5000) for r in few.ranges((f"f{i}", 9000))]
+    big = segments.SegmentReader("p", "events", segments.SPLIT_BYTES)
+    monkeypatch.setattr(segments, "found", lambda path: [(f"f{i}", segments.SPLIT_BYTES) for i in range(1000)])
+    assert len(big.partitions()) == 1000
