@@ -349,3 +349,12 @@ def test_small_ranges_share_a_partition(monkeypatch):
     big = segments.SegmentReader("p", "events", segments.SPLIT_BYTES)
     monkeypatch.setattr(segments, "found", lambda path: [(f"f{i}", segments.SPLIT_BYTES) for i in range(1000)])
     assert len(big.partitions()) == 1000
+
+
+def test_kept_tables_read_the_trace_once(spark):
+    """Raw events are written before they are read again, and metrics group each table once."""
+    from tracefold.operators import metrics
+
+    t = tables(spark, "/root/testdata/sf0.001", keep=True)
+    assert "Window" not in t.raw._jdf.queryExecution().optimizedPlan().toString()
+    assert metrics.metric_values(t, t.scope)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 12
